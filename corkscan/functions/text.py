@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The prefixes the embedding model is trained with, the text put
-# in place of a missing country, and the white-space and token patterns.
+# The prefixes the embedding model is trained with, the characters
+# with the Unicode property White_Space, and the token patterns.
 DOCUMENT_PREFIX = "search_document: "
 QUERY_PREFIX = "search_query: "
-WHITE_SPACE_AT_ENDS = r"(?U)^\s+|\s+$"
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 WORD = r"[\p{L}\p{M}\p{N}_]+"
 # The same words, with one apostrophe between letters or one point or comma
 # between digits kept inside the token (don't, 3.14).
@@ -21,7 +24,7 @@ JOINED_WORD = (
 
 def strip(text: Column) -> Column:
     """Drop white space of any kind (not only spaces) from both ends."""
-    return F.regexp_replace(text, WHITE_SPACE_AT_ENDS, "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def strip_lower(text: Column) -> Column:

@@ -7,6 +7,8 @@ in ``reasons``; nothing else decides what happens to it.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,71 +33,85 @@ def parse_records(lines: DataFrame) -> DataFrame:
     return lines.withColumn("values", F.from_json("raw", "map<string,variant>"))
 
 
-def is_present(name: str) -> Column:
-    """Whether the record has the key, under either of its names."""
-    here = F.map_contains_key("values", name)
-    return here | F.map_contains_key("values", ALIASES[name]) if name in ALIASES else here
+def unpack(parsed: DataFrame, *names: str) -> DataFrame:
+    """Add the kind and the text of the named fields, each taken out once.
+
+    The kind is STRING, BIGINT, DECIMAL(p,s), DOUBLE, BOOLEAN, ..., VOID for a
+    null value, and NULL for a key that is not there. Where a field has two
+    names, the key in the input wins over the field's own.
+    """
+    taken = []
+    for name in names:
+        keys = [ALIASES[name], name] if name in ALIASES else [name]
+        value = F.coalesce(*[F.element_at("values", F.lit(key)) for key in keys])
+        taken.append(F.schema_of_variant(value).alias(f"_kind_{name}"))
+        taken.append(F.try_variant_get(value, "$", "string").alias(f"_text_{name}"))
+    return _computed(parsed, taken)
+
 
+def _computed(df: DataFrame, columns: Sequence[Column]) -> DataFrame:
+    """``df`` with the columns worked out once per row.
 
-def value_of(name: str) -> Column:
-    """The field's variant; the other name of a field goes first."""
-    own = F.element_at("values", F.lit(name))
-    if name not in ALIASES:
-        return own
-    alias = ALIASES[name]
-    return F.when(F.map_contains_key("values", alias), F.element_at("values", F.lit(alias))).otherwise(own)
+    Later filters stay above an ``inline``; they would otherwise repeat the
+    expressions of all columns that they look at.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*columns))))
 
 
-def as_text(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "string")
+def kind(name: str) -> Column:
+    return F.col(f"_kind_{name}")
 
 
-def kind(value: Column) -> Column:
-    """STRING, BIGINT, DECIMAL(p,s), DOUBLE, BOOLEAN, VOID, ...; NULL if missing."""
-    return F.schema_of_variant(value)
+def text(name: str) -> Column:
+    return F.col(f"_text_{name}")
+
+
+def is_present(name: str) -> Column:
+    """Whether the record has the key, under either of its names."""
+    return kind(name).isNotNull()
 
 
-def is_null(value: Column) -> Column:
-    return value.isNull() | (kind(value) == "VOID")
+def is_null(name: str) -> Column:
+    return kind(name).isNull() | (kind(name) == "VOID")
 
 
-def as_integer(value: Column) -> Column:
+def as_integer(name: str) -> Column:
     """Whole numbers, also as text ("91", "91.0") or true/false; else NULL."""
-    text = strip(as_text(value))
-    number = text.try_cast("decimal(38,10)")
+    value = strip(text(name))
+    number = value.try_cast("decimal(38,10)")
     whole = F.when(number == F.floor(number), number.try_cast("bigint"))
     return (
-        F.when(kind(value) == "STRING", F.when(text.rlike(INTEGER_TEXT), whole))
-        .when(kind(value) == "BOOLEAN", text.cast("boolean").cast("bigint"))
+        F.when(kind(name) == "STRING", F.when(value.rlike(INTEGER_TEXT), whole))
+        .when(kind(name) == "BOOLEAN", value.cast("boolean").cast("bigint"))
         .otherwise(whole)
     )
 
 
-def as_number(value: Column) -> Column:
+def as_number(name: str) -> Column:
     """Numbers, also as text or true/false; else NULL."""
-    text = strip(as_text(value))
+    value = strip(text(name))
     return (
-        F.when(kind(value) == "STRING", F.when(text.rlike(NUMBER_TEXT), text.try_cast("double")))
-        .when(kind(value) == "BOOLEAN", text.cast("boolean").cast("double"))
-        .otherwise(text.try_cast("double"))
+        F.when(kind(name) == "STRING", F.when(value.rlike(NUMBER_TEXT), value.try_cast("double")))
+        .when(kind(name) == "BOOLEAN", value.cast("boolean").cast("double"))
+        .otherwise(value.try_cast("double"))
     )
 
 
-def as_stripped_text(value: Column) -> Column:
+def as_stripped_text(name: str) -> Column:
     """Text without white space at its ends; NULL for anything but text."""
-    return F.when(kind(value) == "STRING", strip(as_text(value)))
+    return F.when(kind(name) == "STRING", strip(text(name)))
 
 
-def filled_country(value: Column, rule: str) -> Column:
+def filled_country(name: str, rule: str) -> Column:
     """The country, ``Unknown`` where it is missing; filled first, stripped second."""
-    text = as_text(value)
+    value, is_text = text(name), kind(name) == "STRING"
     if rule == FILL_FALSY:
-        empty = F.when(kind(value) == "STRING", text == "").otherwise(text.isin("false", "0", "0.0", "[]", "{}"))
+        empty = F.when(is_text, value == "").otherwise(value.isin("false", "0", "0.0", "[]", "{}"))
     elif rule == FILL_NULL_LITERAL:
-        empty = (kind(value) == "STRING") & (text == "null")
+        empty = is_text & (value == "null")
     else:
         raise ValueError(f"unknown rule {rule!r}")
-    return F.when(is_null(value) | empty, F.lit(UNKNOWN_COUNTRY)).otherwise(as_stripped_text(value))
+    return F.when(is_null(name) | empty, F.lit(UNKNOWN_COUNTRY)).otherwise(as_stripped_text(name))
 
 
 def embed_text(*parts: Column) -> Column:
@@ -107,18 +123,17 @@ def extras(values: Column) -> Column:
     """The keys that no field declares, as text."""
     declared = [*RECORD_FIELDS, *ALIASES.values()]
     unknown = F.map_filter(values, lambda key, _: ~key.isin(declared))
-    return F.transform_values(unknown, lambda _, value: as_text(value))
+    return F.transform_values(unknown, lambda _, value: F.try_variant_get(value, "$", "string"))
 
 
 def _field(name: str, fill: str) -> Column:
-    value = value_of(name)
-    if name == "country":
-        return filled_country(value, fill)
+    if name in FILLED_FIELDS:
+        return filled_country(name, fill)
     if name in INTEGER_FIELDS:
-        return as_integer(value).try_cast(RECORD_FIELDS[name])
+        return as_integer(name).try_cast(RECORD_FIELDS[name])
     if name in NUMBER_FIELDS:
-        return as_number(value)
-    return as_stripped_text(value)
+        return as_number(name)
+    return as_stripped_text(name)
 
 
 def missing_keys() -> Column:
@@ -130,7 +145,7 @@ def missing_keys() -> Column:
 def _reasons() -> Column:
     broken = []
     for name in RECORD_FIELDS:
-        wrong = F.col(name).isNull() & (F.lit(True) if name in NOT_NULL_FIELDS else ~is_null(value_of(name)))
+        wrong = F.col(name).isNull() & (F.lit(True) if name in NOT_NULL_FIELDS else ~is_null(name))
         rule = F.when(wrong, F.lit(name))
         if name not in FILLED_FIELDS:
             rule = F.when(~is_present(name), F.lit(f"missing {name}")).otherwise(rule)
@@ -141,11 +156,14 @@ def _reasons() -> Column:
 
 def check_records(lines: DataFrame, fill: str = FILL_FALSY) -> DataFrame:
     """Lines (``raw``) with the typed fields, ``to_vectorize``, ``extras`` and ``reasons``."""
-    parsed = parse_records(lines)
-    fields = {name: _field(name, fill) for name in RECORD_FIELDS}
-    text = embed_text(*[as_text(value_of(name)) for name in EMBED_FIELDS])
-    typed = parsed.withColumns({**fields, "to_vectorize": text, "extras": extras(F.col("values"))})
-    return typed.withColumn("reasons", _reasons()).drop("values")
+    unpacked = unpack(parse_records(lines), *RECORD_FIELDS)
+    typed = _computed(unpacked, [
+        *[_field(name, fill).alias(name) for name in RECORD_FIELDS],
+        embed_text(*[text(name) for name in EMBED_FIELDS]).alias("to_vectorize"),
+        extras(F.col("values")).alias("extras"),
+    ])
+    checked = typed.withColumn("reasons", _reasons())
+    return checked.select(*lines.columns, *RECORD_FIELDS, "to_vectorize", "extras", "reasons")
 
 
 def accepted(checked: DataFrame) -> DataFrame:

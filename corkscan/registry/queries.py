@@ -18,7 +18,7 @@ from corkscan.operators.queries import distinct_texts
 from corkscan.plans import index as index_plan
 from corkscan.plans import search
 from corkscan.registry.workspace import BUCKETS, DIM, PARTITIONS, Workspace, in_key_order, workspace
-from corkscan.schemas import ANALYZED_FIELDS
+from corkscan.schemas import ANALYZED_FIELDS, RECORD_FIELDS
 from corkscan.sources import lines, tables
 from corkscan.storage import new_path
 
@@ -35,7 +35,11 @@ def _round(column: str | Column) -> Column:
 
 
 def _raw(name: str) -> Column:
-    return validation.as_text(validation.value_of(name))
+    return validation.text(name)
+
+
+def _unpacked(w: Workspace, *names: str) -> DataFrame:
+    return validation.unpack(validation.parse_records(lines.read_json_lines(w.spark, w.reviews_path)), *names)
 
 
 # --- sources and sinks ---------------------------------------------------------
@@ -43,8 +47,7 @@ def _raw(name: str) -> Column:
 
 @query
 def reviews_scan(w: Workspace) -> DataFrame:
-    parsed = validation.parse_records(lines.read_json_lines(w.spark, w.reviews_path))
-    return parsed.select(
+    return _unpacked(w, "id", "points", "title", "price", "country", "description").select(
         _raw("id").cast("bigint").alias("id"), _raw("points").alias("points"), _raw("title").alias("title"),
         _raw("price").cast("double").alias("price"), _raw("country").alias("country"),
         F.length(_raw("description")).alias("description_chars"))
@@ -85,11 +88,10 @@ def jsonl_roundtrip(w: Workspace) -> DataFrame:
     balance = F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal"))
     lines.write_json_lines(w.table("customer").select("c_custkey", "c_name", balance.alias("c_acctbal")), path)
     parsed = validation.parse_records(lines.read_json_lines(w.spark, path))
-    value = lambda name: validation.as_text(F.element_at("values", F.lit(name)))
-    return parsed.select(
-        value("c_custkey").cast("bigint").alias("c_custkey"), value("c_name").alias("c_name"),
-        value("c_acctbal").cast("double").alias("c_acctbal"),
-        F.map_contains_key("values", "c_acctbal").alias("balance_written"))
+    return validation.unpack(parsed, "c_custkey", "c_name", "c_acctbal").select(
+        _raw("c_custkey").cast("bigint").alias("c_custkey"), _raw("c_name").alias("c_name"),
+        _raw("c_acctbal").cast("double").alias("c_acctbal"),
+        validation.is_present("c_acctbal").alias("balance_written"))
 
 
 def _write_query_lines(w: Workspace) -> str:
@@ -109,7 +111,7 @@ def query_terms(w: Workspace) -> DataFrame:
 def limit_rows(w: Workspace) -> DataFrame:
     rows = lines.read_json_lines(w.spark, w.reviews_path, with_position=True)
     first = lines.first_rows(rows, w.table("part").count() // 2)
-    return validation.parse_records(first).select("position", _raw("id").cast("bigint").alias("id"))
+    return validation.unpack(validation.parse_records(first), "id").select("position", _raw("id").cast("bigint").alias("id"))
 
 
 @query
@@ -147,20 +149,16 @@ def write_rejects(w: Workspace) -> DataFrame:
 
 @query
 def coerce_types(w: Workspace) -> DataFrame:
-    parsed = validation.parse_records(lines.read_json_lines(w.spark, w.reviews_path))
-    value = validation.value_of
-    return parsed.where("values IS NOT NULL").select(
-        validation.as_integer(value("id")).alias("id"),
-        validation.as_integer(value("points")).cast("int").alias("points"),
-        validation.as_number(value("price")).alias("price"))
+    return _unpacked(w, "id", "points", "price").where("values IS NOT NULL").select(
+        validation.as_integer("id").alias("id"), validation.as_integer("points").cast("int").alias("points"),
+        validation.as_number("price").alias("price"))
 
 
 @query
 def required_keys(w: Workspace) -> DataFrame:
-    parsed = validation.parse_records(lines.read_json_lines(w.spark, w.reviews_path))
-    return parsed.where("values IS NOT NULL").select(
+    return _unpacked(w, *RECORD_FIELDS).where("values IS NOT NULL").select(
         _raw("id").cast("bigint").alias("id"), F.array_join(validation.missing_keys(), ",").alias("missing"),
-        validation.is_null(validation.value_of("title")).alias("title_is_null"))
+        validation.is_null("title").alias("title_is_null"))
 
 
 @query
@@ -227,7 +225,8 @@ def ingest_counts(w: Workspace) -> DataFrame:
 @query
 def validation_rejects(w: Workspace) -> DataFrame:
     rejects = validation.rejected(w.checked())
-    return rejects.select(F.length("raw").alias("chars"), F.array_join("reasons", ",").alias("reasons"))
+    return rejects.select(
+        F.get_json_object("raw", "$.id").cast("bigint").alias("id"), F.array_join("reasons", ",").alias("reasons"))
 
 
 @query

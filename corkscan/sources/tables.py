@@ -80,7 +80,7 @@ def upsert(table: DataFrame, batch: DataFrame, key: str, order: Column) -> DataF
     ``table`` holds one row per key, so only the batch is grouped; of the table,
     only keys are compared.
     """
-    new = latest(batch, key, order)
+    new = latest(batch, key, order).select(*table.columns)
     kept = table.join(new.select(key), key, "left_anti").select(*table.columns)
     return kept.unionByName(new)
 
