@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import dataclasses
+import functools
+import operator
 from collections import Counter
 from collections.abc import Sequence
 
@@ -16,8 +18,10 @@ from corkscan.operators.queries import QueryBatch, per_query, read_batch
 from corkscan.operators.ranking import top_k
 from corkscan.operators.text_index import TextIndex
 
-# Parquet pages are skipped by one equality test per word, for up to so many.
+# Parquet pages are skipped by one equality test per word, for up to so many,
+# in lists that Spark passes on whole.
 FILTER_TERMS = 200
+FILTER_LIST = 10
 # Pieces into which the shuffled join cuts the postings of each word.
 SALTS = 64
 
@@ -47,14 +51,12 @@ def _local_terms(batch: QueryBatch) -> pa.Table:
 
 
 def _is_one_of(column: Column, values: Sequence[str]) -> Column:
-    """``column`` is one of ``values``, in a form that skips Parquet pages."""
+    """``column`` is one of ``values``, in lists so short that each value is
+    compared with the bounds of a Parquet page."""
     if not values or len(values) > FILTER_TERMS:
         return column.isin(list(values))
-    tests = [column == value for value in values]
-    while len(tests) > 1:  # in halves, so that the expression stays shallow
-        pairs = [a | b for a, b in zip(tests[::2], tests[1::2])]
-        tests = pairs + tests[2 * len(pairs):]
-    return tests[0]
+    lists = [column.isin(list(values[i:i + FILTER_LIST])) for i in range(0, len(values), FILTER_LIST)]
+    return functools.reduce(operator.or_, lists)
 
 
 def _checked_fields(index: TextIndex, fields: Sequence[str] | None) -> list[str]:

@@ -10,26 +10,35 @@ from pyspark.sql import functions as F
 
 from corkscan.functions.text import tokens
 
-# A batch with at most so many distinct texts, none longer than so many
-# characters, has a proven size: it is broadcast, and its words are written into
-# the scan's filter. Any other batch is joined by shuffle.
-SMALL_BATCH_TEXTS = 5_000
-SMALL_TEXT_CHARS = 4_000
+# A batch has a proven size if it holds at most so many queries, or at most so
+# many distinct texts, none of them longer than so many characters. Its texts
+# are broadcast, and their words are written into the scan's filter; any other
+# batch is joined by shuffle.
+FEW_QUERIES = 10_000
+FEW_TEXTS = 5_000
+SHORT_TEXT_CHARS = 4_000
 
 
 @dataclasses.dataclass(frozen=True)
 class QueryBatch:
-    """Queries (query_id, query), their distinct texts, and those texts if few."""
+    """Queries (query_id, query) and their distinct texts (text_id, query).
+
+    ``few`` holds (text_id, query, words) of the texts if they are few, and
+    ``askers`` the query ids of each text if the queries are few, too.
+    """
 
     queries: DataFrame
     texts: DataFrame
-    few: list[Row] | None
+    few: list[Row] | None = None
+    askers: dict[int, list[int]] | None = None
 
     def local_texts(self) -> DataFrame:
-        rows = self.few or []
+        """As ``texts``, from the driver if they are few."""
+        if self.few is None:
+            return self.texts
         return self.queries.sparkSession.createDataFrame(pa.table({
-            "text_id": pa.array([r.text_id for r in rows], pa.int64()),
-            "query": pa.array([r.query for r in rows], pa.string()),
+            "text_id": pa.array([r.text_id for r in self.few], pa.int64()),
+            "query": pa.array([r.query for r in self.few], pa.string()),
         }))
 
 
@@ -43,30 +52,44 @@ def distinct_texts(queries: DataFrame) -> DataFrame:
 
 
 def read_batch(queries: DataFrame, joined: bool = False) -> QueryBatch:
-    """Look at the batch once, to learn whether it is small."""
-    texts = distinct_texts(queries)
-    short = F.length("query") <= SMALL_TEXT_CHARS
-    seen = (
-        texts.select(
-            "text_id",
-            F.when(short, F.col("query")).alias("query"),
-            F.when(short, tokens(F.col("query"), joined)).alias("words"),
-        )
-        .limit(SMALL_BATCH_TEXTS + 1)
-        .collect()
-    )
-    small = len(seen) <= SMALL_BATCH_TEXTS and all(r.query is not None for r in seen)
-    return QueryBatch(queries, texts, seen if small else None)
+    """Look at the batch, but no further than up to the sizes above."""
+    short = F.length("query") <= SHORT_TEXT_CHARS
+    shortened = [
+        F.when(short, F.col("query")).alias("query"),
+        F.when(short, tokens(F.col("query"), joined)).alias("words"),
+    ]
+    asked = queries.where("query IS NOT NULL")
+    texts = distinct_texts(asked)
+    seen = asked.select(F.col("query_id").cast("bigint").alias("query_id"), *shortened).limit(FEW_QUERIES + 1).collect()
+    if any(r.query is None for r in seen):
+        return QueryBatch(asked, texts)
+    if len(seen) <= FEW_QUERIES:
+        ids: dict[str, list[int]] = {}
+        words = {}
+        for r in seen:
+            ids.setdefault(r.query, []).append(r.query_id)
+            words[r.query] = r.words
+        few = [Row(text_id=min(of), query=query, words=words[query]) for query, of in ids.items()]
+        return QueryBatch(asked, texts, few, {min(of): of for of in ids.values()})
+    seen = texts.select("text_id", *shortened).limit(FEW_TEXTS + 1).collect()
+    small = len(seen) <= FEW_TEXTS and all(r.query is not None for r in seen)
+    return QueryBatch(asked, texts, seen if small else None)
 
 
 def per_query(batch: QueryBatch, results: DataFrame) -> DataFrame:
     """Hand the results of each text to all queries that have this text.
 
     ``results`` has a ``text_id``, and at most k rows for each, so that those of
-    a small batch are few.
+    few texts are few.
     """
+    if batch.askers is not None:
+        asked = batch.queries.sparkSession.createDataFrame(pa.table({
+            "text_id": pa.array(list(batch.askers), pa.int64()),
+            "query_id": pa.array(list(batch.askers.values()), pa.list_(pa.int64())),
+        }))
+        rest = [c for c in results.columns if c != "text_id"]
+        return results.join(F.broadcast(asked), "text_id").select(F.explode("query_id").alias("query_id"), *rest)
+    named = batch.local_texts().join(results, "text_id").drop("text_id")
     if batch.few is not None:
-        named = F.broadcast(batch.local_texts()).join(results, "text_id").drop("text_id")
-        return batch.queries.select("query_id", "query").join(F.broadcast(named), "query").drop("query")
-    named = batch.texts.join(results, "text_id").drop("text_id")
+        named = F.broadcast(named)
     return batch.queries.select("query_id", "query").join(named, "query").drop("query")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from corkscan.functions.encoders import Encoder
 from corkscan.operators import keyword, nearest, partitioned, quantised
 from corkscan.operators.embedding import embed_texts
-from corkscan.operators.queries import QueryBatch, per_query, read_batch
+from corkscan.operators.queries import per_query, read_batch
 from corkscan.operators.results import fetch_fields
 from corkscan.operators.text_index import TextIndex
 from corkscan.plans.index import VectorIndex
@@ -27,22 +27,17 @@ def nearest_exact(vectors: DataFrame, queries: DataFrame, encoder: Encoder, k: i
                   dim: int = EMBEDDING_DIM) -> DataFrame:
     """(query_id, id, _distance, rank): every vector is compared with every distinct text."""
     batch = read_batch(queries)
-    return per_query(batch, nearest.exact_top_k(vectors, embed_texts(_texts(batch), encoder, dim), k))
+    return per_query(batch, nearest.exact_top_k(vectors, embed_texts(batch.local_texts(), encoder, dim), k))
 
 
 def nearest_quantised(index: VectorIndex, queries: DataFrame, encoder: Encoder, k: int = 10,
                       nprobes: int = partitioned.NUM_PROBES, dim: int = EMBEDDING_DIM) -> DataFrame:
     """(query_id, id, _distance, rank) from the codes of the nearest partitions."""
     batch = read_batch(queries)
-    vectors = embed_texts(_texts(batch), encoder, dim)
+    vectors = embed_texts(batch.local_texts(), encoder, dim)
     return per_query(batch, quantised.quantised_top_k(index.codes, index.model, vectors, k, nprobes))
 
 
-def _texts(batch: QueryBatch) -> DataFrame:
-    """Distinct texts, from the driver if the batch is small."""
-    return batch.texts if batch.few is None else batch.local_texts()
-
-
 def search_vectors(index: VectorIndex, records: DataFrame, queries: DataFrame, encoder: Encoder, k: int = 10,
                    nprobes: int = partitioned.NUM_PROBES, buckets: int | None = None) -> DataFrame:
     """Result fields, rank and ``_distance`` of the nearest ``k`` records of each query."""
