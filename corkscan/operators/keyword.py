@@ -134,4 +134,5 @@ def matching_documents(index: TextIndex, docs: DataFrame, id_column: str, querie
     """The rows of ``docs`` that hold at least one word of at least one query."""
     chosen = _checked_fields(index, fields)
     hits = _hits(index, read_batch(queries, index.joined), chosen, Bm25())
-    return docs.join(hits.select(F.col("doc_id").alias(id_column)), id_column, "left_semi")
+    # Distinct within each bucket: no shuffle.
+    return docs.join(hits.select(F.col("doc_id").alias(id_column)).distinct(), id_column, "left_semi")

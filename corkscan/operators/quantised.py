@@ -26,6 +26,8 @@ SUB_DIM = 4
 WORDS = 256
 
 TRAINING_ROWS_PER_WORD = 256
+# Rows compared with all words at a time: a block that stays in the cache.
+ROWS_PER_TILE = 1_024
 CODES_SCHEMA = "part_id INT, id BIGINT, codes ARRAY<SMALLINT>"
 
 
@@ -36,14 +38,9 @@ class Quantiser:
     centroids: np.ndarray
     words: np.ndarray
 
-    @property
-    def sub_vectors(self) -> int:
-        return self.words.shape[0]
-
     def residuals(self, vectors: np.ndarray, parts: np.ndarray) -> np.ndarray:
         """What is left of unit vectors, as rows x sub_vectors x sub_dim."""
-        rest = unit_rows(vectors) - self.centroids[parts]
-        return rest.reshape(len(rest), -1, self.words.shape[2])
+        return residuals(vectors, parts, self.centroids, self.words.shape[2])
 
     def encode(self, vectors: np.ndarray, parts: np.ndarray) -> np.ndarray:
         rest = self.residuals(vectors, parts)
@@ -53,37 +50,25 @@ class Quantiser:
         return codes
 
     def decode(self, codes: np.ndarray, parts: np.ndarray) -> np.ndarray:
-        rest = self.words[np.arange(self.sub_vectors), codes]
+        rest = self.words[np.arange(len(self.words)), codes]
         return self.centroids[parts] + rest.reshape(len(codes), -1)
 
 
-def nearest_word(points: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """The nearest word of each point; the lowest code on ties."""
-    apart = np.square(words).sum(axis=1) - 2.0 * (points @ words.T)
-    return np.argmin(np.round(apart, 12), axis=1)
-
-
-def _sub_vectors(assigned: DataFrame, centroids: np.ndarray, sub_dim: int) -> DataFrame:
-    """(m, id, point): every sub-vector of what is left of each vector."""
-    frame = Quantiser(centroids, np.empty((0, 0, sub_dim)))
+def residuals(vectors: np.ndarray, parts: np.ndarray, centroids: np.ndarray, sub_dim: int) -> np.ndarray:
+    rest = unit_rows(vectors) - centroids[parts]
+    return rest.reshape(len(rest), -1, sub_dim)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            rest = frame.residuals(matrix(batch["vector"]), batch["part_id"].to_numpy(zero_copy_only=False))
-            rows, subs, _ = rest.shape
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.tile(np.arange(subs, dtype=np.int32), rows)),
-                    pa.array(np.repeat(batch["id"].to_numpy(zero_copy_only=False), subs), pa.int64()),
-                    list_array(rest.reshape(rows * subs, -1), pa.float64()),
-                ],
-                ["m", "id", "point"],
-            )
 
-    rows = assigned.select(F.col("id").cast("bigint").alias("id"), "vector", F.col("part_id").cast("int").alias("part_id"))
-    return rows.mapInArrow(cut, "m INT, id BIGINT, point ARRAY<DOUBLE>")
+def nearest_word(points: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The nearest word of each point; of equal words, only the first is taken."""
+    base = np.full(len(words), np.inf)
+    first = np.unique(words, axis=0, return_index=True)[1]
+    base[first] = np.square(words[first]).sum(axis=1)
+    nearest = np.empty(len(points), np.int64)
+    for start in range(0, len(points), ROWS_PER_TILE):
+        rows = slice(start, start + ROWS_PER_TILE)
+        nearest[rows] = np.argmin(base - 2.0 * (points[rows] @ words.T), axis=1)
+    return nearest
 
 
 def _settle(points: np.ndarray, words: np.ndarray, iterations: int) -> np.ndarray:
@@ -99,6 +84,30 @@ def _settle(points: np.ndarray, words: np.ndarray, iterations: int) -> np.ndarra
     return words
 
 
+def _cut(assigned: DataFrame, centroids: np.ndarray, sub_dim: int) -> DataFrame:
+    """(m, ids, points): for each Arrow batch and sub-vector, its part of what is
+    left of the vectors, end to end."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            ids = batch["id"].to_numpy(zero_copy_only=False)
+            rest = residuals(matrix(batch["vector"]), batch["part_id"].to_numpy(zero_copy_only=False), centroids, sub_dim)
+            subs = rest.shape[1]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.arange(subs, dtype=np.int32)),
+                    list_array(np.tile(ids, (subs, 1)), pa.int64()),
+                    list_array(np.ascontiguousarray(rest.transpose(1, 0, 2)).reshape(subs, -1), pa.float64()),
+                ],
+                ["m", "ids", "points"],
+            )
+
+    rows = assigned.select(F.col("id").cast("bigint").alias("id"), "vector", F.col("part_id").cast("int").alias("part_id"))
+    return rows.mapInArrow(cut, "m INT, ids ARRAY<BIGINT>, points ARRAY<DOUBLE>")
+
+
 def train_words(assigned: DataFrame, centroids: np.ndarray, sub_dim: int = SUB_DIM, words: int = WORDS,
                 iterations: int = 20, seed: int = 37) -> DataFrame:
     """(m, code, word): code words for each sub-vector, from ``assigned`` rows.
@@ -109,22 +118,20 @@ def train_words(assigned: DataFrame, centroids: np.ndarray, sub_dim: int = SUB_D
     sample = training_rows(assigned, words * TRAINING_ROWS_PER_WORD)
 
     def train(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        points = np.stack(rows.sort_values("id")["point"].to_numpy())
+        ids = np.concatenate(rows["ids"].to_list())
+        points = np.concatenate(rows["points"].to_list()).reshape(len(ids), sub_dim)[np.argsort(ids, kind="stable")]
         picked = np.random.default_rng(seed + int(key[0])).permutation(len(points))[:words]
         settled = _settle(points, points[np.sort(picked)], iterations)
         return pd.DataFrame({"m": int(key[0]), "code": range(len(settled)), "word": list(settled)})
 
-    subs = _sub_vectors(sample, centroids, sub_dim)
-    return subs.groupBy("m").applyInPandas(train, "m INT, code INT, word ARRAY<DOUBLE>")
+    return _cut(sample, centroids, sub_dim).groupBy("m").applyInPandas(train, "m INT, code INT, word ARRAY<DOUBLE>")
 
 
-def lowest_id_words(assigned: DataFrame, centroids: np.ndarray, sub_dim: int = SUB_DIM, words: int = WORDS) -> DataFrame:
-    """(m, code, word): sub-vectors of the rows with the lowest ids, a repeatable start."""
-    first = assigned.orderBy("id").limit(words)
-    subs = _sub_vectors(first, centroids, sub_dim)
-    place = first.select(F.col("id").cast("bigint").alias("id")).toArrow()["id"].to_pylist()
-    code = F.array_position(F.lit(place), F.col("id")).cast("int") - 1
-    return subs.select("m", code.alias("code"), F.col("point").alias("word"))
+def lowest_id_words(assigned: DataFrame, centroids: np.ndarray, sub_dim: int = SUB_DIM, words: int = WORDS) -> Quantiser:
+    """Sub-vectors of the rows with the lowest ids as a repeatable start."""
+    first = assigned.orderBy("id").select("vector", "part_id").limit(words).toArrow()
+    rest = residuals(matrix(first["vector"].combine_chunks()), first["part_id"].to_numpy(), centroids, sub_dim)
+    return Quantiser(centroids, np.ascontiguousarray(rest.transpose(1, 0, 2)))
 
 
 def quantiser(centroids: np.ndarray, words: DataFrame) -> Quantiser:

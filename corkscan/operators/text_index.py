@@ -17,10 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corkscan.functions.text import tokens
+from corkscan.sources.versions import read_if_there
 
 POSTINGS_SCHEMA = "field STRING, term STRING, doc_id BIGINT, tf BIGINT, doc_len BIGINT, batch INT"
 FREQ_SCHEMA = "field STRING, term STRING, df BIGINT"
-STATS_SCHEMA = "field STRING, n BIGINT, total_len BIGINT, avgdl DOUBLE, buckets INT, joined BOOLEAN"
+STATS_SCHEMA = "field STRING, n BIGINT, total_len BIGINT, avgdl DOUBLE, buckets INT, joined BOOLEAN, folder STRING"
 
 
 def analyze_fields(docs: DataFrame, id_column: str, fields: Sequence[str], joined: bool = False) -> DataFrame:
@@ -87,6 +88,7 @@ class TextIndex:
 
     spark: SparkSession
     root: str
+    folder: str
     table: str
     buckets: int
     version: int
@@ -107,44 +109,57 @@ class TextIndex:
         return self.spark.read.schema(STATS_SCHEMA).parquet(f"{self.root}/corpus_stats/version={self.version}")
 
 
-def _publish(spark: SparkSession, root: str, table: str, buckets: int, version: int, joined: bool,
+def _new_table_name() -> str:
+    return f"corkscan_postings_{uuid.uuid4().hex[:12]}"
+
+
+def _publish(spark: SparkSession, root: str, folder: str, table: str, buckets: int, version: int, joined: bool,
              freq: DataFrame, stats: DataFrame) -> TextIndex:
     freq.orderBy("field", "term").write.parquet(f"{root}/term_doc_freq/version={version}")
     # Written last: its version is the one that readers may use.
     (
-        stats.select("field", "n", "total_len", "avgdl", F.lit(buckets).alias("buckets"), F.lit(joined).alias("joined"))
+        stats.select("field", "n", "total_len", "avgdl", F.lit(buckets).alias("buckets"), F.lit(joined).alias("joined"),
+                     F.lit(folder).alias("folder"))
         .coalesce(1)
         .write.parquet(f"{root}/corpus_stats/version={version}")
     )
     return open_text_index(spark, root, version, table)
 
 
-def _write_postings(rows: DataFrame, root: str, table: str, buckets: int, batch: int, mode: str) -> None:
+def _write_postings(rows: DataFrame, path: str, table: str, buckets: int, batch: int, mode: str) -> None:
     (
         rows.withColumn("batch", F.lit(batch))
         .write.mode(mode)
         .bucketBy(buckets, "doc_id")
         .sortBy("field", "term")
-        .option("path", f"{root}/postings")
+        .option("path", path)
         .format("parquet")
         .saveAsTable(table)
     )
 
 
-def build_text_index(docs: DataFrame, root: str, id_column: str, fields: Sequence[str],
-                     buckets: int | None = None, joined: bool = False) -> TextIndex:
-    """Write the index of ``docs`` under ``root``, which must not exist yet.
+def build_text_index(docs: DataFrame, root: str, id_column: str, fields: Sequence[str], buckets: int | None = None,
+                     joined: bool = False, replace: bool = False) -> TextIndex:
+    """Write the index of ``docs`` under ``root``.
 
-    Texts are shuffled once, by document, into the buckets; words are counted
-    and written there without another shuffle. Size ``buckets`` to some hundred
-    megabytes of text each; it is the session's shuffle width if not given.
+    An index that is there already is an error, unless ``replace`` is set: then
+    the new one becomes its next version, with postings of its own. Texts are
+    shuffled once, by document, into the buckets; words are counted and written
+    there without another shuffle. Size ``buckets`` to some hundred megabytes of
+    text each; it is the session's shuffle width if not given.
     """
     spark = docs.sparkSession
+    last = _newest(spark, root)
+    if last is not None and not replace:
+        raise FileExistsError(f"there is a text index under {root}; replace it or choose another folder")
+    version = 0 if last is None else last + 1
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = f"corkscan_postings_{uuid.uuid4().hex[:12]}"
-    _write_postings(_spread_postings(docs, id_column, fields, buckets, joined), root, table, buckets, 0, "errorifexists")
-    rows = spark.table(table)
-    return _publish(spark, root, table, buckets, 0, joined, term_doc_freq(rows), _stats_of(rows, fields))
+    folder, table = f"postings-{version}", _new_table_name()
+    rows = _spread_postings(docs, id_column, fields, buckets, joined)
+    _write_postings(rows, f"{root}/{folder}", table, buckets, version, "errorifexists")
+    written = spark.table(table)
+    return _publish(
+        spark, root, folder, table, buckets, version, joined, term_doc_freq(written), _stats_of(written, fields))
 
 
 def _spread_postings(docs: DataFrame, id_column: str, fields: Sequence[str], buckets: int, joined: bool) -> DataFrame:
@@ -172,20 +187,27 @@ def append_text_index(index: TextIndex, docs: DataFrame, id_column: str) -> Text
     """Add documents that the index does not hold yet; old postings stay put.
 
     Frequencies and sizes of the new rows are added to the published ones, so
-    the cost follows the batch, not the index.
+    that no posting is counted again.
     """
     spark, batch = index.spark, index.version + 1
     if not spark.table(index.table).where(F.col("batch") >= batch).isEmpty():
-        raise ValueError(f"{index.root} holds a batch {batch} that was not published; open its newest version")
+        raise ValueError(f"{index.root} holds a batch {batch}: open the newest version, or replace the index "
+                         "if an append was broken off")
     fields = sorted(index.n)
     rows = _spread_postings(docs, id_column, fields, index.buckets, index.joined)
-    _write_postings(rows, index.root, index.table, index.buckets, batch, "append")
+    _write_postings(rows, f"{index.root}/{index.folder}", index.table, index.buckets, batch, "append")
     new = spark.table(index.table).where(F.col("batch") == batch)
     freq = (
         index.term_doc_freq().unionByName(term_doc_freq(new)).groupBy("field", "term").agg(F.sum("df").alias("df"))
     )
     stats = _add_stats(index.corpus_stats(), _stats_of(new, fields))
-    return _publish(spark, index.root, index.table, index.buckets, batch, index.joined, freq, stats)
+    return _publish(
+        spark, index.root, index.folder, index.table, index.buckets, batch, index.joined, freq, stats)
+
+
+def _newest(spark: SparkSession, root: str) -> int | None:
+    stats = read_if_there(spark, f"{root}/corpus_stats", f"{STATS_SCHEMA}, version INT")
+    return None if stats is None else stats.agg(F.max("version")).first()[0]
 
 
 def open_text_index(spark: SparkSession, root: str, version: int | None = None, table: str | None = None) -> TextIndex:
@@ -194,21 +216,22 @@ def open_text_index(spark: SparkSession, root: str, version: int | None = None,
     The files carry their bucket numbers, so a session that did not write them
     only has to declare the table again.
     """
-    stats = spark.read.schema(f"{STATS_SCHEMA}, version INT").parquet(f"{root}/corpus_stats")
-    if version is None:
-        version = stats.agg(F.max("version")).first()[0]
-    rows = stats.where(F.col("version") == version).collect()  # one row per field
-    if not rows:
-        raise ValueError(f"no version {version} of a text index under {root}")
+    version = _newest(spark, root) if version is None else version
+    stats = None if version is None else read_if_there(spark, f"{root}/corpus_stats/version={version}", STATS_SCHEMA)
+    if stats is None:
+        raise FileNotFoundError(f"no text index under {root}")
+    rows = stats.collect()  # one row per field
+    buckets, folder = rows[0].buckets, rows[0].folder
     if table is None:
-        table = f"corkscan_postings_{uuid.uuid4().hex[:12]}"
+        table = _new_table_name()
         spark.sql(
             f"CREATE TABLE {table} ({POSTINGS_SCHEMA}) USING parquet "
-            f"CLUSTERED BY (doc_id) SORTED BY (field, term) INTO {rows[0].buckets} BUCKETS "
-            f"LOCATION '{root}/postings'"
+            f"CLUSTERED BY (doc_id) SORTED BY (field, term) INTO {buckets} BUCKETS LOCATION '{root}/{folder}'"
         )
+    else:
+        spark.catalog.refreshTable(table)
     return TextIndex(
-        spark, root, table, rows[0].buckets, version, rows[0].joined,
+        spark, root, folder, table, buckets, version, rows[0].joined,
         {r.field: r.n for r in rows}, {r.field: r.avgdl or 0.0 for r in rows},
         spark.table(table).where(F.col("batch") <= version).drop("batch"),
         spark.read.schema(FREQ_SCHEMA).parquet(f"{root}/term_doc_freq/version={version}"),

@@ -11,53 +11,70 @@ from pyspark.sql import functions as F
 
 from corkscan.functions.matrices import list_array, matrix
 from corkscan.operators import partitioned, quantised
-from corkscan.sources.tables import CREATE, write_table
+from corkscan.sources.tables import write_table
+from corkscan.sources.versions import newest, next_version, publish, version_path
+
+
+VECTORS_SCHEMA = "id BIGINT, vector ARRAY<FLOAT>, part_id INT"
+CODES_SCHEMA = "id BIGINT, codes ARRAY<SMALLINT>, part_id INT"
+CENTROIDS_SCHEMA = "part_id INT, centroid ARRAY<DOUBLE>"
+WORDS_SCHEMA = "m INT, code INT, word ARRAY<DOUBLE>"
 
 
 @dataclasses.dataclass(frozen=True)
 class VectorIndex:
-    """A published vector index; tables are stored in folders by ``part_id``."""
+    """A published vector index; its tables are stored in folders by ``part_id``."""
 
-    root: str
+    path: str
     model: quantised.Quantiser
     vectors: DataFrame
     codes: DataFrame
 
 
-def _write_model(spark: SparkSession, root: str, centroids: np.ndarray, words: DataFrame, mode: str) -> None:
-    rows = pa.table({
-        "part_id": pa.array(range(len(centroids)), pa.int32()), "centroid": list_array(centroids, pa.float64()),
-    })
-    write_table(spark.createDataFrame(rows), f"{root}/ivf_centroids", mode)
-    write_table(words, f"{root}/pq_codebooks", mode)
-
-
 def build_vector_index(vectors: DataFrame, root: str, partitions: int = partitioned.NUM_PARTITIONS,
                        sub_dim: int = quantised.SUB_DIM, words: int = quantised.WORDS, iterations: int = 20,
                        seed: int = 37, replace: bool = False) -> VectorIndex:
-    """Train, assign and encode ``vectors`` (id, vector); fails if ``root`` has an
-    index and ``replace`` is not set."""
-    spark, mode = vectors.sparkSession, "overwrite" if replace else CREATE
+    """Train, assign and encode ``vectors`` (id, vector) and publish the result.
+
+    An index that is there already is an error, unless ``replace`` is set: then
+    the new one becomes its next version.
+    """
+    spark = vectors.sparkSession
+    version = next_version(spark, root, replace)
+    path = version_path(root, version)
     rows = vectors.select(F.col("id").cast("bigint").alias("id"), F.col("vector").cast("array<float>").alias("vector"))
     centroids = partitioned.train_centroids(rows, partitions, seed, iterations)
-    write_table(partitioned.assign_partitions(rows, centroids), f"{root}/vectors", mode, "part_id")
-    assigned = _read_vectors(spark, root)
-    _write_model(spark, root, centroids, quantised.train_words(assigned, centroids, sub_dim, words, iterations, seed), mode)
-    model = read_model(spark, root)
-    write_table(quantised.encode(assigned, model), f"{root}/pq_codes", mode, "part_id")
-    return open_vector_index(spark, root)
-
-
-def _read_vectors(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema("id BIGINT, vector ARRAY<FLOAT>, part_id INT").parquet(f"{root}/vectors")
+    _centroid_rows(spark, centroids).coalesce(1).write.parquet(f"{path}/ivf_centroids")
+    write_table(partitioned.assign_partitions(rows, centroids), f"{path}/vectors", partition_by="part_id")
+    assigned = spark.read.schema(VECTORS_SCHEMA).parquet(f"{path}/vectors")
+    trained = quantised.train_words(assigned, centroids, sub_dim, words, iterations, seed)
+    write_table(trained, f"{path}/pq_codebooks")
+    model = read_model(spark, path)
+    write_table(quantised.encode(assigned, model), f"{path}/pq_codes", partition_by="part_id")
+    publish(spark, root, version)
+    return open_vector_index(spark, root, version)
+
+
+def _centroid_rows(spark: SparkSession, centroids: np.ndarray) -> DataFrame:
+    return spark.createDataFrame(pa.table({
+        "part_id": pa.array(range(len(centroids)), pa.int32()), "centroid": list_array(centroids, pa.float64()),
+    }))
 
 
-def read_model(spark: SparkSession, root: str) -> quantised.Quantiser:
-    centroids = spark.read.parquet(f"{root}/ivf_centroids").orderBy("part_id").toArrow()
-    words = spark.read.parquet(f"{root}/pq_codebooks")
+def read_model(spark: SparkSession, path: str) -> quantised.Quantiser:
+    centroids = spark.read.schema(CENTROIDS_SCHEMA).parquet(f"{path}/ivf_centroids").orderBy("part_id").toArrow()
+    words = spark.read.schema(WORDS_SCHEMA).parquet(f"{path}/pq_codebooks")
     return quantised.quantiser(matrix(centroids["centroid"].combine_chunks()), words)
 
 
-def open_vector_index(spark: SparkSession, root: str) -> VectorIndex:
-    codes = spark.read.schema("id BIGINT, codes ARRAY<SMALLINT>, part_id INT").parquet(f"{root}/pq_codes")
-    return VectorIndex(root, read_model(spark, root), _read_vectors(spark, root), codes)
+def open_vector_index(spark: SparkSession, root: str, version: int | None = None) -> VectorIndex:
+    """The index under ``root``, at its newest version unless one is named."""
+    version = newest(spark, root) if version is None else version
+    if version is None:
+        raise FileNotFoundError(f"no vector index under {root}")
+    path = version_path(root, version)
+    return VectorIndex(
+        path, read_model(spark, path),
+        spark.read.schema(VECTORS_SCHEMA).parquet(f"{path}/vectors"),
+        spark.read.schema(CODES_SCHEMA).parquet(f"{path}/pq_codes"),
+    )

@@ -174,8 +174,7 @@ class Workspace:
 
     @functools.cached_property
     def start_model(self) -> quantised.Quantiser:
-        words = quantised.lowest_id_words(self.assigned(), self.start_centroids)
-        return quantised.quantiser(self.start_centroids, words)
+        return quantised.lowest_id_words(self.assigned(), self.start_centroids)
 
     # --- query log -----------------------------------------------------------
 

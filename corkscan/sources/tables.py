@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corkscan.functions.vectors import checked_size
+from corkscan.sources.versions import read_if_there
 
 CREATE, APPEND, OVERWRITE = "errorifexists", "append", "overwrite"
 
@@ -55,19 +56,12 @@ def write_table(df: DataFrame, path: str, mode: str = CREATE, partition_by: str
 def append_vectors(df: DataFrame, path: str, dim: int, mode: str = APPEND) -> None:
     """Add records with vectors to a table, which must hold vectors of that size."""
     if mode == APPEND:
-        require_vector_size(_existing(df.sparkSession, path, df), dim)
+        existing = read_if_there(df.sparkSession, path)
+        if existing is not None:
+            require_vector_size(existing, dim)
     write_table(with_vector_size(df, dim), path, mode)
 
 
-def _existing(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    try:
-        return spark.read.parquet(path)
-    except Exception as error:  # nothing there yet
-        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
-            return like.limit(0).drop("vector")
-        raise
-
-
 def latest(batch: DataFrame, key: str, order: Column) -> DataFrame:
     """The last row of each key; a hot key is one row per task before the shuffle."""
     whole = F.struct(*batch.columns)
