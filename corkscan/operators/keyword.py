@@ -93,10 +93,9 @@ def _hits(index: TextIndex, batch: QueryBatch, fields: Sequence[str], bm25: Bm25
         # At most one row per query word and field: as small as the batch is.
         weights = F.broadcast(_weights(index, terms, freq.where(asked), fields, bm25))
         return rows.where(asked).join(weights, ["field", "term"])
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     weights = _weights(index, query_terms(batch.texts, index.joined), freq, fields, bm25)
-    weights = weights.withColumn("salt", salts.cast("bigint"))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("bigint"))
+    weights = weights.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     return salted.join(weights, ["field", "term", "salt"])
 
 
@@ -126,7 +125,7 @@ def keyword_top_k(index: TextIndex, queries: DataFrame, k: int = 10,
 
 def match_top_k(index: TextIndex, queries: DataFrame, k: int = 10, fields: Sequence[str] | None = None) -> DataFrame:
     """(query_id, rank, doc_id): as ``keyword_top_k``, without the score."""
-    return keyword_top_k(index, queries, k, fields).drop("_score")
+    return keyword_top_k(index, queries, k, fields).select("query_id", "rank", "doc_id")
 
 
 def matching_documents(index: TextIndex, docs: DataFrame, id_column: str, queries: DataFrame,

@@ -30,7 +30,8 @@ def fetch_fields(results: DataFrame, records: DataFrame, measure: str | None = N
         narrow = narrow.withColumn("id_bucket", bucket_of(F.col("id"), buckets))
         keys.append("id_bucket")
     fields = [F.col(name).cast(kind).alias(name) for name, kind in RESULT_FIELDS.items()]
-    hits = materialise(narrow, "hits").where("rank IS NOT NULL")
+    # All ranks are 1 or more; Spark prunes folders only for a side with a filter.
+    hits = materialise(narrow, "hits").where("rank >= 1")
     found = records.select(*fields, *keys[1:]).join(hits, keys)
     return found.select("query_id", "rank", *RESULT_FIELDS, *([measure] if measure else []))
 
