@@ -22,8 +22,11 @@ from corkscan.operators.text_index import TextIndex
 # in lists that Spark passes on whole.
 FILTER_TERMS = 200
 FILTER_LIST = 10
-# Pieces into which the shuffled join cuts the postings of each word.
-SALTS = 64
+# The shuffled join cuts the postings of a hot word into pieces of so many rows;
+# that many words, at the most, are hot, and that many pieces are made of one.
+PIECE_ROWS = 1_000_000
+HOT_WORDS = 20_000
+MOST_PIECES = 10_000
 
 
 @dataclasses.dataclass(frozen=True)
@@ -94,9 +97,26 @@ def _hits(index: TextIndex, batch: QueryBatch, fields: Sequence[str], bm25: Bm25
         weights = F.broadcast(_weights(index, terms, freq.where(asked), fields, bm25))
         return rows.where(asked).join(weights, ["field", "term"])
     weights = _weights(index, query_terms(batch.texts, index.joined), freq, fields, bm25)
-    weights = weights.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    return salted.join(weights, ["field", "term", "salt"])
+    hot = _hot_words(index, freq)
+    pieces = F.coalesce("pieces", F.lit(1))
+    weights = weights.join(F.broadcast(hot), ["field", "term"], "left").withColumn(
+        "piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("pieces")
+    spread = rows.join(F.broadcast(hot), ["field", "term"], "left").withColumn(
+        "piece", F.pmod(F.xxhash64("doc_id"), pieces).cast("int")).drop("pieces")
+    return spread.join(weights, ["field", "term", "piece"])
+
+
+def _hot_words(index: TextIndex, freq: DataFrame) -> DataFrame:
+    """(field, term, pieces): words in so many documents that their postings are
+    joined in pieces, by hash of the document.
+
+    There are no more postings than words in the texts, so at most ``HOT_WORDS``
+    words can pass the bound.
+    """
+    all_words = sum(index.n[f] * index.avgdl[f] for f in index.n)
+    bound = max(PIECE_ROWS, int(all_words / HOT_WORDS))
+    return freq.where(F.col("df") > bound).select(
+        "field", "term", F.least(F.ceil(F.col("df") / PIECE_ROWS), F.lit(MOST_PIECES)).cast("int").alias("pieces"))
 
 
 def match_scores(index: TextIndex, batch: QueryBatch, fields: Sequence[str] | None = None, bm25: Bm25 = Bm25()) -> DataFrame:
@@ -120,7 +140,7 @@ def keyword_top_k(index: TextIndex, queries: DataFrame, k: int = 10,
     batch = read_batch(queries, index.joined)
     scores = match_scores(index, batch, fields, bm25)
     best = top_k(scores, "text_id", [F.desc("_score"), F.asc("doc_id")], k)
-    return per_query(batch, best)
+    return per_query(batch, best, k)
 
 
 def match_top_k(index: TextIndex, queries: DataFrame, k: int = 10, fields: Sequence[str] | None = None) -> DataFrame:

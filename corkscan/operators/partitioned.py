@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corkscan.functions.matrices import list_array, matrix, unit_rows
+from corkscan.storage import materialise
 from corkscan.operators.nearest import (
     FOUND_SCHEMA, QueryBlock, as_block, merge_found, query_blocks, scan_vectors,
 )
@@ -29,16 +30,15 @@ NUM_PROBES = 10
 TRAINING_ROWS_PER_PARTITION = 4_096
 
 
-def training_rows(vectors: DataFrame, most: int) -> DataFrame:
-    """About ``most`` rows, picked by hash of the id; all rows if there are fewer.
+def training_rows(vectors: DataFrame, most: int, seed: int) -> DataFrame:
+    """About ``most`` rows to train on; the table itself if it has no more.
 
-    Only training looks at a part of the table; assigning, encoding and
-    searching take all of it.
+    Written out, so that training neither reads the table again and again nor
+    loses its rows with an executor. Only training looks at a part of the table:
+    assigning, encoding and searching take all of it.
     """
     count = vectors.count()
-    if count <= most:
-        return vectors
-    return vectors.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * most / count) + 1)
+    return vectors if count <= most else materialise(vectors.sample(most / count, seed), "training")
 
 
 def train_centroids(vectors: DataFrame, partitions: int = NUM_PARTITIONS, seed: int = 37,
@@ -46,7 +46,7 @@ def train_centroids(vectors: DataFrame, partitions: int = NUM_PARTITIONS, seed:
     """Cluster the vectors (id, vector) by cosine; one unit centroid per partition."""
     most = sample_rows or partitions * TRAINING_ROWS_PER_PARTITION
     length = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    sample = training_rows(vectors.where("vector IS NOT NULL"), most).where(length > 0)
+    sample = training_rows(vectors, most, seed).where(F.col("vector").isNotNull() & (length > 0))
     rows = sample.select(array_to_vector(F.col("vector").cast("array<double>")).alias("v"))
     model = KMeans(k=partitions, seed=seed, maxIter=max_iter, distanceMeasure="cosine", featuresCol="v").fit(rows)
     return unit_rows(np.array(model.clusterCenters()))

@@ -115,7 +115,7 @@ def train_words(assigned: DataFrame, centroids: np.ndarray, sub_dim: int = SUB_D
     Training looks at a bounded number of rows, so that the sub-vectors with one
     ``m`` fit a task; the table as a whole is encoded afterwards.
     """
-    sample = training_rows(assigned, words * TRAINING_ROWS_PER_WORD)
+    sample = training_rows(assigned, words * TRAINING_ROWS_PER_WORD, seed)
 
     def train(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         ids = np.concatenate(rows["ids"].to_list())

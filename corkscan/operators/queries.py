@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 from corkscan.functions.text import tokens
 
 # A batch has a proven size if it holds at most so many queries, or at most so
-# many distinct texts, none of them longer than so many characters. Its texts
-# are broadcast, and their words are written into the scan's filter; any other
-# batch is joined by shuffle.
+# many distinct texts, none of them longer than so many characters, with at most
+# so many words in all. Its texts are broadcast, and their words are written into
+# the scan's filter; any other batch is joined by shuffle.
 FEW_QUERIES = 10_000
 FEW_TEXTS = 5_000
 SHORT_TEXT_CHARS = 4_000
+FEW_WORDS = 100_000
+# Results of so many rows are broadcast to the queries that share their texts.
+FEW_RESULTS = 100_000
 
 
 @dataclasses.dataclass(frozen=True)
@@ -63,7 +66,7 @@ def read_batch(queries: DataFrame, joined: bool = False) -> QueryBatch:
     seen = asked.select(F.col("query_id").cast("bigint").alias("query_id"), *shortened).limit(FEW_QUERIES + 1).collect()
     if any(r.query is None for r in seen):
         return QueryBatch(asked, texts)
-    if len(seen) <= FEW_QUERIES:
+    if len(seen) <= FEW_QUERIES and _few_words(seen):
         ids: dict[str, list[int]] = {}
         words = {}
         for r in seen:
@@ -72,15 +75,18 @@ def read_batch(queries: DataFrame, joined: bool = False) -> QueryBatch:
         few = [Row(text_id=min(of), query=query, words=words[query]) for query, of in ids.items()]
         return QueryBatch(asked, texts, few, {min(of): of for of in ids.values()})
     seen = texts.select("text_id", *shortened).limit(FEW_TEXTS + 1).collect()
-    small = len(seen) <= FEW_TEXTS and all(r.query is not None for r in seen)
+    small = len(seen) <= FEW_TEXTS and all(r.query is not None for r in seen) and _few_words(seen)
     return QueryBatch(asked, texts, seen if small else None)
 
 
-def per_query(batch: QueryBatch, results: DataFrame) -> DataFrame:
+def _few_words(seen: list[Row]) -> bool:
+    return sum(len(words) for words in {r.query: r.words for r in seen}.values()) <= FEW_WORDS
+
+
+def per_query(batch: QueryBatch, results: DataFrame, k: int) -> DataFrame:
     """Hand the results of each text to all queries that have this text.
 
-    ``results`` has a ``text_id``, and at most k rows for each, so that those of
-    few texts are few.
+    ``results`` has a ``text_id``, and at most ``k`` rows for each.
     """
     if batch.askers is not None:
         asked = batch.queries.sparkSession.createDataFrame(pa.table({
@@ -90,6 +96,6 @@ def per_query(batch: QueryBatch, results: DataFrame) -> DataFrame:
         rest = [c for c in results.columns if c != "text_id"]
         return results.join(F.broadcast(asked), "text_id").select(F.explode("query_id").alias("query_id"), *rest)
     named = batch.local_texts().join(results, "text_id").drop("text_id")
-    if batch.few is not None:
+    if batch.few is not None and len(batch.few) * k <= FEW_RESULTS:
         named = F.broadcast(named)
     return batch.queries.select("query_id", "query").join(named, "query").drop("query")

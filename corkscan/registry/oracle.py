@@ -330,6 +330,9 @@ SELECT field, term, doc_id, tf, doc_len, df FROM posts JOIN lens USING (field, d
     # keyword search
     "bm25_top10": f"WITH {BEST_DOCUMENTS} SELECT query_id, doc_id, _score, rank FROM best",
     "bm25_benchmark_top10": f"""WITH {DOCUMENTS}, {_ranked('SELECT item_id AS query_id, text AS query FROM benchmark')}
+SELECT query_id, doc_id, _score, rank FROM best""",
+    "bm25_conversation_top10": f"""WITH {DOCUMENTS},
+{_ranked('SELECT conv_id * 1000 + turn AS query_id, text AS query FROM conversations')}
 SELECT query_id, doc_id, _score, rank FROM best""",
     "match_top10": f"WITH {BEST_DOCUMENTS} SELECT query_id, rank, doc_id FROM best",
     "match_candidates": f"""WITH {BEST_DOCUMENTS}

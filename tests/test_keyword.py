@@ -64,15 +64,19 @@ def test_equal_texts_share_results(spark, index):
 
 
 @pytest.mark.parametrize("sizes", [
-    {"FEW_QUERIES": 2}, {"FEW_QUERIES": 2, "FEW_TEXTS": 2}, {"SHORT_TEXT_CHARS": 4},
+    {"FEW_QUERIES": 2}, {"FEW_QUERIES": 2, "FEW_TEXTS": 2}, {"SHORT_TEXT_CHARS": 4}, {"FEW_WORDS": 3},
+    {"FEW_QUERIES": 2, "FEW_RESULTS": 2},
 ])
-def test_large_batches_give_the_same(spark, index, monkeypatch, sizes):
+@pytest.mark.parametrize("piece_rows", [1_000_000, 1])
+def test_large_batches_give_the_same(spark, index, monkeypatch, sizes, piece_rows):
+    monkeypatch.setattr(keyword, "PIECE_ROWS", piece_rows)
     batch = frame(spark, QUERIES)
     expected = sorted(keyword.keyword_top_k(index, batch).collect())
     for name, value in sizes.items():
         monkeypatch.setattr(queries, name, value)
     read = queries.read_batch(batch)
-    assert read.askers is None and (read.few is None) == (len(sizes) == 2 or "SHORT_TEXT_CHARS" in sizes)
+    by_shuffle = {"FEW_TEXTS", "SHORT_TEXT_CHARS", "FEW_WORDS"} & set(sizes)
+    assert read.askers is None and (read.few is None) == bool(by_shuffle)
     assert sorted(keyword.keyword_top_k(index, batch).collect()) == expected
 
 
@@ -147,6 +151,15 @@ def test_field_without_words(spark):
     assert dict(both.n) == {"title": 2, "description": 1}
 
 
+def test_hot_words_are_few(spark, index, monkeypatch):
+    freq = index.term_doc_freq()
+    assert keyword._hot_words(index, freq).isEmpty()
+    monkeypatch.setattr(keyword, "PIECE_ROWS", 1)
+    assert {(r.term, r.pieces) for r in keyword._hot_words(index, freq).collect()} == {("apple", 2), ("pear", 2)}
+    monkeypatch.setattr(keyword, "HOT_WORDS", 3)
+    assert keyword._hot_words(index, freq).count() <= 3
+
+
 def test_plan(spark, index):
     """Read by bucket, words pushed to the scan, and one shuffle after the top k of each task."""
     plan = keyword.keyword_top_k(index, frame(spark, [(1, "apple pear")]))._jdf.queryExecution().toString()
