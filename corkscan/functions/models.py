@@ -1,0 +1,22 @@
+"""Encoders for published sentence models, where their library is installed."""
+
+from __future__ import annotations
+
+from corkscan.functions.encoders import ModelEncoder
+
+
+def sentence_encoder(checkpoint: str) -> ModelEncoder:
+    """The model of that name or path, loaded once per Python worker.
+
+    The library and the model files must be there on the executors; nothing is
+    imported on the driver.
+    """
+
+    def load():
+        try:
+            from sentence_transformers import SentenceTransformer
+        except ImportError as error:
+            raise RuntimeError("sentence_transformers is not installed on this executor") from error
+        return SentenceTransformer(checkpoint).encode
+
+    return ModelEncoder(checkpoint, load)

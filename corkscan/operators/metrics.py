@@ -18,7 +18,7 @@ REPORT_HEADER = (
     "| search | queries | runs | success_avg | elapsed_s_avg | qps_avg | p50_ms_avg | p95_ms_avg | p99_ms_avg "
     "| max_concurrency | seed | warmup_queries |"
 )
-REPORT_ROW = "| %s | %d | %d | %.2f | %.4f | %.2f | %.2f | %.2f | %.2f | %d | %d | %d |"
+REPORT_PLACES = {"success": 2, "elapsed_s": 4, "qps": 2, "p50_ms": 2, "p95_ms": 2, "p99_ms": 2}
 MAX_CONCURRENCY = 16
 
 # Precision of the sketch that brackets each percentile, and how far on either
@@ -107,11 +107,19 @@ def trial_averages(metrics: DataFrame) -> DataFrame:
         F.count("*").alias("runs"), *[F.avg(name).alias(f"{name}_avg") for name in FIGURES])
 
 
+def _fixed(value: Column, places: int) -> Column:
+    """A number with fixed decimals, halves rounded away from zero."""
+    number = F.round(F.round(value, 6).try_cast("decimal(28,6)"), places).cast(f"decimal(28,{places})").cast("string")
+    return F.when(value == float("inf"), F.lit("inf")).otherwise(number)
+
+
 def report_rows(averages: DataFrame, num_queries: int = NUM_QUERIES, max_concurrency: int = MAX_CONCURRENCY,
                 seed: int = SEED, warmup: int = WARMUP_QUERIES) -> DataFrame:
-    """(search, line): one table row per search, with fixed decimals."""
-    cells: list[Column] = [
-        F.col("search"), F.lit(num_queries), F.col("runs"), *[F.col(f"{name}_avg") for name in FIGURES],
+    """(search, line): one table row per search, under ``REPORT_HEADER``."""
+    cells = [
+        F.col("search"), F.lit(num_queries), F.col("runs"),
+        *[_fixed(F.col(f"{name}_avg"), REPORT_PLACES[name]) for name in FIGURES],
         F.lit(max_concurrency), F.lit(seed), F.lit(warmup),
     ]
-    return averages.select("search", F.format_string(REPORT_ROW, *cells).alias("line"))
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[c.cast("string") for c in cells]), F.lit(" |"))
+    return averages.select("search", line.alias("line"))

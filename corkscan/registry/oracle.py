@@ -230,6 +230,10 @@ def _rounded(suffix: str = "") -> str:
     return ", ".join(f"round({name}{suffix}, 6) AS {name}{suffix}" for name in _FIGURES)
 
 
+def _fixed(column: str, places: int) -> str:
+    return f"round(round({column}, 6)::DECIMAL(28, 6), {places})::DECIMAL(28, {places})::VARCHAR"
+
+
 QUERY_LINES = """
 terms AS (
   SELECT row_number() OVER (ORDER BY p_partkey) AS query_id, p_name || ' ' || p_brand AS query
@@ -330,9 +334,6 @@ SELECT field, term, doc_id, tf, doc_len, df FROM posts JOIN lens USING (field, d
     # keyword search
     "bm25_top10": f"WITH {BEST_DOCUMENTS} SELECT query_id, doc_id, _score, rank FROM best",
     "bm25_benchmark_top10": f"""WITH {DOCUMENTS}, {_ranked('SELECT item_id AS query_id, text AS query FROM benchmark')}
-SELECT query_id, doc_id, _score, rank FROM best""",
-    "bm25_conversation_top10": f"""WITH {DOCUMENTS},
-{_ranked('SELECT conv_id * 1000 + turn AS query_id, text AS query FROM conversations')}
 SELECT query_id, doc_id, _score, rank FROM best""",
     "match_top10": f"WITH {BEST_DOCUMENTS} SELECT query_id, rank, doc_id FROM best",
     "match_candidates": f"""WITH {BEST_DOCUMENTS}
@@ -396,6 +397,7 @@ SELECT turns.query_id, query FROM turns JOIN terms ON terms.query_id = place""",
     "trial_metrics": f"WITH {LOG} SELECT search, trial, {_rounded()} FROM measured",
     "trial_averages": f"WITH {LOG} SELECT search, runs, {_rounded('_avg')} FROM averaged",
     "report_rows": f"""WITH {LOG}
-SELECT search, printf('| %s | %d | %d | %.2f | %.4f | %.2f | %.2f | %.2f | %.2f | %d | %d | %d |', search, 1000, runs,
-  success_avg, elapsed_s_avg, qps_avg, p50_ms_avg, p95_ms_avg, p99_ms_avg, 16, 37, 10) AS line FROM averaged""",
+SELECT search, concat_ws(' | ', '| ' || search, '1000', runs, {_fixed('success_avg', 2)}, {_fixed('elapsed_s_avg', 4)},
+  {_fixed('qps_avg', 2)}, {_fixed('p50_ms_avg', 2)}, {_fixed('p95_ms_avg', 2)}, {_fixed('p99_ms_avg', 2)},
+  '16', '37', '10 |') AS line FROM averaged""",
 }

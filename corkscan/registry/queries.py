@@ -338,13 +338,6 @@ def bm25_benchmark_top10(w: Workspace) -> DataFrame:
     return keyword.keyword_top_k(w.document_index, w.benchmark_queries())
 
 
-@query
-def bm25_conversation_top10(w: Workspace) -> DataFrame:
-    queries = w.table("conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
-    return keyword.keyword_top_k(w.document_index, queries)
-
-
 @query
 def match_top10(w: Workspace) -> DataFrame:
     return keyword.match_top_k(w.document_index, w.document_queries())
