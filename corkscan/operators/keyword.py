@@ -71,18 +71,15 @@ def _checked_fields(index: TextIndex, fields: Sequence[str] | None) -> list[str]
 
 def _weights(index: TextIndex, terms: DataFrame, freq: DataFrame, fields: Sequence[str], bm25: Bm25) -> DataFrame:
     """(text_id, field, term, weight, avgdl): the part of a score that no document changes."""
-    sizes = F.create_map(*[
-        part
-        for f in fields
-        for part in (F.lit(f), F.struct(F.lit(float(index.n[f])).alias("n"), F.lit(index.avgdl[f]).alias("avgdl")))
-    ])
-    size = sizes[F.col("field")]
-    idf = F.log(1.0 + (size["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return freq.join(terms, "term").select(
-        "text_id", "field", "term",
-        (F.col("qtf") * idf * (bm25.k1 + 1.0)).alias("weight"),
-        size["avgdl"].alias("avgdl"),
-    )
+    sizes = ", ".join(f"{_quoted(f)}, struct({float(index.n[f])!r}D AS n, {index.avgdl[f]!r}D AS avgdl)" for f in fields)
+    rows = freq.join(terms, "term").selectExpr("*", f"map({sizes})[field] AS size")
+    idf = "ln(1D + (size.n - df + 0.5D) / (df + 0.5D))"
+    return rows.selectExpr(
+        "text_id", "field", "term", f"qtf * {idf} * {bm25.k1 + 1.0!r}D AS weight", "size.avgdl AS avgdl")
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def _hits(index: TextIndex, batch: QueryBatch, fields: Sequence[str], bm25: Bm25) -> DataFrame:
@@ -96,7 +93,7 @@ def _hits(index: TextIndex, batch: QueryBatch, fields: Sequence[str], bm25: Bm25
         # At most one row per query word and field: as small as the batch is.
         weights = F.broadcast(_weights(index, terms, freq.where(asked), fields, bm25))
         return rows.where(asked).join(weights, ["field", "term"])
-    weights = _weights(index, query_terms(batch.texts, index.joined), freq, fields, bm25)
+    weights = _weights(index, query_terms(batch.texts(), index.joined), freq, fields, bm25)
     hot = _hot_words(index, freq)
     pieces = F.coalesce("pieces", F.lit(1))
     weights = weights.join(F.broadcast(hot), ["field", "term"], "left").withColumn(
@@ -125,9 +122,9 @@ def match_scores(index: TextIndex, batch: QueryBatch, fields: Sequence[str] | No
     A word asked for twice counts twice; scores add up over words and fields.
     """
     hits = _hits(index, batch, _checked_fields(index, fields), bm25)
-    length = 1.0 - bm25.b + bm25.b * F.col("doc_len") / F.col("avgdl")
-    part = F.col("weight") * F.col("tf") / (F.col("tf") + bm25.k1 * length)
-    return hits.groupBy("doc_id", "text_id").agg(F.round(F.sum(part), PLACES).alias("_score"))
+    length = f"({1.0 - bm25.b!r}D + {bm25.b!r}D * doc_len / avgdl)"
+    part = f"weight * tf / (tf + {bm25.k1!r}D * {length})"
+    return hits.groupBy("doc_id", "text_id").agg(F.expr(f"round(sum({part}), {PLACES}) AS _score"))
 
 
 def keyword_top_k(index: TextIndex, queries: DataFrame, k: int = 10,

@@ -24,21 +24,20 @@ FEW_RESULTS = 100_000
 
 @dataclasses.dataclass(frozen=True)
 class QueryBatch:
-    """Queries (query_id, query) and their distinct texts (text_id, query).
+    """Queries (query_id, query) and what is known of their distinct texts.
 
     ``few`` holds (text_id, query, words) of the texts if they are few, and
     ``askers`` the query ids of each text if the queries are few, too.
     """
 
     queries: DataFrame
-    texts: DataFrame
     few: list[Row] | None = None
     askers: dict[int, list[int]] | None = None
 
-    def local_texts(self) -> DataFrame:
-        """As ``texts``, from the driver if they are few."""
+    def texts(self) -> DataFrame:
+        """(text_id, query) of the distinct texts, from the driver if they are few."""
         if self.few is None:
-            return self.texts
+            return distinct_texts(self.queries)
         return self.queries.sparkSession.createDataFrame(pa.table({
             "text_id": pa.array([r.text_id for r in self.few], pa.int64()),
             "query": pa.array([r.query for r in self.few], pa.string()),
@@ -62,10 +61,9 @@ def read_batch(queries: DataFrame, joined: bool = False) -> QueryBatch:
         F.when(short, tokens(F.col("query"), joined)).alias("words"),
     ]
     asked = queries.where("query IS NOT NULL")
-    texts = distinct_texts(asked)
     seen = asked.select(F.col("query_id").cast("bigint").alias("query_id"), *shortened).limit(FEW_QUERIES + 1).collect()
     if any(r.query is None for r in seen):
-        return QueryBatch(asked, texts)
+        return QueryBatch(asked)
     if len(seen) <= FEW_QUERIES and _few_words(seen):
         ids: dict[str, list[int]] = {}
         words = {}
@@ -73,10 +71,10 @@ def read_batch(queries: DataFrame, joined: bool = False) -> QueryBatch:
             ids.setdefault(r.query, []).append(r.query_id)
             words[r.query] = r.words
         few = [Row(text_id=min(of), query=query, words=words[query]) for query, of in ids.items()]
-        return QueryBatch(asked, texts, few, {min(of): of for of in ids.values()})
-    seen = texts.select("text_id", *shortened).limit(FEW_TEXTS + 1).collect()
+        return QueryBatch(asked, few, {min(of): of for of in ids.values()})
+    seen = distinct_texts(asked).select("text_id", *shortened).limit(FEW_TEXTS + 1).collect()
     small = len(seen) <= FEW_TEXTS and all(r.query is not None for r in seen) and _few_words(seen)
-    return QueryBatch(asked, texts, seen if small else None)
+    return QueryBatch(asked, seen if small else None)
 
 
 def _few_words(seen: list[Row]) -> bool:
@@ -95,7 +93,7 @@ def per_query(batch: QueryBatch, results: DataFrame, k: int) -> DataFrame:
         }))
         rest = [c for c in results.columns if c != "text_id"]
         return results.join(F.broadcast(asked), "text_id").select(F.explode("query_id").alias("query_id"), *rest)
-    named = batch.local_texts().join(results, "text_id").drop("text_id")
+    named = batch.texts().join(results, "text_id").drop("text_id")
     if batch.few is not None and len(batch.few) * k <= FEW_RESULTS:
         named = F.broadcast(named)
     return batch.queries.select("query_id", "query").join(named, "query").drop("query")

@@ -27,14 +27,14 @@ def nearest_exact(vectors: DataFrame, queries: DataFrame, encoder: Encoder, k: i
                   dim: int = EMBEDDING_DIM) -> DataFrame:
     """(query_id, id, _distance, rank): every vector is compared with every distinct text."""
     batch = read_batch(queries)
-    return per_query(batch, nearest.exact_top_k(vectors, embed_texts(batch.local_texts(), encoder, dim), k), k)
+    return per_query(batch, nearest.exact_top_k(vectors, embed_texts(batch.texts(), encoder, dim), k), k)
 
 
 def nearest_quantised(index: VectorIndex, queries: DataFrame, encoder: Encoder, k: int = 10,
                       nprobes: int = partitioned.NUM_PROBES, dim: int = EMBEDDING_DIM) -> DataFrame:
     """(query_id, id, _distance, rank) from the codes of the nearest partitions."""
     batch = read_batch(queries)
-    vectors = embed_texts(batch.local_texts(), encoder, dim)
+    vectors = embed_texts(batch.texts(), encoder, dim)
     return per_query(batch, quantised.quantised_top_k(index.codes, index.model, vectors, k, nprobes), k)
 
 
