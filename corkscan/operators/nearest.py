@@ -8,7 +8,6 @@ nearest of each query as it goes, and hands on k rows per query.
 from __future__ import annotations
 
 import dataclasses
-import functools
 import math
 from collections.abc import Callable, Iterator
 
@@ -19,15 +18,17 @@ from pyspark.sql import functions as F
 
 from corkscan.functions.matrices import PLACES, best_rows, matrix, unit_rows
 from corkscan.operators.ranking import top_k
+from corkscan.storage import new_path
 
 # Queries sent to the tasks at a time: this many vectors of fixed size. A larger
-# batch is answered in several such blocks, each a scan of its own; at that size
-# a scan costs far less than the products.
+# batch is answered block by block, each a scan of its own; at that size a scan
+# costs far less than the products.
 BLOCK_QUERIES = 4_096
 # Distances held at a time in one task.
 TILE_CELLS = 1 << 22
 
 FOUND_SCHEMA = "text_id BIGINT, id BIGINT, _distance DOUBLE"
+NEAREST_SCHEMA = f"{FOUND_SCHEMA}, rank INT"
 
 
 @dataclasses.dataclass(frozen=True)
@@ -44,15 +45,25 @@ class QueryBlock:
         return np.flatnonzero(self.probes[:, part])
 
 
-def query_blocks(queries: DataFrame, block: int = BLOCK_QUERIES) -> list[pa.Table]:
-    """(text_id, vector) in tables of about ``block`` rows, by hash of the id."""
-    rows = queries.select("text_id", "vector").where("vector IS NOT NULL")
-    first = rows.limit(block + 1).toArrow()
-    if first.num_rows <= block:
-        return [first]
-    count = math.ceil(rows.count() / block)
-    place = F.pmod(F.xxhash64("text_id"), F.lit(count))
-    return [rows.where(place == i).toArrow() for i in range(count)]
+def search_blocks(queries: DataFrame, search: Callable[[pa.Table], DataFrame], k: int) -> DataFrame:
+    """(text_id, id, _distance, rank): ``search`` on blocks of ``queries`` (text_id, vector).
+
+    The driver holds one block at a time. Of more than one, the queries are
+    stored by block first and results as they are settled.
+    """
+    rows = queries.select(F.col("text_id").cast("bigint").alias("text_id"), "vector").where("vector IS NOT NULL")
+    first = rows.limit(BLOCK_QUERIES + 1).toArrow()
+    if first.num_rows <= BLOCK_QUERIES:
+        return nearest_found(search(first), k)
+    spark, stored, settled = rows.sparkSession, new_path(rows.sparkSession, "asked"), new_path(rows.sparkSession, "nearest")
+    blocks = math.ceil(rows.count() / BLOCK_QUERIES)
+    placed = rows.withColumn("block", F.pmod(F.xxhash64("text_id"), F.lit(blocks)).cast("int"))
+    placed.write.partitionBy("block").parquet(stored)
+    placed = spark.read.schema(placed.schema).parquet(stored)
+    for block in range(blocks):
+        asked = placed.where(F.col("block") == block).drop("block").toArrow()
+        nearest_found(search(asked), k).write.mode("append").parquet(settled)
+    return spark.read.schema(NEAREST_SCHEMA).parquet(settled)
 
 
 def as_block(rows: pa.Table) -> QueryBlock:
@@ -123,10 +134,9 @@ def by_part(batch: pa.RecordBatch, block: QueryBlock) -> Iterator[tuple[int, np.
         yield int(part), np.flatnonzero(parts == part)
 
 
-def merge_found(found: list[DataFrame], k: int) -> DataFrame:
-    """(text_id, id, _distance, rank): the k nearest over all tasks and blocks."""
-    rows = functools.reduce(DataFrame.unionByName, found)
-    rounded = rows.withColumn("_distance", F.round("_distance", PLACES) + F.lit(0.0))
+def nearest_found(found: DataFrame, k: int) -> DataFrame:
+    """(text_id, id, _distance, rank): the k nearest over what all tasks found."""
+    rounded = found.withColumn("_distance", F.round("_distance", PLACES) + F.lit(0.0))
     return top_k(rounded, "text_id", [F.asc("_distance"), F.asc("id")], k)
 
 
@@ -137,8 +147,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFram
     without a direction (null or zero vectors) are left out.
     """
     rows = vectors.select(F.col("id").cast("bigint").alias("id"), "vector").where("vector IS NOT NULL")
-    found = [rows.mapInArrow(scan_vectors(as_block(q), k), FOUND_SCHEMA) for q in query_blocks(queries)]
-    return merge_found(found, k)
+    return search_blocks(queries, lambda asked: rows.mapInArrow(scan_vectors(as_block(asked), k), FOUND_SCHEMA), k)
 
 
 def script_score(results: DataFrame) -> DataFrame:

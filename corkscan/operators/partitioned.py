@@ -17,10 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corkscan.functions.matrices import list_array, matrix, unit_rows
+from corkscan.operators.nearest import FOUND_SCHEMA, QueryBlock, as_block, scan_vectors, search_blocks
 from corkscan.storage import materialise
-from corkscan.operators.nearest import (
-    FOUND_SCHEMA, QueryBlock, as_block, merge_found, query_blocks, scan_vectors,
-)
 
 # Settings of the partitioned index and of its search.
 NUM_PARTITIONS = 16
@@ -161,9 +159,12 @@ def flat_top_k(assigned: DataFrame, centroids: np.ndarray, queries: DataFrame,
     ``part_id``.
     """
     rows = assigned.select(F.col("id").cast("bigint").alias("id"), "vector", F.col("part_id").cast("int").alias("part_id"))
-    blocks = [probing_block(q, centroids, nprobes) for q in query_blocks(queries)]
-    found = [only_probed(rows, b).mapInArrow(scan_vectors(b, k), FOUND_SCHEMA) for b in blocks]
-    return merge_found(found, k)
+
+    def search(asked: pa.Table) -> DataFrame:
+        block = probing_block(asked, centroids, nprobes)
+        return only_probed(rows, block).mapInArrow(scan_vectors(block, k), FOUND_SCHEMA)
+
+    return search_blocks(queries, search, k)
 
 
 def recall(found: DataFrame, exact: DataFrame, k: int = 10) -> DataFrame:

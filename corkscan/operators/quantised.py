@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corkscan.functions.matrices import list_array, matrix, unit_rows
-from corkscan.operators.nearest import FOUND_SCHEMA, QueryBlock, by_part, Nearest, merge_found, query_blocks
+from corkscan.operators.nearest import FOUND_SCHEMA, Nearest, QueryBlock, by_part, search_blocks
 from corkscan.operators.partitioned import NUM_PROBES, only_probed, probing_block, training_rows
 
 # Numbers per sub-vector (64 sub-vectors of 256 numbers) and the
@@ -189,6 +189,9 @@ def quantised_top_k(codes: DataFrame, model: Quantiser, queries: DataFrame,
     ``codes`` holds ``part_id``, ``id`` and ``codes``, best stored by ``part_id``.
     """
     rows = codes.select(F.col("part_id").cast("int").alias("part_id"), F.col("id").cast("bigint").alias("id"), "codes")
-    blocks = [probing_block(q, model.centroids, nprobes) for q in query_blocks(queries)]
-    found = [only_probed(rows, b).mapInArrow(scan_codes(b, model, k), FOUND_SCHEMA) for b in blocks]
-    return merge_found(found, k)
+
+    def search(asked: pa.Table) -> DataFrame:
+        block = probing_block(asked, model.centroids, nprobes)
+        return only_probed(rows, block).mapInArrow(scan_codes(block, model, k), FOUND_SCHEMA)
+
+    return search_blocks(queries, search, k)

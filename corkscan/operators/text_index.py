@@ -108,6 +108,10 @@ class TextIndex:
     def corpus_stats(self) -> DataFrame:
         return self.spark.read.schema(STATS_SCHEMA).parquet(f"{self.root}/corpus_stats/version={self.version}")
 
+    def close(self) -> None:
+        """Take the postings out of the session's catalog; the files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
 
 def _new_table_name() -> str:
     return f"corkscan_postings_{uuid.uuid4().hex[:12]}"

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from corkscan.functions.text import strip
 from corkscan.storage import materialise
 
+# The table of input splits is broadcast up to so many rows.
+MANY_SPLITS = 500_000
+
 
 def non_empty(df: DataFrame, what: str) -> DataFrame:
     """``df``, or an error if it has no rows; looks at one row only."""
@@ -22,8 +25,8 @@ def numbered(df: DataFrame) -> DataFrame:
     """Add ``position``: rows of a file source counted from 1, in file order.
 
     Rows are counted per input split, and only the table of splits, one row for
-    each, is put in order. It is written out, so that its size is known when
-    Spark chooses how to join it.
+    each, is put in order. It is written out, and broadcast unless it is large:
+    a compressed file is one split, however much of the input it holds.
     """
     placed = df.select(
         "*",
@@ -34,7 +37,10 @@ def numbered(df: DataFrame) -> DataFrame:
     splits = placed.groupBy("_file", "_start").agg(F.min("_row").alias("_first"), F.count("*").alias("_rows"))
     earlier = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
     before = splits.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).drop("_rows")
-    joined = placed.join(materialise(before, "splits"), ["_file", "_start"])
+    before = materialise(before, "splits")
+    if before.count() <= MANY_SPLITS:
+        before = F.broadcast(before)
+    joined = placed.join(before, ["_file", "_start"])
     position = (F.col("_before") + F.col("_row") - F.col("_first") + 1).alias("position")
     return joined.select(*df.columns, position)
 

@@ -136,7 +136,11 @@ def test_replace(spark, docs):
     with pytest.raises(FileExistsError):
         text_index.build_text_index(docs, root, "id", ["description"])
     text_index.build_text_index(docs.where("id = 2"), root, "id", ["description"], replace=True)
-    assert [r.doc_id for r in text_index.open_text_index(spark, root).postings().collect()] == [2]
+    opened = text_index.open_text_index(spark, root)
+    assert [r.doc_id for r in opened.postings().collect()] == [2]
+    opened.close()
+    assert not spark.catalog.tableExists(opened.table)
+    assert text_index.open_text_index(spark, root).postings().count() == 1
 
 
 def test_field_without_words(spark):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corkscan.functions.encoders import HashingEncoder, ModelEncoder, vector_of
 from corkscan.functions.matrices import best_rows, matrix
+from corkscan.functions.models import sentence_encoder
 from corkscan.operators import embedding, nearest, partitioned, quantised
 from corkscan.plans import index as index_plan
 from corkscan.storage import materialise, new_path
@@ -58,12 +59,14 @@ def test_exact_equals_brute_force(vectors, exact):
     assert np.allclose([[d for _, d in found[q]] for q in range(100)], [[d for _, d in e] for e in expected], atol=1.1e-6)
 
 
-def test_exact_in_blocks_and_tiles(vectors, asked, exact, monkeypatch):
-    blocks = nearest.query_blocks(asked, 30)
-    assert len(blocks) == 4 and sum(b.num_rows for b in blocks) == 100
-    monkeypatch.setattr(nearest, "query_blocks", lambda q: blocks)
+def test_blocks_and_tiles_give_the_same(vectors, asked, exact, index, monkeypatch):
+    flat = listed(partitioned.flat_top_k(index.vectors, index.model.centroids, asked))
+    coded = listed(quantised.quantised_top_k(index.codes, index.model, asked))
+    monkeypatch.setattr(nearest, "BLOCK_QUERIES", 30)
     monkeypatch.setattr(nearest, "TILE_CELLS", 100)
     assert listed(nearest.exact_top_k(vectors.repartition(3), asked)) == listed(exact)
+    assert listed(partitioned.flat_top_k(index.vectors, index.model.centroids, asked)) == flat
+    assert listed(quantised.quantised_top_k(index.codes, index.model, asked)) == coded
 
 
 def test_script_score_keeps_the_order(exact):
@@ -163,7 +166,7 @@ def test_index_is_replaced_as_a_version(spark, vectors):
 
 def test_plans(index, asked, exact, vectors):
     """Only folders of probed partitions are read; tasks hand on their top k."""
-    block = nearest.query_blocks(asked.where("text_id = 1"))[0]
+    block = asked.where("text_id = 1").select("text_id", "vector").toArrow()
     probing = partitioned.probing_block(block, index.model.centroids, 2)
     plan = partitioned.only_probed(index.codes, probing)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [part_id" in plan
@@ -179,6 +182,18 @@ def test_hashing_encoder(spark):
     assert np.allclose(made[2], made[3])
 
 
+def test_training_rows_are_bounded(vectors):
+    assert partitioned.training_rows(vectors, 500, 1) is vectors
+    assert 50 < partitioned.training_rows(vectors, 100, 1).count() < 160
+    assert partitioned.train_centroids(vectors, 4, sample_rows=100, max_iter=3).shape == (4, 64)
+
+
+def test_missing_model_library(spark):
+    rows = spark.createDataFrame([("abc",)], "query STRING")
+    with pytest.raises(Exception, match="sentence_transformers is not installed"):
+        embedding.embed_texts(rows, sentence_encoder("any/model"), 2).collect()
+
+
 def fake_model():
     return lambda texts: np.array([[len(t), 1.0, 2.0] for t in texts])
 
