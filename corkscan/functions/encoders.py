@@ -17,7 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from corkscan.functions.hashing import signed_slot
+from corkscan.functions.hashing import signed_slots
 from corkscan.functions.matrices import list_array
 from corkscan.functions.text import tokens
 
@@ -39,7 +39,7 @@ class HashingEncoder:
     dim: int = 256
 
     def prepare(self, text: Column) -> Column:
-        return F.transform(tokens(text), lambda word: signed_slot(word, self.dim))
+        return signed_slots(tokens(text), self.dim)
 
     def encode(self, prepared: pa.Array) -> np.ndarray:
         slots = prepared.flatten().to_numpy(zero_copy_only=False)

@@ -11,12 +11,13 @@ def md5_number(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
-def signed_slot(text: Column, dim: int) -> Column:
-    """Slot 1..dim of a word, negative for words whose sign digit is odd."""
-    digest = F.md5(text)
-    slot = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % dim + 1
-    odd = F.conv(F.substring(digest, 9, 1), 16, 10).cast("int") % 2 == 1
-    return F.when(odd, -slot).otherwise(slot).cast("int")
+def signed_slots(words: Column, dim: int) -> Column:
+    """For each word a slot 1..dim, from the first eight hex digits of its md5
+    sum, negative if the ninth is odd. Each word is hashed once."""
+    numbers = F.transform(words, lambda word: F.conv(F.substring(F.md5(word), 1, 9), 16, 10).cast("bigint"))
+    slot = lambda number: F.shiftright(number, 4) % dim + 1
+    signed = lambda number: F.when(number % 2 == 1, -slot(number)).otherwise(slot(number)).cast("int")
+    return F.transform(numbers, signed)
 
 
 def draw(seed: int, position: Column, choices: int) -> Column:

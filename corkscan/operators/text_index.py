@@ -40,7 +40,8 @@ def term_counts(docs: DataFrame, id_column: str, fields: Sequence[str], joined:
     """
     return (
         analyze_fields(docs, id_column, fields, joined)
-        .select("doc_id", "field", F.size("words").cast("bigint").alias("doc_len"), F.explode("words").alias("term"))
+        .select("doc_id", "field", F.size("words").cast("bigint").alias("doc_len"), "words")
+        .select("doc_id", "field", "doc_len", F.explode("words").alias("term"))
         .groupBy("doc_id", "field", "term", "doc_len")
         .agg(F.count("*").alias("tf"))
     )

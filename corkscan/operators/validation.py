@@ -79,11 +79,10 @@ def as_integer(name: str) -> Column:
     """Whole numbers, also as text ("91", "91.0") or true/false; else NULL."""
     value = strip(text(name))
     number = value.try_cast("decimal(38,10)")
-    whole = F.when(number == F.floor(number), number.try_cast("bigint"))
     return (
-        F.when(kind(name) == "STRING", F.when(value.rlike(INTEGER_TEXT), whole))
-        .when(kind(name) == "BOOLEAN", value.cast("boolean").cast("bigint"))
-        .otherwise(whole)
+        F.when(kind(name) == "BOOLEAN", value.cast("boolean").cast("bigint"))
+        .when((kind(name) == "STRING") & ~value.rlike(INTEGER_TEXT), F.lit(None))
+        .when(number == F.floor(number), number.try_cast("bigint"))
     )
 
 
@@ -91,9 +90,8 @@ def as_number(name: str) -> Column:
     """Numbers, also as text or true/false; else NULL."""
     value = strip(text(name))
     return (
-        F.when(kind(name) == "STRING", F.when(value.rlike(NUMBER_TEXT), value.try_cast("double")))
-        .when(kind(name) == "BOOLEAN", value.cast("boolean").cast("double"))
-        .otherwise(value.try_cast("double"))
+        F.when(kind(name) == "BOOLEAN", value.cast("boolean").cast("double"))
+        .when((kind(name) != "STRING") | value.rlike(NUMBER_TEXT), value.try_cast("double"))
     )
 
 

@@ -75,7 +75,7 @@ def upsert(table: DataFrame, batch: DataFrame, key: str, order: Column) -> DataF
     only keys are compared.
     """
     new = latest(batch, key, order).select(*table.columns)
-    kept = table.join(new.select(key), key, "left_anti").select(*table.columns)
+    kept = table.join(batch.select(key).distinct(), key, "left_anti").select(*table.columns)
     return kept.unionByName(new)
 
 
