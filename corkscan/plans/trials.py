@@ -1,0 +1,55 @@
+"""Search trials: drawn queries, warm-up, one batch job per trial, the figures."""
+
+from __future__ import annotations
+
+import functools
+import time
+from collections.abc import Callable, Mapping
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corkscan.operators import metrics, workload
+from corkscan.operators.results import hit_flags
+from corkscan.storage import materialise
+
+Search = Callable[[DataFrame], DataFrame]
+
+
+def run_trials(kind: str, terms: DataFrame, search: Search, num_queries: int = workload.NUM_QUERIES,
+               trials: int = workload.NUM_TRIALS, warmup: int = workload.WARMUP_QUERIES,
+               seed: int = workload.SEED) -> tuple[DataFrame, DataFrame]:
+    """(log, elapsed) of ``trials`` runs of the same ``num_queries`` draws from ``terms``.
+
+    ``search`` turns (query_id, query) into results with a ``query_id``. A trial
+    is one job that answers all queries and writes the results, so each query is
+    logged with the time after which its answer was there: that of the batch.
+    """
+    spark = terms.sparkSession
+    drawn = materialise(workload.sample_queries(terms, num_queries, workload.search_seed(kind, seed)), "drawn")
+    warm = materialise(workload.warmup_queries(terms, warmup), "warm")
+    logs, elapsed = [], []
+    for trial in range(trials):
+        if warmup > 0:
+            search(warm).write.format("noop").mode("overwrite").save()
+        started = time.perf_counter()
+        found = materialise(search(drawn), "found")
+        seconds = time.perf_counter() - started
+        logs.append(hit_flags(drawn, found).select(
+            F.lit(kind).alias("search"), F.lit(trial).alias("trial"), "query_id", F.col("hit").alias("ok"),
+            F.lit(seconds * 1000.0).alias("latency_ms")))
+        elapsed.append((kind, trial, seconds))
+    log = functools.reduce(DataFrame.unionByName, logs)
+    return log, spark.createDataFrame(elapsed, "search STRING, trial INT, elapsed_s DOUBLE")
+
+
+def report(searches: Mapping[str, tuple[DataFrame, Search]], num_queries: int = workload.NUM_QUERIES,
+           **settings: int) -> DataFrame:
+    """(search, line): a report row for each kind of search, given its terms and
+    the search itself; ``metrics.REPORT_HEADER`` goes on top."""
+    runs = [run_trials(kind, terms, search, num_queries, **settings) for kind, (terms, search) in searches.items()]
+    log, elapsed = (functools.reduce(DataFrame.unionByName, parts) for parts in zip(*runs))
+    averages = metrics.trial_averages(metrics.trial_metrics(log, elapsed, num_queries))
+    return metrics.report_rows(
+        averages, num_queries, max_concurrency=num_queries, seed=settings.get("seed", workload.SEED),
+        warmup=settings.get("warmup", workload.WARMUP_QUERIES))

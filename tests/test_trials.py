@@ -1,0 +1,40 @@
+import pytest
+
+from corkscan.functions.encoders import HashingEncoder
+from corkscan.operators import embedding, keyword, metrics, text_index
+from corkscan.plans import search, trials
+from corkscan.storage import materialise, new_path
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(1, "apple pear"), (2, "apple"), (3, "plum")], "id BIGINT, description STRING")
+
+
+@pytest.fixture(scope="module")
+def terms(spark):
+    return spark.createDataFrame([(1, "apple"), (2, "no such word"), (3, "Plum pear")], "query_id BIGINT, query STRING")
+
+
+def test_report(spark, docs, terms):
+    index = text_index.build_text_index(docs, new_path(spark, "trials"), "id", ["description"])
+    encoder = HashingEncoder(32)
+    vectors = materialise(embedding.embed_documents(docs, "description", encoder, 32).select("id", "vector"), "vectors")
+    lines = trials.report({
+        "fts": (terms, lambda q: keyword.keyword_top_k(index, q)),
+        "vector": (terms, lambda q: search.nearest_exact(vectors, q, encoder, dim=32)),
+    }, num_queries=60, trials=2, warmup=4)
+    rows = {r.search: [cell.strip() for cell in r.line.strip("|").split("|")] for r in lines.collect()}
+    names = [name.strip() for name in metrics.REPORT_HEADER.strip("|").split("|")]
+    fts, vector = dict(zip(names, rows["fts"])), dict(zip(names, rows["vector"]))
+    assert fts["queries"] == "60" and fts["runs"] == "2" and fts["warmup_queries"] == "4" and fts["seed"] == "37"
+    assert 20 < float(fts["success_avg"]) < 55 and vector["success_avg"] == "60.00"
+    assert float(fts["qps_avg"]) > 0 and float(fts["p50_ms_avg"]) == float(fts["p99_ms_avg"])
+
+
+def test_log_says_which_queries_found_something(spark, docs, terms):
+    index = text_index.build_text_index(docs, new_path(spark, "trials"), "id", ["description"])
+    log, elapsed = trials.run_trials("fts", terms, lambda q: keyword.keyword_top_k(index, q), 30, trials=1, warmup=0)
+    drawn = {r.query_id: r.ok for r in log.collect()}
+    assert len(drawn) == 30 and set(drawn.values()) == {True, False}
+    assert elapsed.count() == 1 and elapsed.first().elapsed_s > 0
