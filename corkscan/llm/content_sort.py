@@ -97,11 +97,12 @@ def _groups(keep: str):
 
 def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (),
                 keep: str = "smallest") -> DataFrame:
-    """(id, keep_id, group_size, kept, text_sha256, *carry): one row for each row of ``docs``.
+    """(id, keep_id, group_size, kept, text_sha256[, row]): one row for each row of ``docs``.
 
     Texts are equal if they are the same bytes after A-Z are lower-cased.
     ``keep`` names the identifier of a group that stays. Columns named in
-    ``carry`` travel along with their rows. An empty table gives no rows.
+    ``carry`` travel along and come back in the struct ``row``. An empty table
+    gives no rows.
     """
     if keep not in ("smallest", "largest"):
         raise ValueError("keep must be 'smallest' or 'largest'")
@@ -128,4 +129,5 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("_id").alias(id_col), keep_id.alias("keep_id"),
         F.when(across, F.col("_edge_size")).otherwise(F.col("_size")).alias("group_size"),
         (F.col("_stays") & F.col("_id").eqNullSafe(keep_id)).alias("kept"),
-        F.col("_sha").alias("text_sha256"), *(F.col(f"c_{name}").alias(name) for name in carry))
+        F.col("_sha").alias("text_sha256"),
+        *([F.struct(*(F.col(f"c_{name}").alias(name) for name in carry)).alias("row")] if carry else []))

@@ -15,7 +15,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal but for the case of A-Z, the one with the largest doc_id stays."""
     ship(spark)
     found = content_sort.find_copies(docs, carry=docs.columns, keep="largest")
-    return found.where("kept").select(*(found[name] for name in docs.columns))
+    return found.where("kept").select("row.*")
 
 
 STAGES = [
