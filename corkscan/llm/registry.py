@@ -3,17 +3,28 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corkscan.llm import content_sort
+from corkscan.llm import bpe, content_sort
 from corkscan.llm.common import table
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document to tokens and back, told by its digests."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = bpe.encode(documents).select("doc_id", "ids")
+    return bpe.decode(encoded).select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), bpe.ids_digest(F.col("ids")).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies among all documents; the largest doc_id of a group stays."""
     return content_sort.find_copies(table(spark, sf_dir, "documents"), keep="largest")
 
 
 QUERIES = {
+    "op6_bpe": op6_bpe,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
