@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corkscan.llm import bpe, content_sort
+from corkscan.llm import bag_minhash, bpe, content_sort
 from corkscan.llm.common import table
 
 
+def op5_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class of near-duplicates."""
+    return bag_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document to tokens and back, told by its digests."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -24,6 +29,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_bag_minhash": op5_bag_minhash,
     "op6_bpe": op6_bpe,
     "op8_exact_dedup": op8_exact_dedup,
 }
