@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corkscan.llm import bag_minhash, bpe, content_sort
+from corkscan.llm import bag_minhash, bpe, content_sort, templates
 from corkscan.llm.common import table
 
 
@@ -28,10 +28,16 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.find_copies(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op9_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item in every document that holds it, also with other values in its slots."""
+    return templates.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op5_bag_minhash": op5_bag_minhash,
     "op6_bpe": op6_bpe,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_templates": op9_templates,
 }
 
 ORACLE = {
