@@ -2,13 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corkscan.llm import bag_minhash, bpe, content_sort, templates
+from corkscan.llm import bag_minhash, bpe, content_sort, templates, toxicity
 from corkscan.llm.common import table
 
 
+def remainder(column: str, of: int) -> Column:
+    """crc32 of a number as text, modulo ``of``; -1 for null."""
+    return F.coalesce(F.crc32(F.col(column).cast("string")) % of, F.lit(-1))
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """A model of the labelled documents that are not held out."""
+    return toxicity.fit(docs.where(remainder("doc_id", 4) != 2), labels)
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document."""
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity_model(documents, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(documents.select("doc_id", "text"), model)
+    return scored.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score",
+                         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op5_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its class of near-duplicates."""
     return bag_minhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -34,6 +53,7 @@ def op9_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op5_bag_minhash": op5_bag_minhash,
     "op6_bpe": op6_bpe,
     "op8_exact_dedup": op8_exact_dedup,

@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corkscan.llm import content_sort
+from corkscan.llm import bag_minhash, bpe, content_sort, templates, toxicity
 from corkscan.llm.common import table
+from corkscan.llm.registry import toxicity_model
 from corkscan.shipping import ship
 from corkscan.storage import materialise
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score reaches the threshold go."""
+    ship(spark)
+    scored = toxicity.score(docs, toxicity_model(docs, table(spark, sf_dir, "labels")), score_col="_score")
+    return scored.where(F.col("_score") < toxicity.THRESHOLD).select(*docs.columns)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal but for the case of A-Z, the one with the largest doc_id stays."""
     ship(spark)
@@ -18,8 +26,35 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where("kept").select("row.*")
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates, the document with the smallest doc_id stays."""
+    ship(spark)
+    classes = bag_minhash.near_duplicates(docs)
+    others = classes.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("_other"))
+    return bag_minhash.keep_ids(docs, "doc_id", materialise(others, "near-copies"), "left_anti")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    ship(spark)
+    leaks = templates.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    leaking = leaks.select(F.col("doc_id").alias("_leaking")).distinct()
+    return bag_minhash.keep_ids(docs, "doc_id", materialise(leaking, "leaking"), "left_anti")
+
+
+def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their tokens; texts are what the tokens decode to."""
+    ship(spark)
+    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text")).drop("text")
+    return bpe.decode(encoded).withColumn("n_tokens", F.size("ids").cast("bigint"))
+
+
 STAGES = [
+    ("toxicity", drop_toxic),
     ("exact dedup", exact_dedup),
+    ("near dedup", near_dedup),
+    ("decontamination", decontaminate),
+    ("tokens", to_tokens),
 ]
 
 ORACLE_SQL = None
