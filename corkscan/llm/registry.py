@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corkscan.llm import bag_minhash, bpe, content_sort, templates, toxicity
+from corkscan.llm import bag_minhash, bpe, chat, content_sort, templates, toxicity, url_filter
 from corkscan.llm.common import table
 
 
@@ -42,6 +42,29 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+# The conversation that op7 formats besides those of the table.
+TRICKY_CONVERSATION, TRICKY_TEXT = -7, r"\### Assistant: </turn> ok"
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, formatted and read back."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.range(2).select(F.lit(TRICKY_CONVERSATION).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+                                   F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                   F.lit(TRICKY_TEXT).alias("text"))
+    events = turns.unionByName(tricky).select(
+        "conv_id", F.col("turn").alias("seq"), F.lit(chat.MESSAGE).alias("kind"), F.lit(None).alias("message"), "role", "text")
+    formatted = chat.render(chat.final_messages(events))
+    turns = chat.read_turns(F.col("formatted"))
+    told = lambda turn: F.concat(turn["role"], F.lit("\n"), turn["text"], F.lit("\n"))
+    back = formatted.select("conv_id", "formatted", turns.alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss")).alias("learned"))
+    return back.select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", told), ""), 256).alias("turns_sha256"),
+        F.length("learned").cast("bigint").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies among all documents; the largest doc_id of a group stays."""
     return content_sort.find_copies(table(spark, sf_dir, "documents"), keep="largest")
@@ -52,15 +75,66 @@ def op9_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+# The rules of op10 (host, path, verdict).
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on the URL of every page."""
+    rules = spark.createDataFrame(URL_RULES, "host STRING, path STRING, verdict STRING")
+    judged = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op5_bag_minhash": op5_bag_minhash,
     "op6_bpe": op6_bpe,
+    "op7_chat": op7_chat,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_templates": op9_templates,
+    "op10_url_filter": op10_url_filter,
 }
 
+# What the template of op7 makes of a role or text.
+_ESCAPED = r"replace(replace(replace(replace({0}, '\', '\\'), '###', '\h'), '</turn>', '\t'), ':' || chr(10), '\n')"
+_RULES = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in URL_RULES)
+
 ORACLE = {
+    "op7_chat": rf"""
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '{TRICKY_TEXT}' UNION ALL SELECT -7, 1, 'assistant', '{TRICKY_TEXT}'),
+        whole AS (
+            SELECT conv_id, count(*) AS n_turns,
+                   string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS every,
+                   coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS learned,
+                   sum(length('### ' || {_ESCAPED.format("role")} || ':' || chr(10) || {_ESCAPED.format("text")} || '</turn>' || chr(10)))
+                       AS formatted_chars
+            FROM turns GROUP BY conv_id)
+        SELECT conv_id, n_turns, sha256(every) AS turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256,
+               formatted_chars::BIGINT AS formatted_chars
+        FROM whole""",
+    "op10_url_filter": rf"""
+        WITH rests AS (
+            SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        parts AS (
+            SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS host, regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) AS path FROM rests),
+        lowered AS (
+            SELECT page_id, translate(host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM parts),
+        rules(rule_host, rule_path, rule_verdict) AS (VALUES {_RULES}),
+        fitting AS (
+            SELECT page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+                   arg_max(rule_verdict, length(rule_host || rule_path)) AS rule_verdict
+            FROM lowered JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+            GROUP BY page_id)
+        SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict FROM lowered LEFT JOIN fitting USING (page_id)""",
     "op8_exact_dedup": """
         WITH d AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS n
