@@ -8,10 +8,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# What Spark hands to a Python task at once, in bytes.
+BATCH_BYTES = 4 << 20
 # The texts that one step of a Python task holds at once, in bytes.
 STEP_BYTES = 8 << 20
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, in whose session Python tasks now get batches of a few MB, however long its texts are."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

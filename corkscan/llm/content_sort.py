@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corkscan.llm.common import schema_of, steps, text_or_empty
+from corkscan.llm.common import bounded_batches, schema_of, steps, text_or_empty
 from corkscan.storage import materialise
 
 # Bytes at the start of a text that take part in the order of partitions.
@@ -108,6 +108,7 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         raise ValueError("keep must be 'smallest' or 'largest'")
     source = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_norm"),
                          *(F.col(name).alias(f"c_{name}") for name in carry))
+    source = bounded_batches(source)
     base = schema_of(source.drop("_norm"))
     keyed = source.mapInArrow(_with_keys, f"{base}, _norm binary, _head binary, _tag bigint, _sha string")
     dealt = keyed.repartitionByRange("_head", "_tag", "_id").sortWithinPartitions("_head", "_tag", "_norm", "_id")

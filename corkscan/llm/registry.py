@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corkscan.llm import bag_minhash, bpe, chat, content_sort, templates, toxicity, url_filter
+from corkscan.llm import bag_minhash, bpe, chat, content_sort, html_text, language, templates, toxicity, url_filter
 from corkscan.llm.common import table
 
 
@@ -28,6 +28,20 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    found = html_text.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    documents = table(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 5) == 0
+    filters = language.fit(documents.where(~held_out))
+    return language.predict(documents.select("doc_id", held_out.alias("held_out"), "text"), filters).drop("text")
+
+
 def op5_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its class of near-duplicates."""
     return bag_minhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -94,6 +108,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op3_html_text": op3_html_text,
+    "op4_language": op4_language,
     "op5_bag_minhash": op5_bag_minhash,
     "op6_bpe": op6_bpe,
     "op7_chat": op7_chat,
