@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corkscan.llm import bag_minhash, bpe, chat, content_sort, html_text, language, templates, toxicity, url_filter
+from corkscan.llm import bag_minhash, bpe, chat, content_sort, html_text, language, secret_scan, templates, toxicity, url_filter
 from corkscan.llm.common import table
 
 
@@ -28,6 +28,13 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate for a secret in every document, and whether it is one; values as digests."""
+    found = secret_scan.scan(table(spark, sf_dir, "documents"), remainder("id", 4) != 2)
+    return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "start", "length",
+                        F.sha2("value", 256).alias("value_sha256"), "score", "secret")
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     found = html_text.extract(table(spark, sf_dir, "pages"))
@@ -108,6 +115,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_secret_scan": op2_secret_scan,
     "op3_html_text": op3_html_text,
     "op4_language": op4_language,
     "op5_bag_minhash": op5_bag_minhash,
