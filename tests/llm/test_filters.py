@@ -1,0 +1,147 @@
+"""Toxicity, languages, secrets, URLs."""
+
+import random
+
+import numpy as np
+import pytest
+
+from corkscan.llm import language, registry, secret_scan, toxicity, url_filter
+
+SYLLABLES = {"en": ["the", "and", "ing", "ly", "er"], "xx": ["zor", "quu", "vex", "iki", "ojo"]}
+
+
+def prose(rng, lang, count):
+    return " ".join("".join(rng.choice(SYLLABLES[lang]) for _ in range(rng.randrange(1, 4))) for _ in range(count))
+
+
+# --- toxicity ----------------------------------------------------------------
+
+
+def labelled(rng, count):
+    rows = []
+    for n in range(count):
+        lang, toxic = rng.choice(["en", "xx"]), int(rng.random() < 0.3)
+        words = prose(rng, lang, rng.randrange(5, 200)).split()
+        if toxic:
+            for _ in range(rng.randrange(1, 4)):
+                words.insert(rng.randrange(len(words)), rng.choice(["blarg", "blargs", "blargly", "blargter"] if lang == "en" else ["hutso", "hutsoka", "hutsoni"]))
+        rows.append((n, " ".join(words), lang, toxic))
+    return rows
+
+
+def test_toxicity_learns_words_and_their_forms(spark):
+    rows = labelled(random.Random(1), 500)
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id BIGINT, text STRING, lang STRING")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows if r[0] < 350], "doc_id BIGINT, toxic INT")
+    model = toxicity.fit(docs, labels)
+    assert model.languages == ["en", "xx"] and len(model.thresholds) == 2
+    found = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert all(0 <= score <= 1 for score in found.values())
+    held = [r for r in rows if r[0] >= 350]
+    right = sum((found[r[0]] >= toxicity.THRESHOLD) == bool(r[3]) for r in held)
+    assert right / len(held) > 0.93
+
+
+def test_toxicity_of_odd_texts_and_tables(spark):
+    rows = labelled(random.Random(2), 120)
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id BIGINT, text STRING, lang STRING")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id BIGINT, toxic INT")
+    model = toxicity.fit(docs, labels)
+    odd = spark.createDataFrame([(1, None, "s"), (2, "", "s"), (3, "?! ...", "s"), (4, "blarg", "s"), (4, "blarg", "s"), (5, "the " * 50_000 + "blarg", "s")],
+                                "doc_id BIGINT, text STRING, score STRING")
+    found = toxicity.score(odd, model).collect()
+    assert len(found) == 6 and all(0 <= r.score <= 1 for r in found)
+    scores = {r.doc_id: r.score for r in found}
+    assert scores[1] == scores[2] == scores[3]
+    assert toxicity.score(odd.limit(0), model).count() == 0
+    nothing = toxicity.fit(docs, labels.limit(0))
+    assert all(r.score < 1e-9 for r in toxicity.score(docs, nothing).collect())
+
+
+# --- languages ---------------------------------------------------------------
+
+
+def test_languages(spark):
+    rng = random.Random(3)
+    rows = [(n, prose(rng, lang, 30), lang) for n in range(200) for lang in [rng.choice(["en", "xx"])]]
+    docs = spark.createDataFrame([*rows[:150], (900, "the and", None), (901, None, "en")], "doc_id BIGINT, text STRING, lang STRING")
+    filters = language.fit(docs)
+    assert filters.languages == ["en", "xx"]
+    asked = spark.createDataFrame([*rows[150:], (-1, None, "a"), (-2, "", "a"), (-3, "123 !", "a"), (-4, "THE anding " * 9_000, "a"), (-4, "b", "a")],
+                                  "doc_id BIGINT, text STRING, lang_pred STRING")
+    found = [(r.doc_id, r.lang_pred, r.score) for r in language.predict(asked, filters).collect()]
+    told = {doc: lang for doc, lang, _ in found}
+    assert all(told[doc] == lang for doc, _, lang in rows[150:])
+    assert told[-1] == told[-2] == told[-3] == language.UNKNOWN
+    assert all(0 <= score <= 1 for *_, score in found) and len(found) == 55
+    assert ("en" in [lang for doc, lang, _ in found if doc == -4])
+    empty = language.fit(docs.limit(0))
+    assert {r.lang_pred for r in language.predict(asked, empty).collect()} == {language.UNKNOWN}
+
+
+def test_a_mask_names_all_languages_of_an_ngram():
+    grams, _ = language.ngrams(["only here", "shared"])
+    own, shared = language.ngrams(["only"])[0], language.ngrams(["shared"])[0]
+    many = {f"l{n:03}": np.concatenate([shared, own]) if n == 70 else shared for n in range(130)}
+    filters = language.Filters.of(many)
+    assert len(filters.slices) == 3
+    assert filters.predict(["only"])[0] == ["l070"]
+    assert filters.predict(["shared"])[0] == ["l000"]
+
+
+# --- secrets -----------------------------------------------------------------
+
+
+def test_secrets_are_told_from_lookalikes(spark):
+    rng = random.Random(4)
+    secret = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(32))
+    rows = []
+    for n in range(300):
+        kind, words = n % 3, prose(rng, "en", 20)
+        rows.append((n, [f'{words} token = "{secret()}" {words}', f"{words} card 4{rng.randrange(10**15):015} {words}",
+                         f"{words} anding{n}@mail{n % 7}.example.com {words}"][kind], "src/app.py"))
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, source STRING")
+    found = secret_scan.scan(docs, registry.remainder("id", 4) != 2).collect()
+    assert {r.doc_id for r in found if r.secret} == {n for n in range(300) if n % 3 == 0}
+    for r in found:
+        assert rows[r.doc_id][1][r.start : r.start + r.length] == r.value
+
+
+def test_secrets_in_odd_texts(spark):
+    schema = "doc_id BIGINT, text STRING, source STRING, secret STRING"
+    docs = spark.createDataFrame([(1, None, None, "c"), (2, "", "", "c"), (3, "password=1fd4c5bbe68c75847e", None, "c"), (3, "password=1fd4c5bbe68c75847e", None, "c"),
+                                  (4, "a1" * 100_000, "x", "c")], schema)
+    found = secret_scan.scan(docs, registry.remainder("id", 4) != 9).collect()
+    assert sorted((r.doc_id, r.start, r.score) for r in found) == [(3, 9, 0.0), (3, 9, 0.0), (4, 0, 0.0)]
+    assert secret_scan.scan(docs.limit(0), registry.remainder("id", 4) != 9).count() == 0
+
+
+# --- URLs --------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("url, host, path, rule, verdict", [
+    ("http://a.b.Example.ORG/es/1?q=/de/", "a.b.example.org", "/es/1", "example.org/es/", "block"),
+    ("http://example.org/en/123", "example.org", "/en/123", "example.org/en/1", "block"),
+    ("http://example.org/en/2#x", "example.org", "/en/2", "org/", "allow"),
+    ("http://notexample.org", "notexample.org", "", None, "allow"),
+    ("http://x.com/de/9", "x.com", "/de/9", "com/de/", "block"),
+    ("http://x.com?a=/de/", "x.com", "", None, "allow"),
+    ("x.com/de/9", "", "", None, "allow"),
+    ("", "", "", None, "allow"),
+    (None, "", "", None, "allow"),
+    ("ftp://u@Ä.org:80/É/", "u@Ä.org:80", "/É/", None, "allow"),
+])
+def test_urls(spark, url, host, path, rule, verdict):
+    rules = spark.createDataFrame(registry.URL_RULES, "host STRING, path STRING, verdict STRING")
+    urls = spark.createDataFrame([(1, url, "clash"), (1, url, "clash")], "page_id BIGINT, url STRING, host STRING")
+    found = url_filter.judge(urls, rules).collect()
+    assert [(r.page_id, r.host, r.path, r.rule, r.verdict) for r in found] == [(1, host, path, rule, verdict)] * 2
+
+
+def test_urls_with_large_or_no_rules(spark, monkeypatch):
+    urls = spark.createDataFrame([(1, "http://a.org/" + "x" * 5000), (2, "http://b.org/")], "page_id BIGINT, url STRING")
+    rules = spark.createDataFrame([("org", "/", "allow"), ("a.org", "/x", "block"), ("a.org", "/x", "allow")], "host STRING, path STRING, verdict STRING")
+    assert {r.verdict for r in url_filter.judge(urls, rules.limit(0), default="block").collect()} == {"block"}
+    monkeypatch.setattr(url_filter, "FEW_RULES", 0)
+    assert {(r.page_id, r.verdict) for r in url_filter.judge(urls, rules).collect()} == {(1, "block"), (2, "allow")}
+    assert url_filter.judge(urls.limit(0), rules).count() == 0
