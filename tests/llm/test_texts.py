@@ -29,12 +29,13 @@ def test_article_without_side_matter(spark):
 
 def test_repeated_runs_of_a_host_go_and_unique_ones_stay(spark, monkeypatch):
     line = "this very line stands on every page of the host"
-    page = lambda n: f"<div>unique words of the page with number {n}</div><div>{line}</div><article>body {n} {line}</article>"
+    own = lambda n: " ".join(f"own{n}word{k}" for k in range(8))
+    page = lambda n: f"<div>{own(n)}</div><div>{line}</div><article>body {n} {line}</article>"
     rows = [("http://a.org/x", page(n)) for n in range(40)] + [("http://b.org/x", page(99))]
-    expected = {n: f"unique words of the page with number {n} body {n} {line}" for n in range(40)}
+    expected = {n: f"{own(n)} body {n} {line}" for n in range(40)}
     found = text_of(spark, rows)
     assert {n: found[n] for n in range(40)} == expected
-    assert found[40] == f"unique words of the page with number 99 {line} body 99 {line}"  # the only page of its host
+    assert found[40] == f"{own(99)} {line} body 99 {line}"  # the only page of its host
     monkeypatch.setattr(html_text, "CHUNK", 1)  # nearly each page in a group of its own
     assert text_of(spark, rows) == found
 
