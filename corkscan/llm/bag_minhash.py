@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corkscan.llm.common import id_and_text, steps
+from corkscan.llm.common import bounded_batches, id_and_text, steps
 from corkscan.llm.components import components
 from corkscan.storage import materialise
 
@@ -53,8 +53,11 @@ BLOCK_ONE, BLOCK_OTHER = 256, 512
 # So many identifiers may be broadcast; more are joined by shuffle.
 FEW_IDS = 500_000
 
+# The texts that a task signs at once, in bytes.
+TEXT_BYTES = 2 << 20
+
 _WORD = re.compile(r"\w+")
-_KNOWN_WORDS = 500_000
+_KNOWN_WORDS = 120_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _known: dict[str, int] = {}
 
@@ -148,7 +151,7 @@ def band_keys(signature: np.ndarray, rows: int, bands: int) -> np.ndarray:
 
 def _sign(rows: int, bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
+        for batch in steps(batches, most=TEXT_BYTES):
             bags = [shingles(text) for text in batch["text"].to_pylist()]
             keys = band_keys(signatures(bags, rows * bands), rows, bands)
             offsets = np.arange(0, keys.size + 1, bands, dtype=np.int32)
@@ -161,7 +164,7 @@ def _sign(rows: int, bands: int):
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in steps(batches):
+    for batch in steps(batches, most=TEXT_BYTES):
         sets = [as_set(shingles(text)).tobytes() for text in batch["text"].to_pylist()]
         yield pa.RecordBatch.from_pydict({"id": batch["id"], "bag": pa.array(sets, pa.binary())})
 
@@ -240,7 +243,7 @@ def _verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
                     rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """(id, class_id): one row for each identifier, with the smallest one of its class."""
-    texts = id_and_text(docs, id_col, text_col).where(F.col("id").isNotNull())
+    texts = bounded_batches(id_and_text(docs, id_col, text_col).where(F.col("id").isNotNull()))
     id_type = texts.schema["id"].dataType.simpleString()
     signed = materialise(texts.mapInArrow(_sign(rows, bands), f"id {id_type}, bag binary, bands array<bigint>"), "signatures")
     first = signed.where("bag IS NOT NULL").groupBy("bag").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
