@@ -57,9 +57,9 @@ def op5_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document to tokens and back, told by its digests."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = bpe.encode(documents).select("doc_id", "ids")
-    return bpe.decode(encoded).select(
-        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), bpe.ids_digest(F.col("ids")).alias("ids_sha256"),
+    encoded = bpe.encode(documents, packed=True, decoded_col="decoded")
+    return encoded.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

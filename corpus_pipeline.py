@@ -45,8 +45,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their tokens; texts are what the tokens decode to."""
     ship(spark)
-    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text")).drop("text")
-    return bpe.decode(encoded).withColumn("n_tokens", F.size("ids").cast("bigint"))
+    encoded = bpe.encode(docs, decoded_col="decoded")
+    return encoded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("bigint").alias("n_tokens"), "decoded")
 
 
 STAGES = [
