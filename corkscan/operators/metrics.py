@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,6 +29,13 @@ SKETCH_ACCURACY = 20_000
 FIRST_SLACK = 2.0
 
 
+def join_groups(one: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """``one`` with the columns of ``other`` for the same group; null is a group like any other."""
+    renamed = other.withColumnsRenamed({key: f"_{key}" for key in keys})
+    same = functools.reduce(operator.and_, [one[key].eqNullSafe(renamed[f"_{key}"]) for key in keys])
+    return one.join(renamed, same, how).drop(*(f"_{key}" for key in keys))
+
+
 def _brackets(log: DataFrame, keys: Sequence[str], value: str, percentiles: Sequence[float], slack: float) -> DataFrame:
     """(keys, n, brackets): for each percentile, ranks and a range that should hold them."""
     width = slack / SKETCH_ACCURACY
@@ -62,7 +71,7 @@ def _within_brackets(log: DataFrame, keys: Sequence[str], value: str, wanted: Se
     brackets = materialise(_brackets(rows, keys, "_value", wanted, slack), "brackets")
     near = F.filter("brackets", lambda b: F.col("_value") <= b["high"])
     # One row per percentile; all values below its range share the NULL key.
-    seen = rows.join(brackets, list(keys)).select(*keys, "n", "_value", F.inline(near))
+    seen = join_groups(rows, brackets, keys).select(*keys, "n", "_value", F.inline(near))
     key = F.when(F.col("_value") >= F.col("low"), F.col("_value"))
     counted = seen.groupBy(*keys, "n", "p", "rank", key.alias("_key")).agg(F.count("*").alias("c"))
     in_order = Window.partitionBy(*keys, "p").orderBy(F.asc_nulls_first("_key"))
@@ -90,7 +99,7 @@ def trial_metrics(log: DataFrame, elapsed: DataFrame, num_queries: int = NUM_QUE
     wide = percentiles(log, keys, "latency_ms").groupBy(*keys).agg(*[
         F.max(F.when(F.col("p") == p, F.col("value"))).alias(f"p{p}_ms") for p in PERCENTILES
     ])
-    rows = elapsed.join(success, keys, "left").join(wide, keys, "left")
+    rows = join_groups(join_groups(elapsed, success, keys, "left"), wide, keys, "left")
     return rows.select(
         *keys,
         F.coalesce("success", F.lit(0.0)).alias("success"),

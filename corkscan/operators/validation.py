@@ -118,10 +118,9 @@ def embed_text(*parts: Column) -> Column:
 
 
 def extras(values: Column) -> Column:
-    """The keys that no field declares, as text."""
+    """The keys that no field declares, with their values as they came."""
     declared = [*RECORD_FIELDS, *ALIASES.values()]
-    unknown = F.map_filter(values, lambda key, _: ~key.isin(declared))
-    return F.transform_values(unknown, lambda _, value: F.try_variant_get(value, "$", "string"))
+    return F.map_filter(values, lambda key, _: ~key.isin(declared))
 
 
 def _field(name: str, fill: str) -> Column:
@@ -191,7 +190,7 @@ def dump_records(records: DataFrame, keep_nulls: bool = True) -> DataFrame:
     options = {"ignoreNullFields": str(not keep_nulls).lower()}
     extra = F.col("extras")
     if not keep_nulls:
-        extra = F.map_filter(extra, lambda _, value: value.isNotNull())
+        extra = F.map_filter(extra, lambda _, value: ~F.is_variant_null(value))
     last = ["to_vectorize"] if "to_vectorize" in records.columns else []
     fields = F.to_json(F.struct(*RECORD_FIELDS, *last), options)
     inner = F.to_json(extra, {"ignoreNullFields": "false"})

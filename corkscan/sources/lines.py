@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from corkscan.functions.text import strip
 from corkscan.storage import materialise
 
-# The table of input splits is broadcast up to so many rows.
-MANY_SPLITS = 500_000
+# The table of input splits, four numbers each, is broadcast up to so many rows;
+# a larger one is joined by shuffle, where Spark splits the rows of a large file.
+MANY_SPLITS = 2_000_000
 
 
 def non_empty(df: DataFrame, what: str) -> DataFrame:
@@ -28,15 +29,13 @@ def numbered(df: DataFrame) -> DataFrame:
     each, is put in order. It is written out, and broadcast unless it is large:
     a compressed file is one split, however much of the input it holds.
     """
-    placed = df.select(
-        "*",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_row"),
-    )
-    splits = placed.groupBy("_file", "_start").agg(F.min("_row").alias("_first"), F.count("*").alias("_rows"))
-    earlier = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
-    before = splits.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).drop("_rows")
+    file, start = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    placed = df.select("*", F.monotonically_increasing_id().alias("_row"), F.xxhash64(file).alias("_file"), start.alias("_start"))
+    named = df.select(F.monotonically_increasing_id().alias("_row"), file.alias("_path"), start.alias("_start"))
+    splits = named.groupBy("_path", "_start").agg(F.min("_row").alias("_first"), F.count("*").alias("_rows"))
+    earlier = Window.orderBy("_path", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    before = splits.select(F.xxhash64("_path").alias("_file"), "_start", "_first",
+                           F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
     before = materialise(before, "splits")
     if before.count() <= MANY_SPLITS:
         before = F.broadcast(before)
@@ -58,8 +57,8 @@ def read_json_lines(spark: SparkSession, path: str, with_position: bool = False)
     """
     lines = spark.read.text(path)
     files = lines.inputFiles()
+    lines = lines.where(strip(F.col("value")) != "")  # blank lines are no records, and have no number
     rows = (numbered(lines) if with_position else lines).withColumnRenamed("value", "raw")
-    rows = rows.where(strip(F.col("raw")) != "")
     cores = spark.sparkContext.defaultParallelism
     if len(files) < cores and any(f.endswith(".gz") for f in files):
         rows = rows.repartition(cores)
@@ -69,8 +68,8 @@ def read_json_lines(spark: SparkSession, path: str, with_position: bool = False)
 def read_json_array(spark: SparkSession, path: str, fields: Sequence[str]) -> DataFrame:
     """The listed fields of the elements of files that each hold one JSON array.
 
-    Elements are parsed one by one, so a file may be larger than a row can be.
-    Values stay variants: a key that is not there is NULL, a null value is not.
+    A file is read whole by one task: an array cannot be split. Values stay
+    variants: a key that is not there is NULL, a null value is not.
     """
     schema = ", ".join(f"`{name}` VARIANT" for name in fields)
     return spark.read.option("multiLine", True).schema(schema).json(path)

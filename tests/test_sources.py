@@ -25,8 +25,8 @@ def gzip_lines(tmp_path):
 def test_json_lines_in_file_order(spark, gzip_lines):
     path = gzip_lines(["a", "", "b"], ["c"], ["d", "e"])
     rows = lines.read_json_lines(spark, path, with_position=True)
-    assert [r.raw for r in rows.orderBy("position").collect()] == ["a", "b", "c", "d", "e"]
-    assert sorted(r.raw for r in lines.first_rows(rows, 3).collect()) == ["a", "b"]
+    assert [(r.position, r.raw) for r in rows.orderBy("position").collect()] == list(enumerate("abcde", 1))
+    assert sorted(r.raw for r in lines.first_rows(rows, 3).collect()) == ["a", "b", "c"]
     assert lines.first_rows(rows, 0).count() == lines.read_json_lines(spark, path).count() == 5
 
 
@@ -130,11 +130,28 @@ def test_load_appends_again(spark, gzip_lines, folder):
     done = ingest.load_records(spark, path, folder, ENCODER, dim=16)
     assert (done.rows, done.rejected) == (3, 0)
     ingest.load_records(spark, path, folder, ENCODER, limit=2, dim=16)
-    stored = spark.read.parquet(folder)
+    stored = ingest.read_records(spark, folder)
     assert sorted(r.id for r in stored.collect()) == [1, 1, 2, 2, 3]
     assert "to_vectorize" in stored.columns
+    with pytest.raises(ValueError, match="size 16"):
+        ingest.load_records(spark, path, folder, HashingEncoder(8), dim=8)
     ingest.load_records(spark, path, folder, ENCODER, limit=1, overwrite=True, dim=16)
-    assert [r.id for r in spark.read.parquet(folder).collect()] == [1]
+    assert [r.id for r in ingest.read_records(spark, folder).collect()] == [1]
+
+
+def test_a_failed_overwrite_leaves_the_table(spark, gzip_lines, folder):
+    ingest.load_records(spark, gzip_lines([line(id=1), line(id=2)]), folder, ENCODER, dim=16)
+    bad = gzip_lines([line(id=3), line(id=4, points="x")])
+    for _ in range(2):
+        with pytest.raises(Exception, match="invalid record"):
+            ingest.load_records(spark, bad, folder, ENCODER, overwrite=True, dim=16)
+        assert sorted(r.id for r in ingest.read_records(spark, folder).collect()) == [1, 2]
+
+
+def test_limit_counts_records(spark, gzip_lines, folder):
+    path = gzip_lines(["", "  ", line(id=1), "", line(id=2), line(id=3)])
+    assert ingest.load_records(spark, path, folder, ENCODER, limit=2, dim=16).rows == 2
+    assert sorted(r.id for r in ingest.read_records(spark, folder).collect()) == [1, 2]
 
 
 def test_load_stops_or_sets_aside(spark, gzip_lines, folder):
@@ -143,7 +160,7 @@ def test_load_stops_or_sets_aside(spark, gzip_lines, folder):
         ingest.load_records(spark, path, folder, ENCODER, dim=16)
     done = ingest.load_records(spark, path, folder, ENCODER, on_invalid=ingest.QUARANTINE, dim=16)
     assert (done.rows, done.rejected) == (1, 1)
-    assert [r.reasons for r in spark.read.parquet(f"{folder}.rejected").collect()] == [["points"]]
+    assert [r.reasons for r in ingest.read_rejected(spark, folder).collect()] == [["points"]]
 
 
 def test_load_keyed_twice_is_once(spark, gzip_lines, folder):
@@ -160,6 +177,16 @@ def test_load_keyed_twice_is_once(spark, gzip_lines, folder):
     assert ingest.read_keyed(spark, folder).count() == 1
 
 
+def test_keyed_loads_write_only_the_folders_they_touch(spark, gzip_lines, folder):
+    ingest.load_keyed(spark, gzip_lines([line(id=n) for n in range(40)]), folder, ENCODER, dim=16, buckets=8)
+    before = set(versions.folders(spark, folder, 0))
+    ingest.load_keyed(spark, gzip_lines([line(id=7, title="new")]), folder, ENCODER, dim=16)
+    after = set(versions.folders(spark, folder, 1))
+    assert len(before) == len(after) == 8 and len(after - before) == 1
+    stored = ingest.read_keyed(spark, folder)
+    assert stored.count() == 40 and stored.where("title = 'new'").count() == 1
+
+
 def test_load_keyed_stops_on_a_reject(spark, gzip_lines, folder):
     with pytest.raises(ValueError, match="nothing was written"):
         ingest.load_keyed(spark, gzip_lines([line(id=1), line(points="x")]), folder, ENCODER, dim=16)

@@ -85,7 +85,7 @@ def test_embedding_text_keeps_inner_spaces(spark):
 
 def test_extras_pass_through(spark):
     a, = check(spark, line(vintage=2001, note=None, deep={"a": [1]}))
-    assert a.extras == {"vintage": "2001", "note": None, "deep": '{"a":[1]}'}
+    assert {key: value.toPython() for key, value in a.extras.items()} == {"vintage": 2001, "note": None, "deep": {"a": [1]}}
 
 
 def checked(spark, *lines):
@@ -107,10 +107,11 @@ def test_document_key(spark):
 
 
 def test_dump(spark):
-    records = v.accepted(checked(spark, line(price=None, vintage=2001, note=None)))
+    records = v.accepted(checked(spark, line(price=None, vintage=2001, note=None, tags=["a", 1.5, True], deep={"a": None})))
     kept = json.loads(v.dump_records(records).first().json)
     dropped = json.loads(v.dump_records(records, keep_nulls=False).first().json)
-    assert kept["price"] is None and kept["region_2"] is None and kept["note"] is None and kept["vintage"] == "2001"
+    assert kept["price"] is None and kept["region_2"] is None and kept["note"] is None and kept["vintage"] == 2001
+    assert kept["tags"] == ["a", 1.5, True] and kept["deep"] == {"a": None}
     assert list(kept)[:3] == ["id", "points", "title"] and kept["vineyard"] == "R"
     assert dropped == {k: x for k, x in kept.items() if x is not None}
 
