@@ -46,3 +46,8 @@ def tokens(text: Column, joined: bool = False) -> Column:
     pattern = JOINED_WORD if joined else WORD
     found = F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
     return F.coalesce(found, F.array().cast("array<string>"))
+
+
+def quoted(text: str) -> str:
+    """``text`` as a literal of Spark SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"

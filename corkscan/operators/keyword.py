@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corkscan.functions.matrices import PLACES
-from corkscan.functions.text import tokens
+from corkscan.functions.text import quoted, tokens
 from corkscan.operators.queries import QueryBatch, per_query, read_batch
 from corkscan.operators.ranking import top_k
 from corkscan.operators.text_index import TextIndex
@@ -22,11 +22,11 @@ from corkscan.operators.text_index import TextIndex
 # in lists that Spark passes on whole.
 FILTER_TERMS = 200
 FILTER_LIST = 10
-# The shuffled join cuts the postings of a hot word into pieces of so many rows;
-# that many words, at the most, are hot, and that many pieces are made of one.
+# The shuffled join cuts the postings of a hot word into pieces of so many rows.
+# The table of hot words is broadcast; it has two numbers for each of them, and at
+# most so many rows: pieces are larger where there would be more.
 PIECE_ROWS = 1_000_000
-HOT_WORDS = 20_000
-MOST_PIECES = 10_000
+HOT_WORDS = 1_000_000
 
 
 @dataclasses.dataclass(frozen=True)
@@ -71,17 +71,13 @@ def _checked_fields(index: TextIndex, fields: Sequence[str] | None) -> list[str]
 
 def _weights(index: TextIndex, terms: DataFrame, freq: DataFrame, fields: Sequence[str], bm25: Bm25) -> DataFrame:
     """(text_id, field, term, weight, avgdl): the part of a score that no document changes."""
-    sizes = ", ".join(f"{_quoted(f)}, struct({float(index.n[f])!r}D AS n, {index.avgdl[f]!r}D AS avgdl)" for f in fields)
+    sizes = ", ".join(f"{quoted(f)}, struct({float(index.n[f])!r}D AS n, {index.avgdl[f]!r}D AS avgdl)" for f in fields)
     rows = freq.join(terms, "term").selectExpr("*", f"map({sizes})[field] AS size")
     idf = "ln(1D + (size.n - df + 0.5D) / (df + 0.5D))"
     return rows.selectExpr(
         "text_id", "field", "term", f"qtf * {idf} * {bm25.k1 + 1.0!r}D AS weight", "size.avgdl AS avgdl")
 
 
-def _quoted(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def _hits(index: TextIndex, batch: QueryBatch, fields: Sequence[str], bm25: Bm25) -> DataFrame:
     """Postings of the query words, each with the weight it has for a text."""
     in_fields = F.col("field").isin(list(fields))
@@ -96,24 +92,26 @@ def _hits(index: TextIndex, batch: QueryBatch, fields: Sequence[str], bm25: Bm25
     weights = _weights(index, query_terms(batch.texts(), index.joined), freq, fields, bm25)
     hot = _hot_words(index, freq)
     pieces = F.coalesce("pieces", F.lit(1))
-    weights = weights.join(F.broadcast(hot), ["field", "term"], "left").withColumn(
-        "piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("pieces")
-    spread = rows.join(F.broadcast(hot), ["field", "term"], "left").withColumn(
-        "piece", F.pmod(F.xxhash64("doc_id"), pieces).cast("int")).drop("pieces")
+    named = F.xxhash64("field", "term") == F.col("word")
+    weights = weights.join(F.broadcast(hot), named, "left").withColumn(
+        "piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("pieces", "word")
+    spread = rows.join(F.broadcast(hot), named, "left").withColumn(
+        "piece", F.pmod(F.xxhash64("doc_id"), pieces).cast("int")).drop("pieces", "word")
     return spread.join(weights, ["field", "term", "piece"])
 
 
 def _hot_words(index: TextIndex, freq: DataFrame) -> DataFrame:
-    """(field, term, pieces): words in so many documents that their postings are
+    """(word, pieces): hashes of words in so many documents that their postings are
     joined in pieces, by hash of the document.
 
     There are no more postings than words in the texts, so at most ``HOT_WORDS``
-    words can pass the bound.
+    words can pass the bound. Of two words with one hash, the pieces of the more
+    frequent one count for both.
     """
     all_words = sum(index.n[f] * index.avgdl[f] for f in index.n)
     bound = max(PIECE_ROWS, int(all_words / HOT_WORDS))
-    return freq.where(F.col("df") > bound).select(
-        "field", "term", F.least(F.ceil(F.col("df") / PIECE_ROWS), F.lit(MOST_PIECES)).cast("int").alias("pieces"))
+    hot = freq.where(F.col("df") > bound)
+    return hot.groupBy(F.xxhash64("field", "term").alias("word")).agg(F.ceil(F.max("df") / bound).cast("int").alias("pieces"))
 
 
 def match_scores(index: TextIndex, batch: QueryBatch, fields: Sequence[str] | None = None, bm25: Bm25 = Bm25()) -> DataFrame:

@@ -10,7 +10,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -18,36 +17,36 @@ from pyspark.sql import functions as F
 
 from corkscan.functions.matrices import list_array, matrix, unit_rows
 from corkscan.operators.nearest import FOUND_SCHEMA, QueryBlock, as_block, scan_vectors, search_blocks
-from corkscan.storage import materialise
 
 # Settings of the partitioned index and of its search.
 NUM_PARTITIONS = 16
 NUM_PROBES = 10
 
-# Vectors looked at per partition in training, unless told otherwise.
-TRAINING_ROWS_PER_PARTITION = 4_096
+# Steps of training, unless told otherwise, and places that means are rounded to
+# after each, so that the order of addition does not show.
+TRAINING_STEPS = 20
+MEAN_PLACES = 9
+# Cosines held at a time when rows are compared with many centroids.
+TILE_CELLS = 1 << 22
 
 
-def training_rows(vectors: DataFrame, most: int, seed: int) -> DataFrame:
-    """About ``most`` rows to train on; the table itself if it has no more.
+def train_centroids(vectors: DataFrame, partitions: int = NUM_PARTITIONS, steps: int = TRAINING_STEPS) -> np.ndarray:
+    """Cluster the vectors (id, vector) by cosine; one unit centroid per partition.
 
-    Written out, so that training neither reads the table again and again nor
-    loses its rows with an executor. Only training looks at a part of the table:
-    assigning, encoding and searching take all of it.
+    Begins with the vectors of the lowest ids. Every step looks at every vector and
+    brings one row per partition to the driver; a partition that has lost all of its
+    vectors stays where it is. Ends early when nothing moves.
     """
-    count = vectors.count()
-    return vectors if count <= most else materialise(vectors.sample(most / count, seed), "training")
-
-
-def train_centroids(vectors: DataFrame, partitions: int = NUM_PARTITIONS, seed: int = 37,
-                    max_iter: int = 20, sample_rows: int | None = None) -> np.ndarray:
-    """Cluster the vectors (id, vector) by cosine; one unit centroid per partition."""
-    most = sample_rows or partitions * TRAINING_ROWS_PER_PARTITION
-    length = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    sample = training_rows(vectors, most, seed).where(F.col("vector").isNotNull() & (length > 0))
-    rows = sample.select(array_to_vector(F.col("vector").cast("array<double>")).alias("v"))
-    model = KMeans(k=partitions, seed=seed, maxIter=max_iter, distanceMeasure="cosine", featuresCol="v").fit(rows)
-    return unit_rows(np.array(model.clusterCenters()))
+    centroids = lowest_id_centroids(vectors, partitions)
+    for _ in range(steps):
+        moved = centroids.copy()
+        for row in lloyd_step(vectors, centroids).collect():
+            moved[row["part_id"]] = np.round(row["centroid"], MEAN_PLACES)
+        moved = unit_rows(moved)
+        if np.array_equal(moved, centroids):
+            break
+        centroids = moved
+    return centroids
 
 
 def lowest_id_centroids(vectors: DataFrame, partitions: int = NUM_PARTITIONS) -> np.ndarray:
@@ -91,9 +90,9 @@ def lloyd_step(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
             if batch.num_rows:
                 units = unit_rows(matrix(batch["vector"]))
                 units = units[~np.isnan(units[:, 0])]
-                member = nearest_parts(units, centroids, 1)[:, 0][:, None] == np.arange(len(centroids))
-                counts += member.sum(axis=0)
-                sums += member.T.astype(np.float64) @ units
+                part = nearest_parts(units, centroids, 1)[:, 0]
+                counts += np.bincount(part, minlength=len(centroids))
+                np.add.at(sums, part, units)
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays(
             [pa.array(seen.astype(np.int32)), pa.array(counts[seen]), list_array(sums[seen], pa.float64())],
@@ -132,8 +131,21 @@ def probed_parts(queries: DataFrame, centroids: np.ndarray, nprobes: int = NUM_P
 
 
 def nearest_parts(units: np.ndarray, centroids: np.ndarray, count: int) -> np.ndarray:
-    """The ``count`` nearest centroids of each row, nearest first."""
-    return np.argsort(-np.round(units @ centroids.T, 12), axis=1, kind="stable")[:, :count]
+    """The ``count`` nearest centroids of each row, nearest first; the lower one on ties."""
+    found = np.empty((len(units), count), np.int64)
+    tile = max(1, TILE_CELLS // max(len(centroids), 1))
+    for start in range(0, len(units), tile):
+        rows = slice(start, start + tile)
+        away = -np.round(units[rows] @ centroids.T, 12)
+        if count == 1:
+            found[rows, 0] = np.argmin(away, axis=1)
+            continue
+        # Only centroids as near as the last one that counts have to be put in order.
+        last = np.partition(away, count - 1, axis=1)[:, count - 1]
+        for row, (distances, bound) in enumerate(zip(away, last), start):
+            near = np.flatnonzero(distances <= bound)
+            found[row] = near[np.argsort(distances[near], kind="stable")[:count]]
+    return found
 
 
 def probing_block(rows: pa.Table, centroids: np.ndarray, nprobes: int) -> QueryBlock:

@@ -11,21 +11,21 @@ import dataclasses
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corkscan.functions.matrices import list_array, matrix, unit_rows
 from corkscan.operators.nearest import FOUND_SCHEMA, Nearest, QueryBlock, by_part, search_blocks
-from corkscan.operators.partitioned import NUM_PROBES, only_probed, probing_block, training_rows
+from corkscan.operators.partitioned import MEAN_PLACES, NUM_PROBES, TRAINING_STEPS, only_probed, probing_block
 
 # Numbers per sub-vector (64 sub-vectors of 256 numbers) and the
 # code words of each.
 SUB_DIM = 4
 WORDS = 256
 
-TRAINING_ROWS_PER_WORD = 256
 # Rows compared with all words at a time: a block that stays in the cache.
 ROWS_PER_TILE = 1_024
 CODES_SCHEMA = "part_id INT, id BIGINT, codes ARRAY<SMALLINT>"
@@ -67,64 +67,55 @@ def nearest_word(points: np.ndarray, words: np.ndarray) -> np.ndarray:
     nearest = np.empty(len(points), np.int64)
     for start in range(0, len(points), ROWS_PER_TILE):
         rows = slice(start, start + ROWS_PER_TILE)
-        nearest[rows] = np.argmin(base - 2.0 * (points[rows] @ words.T), axis=1)
+        nearest[rows] = np.argmin(np.round(base - 2.0 * (points[rows] @ words.T), 12), axis=1)
     return nearest
 
 
-def _settle(points: np.ndarray, words: np.ndarray, iterations: int) -> np.ndarray:
-    """Move each word to the mean of the points nearest to it, some times over."""
-    for _ in range(iterations):
-        nearest = nearest_word(points, words)
-        counts = np.bincount(nearest, minlength=len(words))
-        sums = np.stack([np.bincount(nearest, column, len(words)) for column in points.T], axis=1)
-        moved = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], words)
-        if np.allclose(moved, words, rtol=0.0, atol=1e-9):
-            break
-        words = moved
-    return words
-
+def words_step(assigned: DataFrame, model: Quantiser) -> DataFrame:
+    """(m, code, n, word): the mean of the sub-vectors nearest to each code word.
 
-def _cut(assigned: DataFrame, centroids: np.ndarray, sub_dim: int) -> DataFrame:
-    """(m, ids, points): for each Arrow batch and sub-vector, its part of what is
-    left of the vectors, end to end."""
+    Each task adds up its own rows: one row per code word and task is shuffled.
+    """
+    subs, words, sub_dim = model.words.shape
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, sums = np.zeros((subs, words), np.int64), np.zeros((subs, words, sub_dim))
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            ids = batch["id"].to_numpy(zero_copy_only=False)
-            rest = residuals(matrix(batch["vector"]), batch["part_id"].to_numpy(zero_copy_only=False), centroids, sub_dim)
-            subs = rest.shape[1]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.arange(subs, dtype=np.int32)),
-                    list_array(np.tile(ids, (subs, 1)), pa.int64()),
-                    list_array(np.ascontiguousarray(rest.transpose(1, 0, 2)).reshape(subs, -1), pa.float64()),
-                ],
-                ["m", "ids", "points"],
-            )
-
-    rows = assigned.select(F.col("id").cast("bigint").alias("id"), "vector", F.col("part_id").cast("int").alias("part_id"))
-    return rows.mapInArrow(cut, "m INT, ids ARRAY<BIGINT>, points ARRAY<DOUBLE>")
+            if batch.num_rows:
+                parts = batch["part_id"].to_numpy(zero_copy_only=False)
+                rest = model.residuals(matrix(batch["vector"]), parts)
+                for m in range(subs):
+                    code = nearest_word(rest[:, m], model.words[m])
+                    counts[m] += np.bincount(code, minlength=words)
+                    np.add.at(sums[m], code, rest[:, m])
+        m, code = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(m.astype(np.int32)), pa.array(code.astype(np.int32)), pa.array(counts[m, code]), list_array(sums[m, code], pa.float64())],
+            ["m", "code", "n", "sums"])
+
+    rows = assigned.select("vector", F.col("part_id").cast("int").alias("part_id"))
+    sums = rows.mapInArrow(add_up, "m INT, code INT, n BIGINT, sums ARRAY<DOUBLE>")
+    total = sums.groupBy("m", "code").agg(
+        F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))
+    return total.select("m", "code", "n", F.transform("sums", lambda x: x / F.col("n")).alias("word"))
 
 
 def train_words(assigned: DataFrame, centroids: np.ndarray, sub_dim: int = SUB_DIM, words: int = WORDS,
-                iterations: int = 20, seed: int = 37) -> DataFrame:
-    """(m, code, word): code words for each sub-vector, from ``assigned`` rows.
+                steps: int = TRAINING_STEPS) -> Quantiser:
+    """Code words for each sub-vector of the ``assigned`` rows.
 
-    Training looks at a bounded number of rows, so that the sub-vectors with one
-    ``m`` fit a task; the table as a whole is encoded afterwards.
+    Begins with the rows of the lowest ids. Every step looks at every row and brings
+    one row per code word to the driver; a word that is nearest to nothing stays.
     """
-    sample = training_rows(assigned, words * TRAINING_ROWS_PER_WORD, seed)
-
-    def train(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        ids = np.concatenate(rows["ids"].to_list())
-        points = np.concatenate(rows["points"].to_list()).reshape(len(ids), sub_dim)[np.argsort(ids, kind="stable")]
-        picked = np.random.default_rng(seed + int(key[0])).permutation(len(points))[:words]
-        settled = _settle(points, points[np.sort(picked)], iterations)
-        return pd.DataFrame({"m": int(key[0]), "code": range(len(settled)), "word": list(settled)})
-
-    return _cut(sample, centroids, sub_dim).groupBy("m").applyInPandas(train, "m INT, code INT, word ARRAY<DOUBLE>")
+    model = lowest_id_words(assigned, centroids, sub_dim, words)
+    for _ in range(steps):
+        moved = model.words.copy()
+        for row in words_step(assigned, model).collect():
+            moved[row["m"], row["code"]] = np.round(row["word"], MEAN_PLACES)
+        if np.array_equal(moved, model.words):
+            break
+        model = Quantiser(centroids, moved)
+    return model
 
 
 def lowest_id_words(assigned: DataFrame, centroids: np.ndarray, sub_dim: int = SUB_DIM, words: int = WORDS) -> Quantiser:
@@ -134,6 +125,13 @@ def lowest_id_words(assigned: DataFrame, centroids: np.ndarray, sub_dim: int = S
     return Quantiser(centroids, np.ascontiguousarray(rest.transpose(1, 0, 2)))
 
 
+def sub_vector_size(dim: int, num_sub_vectors: int) -> int:
+    """Numbers in each of ``num_sub_vectors`` parts of a vector of ``dim`` numbers."""
+    if num_sub_vectors < 1 or dim % num_sub_vectors:
+        raise ValueError(f"vectors of {dim} numbers cannot be cut into {num_sub_vectors} sub-vectors of one size")
+    return dim // num_sub_vectors
+
+
 def quantiser(centroids: np.ndarray, words: DataFrame) -> Quantiser:
     """Bring the code words, a fixed number of rows, to the driver."""
     rows = words.orderBy("m", "code").toArrow()

@@ -13,7 +13,7 @@ from corkscan.functions.text import tokens
 # A batch has a proven size if it holds at most so many queries, or at most so
 # many distinct texts, none of them longer than so many characters, with at most
 # so many words in all. Its texts are broadcast, and their words are written into
-# the scan's filter; any other batch is joined by shuffle.
+# the scan's filter; any other batch is joined by shuffle. The results are the same.
 FEW_QUERIES = 10_000
 FEW_TEXTS = 5_000
 SHORT_TEXT_CHARS = 4_000
@@ -24,15 +24,13 @@ FEW_RESULTS = 100_000
 
 @dataclasses.dataclass(frozen=True)
 class QueryBatch:
-    """Queries (query_id, query) and what is known of their distinct texts.
+    """Queries (query_id, query) and, if their distinct texts are few, those texts.
 
-    ``few`` holds (text_id, query, words) of the texts if they are few, and
-    ``askers`` the query ids of each text if the queries are few, too.
+    ``few`` holds (text_id, query, words). It changes the plan, and nothing else.
     """
 
     queries: DataFrame
     few: list[Row] | None = None
-    askers: dict[int, list[int]] | None = None
 
     def texts(self) -> DataFrame:
         """(text_id, query) of the distinct texts, from the driver if they are few."""
@@ -45,54 +43,41 @@ class QueryBatch:
 
 
 def distinct_texts(queries: DataFrame) -> DataFrame:
-    """(text_id, query) of each distinct text; the id is its lowest query id.
+    """(text_id, query) of each distinct text; the id is a hash of the text, so that
+    query ids may be of any type, null, or repeated.
 
     A text that makes up a third of the batch is one row per task before the
     shuffle.
     """
-    return queries.groupBy("query").agg(F.min("query_id").cast("bigint").alias("text_id"))
+    return queries.where("query IS NOT NULL").groupBy("query").agg(F.xxhash64("query").alias("text_id"))
 
 
 def read_batch(queries: DataFrame, joined: bool = False) -> QueryBatch:
     """Look at the batch, but no further than up to the sizes above."""
+    words = tokens(F.col("query"), joined)
     short = F.length("query") <= SHORT_TEXT_CHARS
-    shortened = [
-        F.when(short, F.col("query")).alias("query"),
-        F.when(short, tokens(F.col("query"), joined)).alias("words"),
-    ]
+    shown = [F.xxhash64("query").alias("text_id"), F.when(short, F.col("query")).alias("query"), F.size(words).alias("n")]
     asked = queries.where("query IS NOT NULL")
-    seen = asked.select(F.col("query_id").cast("bigint").alias("query_id"), *shortened).limit(FEW_QUERIES + 1).collect()
+    seen = asked.select(*shown).limit(FEW_QUERIES + 1).collect()
+    if len(seen) > FEW_QUERIES and all(r.query is not None for r in seen):
+        seen = distinct_texts(asked).select(*shown).limit(FEW_TEXTS + 1).collect()
+        if len(seen) > FEW_TEXTS:
+            return QueryBatch(asked)
     if any(r.query is None for r in seen):
         return QueryBatch(asked)
-    if len(seen) <= FEW_QUERIES and _few_words(seen):
-        ids: dict[str, list[int]] = {}
-        words = {}
-        for r in seen:
-            ids.setdefault(r.query, []).append(r.query_id)
-            words[r.query] = r.words
-        few = [Row(text_id=min(of), query=query, words=words[query]) for query, of in ids.items()]
-        return QueryBatch(asked, few, {min(of): of for of in ids.values()})
-    seen = distinct_texts(asked).select("text_id", *shortened).limit(FEW_TEXTS + 1).collect()
-    small = len(seen) <= FEW_TEXTS and all(r.query is not None for r in seen) and _few_words(seen)
-    return QueryBatch(asked, seen if small else None)
-
-
-def _few_words(seen: list[Row]) -> bool:
-    return sum(len(words) for words in {r.query: r.words for r in seen}.values()) <= FEW_WORDS
+    few = {r.query: r for r in seen}
+    if sum(r.n for r in few.values()) > FEW_WORDS:
+        return QueryBatch(asked)
+    texts = QueryBatch(asked, list(few.values())).texts()
+    return QueryBatch(asked, texts.select("text_id", "query", words.alias("words")).collect())
 
 
 def per_query(batch: QueryBatch, results: DataFrame, k: int) -> DataFrame:
     """Hand the results of each text to all queries that have this text.
 
-    ``results`` has a ``text_id``, and at most ``k`` rows for each.
+    ``results`` has a ``text_id``, and at most ``k`` rows for each. Query ids keep
+    their type, and null is an id like any other.
     """
-    if batch.askers is not None:
-        asked = batch.queries.sparkSession.createDataFrame(pa.table({
-            "text_id": pa.array(list(batch.askers), pa.int64()),
-            "query_id": pa.array(list(batch.askers.values()), pa.list_(pa.int64())),
-        }))
-        rest = [c for c in results.columns if c != "text_id"]
-        return results.join(F.broadcast(asked), "text_id").select(F.explode("query_id").alias("query_id"), *rest)
     named = batch.texts().join(results, "text_id").drop("text_id")
     if batch.few is not None and len(batch.few) * k <= FEW_RESULTS:
         named = F.broadcast(named)

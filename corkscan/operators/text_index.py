@@ -16,9 +16,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corkscan.functions.text import tokens
+from corkscan.functions.text import quoted, tokens
 from corkscan.sources.versions import read_if_there
 
+# Text in a bucket of postings, unless told otherwise.
+BUCKET_BYTES = 256 << 20
+
 POSTINGS_SCHEMA = "field STRING, term STRING, doc_id BIGINT, tf BIGINT, doc_len BIGINT, batch INT"
 FREQ_SCHEMA = "field STRING, term STRING, df BIGINT"
 STATS_SCHEMA = "field STRING, n BIGINT, total_len BIGINT, avgdl DOUBLE, buckets INT, joined BOOLEAN, folder STRING"
@@ -150,16 +153,19 @@ def build_text_index(docs: DataFrame, root: str, id_column: str, fields: Sequenc
     An index that is there already is an error, unless ``replace`` is set: then
     the new one becomes its next version, with postings of its own. Texts are
     shuffled once, by document, into the buckets; words are counted and written
-    there without another shuffle. Size ``buckets`` to some hundred megabytes of
-    text each; it is the session's shuffle width if not given.
+    there without another shuffle. There are so many ``buckets`` that each holds
+    about ``BUCKET_BYTES`` of text, and not fewer than the session's shuffle width,
+    if none are given. Identifiers that repeat are an error: a document is one row.
     """
     spark = docs.sparkSession
     last = _newest(spark, root)
     if last is not None and not replace:
         raise FileExistsError(f"there is a text index under {root}; replace it or choose another folder")
     version = 0 if last is None else last + 1
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    _require_none(repeated_ids(docs, id_column), "identifiers repeat")
+    buckets = buckets or _buckets_for(docs, fields)
     folder, table = f"postings-{version}", _new_table_name()
+    _write_ids(docs, id_column, f"{root}/{folder}-ids", version)
     rows = _spread_postings(docs, id_column, fields, buckets, joined)
     _write_postings(rows, f"{root}/{folder}", table, buckets, version, "errorifexists")
     written = spark.table(table)
@@ -167,6 +173,36 @@ def build_text_index(docs: DataFrame, root: str, id_column: str, fields: Sequenc
         spark, root, folder, table, buckets, version, joined, term_doc_freq(written), _stats_of(written, fields))
 
 
+def repeated_ids(docs: DataFrame, id_column: str) -> DataFrame:
+    """(doc_id, n): identifiers of several rows; only identifiers are shuffled."""
+    ids = docs.groupBy(F.col(id_column).cast("bigint").alias("doc_id")).agg(F.count("*").alias("n"))
+    return ids.where("n > 1")
+
+
+def known_ids(index: "TextIndex", docs: DataFrame, id_column: str) -> DataFrame:
+    """(doc_id): identifiers of ``docs`` that the index holds already."""
+    old = index.spark.read.schema("doc_id BIGINT, batch INT").parquet(f"{index.root}/{index.folder}-ids")
+    old = old.where(F.col("batch") <= index.version).select("doc_id")
+    return docs.select(F.col(id_column).cast("bigint").alias("doc_id")).distinct().join(old, "doc_id", "left_semi")
+
+
+def _require_none(ids: DataFrame, what: str) -> None:
+    first = ids.limit(1).collect()
+    if first:
+        raise ValueError(f"{what}, the first is {first[0].doc_id}; nothing was written")
+
+
+def _write_ids(docs: DataFrame, id_column: str, path: str, batch: int) -> None:
+    ids = docs.select(F.col(id_column).cast("bigint").alias("doc_id"))
+    ids.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def _buckets_for(docs: DataFrame, fields: Sequence[str]) -> int:
+    size = sum((F.coalesce(F.octet_length(F.col(name)), F.lit(0)).cast("bigint") for name in fields), F.lit(0).cast("bigint"))
+    total = docs.agg(F.sum(size)).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
+
+
 def _spread_postings(docs: DataFrame, id_column: str, fields: Sequence[str], buckets: int, joined: bool) -> DataFrame:
     texts = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), *fields)
     return postings(texts.repartition(buckets, "doc_id"), "doc_id", fields, joined)
@@ -192,14 +228,18 @@ def append_text_index(index: TextIndex, docs: DataFrame, id_column: str) -> Text
     """Add documents that the index does not hold yet; old postings stay put.
 
     Frequencies and sizes of the new rows are added to the published ones, so
-    that no posting is counted again.
+    that no posting is counted again. An identifier that repeats, or that the
+    index holds already, is an error before anything is written.
     """
     spark, batch = index.spark, index.version + 1
+    _require_none(repeated_ids(docs, id_column), "identifiers repeat")
+    _require_none(known_ids(index, docs, id_column), "the index holds documents already")
     if not spark.table(index.table).where(F.col("batch") >= batch).isEmpty():
         raise ValueError(f"{index.root} holds a batch {batch}: open the newest version, or replace the index "
                          "if an append was broken off")
     fields = sorted(index.n)
     rows = _spread_postings(docs, id_column, fields, index.buckets, index.joined)
+    _write_ids(docs, id_column, f"{index.root}/{index.folder}-ids", batch)
     _write_postings(rows, f"{index.root}/{index.folder}", index.table, index.buckets, batch, "append")
     new = spark.table(index.table).where(F.col("batch") == batch)
     freq = (
@@ -231,7 +271,7 @@ def open_text_index(spark: SparkSession, root: str, version: int | None = None,
         table = _new_table_name()
         spark.sql(
             f"CREATE TABLE {table} ({POSTINGS_SCHEMA}) USING parquet "
-            f"CLUSTERED BY (doc_id) SORTED BY (field, term) INTO {buckets} BUCKETS LOCATION '{root}/{folder}'"
+            f"CLUSTERED BY (doc_id) SORTED BY (field, term) INTO {buckets} BUCKETS LOCATION {quoted(f'{root}/{folder}')}"
         )
     else:
         spark.catalog.refreshTable(table)
