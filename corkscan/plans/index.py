@@ -32,9 +32,12 @@ class VectorIndex:
 
 
 def build_vector_index(vectors: DataFrame, root: str, partitions: int = partitioned.NUM_PARTITIONS,
-                       sub_dim: int = quantised.SUB_DIM, words: int = quantised.WORDS, iterations: int = 20,
-                       seed: int = 37, replace: bool = False) -> VectorIndex:
-    """Train, assign and encode ``vectors`` (id, vector) and publish the result.
+                       sub_dim: int = quantised.SUB_DIM, words: int = quantised.WORDS,
+                       iterations: int = partitioned.TRAINING_STEPS, replace: bool = False,
+                       num_sub_vectors: int | None = None) -> VectorIndex:
+    """Train on, assign and encode all ``vectors`` (id, vector) and publish the result.
+
+    Sub-vectors have ``sub_dim`` numbers, or there are ``num_sub_vectors`` of them.
 
     An index that is there already is an error, unless ``replace`` is set: then
     the new one becomes its next version.
@@ -43,13 +46,14 @@ def build_vector_index(vectors: DataFrame, root: str, partitions: int = partitio
     version = next_version(spark, root, replace)
     path = version_path(root, version)
     rows = vectors.select(F.col("id").cast("bigint").alias("id"), F.col("vector").cast("array<float>").alias("vector"))
-    centroids = partitioned.train_centroids(rows, partitions, seed, iterations)
+    centroids = partitioned.train_centroids(rows, partitions, iterations)
+    dim = centroids.shape[1]
+    sub_dim = quantised.sub_vector_size(dim, num_sub_vectors or max(dim // sub_dim, 1))
     _centroid_rows(spark, centroids).coalesce(1).write.parquet(f"{path}/ivf_centroids")
     write_table(partitioned.assign_partitions(rows, centroids), f"{path}/vectors", partition_by="part_id")
     assigned = spark.read.schema(VECTORS_SCHEMA).parquet(f"{path}/vectors")
-    trained = quantised.train_words(assigned, centroids, sub_dim, words, iterations, seed)
-    write_table(trained, f"{path}/pq_codebooks")
-    model = read_model(spark, path)
+    model = quantised.train_words(assigned, centroids, sub_dim, words, iterations)
+    write_table(_word_rows(spark, model.words).coalesce(1), f"{path}/pq_codebooks")
     write_table(quantised.encode(assigned, model), f"{path}/pq_codes", partition_by="part_id")
     publish(spark, root, version)
     return open_vector_index(spark, root, version)
@@ -61,6 +65,14 @@ def _centroid_rows(spark: SparkSession, centroids: np.ndarray) -> DataFrame:
     }))
 
 
+def _word_rows(spark: SparkSession, words: np.ndarray) -> DataFrame:
+    subs, count, sub_dim = words.shape
+    return spark.createDataFrame(pa.table({
+        "m": pa.array(np.repeat(np.arange(subs), count), pa.int32()), "code": pa.array(np.tile(np.arange(count), subs), pa.int32()),
+        "word": list_array(words.reshape(-1, sub_dim), pa.float64()),
+    }))
+
+
 def read_model(spark: SparkSession, path: str) -> quantised.Quantiser:
     centroids = spark.read.schema(CENTROIDS_SCHEMA).parquet(f"{path}/ivf_centroids").orderBy("part_id").toArrow()
     words = spark.read.schema(WORDS_SCHEMA).parquet(f"{path}/pq_codebooks")

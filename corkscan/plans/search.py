@@ -39,14 +39,14 @@ def nearest_quantised(index: VectorIndex, queries: DataFrame, encoder: Encoder,
 
 
 def search_vectors(index: VectorIndex, records: DataFrame, queries: DataFrame, encoder: Encoder, k: int = 10,
-                   nprobes: int = partitioned.NUM_PROBES, buckets: int | None = None) -> DataFrame:
+                   nprobes: int = partitioned.NUM_PROBES, buckets: int | None = None, dim: int = EMBEDDING_DIM) -> DataFrame:
     """Result fields, rank and ``_distance`` of the nearest ``k`` records of each query."""
-    best = nearest_quantised(index, queries, encoder, k, nprobes)
+    best = nearest_quantised(index, queries, encoder, k, nprobes, dim)
     return fetch_fields(best, records, "_distance", buckets)
 
 
 def search_by_script(vectors: DataFrame, records: DataFrame, queries: DataFrame, encoder: Encoder, k: int = 10,
-                     buckets: int | None = None) -> DataFrame:
+                     buckets: int | None = None, dim: int = EMBEDDING_DIM) -> DataFrame:
     """Result fields, rank and ``_score`` (cosine + 1) over all vectors."""
-    best = nearest.script_score(nearest_exact(vectors, queries, encoder, k))
+    best = nearest.script_score(nearest_exact(vectors, queries, encoder, k, dim))
     return fetch_fields(best, records, "_score", buckets)

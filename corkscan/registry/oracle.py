@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from corkscan.registry.fixed import DOCUMENT_LINES, KEYWORD_LINES
-from corkscan.registry.workspace import DIM, PARTITIONS
+from corkscan.registry.workspace import DIM, PARTITIONS, TRAINING_STEPS
 from corkscan.schemas import ANALYZED_FIELDS
 
 WORD = r"[\p{L}\p{M}\p{N}_]+"
@@ -55,7 +55,8 @@ raw AS (
          ELSE n_name END AS country,
     s_name AS winery,
     p_partkey % 5 = 0 AS has_extras, 1990 + p_size % 30 AS vintage,
-    CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE p_type END AS notes, p_name
+    CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE p_type END AS notes, p_name,
+    '{{"red":' || (p_partkey % 2 = 0)::VARCHAR || ',"share":' || p_size::VARCHAR || '}}' AS grapes
   FROM part
   JOIN documents ON doc_id = p_partkey % (SELECT count(*) FROM documents)
   JOIN supplier ON s_suppkey = p_partkey % (SELECT count(*) FROM supplier)
@@ -75,7 +76,7 @@ records AS (
     {_strip('province')} AS province, {_strip('region_1')} AS region_1, region_2,
     {_strip('taster_name')} AS taster_name, {_strip('taster_twitter_handle')} AS taster_twitter_handle,
     {_strip("concat_ws(' ', nullif(variety, ''), nullif(title, ''), nullif(description, ''))")} AS to_vectorize,
-    has_extras, vintage, notes
+    has_extras, vintage, notes, grapes
   FROM raw WHERE NOT broken AND points <> 'x' AND title IS NOT NULL AND NOT no_price
 )"""
 
@@ -162,11 +163,49 @@ means AS (
 mean_vectors AS (SELECT label::BIGINT AS query_id, list(x ORDER BY pos)::FLOAT[] AS q FROM means GROUP BY ALL),
 asking AS (SELECT query_id, {_unit('q')} AS q FROM mean_vectors)"""
 
-CENTROIDS = UNITS + f""",
-centroids AS (
+def _trained_centroids(steps: int) -> str:
+    """The vectors of the lowest ids, moved to the means of what is nearest to them, some times."""
+    parts = [f"""
+centroids0 AS MATERIALIZED (
   SELECT (row_number() OVER (ORDER BY vec_id) - 1)::INTEGER AS part_id, u AS c FROM units
-  QUALIFY row_number() OVER (ORDER BY vec_id) <= {PARTITIONS}),
-assigned AS (
+  QUALIFY row_number() OVER (ORDER BY vec_id) <= {PARTITIONS})"""]
+    for n in range(1, steps + 1):
+        parts.append(f"""
+member{n} AS (
+  SELECT vec_id, u, part_id FROM units, centroids{n - 1}
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(list_dot_product(u, c), 12) DESC, part_id) = 1),
+cells{n} AS (
+  SELECT part_id, pos, round(avg(x), 9) AS x
+  FROM (SELECT part_id, unnest(u) AS x, unnest(range(1, {DIM} + 1)) AS pos FROM member{n}) GROUP BY ALL),
+means{n} AS (SELECT part_id, list(x ORDER BY pos) AS v FROM cells{n} GROUP BY ALL),
+centroids{n} AS MATERIALIZED (
+  SELECT part_id, CASE WHEN v IS NULL THEN c ELSE {_unit('v')} END AS c
+  FROM centroids{n - 1} LEFT JOIN means{n} USING (part_id))""")
+    return ",".join(parts)
+
+
+def _trained_words(steps: int) -> str:
+    """The sub-vectors of the lowest ids, moved in the same way."""
+    parts = [f"""
+words0 AS MATERIALIZED (SELECT m, code::INTEGER AS code, p AS w FROM subs JOIN firsts USING (vec_id))"""]
+    nearest = "round(list_dot_product(w, w) - 2 * list_dot_product(p, w), 12), code"
+    for n in range(1, steps + 1):
+        parts.append(f"""
+near{n} AS (
+  SELECT m, code, p FROM subs JOIN words{n - 1} USING (m)
+  QUALIFY row_number() OVER (PARTITION BY vec_id, m ORDER BY {nearest}) = 1),
+word_cells{n} AS (
+  SELECT m, code, pos, round(avg(x), 9) AS x
+  FROM (SELECT m, code, unnest(p) AS x, unnest(range(1, {SUB_DIM} + 1)) AS pos FROM near{n}) GROUP BY ALL),
+word_means{n} AS (SELECT m, code, list(x ORDER BY pos) AS v FROM word_cells{n} GROUP BY ALL),
+words{n} AS MATERIALIZED (
+  SELECT m, code, coalesce(v, w) AS w FROM words{n - 1} LEFT JOIN word_means{n} USING (m, code))""")
+    return ",".join(parts)
+
+
+CENTROIDS = UNITS + "," + _trained_centroids(TRAINING_STEPS) + f""",
+centroids AS (SELECT part_id, c FROM centroids{TRAINING_STEPS}),
+assigned AS MATERIALIZED (
   SELECT vec_id, u, part_id, c FROM units, centroids
   QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(list_dot_product(u, c), 12) DESC, part_id) = 1),
 probes AS (
@@ -177,11 +216,12 @@ probes AS (
 CODES = CENTROIDS + f""",
 rests AS (
   SELECT vec_id, part_id, c, list_transform(range(1, {DIM} + 1), lambda i: u[i] - c[i]) AS r FROM assigned),
-subs AS (
+subs AS MATERIALIZED (
   SELECT vec_id, part_id, m::INTEGER AS m, r[m * {SUB_DIM} + 1 : m * {SUB_DIM} + {SUB_DIM}] AS p
   FROM rests, range({DIM // SUB_DIM}) AS g(m)),
 firsts AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS code FROM units QUALIFY code < {WORDS}),
-code_words AS (SELECT m, code::INTEGER AS code, p AS w FROM subs JOIN firsts USING (vec_id)),
+""" + _trained_words(TRAINING_STEPS) + f""",
+code_words AS (SELECT m, code, w FROM words{TRAINING_STEPS}),
 codes AS (
   SELECT vec_id, part_id, m, code, w FROM subs JOIN code_words USING (m)
   QUALIFY row_number() OVER (PARTITION BY vec_id, m
@@ -262,6 +302,12 @@ SELECT position, CASE WHEN p_partkey % 47 <> 0 THEN p_partkey + 1 END AS id
 FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS position FROM part)
 ORDER BY position LIMIT (SELECT count(*) // 2 FROM part)""",
     "table_append": "SELECT s_suppkey, s_name FROM supplier UNION ALL SELECT s_suppkey, s_name FROM supplier",
+    "overwrite_keeps_old": f"WITH {RECORDS} SELECT id, points, title FROM records",
+    "quarantined_lines": f"""WITH {REJECTS}
+SELECT CASE WHEN NOT broken THEN k + 1 END AS id, array_to_string(reasons, ',') AS reasons FROM rejects""",
+    "keyed_load_twice": f"WITH {RECORDS} SELECT id::VARCHAR AS _id, points, title FROM records",
+    "limit_rows_with_blanks": f"""WITH {QUERY_LINES}
+SELECT query_id AS position, '  ' || query || chr(9) AS raw FROM terms WHERE query_id <= (SELECT count(*) // 2 FROM part)""",
     "vector_dim_guard": f"""
 SELECT ({DIM} // 2)::INTEGER AS size, count(*) AS n FROM embeddings WHERE label = 0 HAVING count(*) > 0""",
     "keyed_upsert": """
@@ -284,13 +330,14 @@ FROM raw WHERE NOT broken""",
     "derive_doc_key": f"WITH {RECORDS} SELECT id, id::VARCHAR AS _id FROM records",
     "compose_embed_text": f"WITH {RECORDS} SELECT id, to_vectorize FROM records",
     "extras_passthrough": f"""WITH {RECORDS}
-SELECT id, 'vintage' AS key, vintage::VARCHAR AS value FROM records WHERE has_extras
-UNION ALL SELECT id, 'notes', notes FROM records WHERE has_extras""",
+SELECT id, 'vintage' AS key, 'BIGINT' AS kind, vintage::VARCHAR AS value FROM records WHERE has_extras
+UNION ALL SELECT id, 'notes', CASE WHEN notes IS NULL THEN 'VOID' ELSE 'STRING' END, notes FROM records WHERE has_extras
+UNION ALL SELECT id, 'grapes', 'OBJECT<red: BOOLEAN, share: BIGINT>', grapes FROM records WHERE has_extras""",
     "dump_record": f"""WITH {RECORDS}
-SELECT id, (15 + CASE WHEN has_extras THEN 2 ELSE 0 END)::INTEGER AS keys_with_nulls,
+SELECT id, (15 + CASE WHEN has_extras THEN 3 ELSE 0 END)::INTEGER AS keys_with_nulls,
   (14 - (description IS NULL)::INTEGER - (price IS NULL)::INTEGER - (variety IS NULL)::INTEGER
-    + CASE WHEN has_extras THEN 1 + (notes IS NOT NULL)::INTEGER ELSE 0 END)::INTEGER AS keys_without_nulls,
-  title, price, CASE WHEN has_extras THEN vintage::INTEGER END AS vintage,
+    + CASE WHEN has_extras THEN 2 + (notes IS NOT NULL)::INTEGER ELSE 0 END)::INTEGER AS keys_without_nulls,
+  title, price, CASE WHEN has_extras THEN vintage::VARCHAR ELSE '' END AS vintage, CASE WHEN has_extras THEN grapes ELSE '' END AS grapes,
   length(description)::INTEGER AS description_chars FROM records""",
     "drop_embed_text": f"""WITH {RECORDS}
 SELECT id, points, title, description, price, variety, winery, vineyard, country, province, region_1, region_2,
@@ -332,6 +379,17 @@ SELECT field, term, doc_id, tf, doc_len FROM posts JOIN lens USING (field, doc_i
     "postings_append": f"""WITH {DOCUMENTS}
 SELECT field, term, doc_id, tf, doc_len, df FROM posts JOIN lens USING (field, doc_id) JOIN freqs USING (field, term)""",
     # keyword search
+    "repeated_documents": "SELECT doc_id, 2::BIGINT AS n FROM documents WHERE doc_id % 3 = 0",
+    "known_documents": "SELECT doc_id + 7 AS doc_id FROM documents WHERE doc_id + 7 IN (SELECT doc_id FROM documents)",
+    "bm25_text_ids": f"""WITH {DOCUMENTS}, {_ranked('SELECT item_id AS query_id, text AS query FROM benchmark')}
+SELECT 'q' || query_id AS query_id, doc_id, _score, rank FROM best WHERE rank <= 3
+UNION ALL SELECT CASE WHEN query_id % 2 = 0 THEN 'r' || query_id END, doc_id, _score, rank FROM best WHERE rank <= 3""",
+    "bm25_many_texts": f"""WITH {DOCUMENTS},
+longs AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]{{9,}}') AS words FROM documents),
+numbered AS (SELECT o_orderkey, o_orderkey % (SELECT count(*) FROM documents) AS doc_id FROM orders), {_ranked("""
+  SELECT o_orderkey AS query_id, concat_ws(' ', words[o_orderkey % greatest(len(words), 1) + 1], 'n' || o_orderkey) AS query
+  FROM numbered JOIN longs USING (doc_id)""")}
+SELECT query_id, doc_id, _score, rank FROM best WHERE rank <= 2""",
     "bm25_top10": f"WITH {BEST_DOCUMENTS} SELECT query_id, doc_id, _score, rank FROM best",
     "bm25_benchmark_top10": f"""WITH {DOCUMENTS}, {_ranked('SELECT item_id AS query_id, text AS query FROM benchmark')}
 SELECT query_id, doc_id, _score, rank FROM best""",
@@ -369,6 +427,19 @@ SELECT query_id, doc_id, _distance,
 SELECT part_id, n, slot::INTEGER AS slot, round(value, 6) + 0.0 AS value FROM (
   SELECT part_id, count(*) AS n, slot, avg(x) AS value
   FROM (SELECT part_id, unnest(u) AS x, unnest(range(1, {DIM} + 1)) AS slot FROM assigned) GROUP BY part_id, slot)""",
+    "ivf_train": f"""WITH {CENTROIDS}
+SELECT part_id, slot::INTEGER AS slot, round(value, 6) + 0.0 AS value
+FROM (SELECT part_id, unnest(c) AS value, unnest(range(1, {DIM} + 1)) AS slot FROM centroids)""",
+    "pq_train": f"""WITH {CODES}
+SELECT m, code, slot::INTEGER AS slot, value + 0.0 AS value
+FROM (SELECT m, code, unnest(w) AS value, unnest(range(1, {SUB_DIM} + 1)) AS slot FROM code_words)""",
+    "ivfpq_trained_top10": f"WITH {QUANTISED} SELECT query_id, vec_id, _distance, rank FROM nearest",
+    "pq_recall_at_10": f"""WITH {QUANTISED},
+exact_near AS (SELECT query_id, vec_id, round(1 - list_dot_product(q, u), 6) + 0.0 AS _distance FROM asking, units),
+exact AS (SELECT query_id, vec_id FROM exact_near
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY _distance, vec_id) <= {K})
+SELECT query_id, round(count(nearest.vec_id) / {K}, 6) AS recall
+FROM exact LEFT JOIN nearest USING (query_id, vec_id) GROUP BY ALL""",
     "ivf_assign": f"WITH {CENTROIDS} SELECT vec_id, part_id FROM assigned",
     "ivf_probe": f"WITH {CENTROIDS} SELECT query_id, part_id, probe FROM probes",
     "ivf_flat_top10": f"WITH {FLAT} SELECT query_id, vec_id, _distance, rank FROM nearest",
@@ -394,6 +465,11 @@ SELECT turns.query_id, query FROM turns JOIN terms ON terms.query_id = place""",
     "latency_percentiles": f"WITH {LOG}\n" + " UNION ALL ".join(
         f"SELECT search, {p}::DOUBLE AS p, round(quantile_cont(latency_ms, {p / 100}), 6) AS latency_ms FROM log GROUP BY search"
         for p in (50, 95, 99)),
+    "latency_percentiles_null": f"WITH {LOG}\n" + " UNION ALL ".join(
+        f"SELECT nullif(search, 'error') AS search, {p}::DOUBLE AS p, round(quantile_cont(latency_ms, {p / 100}), 6) AS latency_ms "
+        "FROM log GROUP BY search" for p in (50, 95, 99)),
+    "trial_metrics_null": f"""WITH {LOG} SELECT nullif(search, 'error') AS search, trial, round(success, 6) AS success,
+  round(p50_ms, 6) AS p50_ms FROM measured""",
     "trial_metrics": f"WITH {LOG} SELECT search, trial, {_rounded()} FROM measured",
     "trial_averages": f"WITH {LOG} SELECT search, runs, {_rounded('_avg')} FROM averaged",
     "report_rows": f"""WITH {LOG}

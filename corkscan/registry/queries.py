@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +16,9 @@ from corkscan.operators import (
     embedding, keyword, metrics, nearest, partitioned, quantised, results, text_index, validation, workload,
 )
 from corkscan.operators.queries import distinct_texts
-from corkscan.plans import index as index_plan
+from corkscan.plans import index as index_plan, ingest
 from corkscan.plans import search
-from corkscan.registry.workspace import BUCKETS, DIM, PARTITIONS, Workspace, in_key_order, workspace
+from corkscan.registry.workspace import BUCKETS, DIM, TRAINING_STEPS, Workspace, in_key_order, workspace
 from corkscan.schemas import ANALYZED_FIELDS, RECORD_FIELDS
 from corkscan.sources import lines, tables
 from corkscan.storage import new_path
@@ -102,6 +103,13 @@ def _write_query_lines(w: Workspace) -> str:
     return path
 
 
+@query
+def limit_rows_with_blanks(w: Workspace) -> DataFrame:
+    """The first half of lines of which every ninth is blank: only records count."""
+    rows = lines.read_json_lines(w.spark, _write_query_lines(w), with_position=True)
+    return lines.first_rows(rows, w.table("part").count() // 2)
+
+
 @query
 def query_terms(w: Workspace) -> DataFrame:
     return lines.read_query_lines(w.spark, _write_query_lines(w))
@@ -122,6 +130,40 @@ def table_append(w: Workspace) -> DataFrame:
     return w.spark.read.schema(rows.schema).parquet(path)
 
 
+@query
+def overwrite_keeps_old(w: Workspace) -> DataFrame:
+    """An overwrite that meets an invalid record leaves the records that were there."""
+    path, encoder = new_path(w.spark, "overwritten"), HashingEncoder(8)
+    ingest.load_records(w.spark, w.reviews_path, path, encoder, on_invalid=ingest.QUARANTINE, dim=8)
+    try:
+        ingest.load_records(w.spark, w.reviews_path, path, encoder, overwrite=True, dim=8)
+    except PySparkException:
+        pass
+    return ingest.read_records(w.spark, path).select("id", "points", "title")
+
+
+@query
+def quarantined_lines(w: Workspace) -> DataFrame:
+    """The lines that a load has set aside, published with it."""
+    path = new_path(w.spark, "quarantined")
+    ingest.load_records(w.spark, w.reviews_path, path, HashingEncoder(8), on_invalid=ingest.QUARANTINE, dim=8)
+    rejected = ingest.read_rejected(w.spark, path)
+    return rejected.select(F.get_json_object("raw", "$.id").cast("bigint").alias("id"), F.array_join("reasons", ",").alias("reasons"))
+
+
+@query
+def keyed_load_twice(w: Workspace) -> DataFrame:
+    """A keyed table after a load of valid records and another of some of them."""
+    path, lines_path = new_path(w.spark, "keyed"), new_path(w.spark, "keyed-lines")
+    valid = validation.accepted(w.checked()).select("id")
+    rows = w.review_lines().join(valid, "id", "left_semi")
+    rows.select("value").write.text(f"{lines_path}/all")
+    rows.where(F.col("id") % 10 == 0).select("value").write.text(f"{lines_path}/some")
+    for part in ("all", "some"):
+        ingest.load_keyed(w.spark, f"{lines_path}/{part}", path, HashingEncoder(8), dim=8, buckets=4)
+    return ingest.read_keyed(w.spark, path).select("_id", "points", "title")
+
+
 @query
 def vector_dim_guard(w: Workspace) -> DataFrame:
     short = F.when(F.col("label") == 0, F.slice("embedding", 1, DIM // 2)).otherwise(F.col("embedding"))
@@ -193,7 +235,9 @@ def compose_embed_text(w: Workspace) -> DataFrame:
 
 @query
 def extras_passthrough(w: Workspace) -> DataFrame:
-    return validation.accepted(w.checked()).select("id", F.explode("extras").alias("key", "value"))
+    rows = validation.accepted(w.checked()).select("id", F.explode("extras").alias("key", "value"))
+    kind, text = F.schema_of_variant("value"), F.try_variant_get("value", "$", "string")
+    return rows.select("id", "key", kind.alias("kind"), text.alias("value"))
 
 
 @query
@@ -206,7 +250,8 @@ def dump_record(w: Workspace) -> DataFrame:
         "id", keys("with_nulls"), keys("without_nulls"),
         F.get_json_object("without_nulls", "$.title").alias("title"),
         F.get_json_object("with_nulls", "$.price").cast("double").alias("price"),
-        F.get_json_object("with_nulls", "$.vintage").cast("int").alias("vintage"),
+        F.regexp_extract("with_nulls", '"vintage":([^,}]*)', 1).alias("vintage"),
+        F.regexp_extract("with_nulls", '"grapes":([^}]*})', 1).alias("grapes"),
         F.length(F.get_json_object("without_nulls", "$.description")).alias("description_chars"))
 
 
@@ -284,8 +329,9 @@ def embed_documents(w: Workspace) -> DataFrame:
 
 @query
 def embed_queries(w: Workspace) -> DataFrame:
-    texts = distinct_texts(w.benchmark_queries().unionByName(
-        w.document_queries().withColumn("query_id", F.col("query_id") + 1_000_000)))
+    asked = w.benchmark_queries().unionByName(w.document_queries().withColumn("query_id", F.col("query_id") + 1_000_000))
+    named = asked.groupBy("query").agg(F.min("query_id").alias("query_id"))
+    texts = distinct_texts(asked).join(named, "query").select(F.col("query_id").alias("text_id"), "query")
     return _cells(embedding.embed_texts(texts, HashingEncoder(DIM), DIM), "text_id").where("value <> 0")
 
 
@@ -328,6 +374,42 @@ def postings_append(w: Workspace) -> DataFrame:
 # --- keyword search --------------------------------------------------------------
 
 
+@query
+def repeated_documents(w: Workspace) -> DataFrame:
+    """The identifiers that keep a table that was loaded twice out of an index."""
+    documents = w.table("documents")
+    twice = documents.unionByName(documents.where(F.col("doc_id") % 3 == 0))
+    return text_index.repeated_ids(twice, "doc_id")
+
+
+@query
+def known_documents(w: Workspace) -> DataFrame:
+    """The identifiers that keep documents from being appended to an index that has them."""
+    again = w.table("documents").select((F.col("doc_id") + 7).alias("doc_id"), "text")
+    return text_index.known_ids(w.document_index, again, "doc_id")
+
+
+@query
+def bm25_text_ids(w: Workspace) -> DataFrame:
+    """Query ids of another type, some of them null, for texts that are asked for twice."""
+    asked = w.benchmark_queries()
+    first = asked.select(F.concat(F.lit("q"), F.col("query_id").cast("string")).alias("query_id"), "query")
+    other = asked.select(F.when(F.col("query_id") % 2 == 0, F.concat(F.lit("r"), F.col("query_id").cast("string"))).alias("query_id"), "query")
+    return keyword.keyword_top_k(w.document_index, first.unionByName(other), k=3)
+
+
+@query
+def bm25_many_texts(w: Workspace) -> DataFrame:
+    """A batch of more texts than any bound: for each order a long word of a document and a name."""
+    documents = w.table("documents")
+    long = documents.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{9,}"), 0).alias("words"))
+    orders = w.table("orders").select("o_orderkey", (F.col("o_orderkey") % documents.count()).alias("doc_id"))
+    word = F.get("words", (F.col("o_orderkey") % F.greatest(F.size("words"), F.lit(1))).cast("int"))
+    asked = orders.join(long, "doc_id").select(
+        F.col("o_orderkey").alias("query_id"), F.concat_ws(" ", word, F.concat(F.lit("n"), F.col("o_orderkey").cast("string"))).alias("query"))
+    return keyword.keyword_top_k(w.document_index, asked, k=2)
+
+
 @query
 def bm25_top10(w: Workspace) -> DataFrame:
     return keyword.keyword_top_k(w.document_index, w.document_queries())
@@ -398,13 +480,13 @@ def document_vector_top10(w: Workspace) -> DataFrame:
 
 @query
 def ivf_train(w: Workspace) -> DataFrame:
-    centroids = partitioned.train_centroids(w.vectors(), PARTITIONS)
-    return partitioned.assign_partitions(w.vectors(), centroids).select(F.col("id").alias("vec_id"), "part_id")
+    cells = [(part, slot, float(x)) for part, row in enumerate(w.centroids) for slot, x in enumerate(row, 1)]
+    return w.spark.createDataFrame(cells, "part_id INT, slot INT, x DOUBLE").select("part_id", "slot", _round("x").alias("value"))
 
 
 @query
 def ivf_lloyd_step(w: Workspace) -> DataFrame:
-    moved = partitioned.lloyd_step(w.vectors(), w.start_centroids)
+    moved = partitioned.lloyd_step(w.vectors(), w.centroids)
     cells = moved.select("part_id", "n", F.posexplode("centroid").alias("pos", "x"))
     return cells.select("part_id", "n", (F.col("pos") + 1).alias("slot"), _round("x").alias("value"))
 
@@ -416,42 +498,53 @@ def ivf_assign(w: Workspace) -> DataFrame:
 
 @query
 def ivf_probe(w: Workspace) -> DataFrame:
-    return partitioned.probed_parts(w.label_means(), w.start_centroids).withColumnRenamed("text_id", "query_id")
+    return partitioned.probed_parts(w.label_means(), w.centroids).withColumnRenamed("text_id", "query_id")
 
 
 @query
 def ivf_flat_top10(w: Workspace) -> DataFrame:
-    return _by_text(partitioned.flat_top_k(w.assigned(), w.start_centroids, w.label_means()))
+    return _by_text(partitioned.flat_top_k(w.assigned(), w.centroids, w.label_means()))
 
 
 @query
 def pq_train(w: Workspace) -> DataFrame:
-    words = quantised.train_words(w.assigned(), w.start_centroids)
-    return words.select("m", "code", F.posexplode("word").alias("pos", "x"))
+    cells = [(m, code, slot, float(x)) for m, words in enumerate(w.model.words) for code, word in enumerate(words)
+             for slot, x in enumerate(word, 1)]
+    # Means are rounded in training; rounded once more, halves could go either way.
+    return w.spark.createDataFrame(cells, "m INT, code INT, slot INT, value DOUBLE").withColumn("value", F.col("value") + F.lit(0.0))
 
 
 @query
 def pq_encode(w: Workspace) -> DataFrame:
-    codes = quantised.encode(w.assigned(), w.start_model).select("id", "part_id", F.posexplode("codes").alias("m", "code"))
+    codes = quantised.encode(w.assigned(), w.model).select("id", "part_id", F.posexplode("codes").alias("m", "code"))
     return codes.select(F.col("id").alias("vec_id"), "part_id", "m", F.col("code").cast("int").alias("code"))
 
 
 @query
 def ivfpq_top10(w: Workspace) -> DataFrame:
-    codes = quantised.encode(w.assigned(), w.start_model)
-    return _by_text(quantised.quantised_top_k(codes, w.start_model, w.label_means()))
+    codes = quantised.encode(w.assigned(), w.model)
+    return _by_text(quantised.quantised_top_k(codes, w.model, w.label_means()))
 
 
 @query
 def ivfpq_trained_top10(w: Workspace) -> DataFrame:
-    built = index_plan.build_vector_index(w.vectors(), new_path(w.spark, "vector-index"))
+    built = index_plan.build_vector_index(w.vectors(), new_path(w.spark, "vector-index"), iterations=TRAINING_STEPS)
     return _by_text(quantised.quantised_top_k(built.codes, built.model, w.label_means()))
 
 
+@query
+def pq_recall_at_10(w: Workspace) -> DataFrame:
+    """Recall of the search on codes."""
+    exact = nearest.exact_top_k(w.vectors(), w.label_means())
+    codes = quantised.encode(w.assigned(), w.model)
+    found = quantised.quantised_top_k(codes, w.model, w.label_means())
+    return partitioned.recall(found, exact).select(F.col("text_id").alias("query_id"), _round("recall").alias("recall"))
+
+
 @query
 def ann_recall_at_10(w: Workspace) -> DataFrame:
     exact = nearest.exact_top_k(w.vectors(), w.label_means())
-    found = partitioned.flat_top_k(w.assigned(), w.start_centroids, w.label_means())
+    found = partitioned.flat_top_k(w.assigned(), w.centroids, w.label_means())
     return partitioned.recall(found, exact).select(F.col("text_id").alias("query_id"), _round("recall").alias("recall"))
 
 
@@ -480,6 +573,21 @@ def _figures(df: DataFrame, suffix: str = "") -> DataFrame:
     return df.withColumns({f"{name}{suffix}": _round(f"{name}{suffix}") for name in metrics.FIGURES})
 
 
+@query
+def latency_percentiles_null(w: Workspace) -> DataFrame:
+    """Percentiles where one of the groups is null."""
+    log = w.query_log().withColumn("search", F.when(F.col("search") != "error", F.col("search")))
+    return metrics.percentiles(log, ["search"], "latency_ms").select("search", "p", _round("value").alias("latency_ms"))
+
+
+@query
+def trial_metrics_null(w: Workspace) -> DataFrame:
+    """Figures of trials where one of the searches is null."""
+    known = F.when(F.col("search") != "error", F.col("search"))
+    log, elapsed = (df.withColumn("search", known) for df in (w.query_log(), w.trial_elapsed()))
+    return _figures(metrics.trial_metrics(log, elapsed)).select("search", "trial", "success", "p50_ms")
+
+
 @query
 def trial_metrics(w: Workspace) -> DataFrame:
     return _figures(metrics.trial_metrics(w.query_log(), w.trial_elapsed()))

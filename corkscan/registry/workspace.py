@@ -24,6 +24,7 @@ from corkscan.storage import materialise, new_path
 DIM = 64  # size of the vectors in the table ``embeddings``
 BUCKETS = 8
 PARTITIONS = 16
+TRAINING_STEPS = 2  # so few that the same steps can be written out in SQL
 
 _workspaces: dict[tuple[str, str], "Workspace"] = {}
 
@@ -100,6 +101,7 @@ class Workspace:
             entry("winery", F.col("s_name")),
             entry("vintage", 1990 + F.col("p_size") % 30, every(5)),
             entry("notes", F.when(every(10), null).otherwise(F.col("p_type")), every(5)),
+            entry("grapes", F.struct(F.col("p_size").alias("share"), (key % 2 == 0).alias("red")), every(5)),
             entry("id", key + 1),
         ]
         line = F.concat(F.lit("{"), F.concat_ws(",", *entries), F.lit("}"))
@@ -166,15 +168,15 @@ class Workspace:
         return materialise(embedded.select("id", "vector"), "document-vectors")
 
     @functools.cached_property
-    def start_centroids(self):
-        return partitioned.lowest_id_centroids(self.vectors(), PARTITIONS)
+    def centroids(self):
+        return partitioned.train_centroids(self.vectors(), PARTITIONS, TRAINING_STEPS)
 
     def assigned(self) -> DataFrame:
-        return partitioned.assign_partitions(self.vectors(), self.start_centroids)
+        return partitioned.assign_partitions(self.vectors(), self.centroids)
 
     @functools.cached_property
-    def start_model(self) -> quantised.Quantiser:
-        return quantised.lowest_id_words(self.assigned(), self.start_centroids)
+    def model(self) -> quantised.Quantiser:
+        return quantised.train_words(self.assigned(), self.centroids, steps=TRAINING_STEPS)
 
     # --- query log -----------------------------------------------------------
 

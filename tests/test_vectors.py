@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from corkscan.functions.encoders import HashingEncoder, ModelEncoder, vector_of
 from corkscan.functions.matrices import best_rows, matrix
-from corkscan.functions.models import sentence_encoder
 from corkscan.operators import embedding, nearest, partitioned, quantised
 from corkscan.plans import index as index_plan
 from corkscan.storage import materialise, new_path
@@ -182,16 +181,20 @@ def test_hashing_encoder(spark):
     assert np.allclose(made[2], made[3])
 
 
-def test_training_rows_are_bounded(vectors):
-    assert partitioned.training_rows(vectors, 500, 1) is vectors
-    assert 50 < partitioned.training_rows(vectors, 100, 1).count() < 160
-    assert partitioned.train_centroids(vectors, 4, sample_rows=100, max_iter=3).shape == (4, 64)
+def test_training_looks_at_every_row(spark):
+    """Two far groups: the lowest ids all lie in one, and the means find both."""
+    rows = [(i, [1.0, 0.01 * i]) for i in range(10)] + [(i, [0.01 * i, 1.0]) for i in range(10, 40)]
+    frame = spark.createDataFrame(rows, "id BIGINT, vector ARRAY<FLOAT>")
+    centroids = partitioned.train_centroids(frame, 2, steps=10)
+    groups = {r.part_id for r in partitioned.assign_partitions(frame, centroids).where("id < 10").collect()}
+    others = {r.part_id for r in partitioned.assign_partitions(frame, centroids).where("id >= 30").collect()}
+    assert len(groups) == len(others) == 1 and groups != others
 
 
-def test_missing_model_library(spark):
-    rows = spark.createDataFrame([("abc",)], "query STRING")
-    with pytest.raises(Exception, match="sentence_transformers is not installed"):
-        embedding.embed_texts(rows, sentence_encoder("any/model"), 2).collect()
+def test_sub_vectors_must_fit():
+    assert quantised.sub_vector_size(256, 64) == 4
+    with pytest.raises(ValueError, match="cannot be cut"):
+        quantised.sub_vector_size(64, 7)
 
 
 def fake_model():
