@@ -48,6 +48,9 @@ SIMILARITY = 0.8
 ROWS, BANDS = 5, 30
 # Buckets up to this size are compared by the same first member in all bands, and pair by pair.
 SMALL_BUCKET = 32
+# In so many orders the first member of a large bucket is looked for: the buckets of a
+# large group then share their first members, and a text is linked with few of them.
+LEADER_ORDERS = 3
 # Members in a block of a large bucket.
 BLOCK_ONE, BLOCK_OTHER = 256, 512
 # So many identifiers may be broadcast; more are joined by shuffle.
@@ -251,11 +254,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # Buckets of two bags and more.
     entries = first.select("rep", F.explode("bands").alias("key"))
+    # Large buckets take the first of their members in one of a few orders.
+    order = F.xxhash64("rep", F.pmod("key", F.lit(LEADER_ORDERS)))
     buckets = entries.groupBy("key").agg(
-        F.count("*").alias("n"), F.min("rep").alias("least"),
-        F.min_by("rep", F.xxhash64("rep", "key")).alias("any")).where("n > 1")
-    members = materialise(entries.join(buckets, "key").select(
-        "key", "rep", "n", F.when(F.col("n") <= SMALL_BUCKET, F.col("least")).otherwise(F.col("any")).alias("leader")), "members")
+        F.count("*").alias("n"), F.min("rep").alias("least"), F.min(F.struct(order, "rep")).alias("first")).where("n > 1")
+    leader = F.when(F.col("n") <= SMALL_BUCKET, F.col("least")).otherwise(F.col("first.rep"))
+    members = materialise(entries.join(buckets, "key").select("key", "rep", "n", leader.alias("leader")), "members")
     wanted = members.select(F.col("rep").alias("wanted")).distinct()
     bags = materialise(keep_ids(texts, "id", wanted).dropDuplicates(["id"]).mapInArrow(_bags, f"id {id_type}, bag binary"), "bag-sets")
 
