@@ -130,7 +130,57 @@ QUERIES = {
 _ESCAPED = r"replace(replace(replace(replace({0}, '\', '\\'), '###', '\h'), '</turn>', '\t'), ':' || chr(10), '\n')"
 _RULES = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in URL_RULES)
 
+_UNITS = ", ".join(f"'{unit}'" for unit in templates.UNITS)
+
+
+def _template_tokens(source: str) -> str:
+    """(id, vals, toks): the tokens of ``source`` (id, text) as written and as placeholders."""
+    return rf"""
+        SELECT id, vals, list_transform(vals, lambda v, i: CASE
+            WHEN starts_with(v, chr(1)) THEN chr(1) WHEN regexp_matches(v, '^\p{{N}}') THEN chr(2)
+            WHEN v IN ({_UNITS}) AND regexp_matches(vals[i - 1], '^\p{{N}}') THEN chr(3) ELSE v END) AS toks
+        FROM (SELECT id, regexp_extract_all(lower(regexp_replace(regexp_replace(
+                coalesce(text, ''), '(^|[^\p{{L}}])(\p{{Lu}}\p{{Ll}}+)', '\1' || chr(1) || '\2', 'g'),
+                '(^|[.!?:\n][^\p{{L}}\p{{N}}\x01]*)\x01', '\1', 'g')), '\x01?\p{{L}}+|\p{{N}}+') AS vals
+              FROM ({source}))"""
+
+
+def _leaks_sql(size: int = templates.WINDOW) -> str:
+    last = size - 1
+    stretch = "floor((doc_at - item_at + phase * floor(width / 2)) / width)"
+    return rf"""
+        WITH items AS ({_template_tokens("SELECT item_id AS id, text FROM benchmark")}),
+        docs AS ({_template_tokens("SELECT doc_id AS id, text FROM documents")}),
+        starts AS (
+            SELECT id AS item, len(toks) AS length, item_at, toks[item_at + 1 : item_at + {size}] AS part
+            FROM items, range(len(toks) - {last}) AS g(item_at)),
+        known AS MATERIALIZED (
+            SELECT item, greatest(floor(length / 2), 1) AS width, item_at, part, count(*) OVER (PARTITION BY item) AS item_windows FROM starts
+            WHERE len(list_filter(part, lambda t: t NOT IN (chr(1), chr(2), chr(3)))) >= {templates.PLAIN_WORDS}),
+        found AS (
+            SELECT id, item, item_windows, doc_at, item_at, phase, {stretch} AS stretch
+            FROM (SELECT id, doc_at, toks[doc_at + 1 : doc_at + {size}] AS part FROM docs, range(len(toks) - {last}) AS g(doc_at))
+            JOIN known USING (part), range(2) AS p(phase)),
+        covered AS MATERIALIZED (
+            SELECT id, item, phase, stretch, item_windows, count(DISTINCT item_at) AS windows FROM found GROUP BY ALL
+            HAVING count(DISTINCT item_at) >= {templates.COVERAGE} * item_windows),
+        slots AS (
+            SELECT DISTINCT id, item, phase, stretch, doc_at + n AS doc_at, item_at + n AS item_at
+            FROM found JOIN covered USING (id, item, phase, stretch), range({size}) AS o(n)),
+        turned AS (
+            SELECT slots.id, item, phase, stretch, items.toks[item_at + 1] AS kind, items.vals[item_at + 1] AS old, count(*) AS slots,
+                   count(DISTINCT docs.vals[doc_at + 1]) AS turned, bool_and(docs.vals[doc_at + 1] = items.vals[item_at + 1]) AS same
+            FROM slots JOIN items ON items.id = item JOIN docs ON docs.id = slots.id
+            WHERE items.toks[item_at + 1] IN (chr(1), chr(2), chr(3)) GROUP BY ALL),
+        checked AS (
+            SELECT id, item, phase, stretch, sum(slots) AS slots, max(turned) AS turned, bool_and(same) AS same FROM turned GROUP BY ALL)
+        SELECT id AS doc_id, item AS item_id, max(windows) AS windows, max(item_windows)::INTEGER AS item_windows,
+               max(coalesce(slots, 0))::BIGINT AS slots, bool_or(coalesce(same, true)) AS same_values
+        FROM covered LEFT JOIN checked USING (id, item, phase, stretch) WHERE coalesce(turned, 1) <= 1 GROUP BY id, item"""
+
+
 ORACLE = {
+    "op9_templates": _leaks_sql(),
     "op7_chat": rf"""
         WITH turns AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
