@@ -5,6 +5,7 @@ import random
 import numpy as np
 
 from corkscan.llm import bag_minhash as B
+from corkscan.llm.components import components
 
 
 def similarity(a, b):
@@ -86,3 +87,26 @@ def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert B.near_duplicates(spark.createDataFrame([], "doc_id BIGINT, text STRING")).count() == 0
+
+
+def test_components_equal_union_find(spark):
+    rng = random.Random(8)
+    links = [(n, n + 1) for n in range(100, 160)] + [(7, n) for n in range(200, 400)]  # a chain and a star
+    links += [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(250)] + [(5, 5)]
+    shuffled = list(range(500, 540))
+    rng.shuffle(shuffled)
+    links += list(zip(shuffled, shuffled[1:]))  # a chain in no order
+    label = {}
+
+    def find(x):
+        while label.setdefault(x, x) != x:
+            x = label[x]
+        return x
+
+    for a, b in links:
+        low, high = sorted((find(a), find(b)))
+        label[high] = low
+    expected = {n: find(n) for pair in links for n in pair if pair[0] != pair[1]}
+    found = components(spark.createDataFrame(links, "a BIGINT, b BIGINT"))
+    assert {r.node: r.label for r in found.collect()} == expected
+    assert components(spark.createDataFrame([], "a BIGINT, b BIGINT")).count() == 0
