@@ -146,7 +146,11 @@ def match_top_k(index: TextIndex, queries: DataFrame, k: int = 10, fields: Seque
 def matching_documents(index: TextIndex, docs: DataFrame, id_column: str, queries: DataFrame,
                        fields: Sequence[str] | None = None) -> DataFrame:
     """The rows of ``docs`` that hold at least one word of at least one query."""
-    chosen = _checked_fields(index, fields)
-    hits = _hits(index, read_batch(queries, index.joined), chosen, Bm25())
+    batch = read_batch(queries, index.joined)
+    hits = index.postings().where(F.col("field").isin(_checked_fields(index, fields)))
+    if batch.few is not None:
+        hits = hits.where(_is_one_of(F.col("term"), sorted({word for text in batch.few for word in text.words})))
+    else:
+        hits = hits.join(query_terms(batch.texts(), index.joined).select("term").distinct(), "term", "left_semi")
     # Distinct within each bucket: no shuffle.
     return docs.join(hits.select(F.col("doc_id").alias(id_column)).distinct(), id_column, "left_semi")
