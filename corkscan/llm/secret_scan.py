@@ -80,6 +80,22 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(counted: DataFrame, most: int) -> list:
+    """The ``most`` rows of (word, n) with the largest counts; of equal ones, the first words.
+
+    Counts are first put into classes, a few hundred whatever the corpus holds, so
+    that the tasks need only put the classes in order that can be among the largest.
+    """
+    size = F.floor(F.log2("n") * 8)
+    classes = sorted(counted.groupBy(size.alias("size")).agg(F.count("*").alias("words")).collect(), reverse=True)
+    least, seen = 0, 0
+    for row in classes:
+        least, seen = row["size"], seen + row["words"]
+        if seen >= most:
+            break
+    return counted.where(size >= least).orderBy(F.desc("n"), "word").limit(most).collect()
+
+
 class Corpus:
     """Frequent words, and how usual each transition between characters is in them."""
 
@@ -149,7 +165,7 @@ def _scan(corpus):
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """(id, start, value, before, after, features): every candidate of every text, from character ``start`` (0 is the first)."""
-    frequent = count_words(docs, text_col).orderBy(F.desc("n"), "word").limit(DICTIONARY).collect()
+    frequent = frequent_words(materialise(count_words(docs, text_col), "words"), DICTIONARY)
     corpus = docs.sparkSession.sparkContext.broadcast(Corpus({row["word"]: row["n"] for row in frequent}))
     texts = bounded_batches(docs).select(
         F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"), text_or_empty(path_col).alias("path"))

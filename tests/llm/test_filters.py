@@ -107,6 +107,13 @@ def test_secrets_are_told_from_lookalikes(spark):
         assert rows[r.doc_id][1][r.start : r.start + r.length] == r.value
 
 
+def test_frequent_words(spark):
+    counted = spark.createDataFrame([(f"w{n:03}", n % 50 + 1) for n in range(400)], "word STRING, n BIGINT")
+    found = [(r.word, r.n) for r in secret_scan.frequent_words(counted, 30)]
+    assert found == sorted(((r.word, r.n) for r in counted.collect()), key=lambda x: (-x[1], x[0]))[:30]
+    assert len(secret_scan.frequent_words(counted, 1000)) == 400 and secret_scan.frequent_words(counted.limit(0), 5) == []
+
+
 def test_secrets_in_odd_texts(spark):
     schema = "doc_id BIGINT, text STRING, source STRING, secret STRING"
     docs = spark.createDataFrame([(1, None, None, "c"), (2, "", "", "c"), (3, "password=1fd4c5bbe68c75847e", None, "c"), (3, "password=1fd4c5bbe68c75847e", None, "c"),
