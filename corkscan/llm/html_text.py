@@ -12,11 +12,13 @@ too: whole articles are copied, and a copy is no boilerplate.
 The pages of a large host are dealt over groups of about ``CHUNK`` pages, each with
 an array of its own. Runs that are on one page only within their group are then
 counted across the groups of the host by the hash of their first ``RUN`` tokens,
-which finds the same repeats as one array would.
+which finds the same repeats as one array would. Only hashes of tokens are shuffled,
+not pages, which are read a second time for their text; what the arrays say is needed
+there only for pages with text that is neither in an article nor in a side element.
 
 Null and empty pages have an empty text; broken markup is read as far as it goes.
-Pages of the same identifier or URL are read each. Pages without a host are a host
-of their own kind.
+Rows that repeat are read each, but are one page to the array. Pages without a host
+are a host of their own kind.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ from corkscan.storage import materialise
 
 RUN = 6
 CHUNK = 256
+# The runs of so many pages may be broadcast; more are joined by shuffle.
+FEW_PAGES = 100_000
 
 # Elements of HTML by what their text is.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -131,7 +135,7 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
                 leave({name})
             continue
         if name in RAW:
-            if not attributes.endswith("/"):
+            if name not in ("svg", "math") or not attributes.endswith("/"):
                 end = _RAW_END[name].search(page, at)
                 at = end.end() if end else len(page)
             continue
@@ -152,14 +156,17 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
     return blocks
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The tokens of each page outside of its articles, and whether any of them is to be decided."""
     for batch in steps(batches, "html"):
-        pages = [blocks_of(page) for page in batch["html"].to_pylist()]
-        kinds = [[kind for kind, _ in blocks] for blocks in pages]
-        texts = [[text for _, text in blocks] for blocks in pages]
+        tokens, undecided = [], []
+        for page in batch["html"].to_pylist():
+            blocks = [(kind, text) for kind, text in blocks_of(page) if kind != KEEP]
+            hashes = [xxhash.xxh3_64_intdigest(token) for _, text in blocks for token in text.split(" ")]
+            tokens.append(np.array(hashes, dtype=np.uint64).view(np.int64))
+            undecided.append(any(kind == OPEN for kind, _ in blocks))
         yield pa.RecordBatch.from_pydict({
-            "row": batch["row"], "page": batch["page"], "url": batch["url"], "host": batch["host"], "chunk": batch["chunk"],
-            "kinds": pa.array(kinds, pa.list_(pa.int32())), "texts": pa.array(texts, pa.list_(pa.string()))})
+            "row": batch["row"], "host": batch["host"], "tokens": pa.array(tokens, pa.list_(pa.int64())), "undecided": pa.array(undecided)})
 
 
 def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,14 +186,13 @@ def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _host_runs(rows: pa.Table) -> pa.Table:
     """For the pages of one group: at which tokens outside of articles a run begins
     that another page of the group has too, and the hash of the run at each token."""
-    streams = []
-    for kinds, texts in zip(rows["kinds"].to_pylist(), rows["texts"].to_pylist()):
-        streams.append([xxhash.xxh3_64_intdigest(token) for kind, text in zip(kinds, texts) if kind != KEEP for token in text.split(" ")])
-    sizes = np.array([len(stream) for stream in streams], dtype=np.int64)
-    starts = np.cumsum(sizes) - sizes
-    tokens = np.array([token for stream in streams for token in stream], dtype=np.uint64)
-    page = np.repeat(np.arange(len(streams)), sizes)
-    whole = np.arange(len(tokens)) + RUN <= np.repeat(starts + sizes, sizes)  # runs do not cross pages
+    rows = rows.combine_chunks()
+    sizes = rows["tokens"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    tokens = rows["tokens"].combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    page = np.repeat(np.unique(rows["row"].to_numpy(), return_inverse=True)[1], sizes)
+    whole = np.arange(len(tokens)) + RUN <= np.repeat(ends, sizes)  # runs do not cross pages
     repeated, hashes = np.zeros(len(tokens), dtype=bool), np.zeros(len(tokens), dtype=np.uint64)
     if whole.any():
         order, rank = suffix_array(tokens)
@@ -197,21 +203,19 @@ def _host_runs(rows: pa.Table) -> pa.Table:
         repeated[order] = several[group]
         for n in range(RUN):
             hashes[: len(tokens) - n] = hashes[: len(tokens) - n] * np.uint64(0x9E3779B97F4A7C15) + tokens[n:]
-    ends = starts + sizes
-    found = [np.flatnonzero(repeated[a:b]).tolist() for a, b in zip(starts, ends)]
-    runs = [hashes[a:b][whole[a:b]].view(np.int64).tolist() for a, b in zip(starts, ends)]
-    names = ["row", "page", "url", "host", "kinds", "texts"]
-    return pa.table({name: rows[name] for name in names} | {
+    found = [np.flatnonzero(repeated[a:b]).astype(np.int32) for a, b in zip(starts, ends)]
+    runs = [hashes[a:b][whole[a:b]].view(np.int64) for a, b in zip(starts, ends)]
+    return pa.table({name: rows[name] for name in ("host", "row", "undecided")} | {
         "found": pa.array(found, pa.list_(pa.int32())), "runs": pa.array(runs, pa.list_(pa.int64()))})
 
 
 def _main_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in steps(batches, "html"):
         texts = []
-        for kinds, blocks, found, more in zip(*(batch[name].to_pylist() for name in ("kinds", "texts", "found", "more"))):
-            covered = {at + n for at in (*found, *(more or ())) for n in range(RUN)}
+        for page, begun in zip(batch["html"].to_pylist(), batch["begun"].to_pylist()):
+            covered = {at + n for at in begun or () for n in range(RUN)}
             kept, at = [], 0
-            for kind, block in zip(kinds, blocks):
+            for kind, block in blocks_of(page):
                 if kind == KEEP:
                     kept.append(block)
                     continue
@@ -224,27 +228,35 @@ def _main_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"page": batch["page"], "url": batch["url"], "text": pa.array(texts, pa.string())})
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(id, url, text): the main text of each page, blocks joined by one space."""
-    read = bounded_batches(pages).select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("page"), F.col(url_col).alias("url"),
-        text_or_empty(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
-    sizes = pages.groupBy(host_of(F.col(url_col)).alias("host")).agg(F.count("*").alias("pages"))
-    large = sizes.where(F.col("pages") > CHUNK).select("host", F.ceil(F.col("pages") / CHUNK).alias("chunks"))
-    read = read.join(large, "host", "left")
-    read = read.withColumn("chunk", F.pmod(F.xxhash64("row"), F.coalesce("chunks", F.lit(1))).cast("int"))
-    id_type, url_type = (read.schema[name].dataType.simpleString() for name in ("page", "url"))
-    page = f"row bigint, page {id_type}, url {url_type}, host string"
-    blocks = read.select("row", "page", "url", "host", "chunk", "html").mapInArrow(
-        _read, f"{page}, chunk int, kinds array<int>, texts array<string>")
-    runs = blocks.groupBy("host", "chunk").applyInArrow(
-        _host_runs, f"{page}, kinds array<int>, texts array<string>, found array<int>, runs array<bigint>")
+def boilerplate(pages: DataFrame) -> DataFrame:
+    """(row, begun): for pages (row, host, html) with undecided blocks, the places of their
+    tokens outside of articles at which a run begins that another page of the host has too."""
+    streams = pages.mapInArrow(_streams, "row bigint, host string, tokens array<bigint>, undecided boolean")
+    sizes = pages.groupBy("host").agg(F.count("*").alias("pages"))
+    large = materialise(sizes.where(F.col("pages") > CHUNK).select("host", F.ceil(F.col("pages") / CHUNK).alias("chunks")), "large-hosts")
+    streams = streams.join(large, "host", "left")
+    chunk = F.pmod(F.xxhash64("row"), F.coalesce("chunks", F.lit(1))).cast("int")
+    runs = streams.select("host", "row", "tokens", "undecided", chunk.alias("chunk")).groupBy("host", "chunk").applyInArrow(
+        _host_runs, "host string, row bigint, undecided boolean, found array<int>, runs array<bigint>")
     runs = materialise(runs, "host-runs")
 
     # Across the groups of large hosts.
-    begun = runs.join(large.select("host"), "host", "left_semi").select("host", "row", F.posexplode("runs").alias("at", "run"))
+    begun = runs.join(large.select("host"), "host", "left_semi").select("host", "row", "undecided", F.posexplode("runs").alias("at", "run"))
     spread = begun.groupBy("host", "run").agg(F.min("row").alias("one"), F.max("row").alias("other")).where("one < other")
-    more = begun.join(spread.select("host", "run"), ["host", "run"]).groupBy("row").agg(F.collect_list("at").alias("more"))
-    joined = runs.join(more, "row", "left").select("page", "url", "kinds", "texts", "found", "more")
-    text = joined.mapInArrow(_main_text, f"page {id_type}, url {url_type}, text string")
+    across = begun.where("undecided").join(spread.select("host", "run"), ["host", "run"]).select("row", "at")
+    within = runs.where("undecided").select("row", F.explode("found").alias("at"))
+    return within.unionByName(across).groupBy("row").agg(F.collect_set("at").alias("begun"))
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(id, url, text): the main text of each page, blocks joined by one space."""
+    read = bounded_batches(pages).select(
+        F.col(id_col).alias("page"), F.col(url_col).alias("url"), text_or_empty(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
+    # Copies of one page under one URL are one page to the array.
+    read = read.withColumn("row", F.xxhash64("page", "url", "html"))
+    begun = materialise(boilerplate(read.select("row", "host", "html")), "boilerplate")
+    if begun.count() <= FEW_PAGES:
+        begun = F.broadcast(begun)
+    page = ", ".join(f"{name} {read.schema[name].dataType.simpleString()}" for name in ("page", "url"))
+    text = read.join(begun, "row", "left").select("page", "url", "html", "begun").mapInArrow(_main_text, f"{page}, text string")
     return text.select(F.col("page").alias(id_col), F.col("url").alias(url_col), "text")
