@@ -57,10 +57,10 @@ BLOCK_ONE, BLOCK_OTHER = 256, 512
 FEW_IDS = 500_000
 
 # The texts that a task signs at once, in bytes.
-TEXT_BYTES = 2 << 20
+TEXT_BYTES = 1 << 20
 
 _WORD = re.compile(r"\w+")
-_KNOWN_WORDS = 120_000
+_KNOWN_WORDS = 60_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _known: dict[str, int] = {}
 

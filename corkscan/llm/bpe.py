@@ -37,9 +37,9 @@ from corkscan.llm.common import bounded_batches, schema_of, steps, text_or_empty
 # A vocabulary file may be so large, as it is broadcast.
 MOST_FILE_BYTES = 32 << 20
 # Words whose tokens a task remembers; beyond it, it starts anew.
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 120_000
 # The texts that a task encodes at once, in bytes.
-TEXT_BYTES = 2 << 20
+TEXT_BYTES = 1 << 20
 
 # The kind of file that is understood.
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
