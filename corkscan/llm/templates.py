@@ -3,10 +3,12 @@
 Numbers, names and units become typed placeholders, so that a question with other
 numbers or names in it is the same template. Windows of five tokens of every
 document are joined by hash with those of the benchmark. Where the windows of one
-stretch of a document cover at least 0.8 of the windows of an item, the values that
-stand in its slots are compared: the same value of the item must have become the
-same value everywhere in that stretch, as it does when a question is given new
-parameters.
+stretch of a document cover at least 0.8 of the windows of an item, each window of
+the item is put to one place of the stretch, so that sentences of one pattern do not
+meet each other, and the values that stand in its slots are compared: the same value
+of the item must have become the same value everywhere in that stretch, as it does
+when a question is given new parameters. Each shift of a stretch is tried; one that
+agrees is enough.
 
 A name is a capitalised word that does not begin a sentence; a number is a run of
 digits; a unit is a known word right after a number. Windows of the benchmark with
@@ -121,25 +123,40 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     counted = found.groupBy(*place, "item_windows").agg(F.count_distinct("item_at").alias("windows"))
     covered = materialise(counted.where(F.col("windows") >= coverage * F.col("item_windows")), "covered")
 
-    # The values in the slots of those stretches.
+    # Every window of the item in such a stretch is put to one place: the one whose shift
+    # is nearest to an anchor, for which each shift of the stretch is taken in turn.
     wanted = covered.select(F.col("id").alias("wanted")).distinct()
     near = keep_ids(texts, "id", wanted).dropDuplicates(["id"])
     near = materialise(_tokens(near).withColumnsRenamed({"values": "doc_values", "tokens": "doc_tokens"}), "covered-texts")
-    asked_of = covered.join(items.withColumnsRenamed({"values": "item_values", "tokens": "item_tokens"}), "item").join(near, "id")
     hashes = F.transform("doc_tokens", lambda token: F.xxhash64(token))
-    at_doc = asked_of.select(*place, "windows", "item_windows", "item_values", "item_tokens", "doc_values",
-                             hashes.alias("hashes"))
-    windows = at_doc.select(*place, F.posexplode(_windows("hashes", size)).alias("at", "window")).join(
+    at_doc = covered.join(near.select("id", hashes.alias("hashes")), "id")
+    windows = at_doc.select(*place, "item_windows", F.posexplode(_windows("hashes", size)).alias("at", "window")).join(
         known.select("item", "window", "item_at", "length"), ["item", "window"])
     width = F.greatest(F.floor(F.col("length") / 2), F.lit(1))
-    where = F.floor((F.col("at") - F.col("item_at") + F.col("phase") * F.floor(width / 2)) / width)
-    windows = windows.where(where == F.col("stretch")).select(*place, "at", "item_at")
-    offsets = windows.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
-    slots = offsets.select(*place, (F.col("at") + F.col("n")).alias("at"), (F.col("item_at") + F.col("n")).alias("item_at")).distinct()
-    read = slots.join(at_doc.drop("hashes"), place).where(F.get("item_tokens", "item_at").isin(NAME, NUMBER, UNIT)).select(
-        *place, F.get("item_tokens", "item_at").alias("kind"), F.get("item_values", "item_at").alias("item_value"),
-        F.get("doc_values", "at").alias("doc_value"))
-    turned = read.groupBy(*place, "kind", "item_value").agg(
+    shift = F.col("at") - F.col("item_at")
+    where = F.floor((shift + F.col("phase") * F.floor(width / 2)) / width)
+    windows = windows.where(where == F.col("stretch")).select(*place, "item_windows", "item_at", shift.alias("shift"))
+    windows = materialise(windows, "covered-windows")
+    anchors = windows.select(*place, F.col("shift").alias("anchor")).distinct()
+    place = [*place, "anchor"]
+    nearest = F.min(F.struct(F.abs(F.col("shift") - F.col("anchor")).alias("drift"), "shift")).alias("nearest")
+    aligned = windows.join(anchors, place[:-1]).groupBy(*place, "item_windows", "item_at").agg(nearest)
+    aligned = materialise(aligned.select(*place, "item_windows", "item_at", "nearest.*"), "aligned")
+    counted = aligned.groupBy(*place, "item_windows").agg(
+        F.least(F.count("*"), F.count_distinct(F.col("item_at") + F.col("shift"))).alias("windows"))
+    covered = counted.where(F.col("windows") >= coverage * F.col("item_windows"))
+
+    # The values in the slots of those stretches.
+    asked_slots = items.select("item", F.posexplode(F.arrays_zip("tokens", "values")).alias("item_at", "both")).where(
+        F.col("both.tokens").isin(NAME, NUMBER, UNIT)).select("item", "item_at", F.col("both.tokens").alias("kind"), F.col("both.values").alias("item_value"))
+    offsets = aligned.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+    slots = offsets.select(*place, (F.col("item_at") + F.col("n")).alias("item_at"), "drift", "shift").join(asked_slots, ["item", "item_at"])
+    slots = slots.groupBy(*place, "item_at", "kind", "item_value").agg(F.min(F.struct("drift", "shift")).alias("nearest"))
+    slots = slots.groupBy(*place).agg(F.collect_list(
+        F.struct("kind", "item_value", (F.col("item_at") + F.col("nearest.shift")).alias("at"))).alias("slots"))
+    read = slots.join(near.select("id", "doc_values"), "id").select(*place, F.explode(F.transform("slots", lambda slot: F.struct(
+        slot["kind"].alias("kind"), slot["item_value"].alias("item_value"), F.get("doc_values", slot["at"]).alias("doc_value")))).alias("slot"))
+    turned = read.select(*place, "slot.*").groupBy(*place, "kind", "item_value").agg(
         F.count("*").alias("slots"), F.count_distinct("doc_value").alias("turned"),
         F.bool_and(F.col("doc_value") == F.col("item_value")).alias("same"))
     checked = turned.groupBy(*place).agg(F.sum("slots").alias("slots"), F.max("turned").alias("turned"), F.bool_and("same").alias("same"))

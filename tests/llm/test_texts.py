@@ -118,3 +118,15 @@ def test_leaks_equal_a_plain_search(spark):
     asked = {r.item_id: plain(r.text) for r in items.collect()}
     expected = {(r.doc_id, item) for r in docs.collect() for item, text in asked.items() if text in plain(r.text)}
     assert {(r.doc_id, r.item_id) for r in templates.find_leaks(docs, items).collect()} == expected
+
+
+def test_sentences_of_one_pattern_do_not_meet_each_other(spark):
+    days = ["Monday", "Tuesday", "Friday", "Sunday"]
+    sold = lambda name, first: " ".join(
+        f"On {day} {name} sold {first + 3 * n} apples and earned {first + 3 * n + 18} dollars." for n, day in enumerate(days))
+    item = sold("Anna", 12)
+    docs = [(1, f"Some words before. {item} And after."), (2, sold("Bert", 31)),
+            (3, sold("Anna", 99) + " " + item), (4, item.replace(" On Tuesday", " So it is said. On Tuesday")),
+            (5, item.replace("On Tuesday Anna", "On Tuesday Bert")), (6, " ".join(item.split(". ")[:2]))]
+    found = leaks(spark, docs, [(10, item)])
+    assert {doc for doc, _ in found} == {1, 2, 3, 4} and found[1, 10] and found[3, 10] and not found[2, 10]
