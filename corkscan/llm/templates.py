@@ -10,8 +10,10 @@ of the item must have become the same value everywhere in that stretch, as it do
 when a question is given new parameters. Each shift of a stretch is tried; one that
 agrees is enough.
 
-A name is a capitalised word that does not begin a sentence; a number is a run of
-digits; a unit is a known word right after a number. Windows of the benchmark with
+A name is a run of capitalised words that do not begin a sentence; a number is a run
+of digits with its separators and decimals; a unit is a known word right after a
+number. Every text is also read in lower case, where names are words like others, so
+that a copy in other cases is found; a document holds an item if either reading does. Windows of the benchmark with
 fewer than three plain words say too little and are left out; an item without any
 window cannot be found. Null and empty texts are in no result; rows with the same
 identifier count as one document.
@@ -44,13 +46,17 @@ UNITS = [
     "b", "kb", "mb", "gb", "tb", "byte", "bytes", "bit", "bits",
 ]
 NAME, NUMBER, UNIT = "\x01", "\x02", "\x03"
+# How a text is read: with its names, or in lower case; of both, the first that finds an item is reported.
+NAMED, LOWERED = 0, 1
 
 
 def values(text: Column) -> Column:
-    """The tokens of a text as they are written, in lower case; names begin with a mark."""
+    """The tokens of a text as they are written, in lower case; the words of names begin with a mark."""
     marked = F.regexp_replace(text, r"(^|[^\p{L}])(\p{Lu}\p{Ll}+)", f"$1{NAME}$2")
     marked = F.regexp_replace(marked, rf"(^|[.!?:\n][^\p{{L}}\p{{N}}{NAME}]*){NAME}", "$1")
-    return F.regexp_extract_all(F.lower(marked), F.lit(rf"{NAME}?\p{{L}}+|\p{{N}}+"), 0)
+    marked = F.regexp_replace(marked, rf"[ \t\u00a0-]+{NAME}", f" {NAME}")  # the words of a name are one space apart
+    name, number = rf"{NAME}\p{{L}}+(?: {NAME}\p{{L}}+)*", r"\p{N}+(?:[.,'’\u00a0\u202f]\p{N}+)*"
+    return F.regexp_extract_all(F.lower(marked), F.lit(rf"{name}|\p{{L}}+|{number}"), 0)
 
 
 def template(tokens: Column) -> Column:
@@ -73,14 +79,21 @@ def _windows(hashes: str, size: int) -> Column:
 
 
 def _tokens(texts: DataFrame) -> DataFrame:
-    split = texts.select("id", values(F.col("text")).alias("values"))
-    return split.select("id", "values", template(F.col("values")).alias("tokens"))
+    """(id, reading, values, tokens, kinds): both readings of every text; ``kinds`` shows names also where ``tokens`` does not."""
+    named = texts.select("id", values(F.col("text")).alias("named"))
+    words = F.flatten(F.transform("named", lambda token: F.split(token, " ")))
+    readings = F.array(*(F.struct(F.lit(reading).alias("reading"), marked.alias("marked"))
+                         for reading, marked in ((NAMED, F.col("named")), (LOWERED, words))))
+    split = named.select("id", F.explode(readings).alias("read")).select("id", "read.*")
+    lowered = F.transform("marked", lambda token: F.replace(token, F.lit(NAME), F.lit("")))
+    split = split.withColumn("values", F.when(F.col("reading") == LOWERED, lowered).otherwise(F.col("marked")))
+    return split.select("id", "reading", "values", template(F.col("values")).alias("tokens"), template(F.col("marked")).alias("kinds"))
 
 
 def _exploded(texts: DataFrame, size: int) -> DataFrame:
-    """(id, at, window): every window of every text."""
-    hashed = _tokens(texts).select("id", F.transform("tokens", lambda token: F.xxhash64(token)).alias("hashes"))
-    return hashed.select("id", F.posexplode(_windows("hashes", size)).alias("at", "window"))
+    """(id, reading, at, window): every window of every text."""
+    hashed = _tokens(texts).select("id", "reading", F.transform("tokens", lambda token: F.xxhash64(token)).alias("hashes"))
+    return hashed.select("id", "reading", F.posexplode(_windows("hashes", size)).alias("at", "window"))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -98,40 +111,41 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     plain = lambda at: F.size(F.filter(F.slice("tokens", at + 1, size), lambda t: ~t.isin(NAME, NUMBER, UNIT)))
     told = F.filter(F.sequence(F.lit(0), F.greatest(F.size("tokens") - size, F.lit(0))), lambda at: plain(at) >= PLAIN_WORDS)
-    starts = items.where(F.size("tokens") >= size).select("item", F.size("tokens").alias("length"), "tokens", told.alias("starts"))
-    hashed = starts.select("item", "length", F.size("starts").alias("item_windows"), "starts",
+    starts = items.where(F.size("tokens") >= size).select("item", "reading", F.size("tokens").alias("length"), "tokens", told.alias("starts"))
+    hashed = starts.select("item", "reading", "length", F.size("starts").alias("item_windows"), "starts",
                            F.transform("tokens", lambda token: F.xxhash64(token)).alias("hashes"))
-    known = hashed.select("item", "length", "item_windows", F.explode("starts").alias("item_at"), "hashes")
+    known = hashed.select("item", "reading", "length", "item_windows", F.explode("starts").alias("item_at"), "hashes")
     known = materialise(known.select(
-        "item", "length", "item_windows", "item_at",
+        "item", "reading", "length", "item_windows", "item_at",
         F.xxhash64(*(F.get("hashes", F.col("item_at") + n) for n in range(size))).alias("window")), "benchmark-windows")
 
-    different = known.select("window").distinct()
+    different = known.select("reading", "window").distinct()
     if different.count() <= FEW_WINDOWS:
         different = F.broadcast(different)
-    seen = _exploded(texts, size).join(different, "window", "left_semi")
-    found = seen.join(known, "window")
+    seen = _exploded(texts, size).join(different, ["reading", "window"], "left_semi")
+    found = seen.join(known, ["reading", "window"])
     # A stretch: places of an item in a document that differ by less than half of its
     # length, cut at two phases so that none is halved in both.
     width = F.greatest(F.floor(F.col("length") / 2), F.lit(1))
     shift = F.col("at") - F.col("item_at")
-    found = found.select("id", "item", "item_windows", "at", "item_at", "length", width.alias("width"), shift.alias("shift"))
+    found = found.select("id", "item", "reading", "item_windows", "at", "item_at", "length", width.alias("width"), shift.alias("shift"))
     found = found.withColumn("phase", F.explode(F.array(F.lit(0), F.lit(1))))
     stretch = F.floor((F.col("shift") + F.col("phase") * F.floor(F.col("width") / 2)) / F.col("width"))
     found = found.withColumn("stretch", stretch)
-    place = ["id", "item", "phase", "stretch"]
+    place = ["id", "item", "reading", "phase", "stretch"]
     counted = found.groupBy(*place, "item_windows").agg(F.count_distinct("item_at").alias("windows"))
     covered = materialise(counted.where(F.col("windows") >= coverage * F.col("item_windows")), "covered")
 
     # Every window of the item in such a stretch is put to one place: the one whose shift
-    # is nearest to an anchor, for which each shift of the stretch is taken in turn.
+    # is nearest to an anchor, for which each shift of the stretch is taken in turn; of
+    # windows that meet at one place, the nearest stays.
     wanted = covered.select(F.col("id").alias("wanted")).distinct()
     near = keep_ids(texts, "id", wanted).dropDuplicates(["id"])
-    near = materialise(_tokens(near).withColumnsRenamed({"values": "doc_values", "tokens": "doc_tokens"}), "covered-texts")
+    near = materialise(_tokens(near).drop("kinds").withColumnsRenamed({"values": "doc_values", "tokens": "doc_tokens"}), "covered-texts")
     hashes = F.transform("doc_tokens", lambda token: F.xxhash64(token))
-    at_doc = covered.join(near.select("id", hashes.alias("hashes")), "id")
+    at_doc = covered.join(near.select("id", "reading", hashes.alias("hashes")), ["id", "reading"])
     windows = at_doc.select(*place, "item_windows", F.posexplode(_windows("hashes", size)).alias("at", "window")).join(
-        known.select("item", "window", "item_at", "length"), ["item", "window"])
+        known.select("item", "reading", "window", "item_at", "length"), ["item", "reading", "window"])
     width = F.greatest(F.floor(F.col("length") / 2), F.lit(1))
     shift = F.col("at") - F.col("item_at")
     where = F.floor((shift + F.col("phase") * F.floor(width / 2)) / width)
@@ -141,26 +155,41 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     place = [*place, "anchor"]
     nearest = F.min(F.struct(F.abs(F.col("shift") - F.col("anchor")).alias("drift"), "shift")).alias("nearest")
     aligned = windows.join(anchors, place[:-1]).groupBy(*place, "item_windows", "item_at").agg(nearest)
-    aligned = materialise(aligned.select(*place, "item_windows", "item_at", "nearest.*"), "aligned")
-    counted = aligned.groupBy(*place, "item_windows").agg(
-        F.least(F.count("*"), F.count_distinct(F.col("item_at") + F.col("shift"))).alias("windows"))
+    at = F.col("item_at") + F.col("nearest.shift")
+    aligned = aligned.groupBy(*place, "item_windows", at.alias("at")).agg(F.min(F.struct("nearest.drift", "nearest.shift", "item_at")).alias("nearest"))
+    aligned = materialise(aligned.select(*place, "item_windows", "nearest.*"), "aligned")
+    counted = aligned.groupBy(*place, "item_windows").agg(F.count("*").alias("windows"))
     covered = counted.where(F.col("windows") >= coverage * F.col("item_windows"))
 
-    # The values in the slots of those stretches.
-    asked_slots = items.select("item", F.posexplode(F.arrays_zip("tokens", "values")).alias("item_at", "both")).where(
-        F.col("both.tokens").isin(NAME, NUMBER, UNIT)).select("item", "item_at", F.col("both.tokens").alias("kind"), F.col("both.values").alias("item_value"))
-    offsets = aligned.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
-    slots = offsets.select(*place, (F.col("item_at") + F.col("n")).alias("item_at"), "drift", "shift").join(asked_slots, ["item", "item_at"])
-    slots = slots.groupBy(*place, "item_at", "kind", "item_value").agg(F.min(F.struct("drift", "shift")).alias("nearest"))
+    # The values in the slots of those stretches. In lower case, a name that was changed is
+    # in no window that was found; its place is then told by the windows next to it.
+    asked_slots = items.select("item", "reading", F.posexplode(F.arrays_zip("kinds", "values")).alias("item_at", "both")).where(
+        F.col("both.kinds").isin(NAME, NUMBER, UNIT)).select(
+        "item", "reading", "item_at", F.col("both.kinds").alias("kind"), F.col("both.values").alias("item_value"))
+    reach = F.when(F.col("reading") == LOWERED, size).otherwise(0)
+    offsets = aligned.withColumn("n", F.explode(F.sequence(-reach, size - 1 + reach)))
+    outside = F.greatest(-F.col("n"), F.col("n") - (size - 1), F.lit(0)).alias("outside")
+    slots = offsets.select(*place, (F.col("item_at") + F.col("n")).alias("item_at"), outside, "drift", "shift").join(
+        asked_slots, ["item", "reading", "item_at"]).where((F.col("outside") == 0) | (F.col("kind") == NAME))
+    slots = slots.groupBy(*place, "item_at", "kind", "item_value").agg(F.min(F.struct("outside", "drift", "shift")).alias("nearest"))
     slots = slots.groupBy(*place).agg(F.collect_list(
         F.struct("kind", "item_value", (F.col("item_at") + F.col("nearest.shift")).alias("at"))).alias("slots"))
-    read = slots.join(near.select("id", "doc_values"), "id").select(*place, F.explode(F.transform("slots", lambda slot: F.struct(
-        slot["kind"].alias("kind"), slot["item_value"].alias("item_value"), F.get("doc_values", slot["at"]).alias("doc_value")))).alias("slot"))
-    turned = read.select(*place, "slot.*").groupBy(*place, "kind", "item_value").agg(
+    read = slots.join(near.select("id", "reading", "doc_values"), ["id", "reading"]).select(*place, F.explode(F.transform("slots", lambda slot: F.struct(
+        slot["kind"].alias("kind"), slot["item_value"].alias("item_value"), F.coalesce(F.get("doc_values", slot["at"]), F.lit("")).alias("doc_value")))).alias("slot"))
+    # Names of as many words are compared word by word, others as a whole.
+    read = read.select(*place, "slot.*")
+    words = F.arrays_zip(F.split("item_value", " ").alias("item_value"), F.split("doc_value", " ").alias("doc_value"))
+    whole = F.array(F.struct("item_value", "doc_value"))
+    alike = F.size(F.split("item_value", " ")) == F.size(F.split("doc_value", " "))
+    read = read.select(*place, "kind", F.explode(F.when(alike, words).otherwise(whole)).alias("pair"))
+    turned = read.select(*place, "kind", "pair.*").groupBy(*place, "kind", "item_value").agg(
         F.count("*").alias("slots"), F.count_distinct("doc_value").alias("turned"),
         F.bool_and(F.col("doc_value") == F.col("item_value")).alias("same"))
     checked = turned.groupBy(*place).agg(F.sum("slots").alias("slots"), F.max("turned").alias("turned"), F.bool_and("same").alias("same"))
     judged = covered.join(checked, place, "left").where(F.coalesce("turned", F.lit(1)) <= 1)
-    return judged.groupBy(F.col("id").alias(id_col), F.col("item").alias(item_col)).agg(
+    leaks = judged.groupBy("id", "item", "reading").agg(
         F.max("windows").alias("windows"), F.max("item_windows").alias("item_windows"),
         F.max(F.coalesce("slots", F.lit(0))).alias("slots"), F.bool_or(F.coalesce("same", F.lit(True))).alias("same_values"))
+    told = ["windows", "item_windows", "slots", "same_values"]
+    first = leaks.groupBy("id", "item").agg(F.min_by(F.struct(*told), "reading").alias("told"))
+    return first.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "told.*")

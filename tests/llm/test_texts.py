@@ -130,3 +130,15 @@ def test_sentences_of_one_pattern_do_not_meet_each_other(spark):
             (5, item.replace("On Tuesday Anna", "On Tuesday Bert")), (6, " ".join(item.split(". ")[:2]))]
     found = leaks(spark, docs, [(10, item)])
     assert {doc for doc, _ in found} == {1, 2, 3, 4} and found[1, 10] and found[3, 10] and not found[2, 10]
+
+
+def test_values_of_other_lengths_and_copies_in_other_cases_are_found(spark):
+    item = ("A farmer has 40 hens and sells 15 of them to his neighbour Smith before the rain comes. "
+            "How many hens does the farmer still have when neighbour Smith gives 15 back to the farmer")
+    names = "In the morning the boy Tom walks with the girl Ann to school and at noon both of them walk home again by the river"
+    docs = [(1, item.replace("40", "1,037.5").replace("15", "12.5")), (2, item.replace("Smith", "Mary Jones")),
+            (3, "so " + ITEM.lower()), (4, ITEM.upper()), (5, ITEM.title()), (6, item.replace("15", "12.5", 1)),
+            (7, names.replace("Tom", "John Lee").replace("Ann", "Mary  Ann Ray")), (8, item.replace("Smith", "Mary Jones", 1))]
+    found = leaks(spark, docs, [(10, ITEM), (20, item), (30, names)])
+    assert set(found) == {(1, 20), (2, 20), (3, 10), (4, 10), (5, 10), (7, 30)}
+    assert found[3, 10] and found[4, 10] and found[5, 10] and not found[1, 20] and not found[2, 20]
