@@ -14,8 +14,10 @@ A name is a run of capitalised words that do not begin a sentence; a number is a
 of digits with its separators and decimals; a unit is a known word right after a
 number. Every text is also read in lower case, where names are words like others, so
 that a copy in other cases is found; a document holds an item if either reading does. Windows of the benchmark with
-fewer than three plain words say too little and are left out; an item without any
-window cannot be found. Null and empty texts are in no result; rows with the same
+fewer than three plain words say too little and are left out. Items with so few windows
+that one lost at an edge is too many, or with none, are also looked for as a whole, all
+tokens as they are written, however short they are; those are reported as one window.
+Scripts without spaces between words are read character by character. Null and empty texts are in no result; rows with the same
 identifier count as one document.
 """
 
@@ -48,6 +50,10 @@ UNITS = [
 NAME, NUMBER, UNIT = "\x01", "\x02", "\x03"
 # How a text is read: with its names, or in lower case; of both, the first that finds an item is reported.
 NAMED, LOWERED = 0, 1
+# An item that was found as a whole.
+WHOLE = 2
+# Scripts that put no spaces between words.
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
 
 
 def values(text: Column) -> Column:
@@ -56,7 +62,7 @@ def values(text: Column) -> Column:
     marked = F.regexp_replace(marked, rf"(^|[.!?:\n][^\p{{L}}\p{{N}}{NAME}]*){NAME}", "$1")
     marked = F.regexp_replace(marked, rf"[ \t\u00a0-]+{NAME}", f" {NAME}")  # the words of a name are one space apart
     name, number = rf"{NAME}\p{{L}}+(?: {NAME}\p{{L}}+)*", r"\p{N}+(?:[.,'’\u00a0\u202f]\p{N}+)*"
-    return F.regexp_extract_all(F.lower(marked), F.lit(rf"{name}|\p{{L}}+|{number}"), 0)
+    return F.regexp_extract_all(F.lower(marked), F.lit(rf"{name}|{number}|[{UNSPACED}]|[\p{{L}}&&[^{UNSPACED}]]+"), 0)
 
 
 def template(tokens: Column) -> Column:
@@ -96,6 +102,39 @@ def _exploded(texts: DataFrame, size: int) -> DataFrame:
     return hashed.select("id", "reading", F.posexplode(_windows("hashes", size)).alias("at", "window"))
 
 
+def _wholes(texts: DataFrame, items: DataFrame, size: int) -> DataFrame:
+    """(id, item): items (item, values) all of whose values stand in a row in a text.
+
+    The first values of an item are looked for everywhere, the rest only where those stand.
+    """
+    hashed = F.transform("values", lambda value: F.xxhash64(value))
+    runs = items.where(F.size("values") > 0).select("item", hashed.alias("hashes")).select(
+        "item", F.size("hashes").alias("length"), F.least(F.size("hashes"), F.lit(size)).alias("k"), F.xxhash64("hashes").alias("run"), "hashes")
+    first = F.slice("hashes", F.lit(1), F.col("k"))
+    runs = materialise(runs.select("item", "length", "k", "run", F.xxhash64(first).alias("head")), "whole-items")
+    sizes = [row["k"] for row in runs.select("k").distinct().collect()]
+    if not sizes:
+        return texts.select("id").limit(0).crossJoin(items.select("item").limit(0))
+    heads = runs.select("k", "head").distinct()
+    if heads.count() <= FEW_WINDOWS:
+        heads = F.broadcast(heads)
+    read = lambda rows: _tokens(rows).where(F.col("reading") == LOWERED).select("id", hashed.alias("hashes"))
+
+    def starts(k: int) -> Column:
+        every = F.transform(F.sequence(F.lit(0), F.size("hashes") - k), lambda at: F.struct(
+            F.lit(k).alias("k"), at.alias("at"), F.xxhash64(F.slice("hashes", at + 1, F.lit(k))).alias("head")))
+        return F.when(F.size("hashes") >= k, every).otherwise(F.array().cast("array<struct<k:int,at:int,head:bigint>>"))
+
+    seen = read(texts).select("id", F.explode(F.concat(*map(starts, sizes))).alias("start")).select("id", "start.*")
+    seen = seen.join(heads, ["k", "head"], "left_semi").join(runs.select("k", "head", "length").distinct(), ["k", "head"])
+    places = materialise(seen.groupBy("id").agg(F.collect_set(F.struct("at", "length")).alias("places")), "whole-places")
+    near = read(keep_ids(texts, "id", places.select(F.col("id").alias("wanted"))).dropDuplicates(["id", "text"]))
+    run = lambda place: F.struct(
+        place["length"].alias("length"), F.xxhash64(F.slice("hashes", place["at"] + 1, place["length"])).alias("run"))
+    found = near.join(places, "id").select("id", F.explode(F.array_distinct(F.transform("places", run))).alias("run")).select("id", "run.*")
+    return found.join(runs.select("item", "length", "run"), ["length", "run"]).select("id", "item").distinct()
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW,
                coverage: float = COVERAGE) -> DataFrame:
@@ -119,6 +158,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         "item", "reading", "length", "item_windows", "item_at",
         F.xxhash64(*(F.get("hashes", F.col("item_at") + n) for n in range(size))).alias("window")), "benchmark-windows")
 
+    enough = known.where((F.col("reading") == LOWERED) & (F.col("item_windows") - 1 >= coverage * F.col("item_windows")))
+    few = items.where(F.col("reading") == LOWERED).join(enough.select("item").distinct(), "item", "left_anti").select("item", "values")
+    wholes = _wholes(texts, few, size).select("id", "item", F.lit(WHOLE).alias("reading"), F.lit(1).cast("bigint").alias("windows"),
+                                              F.lit(1).alias("item_windows"), F.lit(0).cast("bigint").alias("slots"), F.lit(True).alias("same_values"))
+
     different = known.select("reading", "window").distinct()
     if different.count() <= FEW_WINDOWS:
         different = F.broadcast(different)
@@ -191,5 +235,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         F.max("windows").alias("windows"), F.max("item_windows").alias("item_windows"),
         F.max(F.coalesce("slots", F.lit(0))).alias("slots"), F.bool_or(F.coalesce("same", F.lit(True))).alias("same_values"))
     told = ["windows", "item_windows", "slots", "same_values"]
-    first = leaks.groupBy("id", "item").agg(F.min_by(F.struct(*told), "reading").alias("told"))
+    first = leaks.unionByName(wholes).groupBy("id", "item").agg(F.min_by(F.struct(*told), "reading").alias("told"))
     return first.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "told.*")

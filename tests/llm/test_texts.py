@@ -142,3 +142,13 @@ def test_values_of_other_lengths_and_copies_in_other_cases_are_found(spark):
     found = leaks(spark, docs, [(10, ITEM), (20, item), (30, names)])
     assert set(found) == {(1, 20), (2, 20), (3, 10), (4, 10), (5, 10), (7, 30)}
     assert found[3, 10] and found[4, 10] and found[5, 10] and not found[1, 20] and not found[2, 20]
+
+
+def test_items_without_windows_are_found_as_a_whole(spark):
+    items = [(1, "12 + 30 * 7 = 222"), (2, "Who wrote Faust?"), (3, "Anna Bert Carl Dora Emil"), (4, "1 2 3 4 5 6 7 8 9"),
+             (5, "北京是中国的首都,人口最多的城市是哪一个"), (6, "days in five weeks of work"), (7, "!"), (8, "首都")]
+    docs = [(1, "We know that 12 + 30 * 7 = 222 holds. " * 2), (2, "he asked: who wrote faust? " + "and more " * 5), (3, "So Anna, Bert, Carl, Dora, Emil came."),
+            (4, "0 1 2 3 4 5 6 7 8 9 10"), (5, "我知道北京是中国的首都,人口最多的城市是哪一个吗"), (6, "after 35 days in five weeks of work"),
+            (7, "12 + 30 * 7 = 223"), (8, "1 2 3 4 5 6 7 8"), (9, "who wrote"), (10, "!"), (11, "")]
+    found = leaks(spark, docs, items)
+    assert set(found) == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (5, 8), (6, 6)} and all(found.values())
