@@ -6,7 +6,8 @@ together, and the array of their suffixes shows which runs of at least ``RUN``
 tokens occur on two different pages or more: those are boilerplate, and only runs
 that are unique stay. What is left there but stands in an element that by its kind
 or class is a menu, a header, a footer, an advert, a form, comments and the like is
-dropped after that. Runs inside of an article stay even where other pages have them
+dropped after that. An article or main inside an element that is dropped only for a
+word of its layout, such as ``has-sidebar``, is content again. Runs inside of an article stay even where other pages have them
 too: whole articles are copied, and a copy is no boilerplate.
 
 The pages of a large host are dealt over groups of about ``CHUNK`` pages, each with
@@ -58,11 +59,14 @@ SIDE_WORDS = COMMENTS | {
     "advert", "adverts", "advertisement", "advertising", "banner", "sponsor", "sponsored", "promo", "promotion", "notice", "notices", "cookie",
     "cookies", "consent", "gdpr", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "related",
     "popup", "modal", "overlay", "pagination", "pager", "search", "form", "widget", "copyright", "disclaimer"}
+# What an element of these words holds is no content, not even its articles; other words may be those of a layout round the content.
+NO_LAYOUT = COMMENTS | {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "related"}
 # A start tag that ends an open element of one of these kinds by itself.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
         "option": {"option"}}
 
 KEEP, OPEN, DROP = 0, 1, 2  # kinds of blocks: content, to be decided, side matter
+LAYOUT = 3  # side matter but for the articles in it
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"(?i)\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
@@ -71,21 +75,25 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _RAW_END = {name: re.compile(rf"(?i)</{name}\b[^>]*>") for name in RAW}
 
 
-def _is_side(name: str, attributes: str) -> bool:
+def _side(name: str, attributes: str) -> int:
+    """DROP or LAYOUT for a side element, OPEN for any other."""
     if name in SIDE:
-        return True
+        return DROP
     if name in ("html", "body", "main"):
-        return False
+        return OPEN
+    found = OPEN
     for key, *values in _ATTRIBUTE.findall(attributes) if "=" in attributes else ():
         value = next((v for v in values if v), "")
         if key.lower() == "role":
             if value.lower() in SIDE_ROLES:
-                return True
+                return DROP
         else:
             words = set(_NOT_LETTERS.split(_CAMEL.sub(" ", value).lower()))
-            if words & (COMMENTS if name == "article" else SIDE_WORDS):
-                return True
-    return False
+            if words & (COMMENTS if name == "article" else NO_LAYOUT):
+                return DROP
+            if name != "article" and words & SIDE_WORDS:
+                found = LAYOUT
+    return found
 
 
 def blocks_of(page: str) -> list[tuple[int, str]]:
@@ -99,7 +107,7 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
         if text:
             whole = " ".join(html.unescape("".join(text)).split())
             if whole:
-                blocks.append((kind, whole))
+                blocks.append((DROP if kind == LAYOUT else kind, whole))
             text.clear()
 
     def leave(names: set[str], until: set[str] = frozenset()) -> None:
@@ -145,8 +153,8 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
             leave(ENDS[name], {"ul", "ol", "dl", "table"})
         elif name not in INLINE and opened.get("p"):
             leave({"p"})
-        side = _is_side(name, attributes)
-        inside = DROP if kind == DROP or side else KEEP if kind == KEEP or name in CONTENT else OPEN
+        both = (kind, _side(name, attributes))
+        inside = DROP if DROP in both else KEEP if name in CONTENT else LAYOUT if LAYOUT in both else kind
         if inside != kind:
             flush()
         stack.append((name, inside))

@@ -152,3 +152,13 @@ def test_items_without_windows_are_found_as_a_whole(spark):
             (7, "12 + 30 * 7 = 223"), (8, "1 2 3 4 5 6 7 8"), (9, "who wrote"), (10, "!"), (11, "")]
     found = leaks(spark, docs, items)
     assert set(found) == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (5, 8), (6, 6)} and all(found.values())
+
+
+def test_articles_inside_a_layout_with_side_words_are_content(spark):
+    inside = "<p>crumbs</p><article><h1>Head</h1><p>body</p><div class='share'>no</div></article><p>more</p>"
+    wraps = ["<div class='has-sidebar'>{}</div>", "<div class='content-with-sidebar'><div>{}</div></div>", "<section id='search-results'>{}</section>",
+             "<main><div class='widget-area layout'>{}</div></main>", "<div class='has-sidebar'><main>{}</main></div>"]
+    dropped = ["<nav>{}</nav>", "<footer>{}</footer>", "<aside>{}</aside>", "<form>{}</form>", "<div class='comments'>{}</div>",
+               "<div class='has-sidebar'><div id='comments'>{}</div></div>", "<div role='navigation'>{}</div>", "<div class='related'>{}</div>"]
+    found = text_of(spark, [(f"http://{n}.org/x", wrap.format(inside)) for n, wrap in enumerate(wraps + dropped)])
+    assert [found[n] for n in range(len(wraps + dropped))] == ["Head body"] * 4 + ["crumbs Head body more"] + [""] * len(dropped)
