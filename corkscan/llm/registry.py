@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corkscan.llm import bag_minhash, bpe, chat, content_sort, html_text, language, secret_scan, templates, toxicity, url_filter
+from corkscan.llm import (bag_minhash, bpe, chat, collocations, content_sort, filter_audit, html_text, language, license_scan,
+                          secret_scan, templates, toxicity, url_filter)
 from corkscan.llm.common import table
 
 
@@ -113,6 +114,25 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence phrases and notices of every document."""
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_words", F.col("n_places").alias("n_base"), "first_word", "last_word",
+        F.array_join("phrase_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes at each step of all orders, for every language."""
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of every language."""
+    found = collocations.collocations(table(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("part", "lang")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_secret_scan": op2_secret_scan,
@@ -124,6 +144,9 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_templates": op9_templates,
     "op10_url_filter": op10_url_filter,
+    "op11_license_scan": op11_license_scan,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_collocations": op13_collocations,
 }
 
 # What the template of op7 makes of a role or text.
@@ -179,7 +202,121 @@ def _leaks_sql(size: int = templates.WINDOW) -> str:
         FROM covered LEFT JOIN checked USING (id, item, phase, stretch) WHERE coalesce(turned, 1) <= 1 GROUP BY id, item"""
 
 
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_LICENCE_WORDS = r"regexp_extract_all(translate(coalesce({0}, ''), {1}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _licences_sql() -> str:
+    rows = [(label, text, True) for text, label in license_scan.PHRASES] + [(label, text, False) for label, text in license_scan.NOTICES]
+    values = ", ".join(f"({at}, {_quoted(label)}, {_quoted(text)}, {phrase})" for at, (label, text, phrase) in enumerate(rows))
+    return rf"""
+        WITH given(template, label, text, phrase) AS (VALUES {values}),
+        templates AS (
+            SELECT template, label, phrase, words, len(list_distinct(words)) AS size,
+                   CASE WHEN phrase THEN len(list_distinct(words)) ELSE ceil(round({license_scan.CONTAINMENT} * len(list_distinct(words)), 9)) END AS needed,
+                   greatest({license_scan.LEAST_WIDTH}, (2 ** ceil(log2(len(words))))::BIGINT)::BIGINT AS width
+            FROM (SELECT *, {_LICENCE_WORDS.format("text", _AZ)} AS words FROM given)),
+        entries AS (SELECT template, unnest(list_distinct(words)) AS word, size, needed, width FROM templates),
+        docs AS MATERIALIZED (SELECT doc_id, {_LICENCE_WORDS.format("text", _AZ)} AS words FROM documents),
+        places AS MATERIALIZED (
+            SELECT doc_id, spot - 1 AS spot, word FROM (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS spot FROM docs)
+            WHERE word IN (SELECT word FROM entries)),
+        phrases AS (
+            SELECT docs.doc_id, label, p.spot FROM templates JOIN places p ON p.word = templates.words[1] JOIN docs USING (doc_id)
+            WHERE phrase AND docs.words[p.spot + 1 : p.spot + len(templates.words)] = templates.words),
+        notices AS (
+            SELECT doc_id, template, count(DISTINCT word) AS common FROM (
+                SELECT doc_id, template, word, spot // width - back AS block, needed FROM places JOIN entries USING (word), range(2) AS b(back))
+            WHERE block >= 0 GROUP BY doc_id, template, block HAVING count(DISTINCT word) >= any_value(needed)),
+        labelled AS (
+            SELECT doc_id, label, 1.0 AS score FROM phrases
+            UNION ALL SELECT doc_id, label, common / size FROM notices JOIN templates USING (template) WHERE NOT phrase),
+        base AS (
+            SELECT doc_id, count(*) AS n_base, min(spot) AS first_word, max(spot) AS last_word,
+                   array_to_string(list_sort(list(DISTINCT label)), ',') AS base_labels FROM phrases GROUP BY doc_id),
+        every AS (SELECT doc_id, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(score) AS score FROM labelled GROUP BY doc_id)
+        SELECT doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+               coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+        FROM docs LEFT JOIN base USING (doc_id) LEFT JOIN every USING (doc_id)"""
+
+
+def _audit_sql() -> str:
+    bits = ", ".join(f"('{letter}', {1 << at})" for at, letter in enumerate(filter_audit.FILTERS))
+    return rf"""
+        WITH texts AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        failed AS (
+            SELECT doc_id, part,
+                   (len(words) < 100)::INT + 2 * (100 * len(list_distinct(words)) < 80 * len(words))::INT
+                   + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text))::INT
+                   + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)::INT AS mask
+            FROM texts),
+        known AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
+        kinds AS (
+            SELECT part, mask, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n
+            FROM failed LEFT JOIN known USING (doc_id) GROUP BY ALL),
+        filters(letter, bit) AS (VALUES {bits}),
+        orders AS (
+            SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+            FROM filters a, filters b, filters c, filters d, filters e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31
+            AND a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+        steps AS (
+            SELECT filter_order, step::INT AS step, bits[step] AS bit, list_sum(list_concat([0], bits[1 : step - 1]))::INT AS before
+            FROM orders, range(1, 6) AS s(step)),
+        counted AS (
+            SELECT part, filter_order, step, bit,
+                   sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+                   sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+                   sum(CASE WHEN mask & bit <> 0 AND mask & before <> 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+                   sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+                   sum(CASE WHEN good AND mask & bit <> 0 AND mask & before = 0 THEN n ELSE 0 END)::BIGINT AS good_lost,
+                   sum(CASE WHEN toxic AND mask & bit <> 0 AND mask & before = 0 THEN n ELSE 0 END)::BIGINT AS toxic_lost
+            FROM kinds, steps GROUP BY ALL)
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+               (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+        FROM counted"""
+
+
+def _collocations_sql(least: int = 100, most: int = 2000) -> str:
+    places = " UNION ALL ".join(
+        f"SELECT lang, words[spot : spot + {k - 1}] AS phrase FROM pieces, range(1, len(words) - {k - 2}) AS g(spot)" for k in range(1, 6))
+    return rf"""
+        WITH pieces AS MATERIALIZED (
+            SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words
+            FROM (SELECT coalesce(lang, 'und') AS lang,
+                         unnest(string_split_regex(translate(coalesce(text, ''), {_AZ}), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+        counts AS MATERIALIZED (SELECT lang, phrase, count(*) AS f FROM ({places}) GROUP BY lang, phrase HAVING count(*) >= {least}),
+        totals AS (SELECT lang, sum(len(words)) AS n FROM pieces GROUP BY lang),
+        candidates AS MATERIALIZED (SELECT lang, phrase, f FROM counts WHERE len(phrase) > 1),
+        inside AS (
+            SELECT lang, phrase[s : s + size - 1] AS phrase, f FROM candidates, range(2, 5) AS z(size), range(1, 5) AS g(s)
+            WHERE size < len(phrase) AND s + size - 1 <= len(phrase)),
+        stay AS (
+            SELECT * FROM candidates c WHERE NOT EXISTS (
+                SELECT 1 FROM inside i WHERE i.lang = c.lang AND i.phrase = c.phrase AND 100 * i.f >= 100 * c.f)),
+        cuts AS (
+            SELECT stay.lang, stay.phrase, stay.f AS a, k, lefts.f AS l, rights.f AS r, n::BIGINT AS n,
+                   (1000::HUGEINT * stay.f * n) // (lefts.f::HUGEINT * rights.f) AS score
+            FROM stay, range(1, 5) AS c(k)
+            JOIN counts lefts ON lefts.lang = stay.lang AND lefts.phrase = stay.phrase[1 : k]
+            JOIN counts rights ON rights.lang = stay.lang AND rights.phrase = stay.phrase[k + 1 :]
+            JOIN totals ON totals.lang = stay.lang WHERE k < len(stay.phrase)),
+        least AS (
+            SELECT lang, array_to_string(phrase, ' ') AS phrase, a, l, r, n, score::BIGINT AS score FROM cuts
+            QUALIFY row_number() OVER (PARTITION BY lang, cuts.phrase ORDER BY score, k) = 1)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM least
+        QUALIFY rank <= {most}"""
+
+
 ORACLE = {
+    "op11_license_scan": _licences_sql(),
+    "op12_filter_audit": _audit_sql(),
+    "op13_collocations": _collocations_sql(),
     "op9_templates": _leaks_sql(),
     "op7_chat": rf"""
         WITH turns AS (
