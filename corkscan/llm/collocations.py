@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -95,31 +96,45 @@ def _pair_buckets(part: str, words: list[bytes], numbers: np.ndarray, buckets: i
     return np.append(found, -1)
 
 
-def _counted(buckets: int):
-    """Texts to (part, word, bucket, n): numbers of words, and of pairs by bucket."""
+def _pairs(buckets: int):
+    """Texts to (bucket, n): how many pairs fall into each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, words, numbers in _numbered(batches):
-            times = np.bincount(numbers, minlength=len(words))[1:]
-            pairs, pair_times = np.unique(_pair_buckets(part, words, numbers, buckets), return_counts=True)
-            pairs, pair_times = pairs[pairs >= 0], pair_times[pairs >= 0]
-            yield pa.RecordBatch.from_pydict({
-                "part": pa.array([part] * (len(times) + len(pairs)), pa.string()),
-                "word": pa.array([word.decode() for word in words[1:]] + [None] * len(pairs), pa.string()),
-                "bucket": pa.concat_arrays([pa.nulls(len(times), pa.int64()), pa.array(pairs, pa.int64())]),
-                "n": np.concatenate([times, pair_times]).astype(np.int64)})
+            pairs, times = np.unique(_pair_buckets(part, words, numbers, buckets), return_counts=True)
+            yield pa.RecordBatch.from_pydict({"bucket": pairs[pairs >= 0], "n": times[pairs >= 0].astype(np.int64)})
 
     return run
 
 
-def _edges(buckets: int, frequent):
-    """Texts to (part, words, n): the run of up to LONGEST words at every place where a frequent pair begins."""
+def _distinct_rows(rows: np.ndarray, values: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows of numbers below ``values``, and how often each is there."""
+    bits = max(1, int(values - 1).bit_length())
+    keys = []
+    for first in range(0, rows.shape[1], 63 // bits):
+        key = np.zeros(len(rows), dtype=np.int64)
+        for column in rows[:, first : first + 63 // bits].T:
+            key = (key << bits) | column
+        keys.append(key)
+    order = np.lexsort(keys[::-1])
+    new = np.ones(len(rows), dtype=bool)
+    if len(rows):
+        new[1:] = np.any([key[order][1:] != key[order][:-1] for key in keys], axis=0)
+    starts = np.flatnonzero(new)
+    return rows[order[starts]], np.diff(np.append(starts, len(rows)))
+
+
+def _runs(buckets: int, frequent):
+    """Texts to (part, phrase, n): the run of up to LONGEST words at every place; it ends with its piece, or where a pair is rare."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(frequent.value, dtype=np.uint8)
         for part, words, numbers in _numbered(batches):
             pairs = _pair_buckets(part, words, numbers, buckets)
             goes_on = (bits[pairs >> 3] >> (pairs & 7).astype(np.uint8) & 1).astype(bool) & (pairs >= 0)
+            alone = np.bincount(numbers[~goes_on], minlength=len(words))
+            alone[_END] = 0
+            single = np.flatnonzero(alone)
             starts = np.flatnonzero(goes_on)
             runs = np.zeros((len(starts), LONGEST), dtype=np.int64)
             runs[:, 0] = numbers[starts]
@@ -129,14 +144,15 @@ def _edges(buckets: int, frequent):
                 before = np.minimum(starts + k - 1, len(numbers) - 1)
                 within &= goes_on[before]
                 runs[within, k] = numbers[before[within] + 1]
-            distinct, times = np.unique(runs, axis=0, return_counts=True)
-            lengths = (distinct != _END).sum(axis=1)
+            distinct, times = _distinct_rows(runs, len(words))
+            lengths = np.concatenate([np.ones(len(single), dtype=np.int64), (distinct != _END).sum(axis=1)])
+            flat = np.concatenate([single, distinct[distinct != _END]])
             text = pa.array([word.decode() for word in words], pa.string())
             offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), text.take(pa.array(flat)))
             yield pa.RecordBatch.from_pydict({
-                "part": pa.array([part] * len(distinct), pa.string()),
-                "words": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), text.take(pa.array(distinct[distinct != _END]))),
-                "n": times.astype(np.int64)})
+                "part": pa.array([part] * len(lengths), pa.string()), "phrase": pc.binary_join(lists, " "),
+                "n": np.concatenate([alone[single], times]).astype(np.int64)})
 
     return run
 
@@ -153,7 +169,7 @@ def _bitmap(frequent: DataFrame, buckets: int) -> bytes:
 
 
 def count_phrases(docs: DataFrame, min_count: int, text_col: str = "text", part_col: str = "lang") -> tuple[DataFrame, DataFrame]:
-    """(part, words, f) of all phrases of 1 to LONGEST words that are in a part at least ``min_count`` times, and
+    """(part, phrase, f) of all phrases of 1 to LONGEST words, joined by spaces, that are in a part at least ``min_count`` times, and
     (part, total) with the number of all words of a part."""
     source = bounded_batches(docs.select(F.coalesce(F.col(part_col).cast("string"), F.lit("und")).alias("part"),
                                          text_or_empty(text_col).alias("text")))
@@ -161,24 +177,22 @@ def count_phrases(docs: DataFrame, min_count: int, text_col: str = "text", part_
     buckets = LEAST_BUCKETS
     while buckets < min(chars // CHARS_A_BUCKET, MOST_BUCKETS):
         buckets *= 2
-    counted = source.mapInArrow(_counted(buckets), "part string, word string, bucket bigint, n bigint")
-    # Buckets are summed without the part, which is in their hash.
-    summed = counted.groupBy(F.when(F.col("word").isNotNull(), F.col("part")).alias("part"), "word", "bucket").agg(F.sum("n").alias("n"))
-    summed = materialise(summed.where(F.col("word").isNotNull() | (F.col("n") >= min_count)), "words-and-pairs")
-    words = summed.where("word IS NOT NULL")
-    totals = words.groupBy("part").agg(F.sum("n").alias("total"))
-
-    frequent = source.sparkSession.sparkContext.broadcast(_bitmap(summed.where("word IS NULL"), buckets))
-    runs = source.mapInArrow(_edges(buckets, frequent), "part string, words array<string>, n bigint")
-    runs = materialise(runs.groupBy("part", "words").agg(F.sum("n").alias("n")), "edges")
-    orders = [words.where(F.col("n") >= min_count).select("part", F.array("word").alias("words"), F.col("n").alias("f"))]
-    flow = runs.where(F.size("words") == LONGEST)
-    for order in range(LONGEST, 1, -1):
-        orders.append(flow.where(F.col("n") >= min_count).select("part", "words", F.col("n").alias("f")))
-        if order > 2:
-            out = flow.select("part", F.slice("words", 1, order - 1).alias("words"), "n")
-            ended = runs.where(F.size("words") == order - 1)
-            flow = out.unionByName(ended).groupBy("part", "words").agg(F.sum("n").alias("n"))
+    # The part is in the hash of a pair. Nothing of a written table keeps files of its shuffle alive.
+    pairs = source.mapInArrow(_pairs(buckets), "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+    pairs = materialise(pairs.where(F.col("n") >= min_count), "frequent-pairs")
+    frequent = source.sparkSession.sparkContext.broadcast(_bitmap(pairs, buckets))
+    runs = source.mapInArrow(_runs(buckets, frequent), "part string, phrase string, n bigint")
+    runs = materialise(runs.groupBy("part", "phrase").agg(F.sum("n").alias("n")), "edges")
+    flow = runs.where(_size() == LONGEST)
+    orders = []
+    for order in range(LONGEST, 0, -1):
+        orders.append(flow.where(F.col("n") >= min_count).select("part", "phrase", F.col("n").alias("f")))
+        if order > 1:
+            out = flow.select("part", F.substring_index("phrase", " ", order - 1).alias("phrase"), "n")
+            ended = runs.where(_size() == order - 1)
+            flow = out.unionByName(ended).groupBy("part", "phrase").agg(F.sum("n").alias("n"))
+    # Every word begins one run.
+    totals = runs.groupBy("part").agg(F.sum("n").alias("total"))
     phrases = orders[0]
     for more in orders[1:]:
         phrases = phrases.unionByName(more)
@@ -191,11 +205,17 @@ def compacted(phrases: DataFrame) -> DataFrame:
     A phrase inside a longer one that is as frequent is also inside one that has
     just one word more and is as frequent, so single edges are all that count.
     """
-    longer = phrases.where(F.size("words") > 2)
-    ends = F.array(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1))
-    nodes = longer.select("part", F.explode(ends).alias("words"), "f").groupBy("part", "words").agg(F.max("f").alias("edge"))
+    longer = phrases.where(_size() > 2)
+    ends = F.array(F.expr("substring_index(phrase, ' ', size - 1)"), F.expr("substring_index(phrase, ' ', 1 - size)"))
+    nodes = longer.withColumn("size", _size()).select("part", F.explode(ends).alias("phrase"), "f")
+    nodes = nodes.groupBy("part", "phrase").agg(F.max("f").alias("edge"))
     branching = F.col("edge").isNull() | (F.col("edge") < F.col("f"))
-    return phrases.where(F.size("words") > 1).join(nodes, ["part", "words"], "left").where(branching).drop("edge")
+    return phrases.where(_size() > 1).join(nodes, ["part", "phrase"], "left").where(branching).drop("edge")
+
+
+def _size() -> Column:
+    """The number of words of ``phrase``."""
+    return F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit(""))) + 1
 
 
 def _digits(name: str) -> Column:
@@ -207,18 +227,19 @@ def _salt(name: str) -> Column:
 
 
 def scored(candidates: DataFrame, phrases: DataFrame, totals: DataFrame) -> DataFrame:
-    """(part, words, a, l, r, total, score): ``candidates`` (part, words, f) at the cut that holds least."""
-    cuts = candidates.select("part", "words", F.col("f").alias("a"), F.explode(F.sequence(F.lit(1), F.size("words") - 1)).alias("k"))
-    left = phrases.select("part", F.col("words").alias("head"), F.col("f").alias("l"))
-    right = phrases.select("part", F.col("words").alias("tail"), F.col("f").alias("r"))
-    cuts = cuts.withColumns({"head": F.slice("words", F.lit(1), F.col("k")), "tail": F.expr("slice(words, k + 1, size(words) - k)")})
+    """(part, phrase, a, l, r, total, score): ``candidates`` (part, phrase, f) at the cut that holds least."""
+    sized = candidates.select("part", "phrase", F.col("f").alias("a"), _size().alias("size"))
+    cuts = sized.select("*", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
+    left = phrases.select("part", F.col("phrase").alias("head"), F.col("f").alias("l"))
+    right = phrases.select("part", F.col("phrase").alias("tail"), F.col("f").alias("r"))
+    cuts = cuts.withColumns({"head": F.expr("substring_index(phrase, ' ', k)"), "tail": F.expr("substring_index(phrase, ' ', k - size)"),
+                             "salt": _salt("phrase")})
     of_part = totals.select("part", "total", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    cuts = cuts.withColumn("salt", _salt("words"))
     known = cuts.join(left, ["part", "head"]).join(right, ["part", "tail"]).join(of_part, ["part", "salt"])
     wide = known.withColumns({"a38": _digits("a"), "t38": _digits("total"), "l38": _digits("l"), "r38": _digits("r")})
     wide = wide.withColumn("score", F.expr("(CAST(1000 AS DECIMAL(4,0)) * a38 * t38) div (l38 * r38)"))
-    least = wide.groupBy("part", "words").agg(F.min_by(F.struct("a", "l", "r", "total", "score"), F.struct("score", "k")).alias("cut"))
-    return least.select("part", "words", "cut.*")
+    least = wide.groupBy("part", "phrase").agg(F.min_by(F.struct("a", "l", "r", "total", "score"), F.struct("score", "k")).alias("cut"))
+    return least.select("part", "phrase", "cut.*")
 
 
 def collocations(docs: DataFrame, min_count: int = 100, most: int = 2000, text_col: str = "text", part_col: str = "lang") -> DataFrame:
@@ -230,7 +251,7 @@ def collocations(docs: DataFrame, min_count: int = 100, most: int = 2000, text_c
     """
     phrases, totals = count_phrases(docs, min_count, text_col, part_col)
     found = scored(compacted(phrases), phrases, totals).select(
-        "part", F.array_join("words", " ").alias("phrase"), "a", "l", "r", F.col("total").alias("n"), "score")
+        "part", "phrase", "a", "l", "r", F.col("total").alias("n"), "score")
     best = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     # A part's phrases are dealt over tasks; only the best of each salt are then ranked together.
     within = Window.partitionBy("part", "salt").orderBy(*best)
