@@ -4,6 +4,12 @@ The postings are bucketed by document and sorted by word. Bucketing by document
 keeps a word that sits in a third of all documents spread over every bucket, and
 lets search add up the words of a document without a shuffle. Sorting by word
 lets the scan skip all Parquet pages but those of the words asked for.
+
+Postings are never rewritten. A document that is changed or deleted leaves a
+tombstone: its identifier and the batch from which on older postings of it are gone.
+Tombstones are bucketed like the postings, so a read drops what is gone inside each
+bucket, without a shuffle; an index without tombstones is read as it lies. Frequencies
+and sizes are lowered by what went, and ``compact_text_index`` writes what is left.
 """
 
 from __future__ import annotations
@@ -18,13 +24,18 @@ from pyspark.sql import functions as F
 
 from corkscan.functions.text import quoted, tokens
 from corkscan.sources.versions import read_if_there
+from corkscan.storage import materialise
 
 # Text in a bucket of postings, unless told otherwise.
 BUCKET_BYTES = 256 << 20
 
 POSTINGS_SCHEMA = "field STRING, term STRING, doc_id BIGINT, tf BIGINT, doc_len BIGINT, batch INT"
 FREQ_SCHEMA = "field STRING, term STRING, df BIGINT"
-STATS_SCHEMA = "field STRING, n BIGINT, total_len BIGINT, avgdl DOUBLE, buckets INT, joined BOOLEAN, folder STRING"
+STATS_SCHEMA = ("field STRING, n BIGINT, total_len BIGINT, avgdl DOUBLE, buckets INT, joined BOOLEAN, folder STRING, "
+                "tombstones BIGINT")
+TOMBSTONES_SCHEMA = "doc_id BIGINT, gone INT"
+# So few identifiers are written into the filter of the scan, which then reads their buckets only.
+FILTER_IDS = 200
 
 
 def analyze_fields(docs: DataFrame, id_column: str, fields: Sequence[str], joined: bool = False) -> DataFrame:
@@ -97,6 +108,7 @@ class TextIndex:
     buckets: int
     version: int
     joined: bool
+    tombstones: int
     n: Mapping[str, int]
     avgdl: Mapping[str, float]
     _postings: DataFrame
@@ -112,22 +124,48 @@ class TextIndex:
     def corpus_stats(self) -> DataFrame:
         return self.spark.read.schema(STATS_SCHEMA).parquet(f"{self.root}/corpus_stats/version={self.version}")
 
+    def ids(self) -> DataFrame:
+        """(doc_id, batch) of every document of this version, without words or with."""
+        written = self.spark.read.schema("doc_id BIGINT, batch INT").parquet(f"{self.root}/{self.folder}-ids")
+        return self._alive(written.where(F.col("batch") <= self.version))
+
+    def _alive(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (doc_id, batch, ...) without those that a later batch changed or deleted."""
+        return rows if self.tombstones == 0 else _without_gone(rows, self.spark.table(_gone(self.table)), self.version)
+
     def close(self) -> None:
-        """Take the postings out of the session's catalog; the files stay."""
+        """Take the tables out of the session's catalog; the files stay."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        self.spark.sql(f"DROP TABLE IF EXISTS {_gone(self.table)}")
 
 
 def _new_table_name() -> str:
     return f"corkscan_postings_{uuid.uuid4().hex[:12]}"
 
 
+def _gone(table: str) -> str:
+    """The table of tombstones that goes with a table of postings."""
+    return f"{table}_gone"
+
+
+def _without_gone(rows: DataFrame, tombstones: DataFrame, version: int) -> DataFrame:
+    """``rows`` (doc_id, batch, ...) that no tombstone up to ``version`` takes away.
+
+    Both sides are bucketed alike; the tombstones of a bucket are the smaller one,
+    with a row for each change of one of its documents.
+    """
+    known = tombstones.where(F.col("gone") <= version).hint("shuffle_hash")
+    same = (rows["doc_id"] == known["doc_id"]) & (rows["batch"] < known["gone"])
+    return rows.join(known, same, "left_anti")
+
+
 def _publish(spark: SparkSession, root: str, folder: str, table: str, buckets: int, version: int, joined: bool,
-             freq: DataFrame, stats: DataFrame) -> TextIndex:
+             freq: DataFrame, stats: DataFrame, tombstones: int = 0) -> TextIndex:
     freq.orderBy("field", "term").write.parquet(f"{root}/term_doc_freq/version={version}")
     # Written last: its version is the one that readers may use.
     (
         stats.select("field", "n", "total_len", "avgdl", F.lit(buckets).alias("buckets"), F.lit(joined).alias("joined"),
-                     F.lit(folder).alias("folder"))
+                     F.lit(folder).alias("folder"), F.lit(tombstones).cast("bigint").alias("tombstones"))
         .coalesce(1)
         .write.parquet(f"{root}/corpus_stats/version={version}")
     )
@@ -135,11 +173,15 @@ def _publish(spark: SparkSession, root: str, folder: str, table: str, buckets: i
 
 
 def _write_postings(rows: DataFrame, path: str, table: str, buckets: int, batch: int, mode: str) -> None:
+    _write_bucketed(rows.withColumn("batch", F.lit(batch)), path, table, buckets, ["field", "term"], mode)
+
+
+def _write_bucketed(rows: DataFrame, path: str, table: str, buckets: int, order: Sequence[str], mode: str) -> None:
+    """Write rows in buckets by document; rows of one bucket that lie in one task make one file."""
     (
-        rows.withColumn("batch", F.lit(batch))
-        .write.mode(mode)
+        rows.write.mode(mode)
         .bucketBy(buckets, "doc_id")
-        .sortBy("field", "term")
+        .sortBy(*order)
         .option("path", path)
         .format("parquet")
         .saveAsTable(table)
@@ -180,10 +222,9 @@ def repeated_ids(docs: DataFrame, id_column: str) -> DataFrame:
 
 
 def known_ids(index: "TextIndex", docs: DataFrame, id_column: str) -> DataFrame:
-    """(doc_id): identifiers of ``docs`` that the index holds already."""
-    old = index.spark.read.schema("doc_id BIGINT, batch INT").parquet(f"{index.root}/{index.folder}-ids")
-    old = old.where(F.col("batch") <= index.version).select("doc_id")
-    return docs.select(F.col(id_column).cast("bigint").alias("doc_id")).distinct().join(old, "doc_id", "left_semi")
+    """(doc_id): identifiers of ``docs`` that the index holds already; not those that were deleted."""
+    ids = docs.select(F.col(id_column).cast("bigint").alias("doc_id")).distinct()
+    return ids.join(index.ids().select("doc_id"), "doc_id", "left_semi")
 
 
 def _require_none(ids: DataFrame, what: str) -> None:
@@ -224,30 +265,102 @@ def _stats_of(posting_rows: DataFrame, fields: Sequence[str]) -> DataFrame:
     return _add_stats(corpus_stats(lengths), none)
 
 
+def _require_unbroken(index: TextIndex, batch: int) -> None:
+    """An error if another job has written, or begun to write, the batch after this version."""
+    rows = index.spark.table(index.table).where(F.col("batch") >= batch)
+    gone = read_if_there(index.spark, f"{index.root}/{index.folder}-gone", TOMBSTONES_SCHEMA)
+    if not rows.isEmpty() or (gone is not None and not gone.where(F.col("gone") >= batch).isEmpty()):
+        raise ValueError(f"{index.root} holds a batch {batch}: open the newest version, or replace the index "
+                         "if an append was broken off")
+
+
+def _next_version(index: TextIndex, batch: int, docs: DataFrame | None, id_column: str, old: DataFrame | None) -> TextIndex:
+    """Publish ``batch``: without the documents named in ``old`` (doc_id), with those of ``docs``.
+
+    Only the postings of the batch and tombstones are written. Frequencies and sizes
+    are those of the version before, less what goes, and more what comes.
+    """
+    spark, fields = index.spark, sorted(index.n)
+    freqs, sizes, tombstones = [index.term_doc_freq()], [index.corpus_stats()], index.tombstones
+    if old is not None:
+        # Read before the tombstones are there.
+        gone = _postings_of(index, old)
+        minus = materialise(gone.groupBy("field", "term").agg((-F.count("*")).alias("df")), "frequencies-gone")
+        less = materialise(_stats_of(gone, fields).select(
+            "field", (-F.col("n")).alias("n"), (-F.col("total_len")).alias("total_len")), "sizes-gone")
+        freqs.append(minus)
+        sizes.append(less)
+        named = materialise(old.withColumn("gone", F.lit(batch)), "tombstones")
+        tombstones += named.count()
+        mode = "append" if spark.catalog.tableExists(_gone(index.table)) else "errorifexists"
+        _write_bucketed(named, f"{index.root}/{index.folder}-gone", _gone(index.table), index.buckets, ["doc_id"], mode)
+    if docs is not None:
+        rows = _spread_postings(docs, id_column, fields, index.buckets, index.joined)
+        _write_ids(docs, id_column, f"{index.root}/{index.folder}-ids", batch)
+        _write_postings(rows, f"{index.root}/{index.folder}", index.table, index.buckets, batch, "append")
+        new = spark.table(index.table).where(F.col("batch") == batch)
+        freqs.append(term_doc_freq(new))
+        sizes.append(_stats_of(new, fields))
+    freq = functools.reduce(DataFrame.unionByName, freqs).groupBy("field", "term").agg(F.sum("df").alias("df"))
+    return _publish(spark, index.root, index.folder, index.table, index.buckets, batch, index.joined,
+                    freq.where("df > 0"), _add_stats(*sizes), tombstones)
+
+
+def _postings_of(index: TextIndex, ids: DataFrame) -> DataFrame:
+    """The postings of some documents, found inside their buckets; a few are looked for in their buckets only."""
+    few = ids.limit(FILTER_IDS + 1).collect()
+    rows = index.postings()
+    if len(few) <= FILTER_IDS:
+        return rows.where(F.col("doc_id").isin([r.doc_id for r in few]))
+    return rows.join(ids.repartition(index.buckets, "doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
+
+
 def append_text_index(index: TextIndex, docs: DataFrame, id_column: str) -> TextIndex:
-    """Add documents that the index does not hold yet; old postings stay put.
+    """Add documents that the index does not hold; old postings stay put.
 
     Frequencies and sizes of the new rows are added to the published ones, so
     that no posting is counted again. An identifier that repeats, or that the
     index holds already, is an error before anything is written.
     """
-    spark, batch = index.spark, index.version + 1
     _require_none(repeated_ids(docs, id_column), "identifiers repeat")
     _require_none(known_ids(index, docs, id_column), "the index holds documents already")
-    if not spark.table(index.table).where(F.col("batch") >= batch).isEmpty():
-        raise ValueError(f"{index.root} holds a batch {batch}: open the newest version, or replace the index "
-                         "if an append was broken off")
-    fields = sorted(index.n)
-    rows = _spread_postings(docs, id_column, fields, index.buckets, index.joined)
-    _write_ids(docs, id_column, f"{index.root}/{index.folder}-ids", batch)
-    _write_postings(rows, f"{index.root}/{index.folder}", index.table, index.buckets, batch, "append")
-    new = spark.table(index.table).where(F.col("batch") == batch)
-    freq = (
-        index.term_doc_freq().unionByName(term_doc_freq(new)).groupBy("field", "term").agg(F.sum("df").alias("df"))
-    )
-    stats = _add_stats(index.corpus_stats(), _stats_of(new, fields))
-    return _publish(
-        spark, index.root, index.folder, index.table, index.buckets, batch, index.joined, freq, stats)
+    _require_unbroken(index, index.version + 1)
+    return _next_version(index, index.version + 1, docs, id_column, None)
+
+
+def upsert_text_index(index: TextIndex, docs: DataFrame, id_column: str) -> TextIndex:
+    """Add documents; those that the index holds already are replaced.
+
+    The next version answers as an index built of the old documents with those of
+    ``docs`` put in by identifier; older versions answer as before. A document
+    whose fields are all empty is one without words, not a deleted one. Identifiers
+    that repeat in ``docs``, or are null, are an error before anything is written.
+    """
+    _require_none(repeated_ids(docs, id_column), "identifiers repeat")
+    _require_none(docs.select(F.col(id_column).cast("bigint").alias("doc_id")).where("doc_id IS NULL"), "identifiers are null")
+    _require_unbroken(index, index.version + 1)
+    old = materialise(known_ids(index, docs, id_column), "known-ids")
+    return _next_version(index, index.version + 1, docs, id_column, None if old.isEmpty() else old)
+
+
+def delete_from_text_index(index: TextIndex, ids: DataFrame, id_column: str) -> TextIndex:
+    """Take documents out; identifiers that the index does not hold are passed over, and so are null and repeated ones.
+
+    If it holds none of them, ``index`` is returned as it is.
+    """
+    _require_unbroken(index, index.version + 1)
+    old = materialise(known_ids(index, ids, id_column), "known-ids")
+    return index if old.isEmpty() else _next_version(index, index.version + 1, None, id_column, old)
+
+
+def compact_text_index(index: TextIndex) -> TextIndex:
+    """Write what is left of the postings anew, bucket by bucket, as a version without tombstones."""
+    spark, version = index.spark, index.version + 1
+    _require_unbroken(index, version)
+    folder, table = f"postings-{version}", _new_table_name()
+    _write_ids(index.ids(), "doc_id", f"{index.root}/{folder}-ids", version)
+    _write_postings(index.postings(), f"{index.root}/{folder}", table, index.buckets, version, "errorifexists")
+    return _publish(spark, index.root, folder, table, index.buckets, version, index.joined, index.term_doc_freq(), index.corpus_stats())
 
 
 def _newest(spark: SparkSession, root: str) -> int | None:
@@ -266,18 +379,25 @@ def open_text_index(spark: SparkSession, root: str, version: int | None = None,
     if stats is None:
         raise FileNotFoundError(f"no text index under {root}")
     rows = stats.collect()  # one row per field
-    buckets, folder = rows[0].buckets, rows[0].folder
-    if table is None:
-        table = _new_table_name()
-        spark.sql(
-            f"CREATE TABLE {table} ({POSTINGS_SCHEMA}) USING parquet "
-            f"CLUSTERED BY (doc_id) SORTED BY (field, term) INTO {buckets} BUCKETS LOCATION {quoted(f'{root}/{folder}')}"
-        )
-    else:
-        spark.catalog.refreshTable(table)
+    buckets, folder, tombstones = rows[0].buckets, rows[0].folder, rows[0].tombstones or 0
+    table = _new_table_name() if table is None else table
+    _declare(spark, table, f"{root}/{folder}", POSTINGS_SCHEMA, buckets, "field, term")
+    if tombstones:
+        _declare(spark, _gone(table), f"{root}/{folder}-gone", TOMBSTONES_SCHEMA, buckets, "doc_id")
+    found = spark.table(table).where(F.col("batch") <= version)
+    if tombstones:
+        found = _without_gone(found, spark.table(_gone(table)), version)
     return TextIndex(
-        spark, root, folder, table, buckets, version, rows[0].joined,
-        {r.field: r.n for r in rows}, {r.field: r.avgdl or 0.0 for r in rows},
-        spark.table(table).where(F.col("batch") <= version).drop("batch"),
+        spark, root, folder, table, buckets, version, rows[0].joined, tombstones,
+        {r.field: r.n for r in rows}, {r.field: r.avgdl or 0.0 for r in rows}, found.drop("batch"),
         spark.read.schema(FREQ_SCHEMA).parquet(f"{root}/term_doc_freq/version={version}"),
     )
+
+
+def _declare(spark: SparkSession, table: str, path: str, schema: str, buckets: int, order: str) -> None:
+    """Have the table in the session's catalog, with files as they are now."""
+    if spark.catalog.tableExists(table):
+        spark.catalog.refreshTable(table)
+        return
+    spark.sql(f"CREATE TABLE {table} ({schema}) USING parquet CLUSTERED BY (doc_id) SORTED BY ({order}) INTO {buckets} BUCKETS "
+              f"LOCATION {quoted(path)}")

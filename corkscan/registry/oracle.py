@@ -107,6 +107,10 @@ freqs AS (SELECT field, term, count(*) AS df FROM posts GROUP BY ALL)"""
 
 DOCUMENTS = _postings("SELECT 'text' AS field, doc_id, text AS body FROM documents")
 
+CHANGED_DOCUMENTS = _postings("""SELECT 'text' AS field, doc_id, text AS body FROM documents WHERE doc_id % 7 <> 1 AND doc_id % 3 <> 0
+  UNION ALL SELECT 'text', doc_id, concat_ws(' ', source, text) FROM documents WHERE doc_id % 3 = 0
+  UNION ALL SELECT 'text', doc_id + 1000000000, text FROM documents WHERE doc_id % 5 = 0""")
+
 
 def _record_fields(fields: Sequence[str]) -> str:
     each = " UNION ALL ".join(f"SELECT '{f}' AS field, id AS doc_id, {f} AS body FROM records" for f in fields)
@@ -378,6 +382,10 @@ SELECT field, term, doc_id, tf, doc_len FROM posts JOIN lens USING (field, doc_i
     "corpus_stats": f"WITH {DOCUMENTS} SELECT field, n, total_len, round(avgdl, 6) AS avgdl FROM sizes",
     "postings_append": f"""WITH {DOCUMENTS}
 SELECT field, term, doc_id, tf, doc_len, df FROM posts JOIN lens USING (field, doc_id) JOIN freqs USING (field, term)""",
+    "postings_upsert": f"""WITH {CHANGED_DOCUMENTS}
+SELECT field, term, doc_id, tf, doc_len, df FROM posts JOIN lens USING (field, doc_id) JOIN freqs USING (field, term)""",
+    "bm25_after_upsert": f"""WITH {CHANGED_DOCUMENTS}, {_ranked('SELECT item_id AS query_id, text AS query FROM benchmark')}
+SELECT query_id, doc_id, _score, rank FROM best WHERE rank <= 5""",
     # keyword search
     "repeated_documents": "SELECT doc_id, 2::BIGINT AS n FROM documents WHERE doc_id % 3 = 0",
     "known_documents": "SELECT doc_id + 7 AS doc_id FROM documents WHERE doc_id + 7 IN (SELECT doc_id FROM documents)",

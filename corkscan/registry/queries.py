@@ -371,6 +371,19 @@ def postings_append(w: Workspace) -> DataFrame:
     return both.postings().join(both.term_doc_freq(), ["field", "term"])
 
 
+@query
+def postings_upsert(w: Workspace) -> DataFrame:
+    """An index after deletes, changes and additions: as one built of what is left."""
+    index = w.changed_index
+    return index.postings().join(index.term_doc_freq(), ["field", "term"])
+
+
+@query
+def bm25_after_upsert(w: Workspace) -> DataFrame:
+    """Top documents of the same index, once what went has been written out of it."""
+    return keyword.keyword_top_k(w.compacted_index, w.benchmark_queries(), k=5)
+
+
 # --- keyword search --------------------------------------------------------------
 
 

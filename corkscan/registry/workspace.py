@@ -132,6 +132,20 @@ class Workspace:
     def document_index(self) -> text_index.TextIndex:
         return text_index.build_text_index(self.table("documents"), new_path(self.spark, "documents"), "doc_id", ["text"])
 
+    @functools.cached_property
+    def changed_index(self) -> text_index.TextIndex:
+        """The documents, every seventh one deleted, every third one changed, and every fifth one there again under a new id."""
+        docs = self.table("documents").select("doc_id", "text", "source")
+        first = text_index.build_text_index(docs, new_path(self.spark, "changed"), "doc_id", ["text"])
+        fewer = text_index.delete_from_text_index(first, docs.where(F.col("doc_id") % 7 == 1), "doc_id")
+        changed = docs.where(F.col("doc_id") % 3 == 0).withColumn("text", F.concat_ws(" ", "source", "text"))
+        again = docs.where(F.col("doc_id") % 5 == 0).withColumn("doc_id", F.col("doc_id") + 1_000_000_000)
+        return text_index.upsert_text_index(fewer, changed.unionByName(again), "doc_id")
+
+    @functools.cached_property
+    def compacted_index(self) -> text_index.TextIndex:
+        return text_index.compact_text_index(self.changed_index)
+
     @functools.cached_property
     def record_index(self) -> text_index.TextIndex:
         return text_index.build_text_index(self.records(), new_path(self.spark, "record-index"), "id", ANALYZED_FIELDS)

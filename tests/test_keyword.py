@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -149,6 +150,72 @@ def test_append_equals_rebuild(spark, docs, index):
         text_index.append_text_index(first, docs.where("id = 3"), "id")
 
 
+def text_of(index):
+    return sorted(tuple(r) for r in index.postings().collect()), sorted(tuple(r) for r in index.term_doc_freq().collect()), dict(index.n), dict(index.avgdl)
+
+
+def test_changes_equal_a_rebuild(spark):
+    """Random deletes and upserts, each version against an index built of what is there, and the older versions as they were."""
+    rng, schema = random.Random(2), "id BIGINT, title STRING, description STRING"
+
+    def some(ids):
+        return [(i, " ".join(rng.choices("abcde", k=rng.randrange(4))), rng.choice([None, "", "a b", "c"])) for i in ids]
+
+    there = {row[0]: row for row in some(range(30))}
+    build = lambda rows, name: text_index.build_text_index(
+        spark.createDataFrame(rows, schema), new_path(spark, name), "id", ["title", "description"], buckets=3)
+    index = build(list(there.values()), "changing")
+    versions = [(index, text_of(index))]
+    for step in range(5):
+        if step % 2 == 0:
+            gone = [*rng.sample(range(45), 8), None, 3, 3]
+            index = text_index.delete_from_text_index(index, spark.createDataFrame([(i,) for i in gone], "id BIGINT"), "id")
+            there = {i: row for i, row in there.items() if i not in gone}
+        else:
+            new = some(rng.sample(range(45), 12))
+            index = text_index.upsert_text_index(index, spark.createDataFrame(new, schema), "id")
+            there |= {row[0]: row for row in new}
+        assert text_of(index) == text_of(build(list(there.values()), "rebuilt"))
+        assert {r.doc_id for r in index.ids().collect()} == set(there)
+        versions.append((index, text_of(index)))
+    compact = text_index.compact_text_index(index)
+    assert text_of(compact) == text_of(index) and compact.tombstones == 0 < index.tombstones
+    assert {r.doc_id for r in compact.ids().collect()} == set(there)
+    for old, told in versions:
+        assert text_of(text_index.open_text_index(spark, index.root, old.version)) == told
+    more = text_index.append_text_index(compact, spark.createDataFrame(some([100]), schema), "id")
+    assert {r.doc_id for r in more.ids().collect()} == {*there, 100}
+
+
+def test_changes_that_are_refused_or_nothing(spark, docs):
+    index = text_index.build_text_index(docs, new_path(spark, "refused"), "id", ["description"])
+    assert text_index.delete_from_text_index(index, docs.where("id > 100"), "id") is index
+    for rows, words in (([(1, "x"), (1, "y")], "identifiers repeat"), ([(None, "x")], "identifiers are null")):
+        with pytest.raises(ValueError, match=words):
+            text_index.upsert_text_index(index, spark.createDataFrame(rows, "id BIGINT, description STRING"), "id")
+    fewer = text_index.delete_from_text_index(index, docs.where("id = 1"), "id")
+    with pytest.raises(ValueError, match="holds a batch"):
+        text_index.upsert_text_index(index, docs.where("id = 1"), "id")
+    back = text_index.append_text_index(fewer, docs.where("id = 1"), "id")
+    assert text_of(back) == text_of(index)
+
+
+@pytest.mark.parametrize("filter_ids", [200, 0])
+def test_changes_read_inside_buckets(spark, docs, monkeypatch, filter_ids):
+    """Tombstones meet postings without a shuffle; a few identifiers read their buckets only."""
+    monkeypatch.setattr(text_index, "FILTER_IDS", filter_ids)
+    first = text_index.build_text_index(docs, new_path(spark, "inside"), "id", ["description"], buckets=5)
+    index = text_index.delete_from_text_index(first, docs.where("id = 2"), "id")
+    assert sorted({r.doc_id for r in index.postings().collect()}) == [1, 3]
+    plan = index.postings()._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Exchange" not in plan
+    search = keyword.keyword_top_k(index, frame(spark, [(1, "apple pear")]))._jdf.queryExecution().executedPlan().toString()
+    assert search.count("Exchange hashpartitioning") == 1
+    found = text_index._postings_of(index, spark.createDataFrame([(1,)], "doc_id BIGINT"))
+    assert {r.doc_id for r in found.collect()} == {1}
+    assert ("SelectedBucketsCount: 1 out of 5" in found._jdf.queryExecution().executedPlan().toString()) == bool(filter_ids)
+
+
 def test_replace(spark, docs):
     root = new_path(spark, "replace")
     with pytest.raises(FileNotFoundError):
