@@ -22,6 +22,13 @@ from corkscan.operators.text_index import TextIndex
 # in lists that Spark passes on whole.
 FILTER_TERMS = 200
 FILTER_LIST = 10
+# Searches of a small batch that would add up more pairs of texts and documents than
+# this leave out what bounds on scores exclude, at the price of one more pass.
+PRUNE_PAIRS = 20_000_000
+# The first pass reads the rarest words of a text, until they have so many times k postings.
+FIRST_POSTINGS = 4
+# Rounded scores lie this close to exact ones, with room for sums in another order.
+SLACK = 2 * 10.0 ** -PLACES
 # The shuffled join cuts the postings of a hot word into pieces of so many rows.
 # The table of hot words is broadcast; it has two numbers for each of them, and at
 # most so many rows: pieces are larger where there would be more.
@@ -70,25 +77,49 @@ def _checked_fields(index: TextIndex, fields: Sequence[str] | None) -> list[str]
 
 
 def _weights(index: TextIndex, terms: DataFrame, freq: DataFrame, fields: Sequence[str], bm25: Bm25) -> DataFrame:
-    """(text_id, field, term, weight, avgdl): the part of a score that no document changes."""
+    """(text_id, field, term, weight, avgdl, df, bound): the part of a score that no document changes, and
+    the most that a document can score with the word.
+
+    A score grows with the count of a word and falls with the length of its
+    document, so the largest count and the smallest length bound it, whatever the
+    mean length has become since they were written.
+    """
     sizes = ", ".join(f"{quoted(f)}, struct({float(index.n[f])!r}D AS n, {index.avgdl[f]!r}D AS avgdl)" for f in fields)
     rows = freq.join(terms, "term").selectExpr("*", f"map({sizes})[field] AS size")
     idf = "ln(1D + (size.n - df + 0.5D) / (df + 0.5D))"
-    return rows.selectExpr(
-        "text_id", "field", "term", f"qtf * {idf} * {bm25.k1 + 1.0!r}D AS weight", "size.avgdl AS avgdl")
+    rows = rows.selectExpr("*", f"qtf * {idf} * {bm25.k1 + 1.0!r}D AS weight", "size.avgdl AS avgdl")
+    return rows.selectExpr("text_id", "field", "term", "weight", "avgdl", "df",
+                           f"weight * {_share(bm25, 'top_tf', 'least_len')} AS bound")
+
+
+def _share(bm25: Bm25, tf: str, doc_len: str) -> str:
+    """How much of a word's weight a document gets."""
+    return f"({tf} / ({tf} + {bm25.k1!r}D * ({1.0 - bm25.b!r}D + {bm25.b!r}D * {doc_len} / avgdl)))"
+
+
+def _local_weights(index: TextIndex, batch: QueryBatch, fields: Sequence[str], bm25: Bm25) -> pa.Table:
+    """As ``_weights``, of a small batch: at most one row per query word and field."""
+    terms = _local_terms(batch)
+    freq = index.word_figures().where(F.col("field").isin(list(fields)))
+    asked = _is_one_of(F.col("term"), sorted(set(terms["term"].to_pylist())))
+    return _weights(index, F.broadcast(index.spark.createDataFrame(terms)), freq.where(asked), fields, bm25).toArrow()
+
+
+def _rows_of(index: TextIndex, weights: pa.Table) -> DataFrame:
+    """The postings of all words in ``weights``."""
+    fields, terms = (sorted(set(weights[name].to_pylist())) for name in ("field", "term"))
+    return index.postings().where(F.col("field").isin(fields)).where(_is_one_of(F.col("term"), terms))
+
+
+def _local_hits(index: TextIndex, weights: pa.Table) -> DataFrame:
+    """Postings of the words in ``weights``, each with the weight it has for a text."""
+    return _rows_of(index, weights).join(F.broadcast(index.spark.createDataFrame(weights)), ["field", "term"])
 
 
 def _hits(index: TextIndex, batch: QueryBatch, fields: Sequence[str], bm25: Bm25) -> DataFrame:
-    """Postings of the query words, each with the weight it has for a text."""
+    """Postings of the query words of any batch, each with the weight it has for a text."""
     in_fields = F.col("field").isin(list(fields))
-    freq, rows = index.term_doc_freq().where(in_fields), index.postings().where(in_fields)
-    if batch.few is not None:
-        terms = _local_terms(batch)
-        asked = _is_one_of(F.col("term"), sorted(set(terms["term"].to_pylist())))
-        terms = F.broadcast(index.spark.createDataFrame(terms))
-        # At most one row per query word and field: as small as the batch is.
-        weights = F.broadcast(_weights(index, terms, freq.where(asked), fields, bm25))
-        return rows.where(asked).join(weights, ["field", "term"])
+    freq, rows = index.word_figures().where(in_fields), index.postings().where(in_fields)
     weights = _weights(index, query_terms(batch.texts(), index.joined), freq, fields, bm25)
     hot = _hot_words(index, freq)
     pieces = F.coalesce("pieces", F.lit(1))
@@ -114,28 +145,116 @@ def _hot_words(index: TextIndex, freq: DataFrame) -> DataFrame:
     return hot.groupBy(F.xxhash64("field", "term").alias("word")).agg(F.ceil(F.max("df") / bound).cast("int").alias("pieces"))
 
 
+def _summed(hits: DataFrame, bm25: Bm25) -> DataFrame:
+    """(doc_id, text_id, score): added up inside each bucket."""
+    return hits.groupBy("doc_id", "text_id").agg(F.expr(f"sum(weight * {_share(bm25, 'tf', 'doc_len')}) AS score"))
+
+
+def _rounded(scores: DataFrame) -> DataFrame:
+    return scores.select("doc_id", "text_id", F.round("score", PLACES).alias("_score"))
+
+
 def match_scores(index: TextIndex, batch: QueryBatch, fields: Sequence[str] | None = None, bm25: Bm25 = Bm25()) -> DataFrame:
-    """(text_id, doc_id, _score) of every document that holds a word of a text.
+    """(doc_id, text_id, _score) of every document that holds a word of a text.
 
     A word asked for twice counts twice; scores add up over words and fields.
     """
-    hits = _hits(index, batch, _checked_fields(index, fields), bm25)
-    length = f"({1.0 - bm25.b!r}D + {bm25.b!r}D * doc_len / avgdl)"
-    part = f"weight * tf / (tf + {bm25.k1!r}D * {length})"
-    return hits.groupBy("doc_id", "text_id").agg(F.expr(f"round(sum({part}), {PLACES}) AS _score"))
+    fields = _checked_fields(index, fields)
+    if batch.few is None:
+        hits = _hits(index, batch, fields, bm25)
+    else:
+        hits = _local_hits(index, _local_weights(index, batch, fields, bm25))
+    return _rounded(_summed(hits, bm25))
+
+
+def _best(scores: DataFrame, k: int) -> DataFrame:
+    return top_k(scores, "text_id", [F.desc("_score"), F.asc("doc_id")], k)
+
+
+def _by_text(weights: pa.Table) -> dict[int, list[dict]]:
+    """The words of each text."""
+    texts: dict[int, list[dict]] = {}
+    for row in weights.to_pylist():
+        texts.setdefault(row["text_id"], []).append(row)
+    return texts
+
+
+def _rarest(words: Sequence[dict], postings: int) -> list[dict]:
+    """The rarest words, as many as it takes to have so many postings."""
+    taken, total = [], 0
+    for word in sorted(words, key=lambda w: (w["df"], w["field"], w["term"])):
+        if taken and total >= postings:
+            break
+        taken.append(word)
+        total += word["df"]
+    return taken
+
+
+def _cannot_do_alone(words: Sequence[dict], threshold: float) -> list[dict]:
+    """The words with the lowest bounds, as many as stay below ``threshold`` together: a document needs another one."""
+    taken, total = [], 0.0
+    for word in sorted(words, key=lambda w: (w["bound"], w["field"], w["term"])):
+        total += word["bound"]
+        if total + SLACK >= threshold:
+            break
+        taken.append(word)
+    return taken
+
+
+def _pruned_scores(index: TextIndex, weights: pa.Table, bm25: Bm25, k: int) -> DataFrame:
+    """As ``match_scores``, of the documents that can be among the best ``k`` of a text.
+
+    A first pass adds up the rarest words of each text; the k-th best sum is a
+    threshold that the k best documents reach. Words that together stay below it
+    are not read for their own sake: documents are found by the other words, those
+    that cannot reach the threshold even with the best of the rest are left out,
+    and only for what remains are the rest looked up, document by document, inside
+    the bucket. No pair of a text and a document is made for a common word alone.
+    """
+    texts, schema = _by_text(weights), weights.schema
+    first = pa.Table.from_pylist([w for words in texts.values() for w in _rarest(words, FIRST_POSTINGS * k)], schema)
+    tops = _best(_rounded(_summed(_local_hits(index, first), bm25)), k)
+    # One row for each text of a small batch.
+    reached = {r.text_id: r.least for r in tops.groupBy("text_id").agg(
+        F.min("_score").alias("least"), F.count("*").alias("n")).where(F.col("n") >= k).collect()}
+    rest = {text: _cannot_do_alone(words, reached.get(text, 0.0)) for text, words in texts.items()}
+    others = {(w["text_id"], w["field"], w["term"]) for words in rest.values() for w in words}
+    finders = [w for words in texts.values() for w in words if (w["text_id"], w["field"], w["term"]) not in others]
+    found = _summed(_local_hits(index, pa.Table.from_pylist(finders, schema)), bm25)
+    if not others:
+        return _rounded(found)
+    limits = pa.table({
+        "text_id": pa.array(list(rest), pa.int64()),
+        "open": pa.array([sum(w["bound"] for w in words) for words in rest.values()], pa.float64()),
+        "least": pa.array([reached.get(text, 0.0) - SLACK for text in rest], pa.float64())})
+    # As many rows as the batch has texts, and query words.
+    found = found.join(F.broadcast(index.spark.createDataFrame(limits)), "text_id").where("score + open >= least")
+    lookups = pa.Table.from_pylist([w for words in rest.values() for w in words], schema)
+    asked = found.select("doc_id", "text_id").join(F.broadcast(index.spark.createDataFrame(lookups)), "text_id")
+    rows = _rows_of(index, lookups)
+    extra = _summed(rows.join(asked.hint("shuffle_hash"), ["doc_id", "field", "term"]), bm25)
+    both = found.select("doc_id", "text_id", "score").unionByName(extra)
+    return _rounded(both.groupBy("doc_id", "text_id").agg(F.sum("score").alias("score")))
 
 
 def keyword_top_k(index: TextIndex, queries: DataFrame, k: int = 10,
-                  fields: Sequence[str] | None = None, bm25: Bm25 = Bm25()) -> DataFrame:
+                  fields: Sequence[str] | None = None, bm25: Bm25 = Bm25(), prune_pairs: int = PRUNE_PAIRS) -> DataFrame:
     """(query_id, doc_id, _score, rank): the best ``k`` documents of each query.
 
     ``queries`` holds ``query_id`` and ``query``. Any word may match; equal
-    scores are in order of ``doc_id``.
+    scores are in order of ``doc_id``. A small batch that makes more than
+    ``prune_pairs`` pairs is answered with bounds on scores; the rows are the same.
     """
-    batch = read_batch(queries, index.joined)
-    scores = match_scores(index, batch, fields, bm25)
-    best = top_k(scores, "text_id", [F.desc("_score"), F.asc("doc_id")], k)
-    return per_query(batch, best, k)
+    batch, fields = read_batch(queries, index.joined), _checked_fields(index, fields)
+    if batch.few is None:
+        scores = _rounded(_summed(_hits(index, batch, fields, bm25), bm25))
+    else:
+        weights = _local_weights(index, batch, fields, bm25)
+        if sum(weights["df"].to_pylist()) > prune_pairs:
+            scores = _pruned_scores(index, weights, bm25, k)
+        else:
+            scores = _rounded(_summed(_local_hits(index, weights), bm25))
+    return per_query(batch, _best(scores, k), k)
 
 
 def match_top_k(index: TextIndex, queries: DataFrame, k: int = 10, fields: Sequence[str] | None = None) -> DataFrame:

@@ -30,7 +30,7 @@ from corkscan.storage import materialise
 BUCKET_BYTES = 256 << 20
 
 POSTINGS_SCHEMA = "field STRING, term STRING, doc_id BIGINT, tf BIGINT, doc_len BIGINT, batch INT"
-FREQ_SCHEMA = "field STRING, term STRING, df BIGINT"
+FREQ_SCHEMA = "field STRING, term STRING, df BIGINT, top_tf BIGINT, least_len BIGINT"
 STATS_SCHEMA = ("field STRING, n BIGINT, total_len BIGINT, avgdl DOUBLE, buckets INT, joined BOOLEAN, folder STRING, "
                 "tombstones BIGINT")
 TOMBSTONES_SCHEMA = "doc_id BIGINT, gone INT"
@@ -76,12 +76,14 @@ def doc_lengths(docs: DataFrame, id_column: str, fields: Sequence[str], joined:
 
 
 def term_doc_freq(posting_rows: DataFrame) -> DataFrame:
-    """(field, term, df): number of documents that hold the word.
+    """(field, term, df, top_tf, least_len): number of documents that hold the word,
+    its largest count in one, and the length of the shortest one.
 
     Counted on the map side first, so a word found everywhere is one row per
     task by the time it is shuffled.
     """
-    return posting_rows.groupBy("field", "term").agg(F.count("*").alias("df"))
+    return posting_rows.groupBy("field", "term").agg(
+        F.count("*").alias("df"), F.max("tf").alias("top_tf"), F.min("doc_len").alias("least_len"))
 
 
 def corpus_stats(lengths: DataFrame) -> DataFrame:
@@ -119,6 +121,11 @@ class TextIndex:
         return self._postings
 
     def term_doc_freq(self) -> DataFrame:
+        """(field, term, df)."""
+        return self._term_doc_freq.select("field", "term", "df")
+
+    def word_figures(self) -> DataFrame:
+        """(field, term, df, top_tf, least_len); documents that went may still count in the last two."""
         return self._term_doc_freq
 
     def corpus_stats(self) -> DataFrame:
@@ -281,11 +288,11 @@ def _next_version(index: TextIndex, batch: int, docs: DataFrame | None, id_colum
     are those of the version before, less what goes, and more what comes.
     """
     spark, fields = index.spark, sorted(index.n)
-    freqs, sizes, tombstones = [index.term_doc_freq()], [index.corpus_stats()], index.tombstones
+    freqs, sizes, tombstones = [index.word_figures()], [index.corpus_stats()], index.tombstones
     if old is not None:
         # Read before the tombstones are there.
         gone = _postings_of(index, old)
-        minus = materialise(gone.groupBy("field", "term").agg((-F.count("*")).alias("df")), "frequencies-gone")
+        minus = materialise(term_doc_freq(gone).withColumn("df", -F.col("df")), "frequencies-gone")
         less = materialise(_stats_of(gone, fields).select(
             "field", (-F.col("n")).alias("n"), (-F.col("total_len")).alias("total_len")), "sizes-gone")
         freqs.append(minus)
@@ -301,7 +308,8 @@ def _next_version(index: TextIndex, batch: int, docs: DataFrame | None, id_colum
         new = spark.table(index.table).where(F.col("batch") == batch)
         freqs.append(term_doc_freq(new))
         sizes.append(_stats_of(new, fields))
-    freq = functools.reduce(DataFrame.unionByName, freqs).groupBy("field", "term").agg(F.sum("df").alias("df"))
+    freq = functools.reduce(DataFrame.unionByName, freqs).groupBy("field", "term").agg(
+        F.sum("df").alias("df"), F.max("top_tf").alias("top_tf"), F.min("least_len").alias("least_len"))
     return _publish(spark, index.root, index.folder, index.table, index.buckets, batch, index.joined,
                     freq.where("df > 0"), _add_stats(*sizes), tombstones)
 
@@ -360,7 +368,8 @@ def compact_text_index(index: TextIndex) -> TextIndex:
     folder, table = f"postings-{version}", _new_table_name()
     _write_ids(index.ids(), "doc_id", f"{index.root}/{folder}-ids", version)
     _write_postings(index.postings(), f"{index.root}/{folder}", table, index.buckets, version, "errorifexists")
-    return _publish(spark, index.root, folder, table, index.buckets, version, index.joined, index.term_doc_freq(), index.corpus_stats())
+    return _publish(spark, index.root, folder, table, index.buckets, version, index.joined, term_doc_freq(spark.table(table)),
+                    index.corpus_stats())
 
 
 def _newest(spark: SparkSession, root: str) -> int | None:

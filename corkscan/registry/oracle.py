@@ -400,6 +400,8 @@ numbered AS (SELECT o_orderkey, o_orderkey % (SELECT count(*) FROM documents) AS
 SELECT query_id, doc_id, _score, rank FROM best WHERE rank <= 2""",
     "bm25_top10": f"WITH {BEST_DOCUMENTS} SELECT query_id, doc_id, _score, rank FROM best",
     "bm25_benchmark_top10": f"""WITH {DOCUMENTS}, {_ranked('SELECT item_id AS query_id, text AS query FROM benchmark')}
+SELECT query_id, doc_id, _score, rank FROM best""",
+    "bm25_bounds_top10": f"""WITH {DOCUMENTS}, {_ranked('SELECT item_id AS query_id, text AS query FROM benchmark')}
 SELECT query_id, doc_id, _score, rank FROM best""",
     "match_top10": f"WITH {BEST_DOCUMENTS} SELECT query_id, rank, doc_id FROM best",
     "match_candidates": f"""WITH {BEST_DOCUMENTS}

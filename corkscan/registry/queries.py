@@ -433,6 +433,12 @@ def bm25_benchmark_top10(w: Workspace) -> DataFrame:
     return keyword.keyword_top_k(w.document_index, w.benchmark_queries())
 
 
+@query
+def bm25_bounds_top10(w: Workspace) -> DataFrame:
+    """As the row before, with common words looked up for documents that can still be among the best."""
+    return keyword.keyword_top_k(w.document_index, w.benchmark_queries(), prune_pairs=0)
+
+
 @query
 def match_top10(w: Workspace) -> DataFrame:
     return keyword.match_top_k(w.document_index, w.document_queries())

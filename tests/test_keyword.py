@@ -150,6 +150,46 @@ def test_append_equals_rebuild(spark, docs, index):
         text_index.append_text_index(first, docs.where("id = 3"), "id")
 
 
+@pytest.fixture(scope="module")
+def uneven(spark):
+    """An index of texts with common and rare words in two fields, some changed and deleted, and texts to ask for."""
+    rng, words = random.Random(6), [f"w{n}" for n in range(40)]
+    shares = [1 / (n + 1) for n in range(40)]
+
+    def some(ids):
+        return [(i, " ".join(rng.choices(words, shares, k=rng.randrange(12))), " ".join(rng.choices(words, shares, k=rng.randrange(40)))) for i in ids]
+
+    schema = "id BIGINT, title STRING, description STRING"
+    index = text_index.build_text_index(
+        spark.createDataFrame(some(range(400)), schema), new_path(spark, "uneven"), "id", ["title", "description"], buckets=4)
+    index = text_index.upsert_text_index(index, spark.createDataFrame(some(range(300, 500)), schema), "id")
+    index = text_index.delete_from_text_index(index, spark.createDataFrame([(i,) for i in range(0, 100, 3)], "id BIGINT"), "id")
+    asked = [(n, " ".join(rng.choices(words + ["none"], k=rng.choice([1, 2, 2, 3, 6])))) for n in range(120)]
+    return index, frame(spark, [*asked, (500, ""), (501, None), (502, "w0"), (503, "w0 w1"), (504, "w0 w0 w39")])
+
+
+@pytest.mark.parametrize("fields", [None, ["title"]])
+@pytest.mark.parametrize("k", [1, 3, 10, 1000])
+def test_bounds_change_nothing(spark, uneven, fields, k):
+    index, asked = uneven
+    plain, pruned = (sorted(map(tuple, keyword.keyword_top_k(index, asked, k, fields, prune_pairs=pairs).collect())) for pairs in (10**9, 0))
+    assert pruned == plain
+
+
+def test_bounds_leave_pairs_out(spark, uneven):
+    """Common words make no pairs of their own, and the lookup stays inside the buckets."""
+    index, asked = uneven
+    batch = queries.read_batch(asked)
+    weights = keyword._local_weights(index, batch, ["title", "description"], keyword.Bm25())
+    for row in weights.to_pylist():
+        assert row["bound"] <= row["weight"]
+    best = keyword._pruned_scores(index, weights, keyword.Bm25(), 3)
+    pruned, every = best.count(), keyword.match_scores(index, batch).count()
+    assert pruned < 0.6 * every
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
 def text_of(index):
     return sorted(tuple(r) for r in index.postings().collect()), sorted(tuple(r) for r in index.term_doc_freq().collect()), dict(index.n), dict(index.avgdl)
 
