@@ -233,8 +233,8 @@ def _pruned_scores(index: TextIndex, weights: pa.Table, bm25: Bm25, k: int) -> D
     asked = found.select("doc_id", "text_id").join(F.broadcast(index.spark.createDataFrame(lookups)), "text_id")
     rows = _rows_of(index, lookups)
     extra = _summed(rows.join(asked.hint("shuffle_hash"), ["doc_id", "field", "term"]), bm25)
-    both = found.select("doc_id", "text_id", "score").unionByName(extra)
-    return _rounded(both.groupBy("doc_id", "text_id").agg(F.sum("score").alias("score")))
+    both = found.join(extra.withColumnRenamed("score", "more").hint("shuffle_hash"), ["doc_id", "text_id"], "left")
+    return _rounded(both.withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0))))
 
 
 def keyword_top_k(index: TextIndex, queries: DataFrame, k: int = 10,
