@@ -24,7 +24,7 @@ FILTER_TERMS = 200
 FILTER_LIST = 10
 # Searches of a small batch that would add up more pairs of texts and documents than
 # this leave out what bounds on scores exclude, at the price of one more pass.
-PRUNE_PAIRS = 20_000_000
+PRUNE_PAIRS = 10_000_000
 # The first pass reads the rarest words of a text, until they have so many times k postings.
 FIRST_POSTINGS = 4
 # Rounded scores lie this close to exact ones, with room for sums in another order.
@@ -231,10 +231,13 @@ def _pruned_scores(index: TextIndex, weights: pa.Table, bm25: Bm25, k: int) -> D
     found = found.join(F.broadcast(index.spark.createDataFrame(limits)), "text_id").where("score + open >= least")
     lookups = pa.Table.from_pylist([w for words in rest.values() for w in words], schema)
     asked = found.select("doc_id", "text_id").join(F.broadcast(index.spark.createDataFrame(lookups)), "text_id")
-    rows = _rows_of(index, lookups)
-    extra = _summed(rows.join(asked.hint("shuffle_hash"), ["doc_id", "field", "term"]), bm25)
-    both = found.join(extra.withColumnRenamed("score", "more").hint("shuffle_hash"), ["doc_id", "text_id"], "left")
-    return _rounded(both.withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0))))
+    # One row for each document, at most as long as the batch: joined on the document alone, it stays in its bucket.
+    asked = asked.groupBy("doc_id").agg(F.collect_list(F.struct("text_id", "field", "term", "weight", "avgdl")).alias("asks"))
+    same = lambda ask: (ask["field"] == F.col("field")) & (ask["term"] == F.col("term"))
+    rows = _rows_of(index, lookups).join(asked.hint("shuffle_hash"), "doc_id")
+    extra = _summed(rows.select("doc_id", "tf", "doc_len", F.inline(F.filter("asks", same))), bm25)
+    both = found.select("doc_id", "text_id", "score").unionByName(extra)
+    return _rounded(both.groupBy("doc_id", "text_id").agg(F.sum("score").alias("score")))
 
 
 def keyword_top_k(index: TextIndex, queries: DataFrame, k: int = 10,
