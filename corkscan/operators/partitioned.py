@@ -6,16 +6,18 @@ so they travel with the tasks; vectors never come to the driver.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from corkscan.functions.matrices import list_array, matrix, unit_rows
+from corkscan.operators import seeding
 from corkscan.operators.nearest import FOUND_SCHEMA, QueryBlock, as_block, scan_vectors, search_blocks
 
 # Settings of the partitioned index and of its search.
@@ -30,25 +32,67 @@ MEAN_PLACES = 9
 TILE_CELLS = 1 << 22
 
 
-def train_centroids(vectors: DataFrame, partitions: int = NUM_PARTITIONS, steps: int = TRAINING_STEPS) -> np.ndarray:
+def train_centroids(vectors: DataFrame, partitions: int = NUM_PARTITIONS, steps: int = TRAINING_STEPS,
+                    start: np.ndarray | None = None) -> np.ndarray:
     """Cluster the vectors (id, vector) by cosine; one unit centroid per partition.
 
-    Begins with the vectors of the lowest ids. Every step looks at every vector and
-    brings one row per partition to the driver; a partition that has lost all of its
-    vectors stays where it is. Ends early when nothing moves.
+    Begins with ``start``, or with ``seeded_centroids``. Every step looks at every
+    vector and brings one row per partition to the driver. A partition that nothing
+    is nearest to, as the second of two twins, begins again at the vector that lies
+    farthest out in the widest partition. Ends early when nothing moves. There are
+    fewer partitions than asked for only if there are fewer different vectors.
     """
-    centroids = lowest_id_centroids(vectors, partitions)
+    centroids = seeded_centroids(vectors, partitions) if start is None else start
+    if not len(centroids):
+        return centroids
     for _ in range(steps):
-        moved = centroids.copy()
-        for row in lloyd_step(vectors, centroids).collect():
+        moved, found = centroids.copy(), lloyd_step(vectors, centroids).collect()
+        for row in found:
             moved[row["part_id"]] = np.round(row["centroid"], MEAN_PLACES)
         moved = unit_rows(moved)
+        for part, row in zip(empty_parts(found, len(centroids)), widest_first(found)):
+            moved[part] = row["far"]
         if np.array_equal(moved, centroids):
             break
         centroids = moved
     return centroids
 
 
+def empty_parts(found: Sequence[Row], count: int) -> list[int]:
+    return sorted(set(range(count)) - {row["part_id"] for row in found})
+
+
+def widest_first(found: Sequence[Row]) -> list[Row]:
+    """Partitions of more than one place, the one with the largest sum of distances first."""
+    wide = [row for row in found if round(row["far_apart"], MEAN_PLACES) > 0]
+    return sorted(wide, key=lambda row: (-round(row["spread"], MEAN_PLACES), row["part_id"]))
+
+
+def seeded_centroids(vectors: DataFrame, partitions: int = NUM_PARTITIONS, rounds: int = seeding.ROUNDS) -> np.ndarray:
+    """Unit vectors that lie apart, drawn over all vectors in a few passes."""
+    rows = vectors.select("id", "vector").where("vector IS NOT NULL")
+    units = lambda batch: unit_rows(matrix(batch["vector"]))
+    candidates = seeding.race(rows, 1, 0, units, lambda _, points: np.where(np.isnan(points[:, 0]), 0.0, 1.0))
+    for round_ in range(1, rounds + 1):
+        if not len(candidates):
+            break
+        apart = functools.partial(_apart, candidates)
+        more = seeding.race(rows, seeding.OVERSAMPLING * partitions, round_, units, apart)
+        candidates = np.concatenate([candidates, more]) if len(more) else candidates
+    weights = np.zeros(len(candidates))
+    if not len(candidates):
+        return candidates
+    for row in lloyd_step(vectors, candidates).select("part_id", "n").collect():
+        weights[row["part_id"]] = row["n"]
+    return seeding.thin_out(candidates, weights, partitions)
+
+
+def _apart(candidates: np.ndarray, _: pa.RecordBatch, points: np.ndarray) -> np.ndarray:
+    usable, apart = ~np.isnan(points[:, 0]), np.zeros(len(points))
+    apart[usable] = seeding.distances(points[usable], candidates)[1]
+    return apart
+
+
 def lowest_id_centroids(vectors: DataFrame, partitions: int = NUM_PARTITIONS) -> np.ndarray:
     """The vectors with the lowest ids as a repeatable start."""
     first = vectors.where("vector IS NOT NULL").orderBy("id").select("vector").limit(partitions).toArrow()
@@ -78,7 +122,8 @@ def assign_partitions(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
 
 
 def lloyd_step(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
-    """(part_id, n, centroid): the mean unit vector of each partition.
+    """(part_id, n, centroid, spread, far_apart, far): the mean unit vector of each partition,
+    the sum of squared distances from the old centroid, and the farthest vector.
 
     Each task adds up its own vectors, so a partition with a third of them is
     still one row per task in the shuffle.
@@ -86,6 +131,7 @@ def lloyd_step(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, sums = np.zeros(len(centroids), np.int64), np.zeros(centroids.shape)
+        spread, apart, far = np.zeros(len(centroids)), np.full(len(centroids), -1.0), np.zeros(centroids.shape)
         for batch in batches:
             if batch.num_rows:
                 units = unit_rows(matrix(batch["vector"]))
@@ -93,17 +139,36 @@ def lloyd_step(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
                 part = nearest_parts(units, centroids, 1)[:, 0]
                 counts += np.bincount(part, minlength=len(centroids))
                 np.add.at(sums, part, units)
+                away = np.round(np.square(units - centroids[part]).sum(axis=1), 12)
+                spread += np.bincount(part, away, minlength=len(centroids))
+                keep_farthest(part, away, units, apart, far)
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(seen.astype(np.int32)), pa.array(counts[seen]), list_array(sums[seen], pa.float64())],
-            ["part_id", "n", "sums"],
+            [pa.array(seen.astype(np.int32)), pa.array(counts[seen]), list_array(sums[seen], pa.float64()), pa.array(spread[seen]),
+             pa.array(apart[seen]), list_array(far[seen], pa.float64())],
+            ["part_id", "n", "sums", "spread", "far_apart", "far"],
         )
 
     rows = vectors.select("vector").where("vector IS NOT NULL")
-    sums = rows.mapInArrow(add_up, "part_id INT, n BIGINT, sums ARRAY<DOUBLE>")
+    sums = rows.mapInArrow(add_up, "part_id INT, n BIGINT, sums ARRAY<DOUBLE>, spread DOUBLE, far_apart DOUBLE, far ARRAY<DOUBLE>")
     total = sums.groupBy("part_id").agg(
-        F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))
-    return total.select("part_id", "n", F.transform("sums", lambda x: x / F.col("n")).alias("centroid"))
+        F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"), F.sum("spread").alias("spread"),
+        # Of vectors equally far out the largest one, so that partitions of the data do not show.
+        F.max(F.struct("far_apart", "far")).alias("far"))
+    return total.select("part_id", "n", F.transform("sums", lambda x: x / F.col("n")).alias("centroid"), "spread", "far.far_apart", "far.far")
+
+
+def keep_farthest(group: np.ndarray, away: np.ndarray, points: np.ndarray, apart: np.ndarray, far: np.ndarray) -> None:
+    """Put the farthest point of each group into ``apart`` and ``far``; of equally far ones the largest."""
+    most = np.full(len(apart), -1.0)
+    np.maximum.at(most, group, away)
+    rows = np.flatnonzero(away == most[group])
+    if len(rows) > len(apart):  # copies
+        rows = rows[np.unique(np.column_stack([group[rows], points[rows]]), axis=0, return_index=True)[1]]
+    for row in rows.tolist():
+        at = group[row]
+        if (away[row], points[row].tolist()) > (apart[at], far[at].tolist()):
+            apart[at], far[at] = away[row], points[row]
 
 
 def probed_parts(queries: DataFrame, centroids: np.ndarray, nprobes: int = NUM_PROBES) -> DataFrame:

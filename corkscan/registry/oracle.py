@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from corkscan.registry.fixed import DOCUMENT_LINES, KEYWORD_LINES
-from corkscan.registry.workspace import DIM, PARTITIONS, TRAINING_STEPS
+from corkscan.registry.workspace import DIM, PARTITIONS
 from corkscan.schemas import ANALYZED_FIELDS
 
 WORD = r"[\p{L}\p{M}\p{N}_]+"
@@ -167,48 +167,12 @@ means AS (
 mean_vectors AS (SELECT label::BIGINT AS query_id, list(x ORDER BY pos)::FLOAT[] AS q FROM means GROUP BY ALL),
 asking AS (SELECT query_id, {_unit('q')} AS q FROM mean_vectors)"""
 
-def _trained_centroids(steps: int) -> str:
-    """The vectors of the lowest ids, moved to the means of what is nearest to them, some times."""
-    parts = [f"""
-centroids0 AS MATERIALIZED (
+
+# The vectors of the lowest ids as centroids and code words.
+CENTROIDS = UNITS + f""",
+centroids AS MATERIALIZED (
   SELECT (row_number() OVER (ORDER BY vec_id) - 1)::INTEGER AS part_id, u AS c FROM units
-  QUALIFY row_number() OVER (ORDER BY vec_id) <= {PARTITIONS})"""]
-    for n in range(1, steps + 1):
-        parts.append(f"""
-member{n} AS (
-  SELECT vec_id, u, part_id FROM units, centroids{n - 1}
-  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(list_dot_product(u, c), 12) DESC, part_id) = 1),
-cells{n} AS (
-  SELECT part_id, pos, round(avg(x), 9) AS x
-  FROM (SELECT part_id, unnest(u) AS x, unnest(range(1, {DIM} + 1)) AS pos FROM member{n}) GROUP BY ALL),
-means{n} AS (SELECT part_id, list(x ORDER BY pos) AS v FROM cells{n} GROUP BY ALL),
-centroids{n} AS MATERIALIZED (
-  SELECT part_id, CASE WHEN v IS NULL THEN c ELSE {_unit('v')} END AS c
-  FROM centroids{n - 1} LEFT JOIN means{n} USING (part_id))""")
-    return ",".join(parts)
-
-
-def _trained_words(steps: int) -> str:
-    """The sub-vectors of the lowest ids, moved in the same way."""
-    parts = [f"""
-words0 AS MATERIALIZED (SELECT m, code::INTEGER AS code, p AS w FROM subs JOIN firsts USING (vec_id))"""]
-    nearest = "round(list_dot_product(w, w) - 2 * list_dot_product(p, w), 12), code"
-    for n in range(1, steps + 1):
-        parts.append(f"""
-near{n} AS (
-  SELECT m, code, p FROM subs JOIN words{n - 1} USING (m)
-  QUALIFY row_number() OVER (PARTITION BY vec_id, m ORDER BY {nearest}) = 1),
-word_cells{n} AS (
-  SELECT m, code, pos, round(avg(x), 9) AS x
-  FROM (SELECT m, code, unnest(p) AS x, unnest(range(1, {SUB_DIM} + 1)) AS pos FROM near{n}) GROUP BY ALL),
-word_means{n} AS (SELECT m, code, list(x ORDER BY pos) AS v FROM word_cells{n} GROUP BY ALL),
-words{n} AS MATERIALIZED (
-  SELECT m, code, coalesce(v, w) AS w FROM words{n - 1} LEFT JOIN word_means{n} USING (m, code))""")
-    return ",".join(parts)
-
-
-CENTROIDS = UNITS + "," + _trained_centroids(TRAINING_STEPS) + f""",
-centroids AS (SELECT part_id, c FROM centroids{TRAINING_STEPS}),
+  QUALIFY row_number() OVER (ORDER BY vec_id) <= {PARTITIONS}),
 assigned AS MATERIALIZED (
   SELECT vec_id, u, part_id, c FROM units, centroids
   QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(list_dot_product(u, c), 12) DESC, part_id) = 1),
@@ -224,10 +188,9 @@ subs AS MATERIALIZED (
   SELECT vec_id, part_id, m::INTEGER AS m, r[m * {SUB_DIM} + 1 : m * {SUB_DIM} + {SUB_DIM}] AS p
   FROM rests, range({DIM // SUB_DIM}) AS g(m)),
 firsts AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS code FROM units QUALIFY code < {WORDS}),
-""" + _trained_words(TRAINING_STEPS) + f""",
-code_words AS (SELECT m, code, w FROM words{TRAINING_STEPS}),
+code_words AS MATERIALIZED (SELECT m, code::INTEGER AS code, p AS w FROM subs JOIN firsts USING (vec_id)),
 codes AS (
-  SELECT vec_id, part_id, m, code, w FROM subs JOIN code_words USING (m)
+  SELECT vec_id, part_id, m, code, w, p FROM subs JOIN code_words USING (m)
   QUALIFY row_number() OVER (PARTITION BY vec_id, m
     ORDER BY round(list_dot_product(w, w) - 2 * list_dot_product(p, w), 12), code) = 1),
 decoded AS (
@@ -437,25 +400,24 @@ SELECT query_id, doc_id, _distance,
 SELECT part_id, n, slot::INTEGER AS slot, round(value, 6) + 0.0 AS value FROM (
   SELECT part_id, count(*) AS n, slot, avg(x) AS value
   FROM (SELECT part_id, unnest(u) AS x, unnest(range(1, {DIM} + 1)) AS slot FROM assigned) GROUP BY part_id, slot)""",
-    "ivf_train": f"""WITH {CENTROIDS}
-SELECT part_id, slot::INTEGER AS slot, round(value, 6) + 0.0 AS value
-FROM (SELECT part_id, unnest(c) AS value, unnest(range(1, {DIM} + 1)) AS slot FROM centroids)""",
-    "pq_train": f"""WITH {CODES}
-SELECT m, code, slot::INTEGER AS slot, value + 0.0 AS value
-FROM (SELECT m, code, unnest(w) AS value, unnest(range(1, {SUB_DIM} + 1)) AS slot FROM code_words)""",
-    "ivfpq_trained_top10": f"WITH {QUANTISED} SELECT query_id, vec_id, _distance, rank FROM nearest",
-    "pq_recall_at_10": f"""WITH {QUANTISED},
+    "ivf_lloyd_spread": f"""WITH {CENTROIDS},
+away AS (SELECT part_id, list_sum(list_transform(range(1, {DIM} + 1), lambda i: (u[i] - c[i]) ** 2)) AS d FROM assigned)
+SELECT part_id, round(sum(d), 6) + 0.0 AS spread, round(max(d), 6) + 0.0 AS far_apart FROM away GROUP BY part_id""",
+    "pq_words_step": f"""WITH {CODES}
+SELECT m, code, count(*) AS n, slot::INTEGER AS slot, round(avg(x), 6) + 0.0 AS value
+FROM (SELECT m, code, unnest(p) AS x, unnest(range(1, {SUB_DIM} + 1)) AS slot FROM codes) GROUP BY m, code, slot""",
+    "pq_plain_recall_at_10": f"""WITH {QUANTISED},
 exact_near AS (SELECT query_id, vec_id, round(1 - list_dot_product(q, u), 6) + 0.0 AS _distance FROM asking, units),
 exact AS (SELECT query_id, vec_id FROM exact_near
   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY _distance, vec_id) <= {K})
 SELECT query_id, round(count(nearest.vec_id) / {K}, 6) AS recall
 FROM exact LEFT JOIN nearest USING (query_id, vec_id) GROUP BY ALL""",
-    "ivf_assign": f"WITH {CENTROIDS} SELECT vec_id, part_id FROM assigned",
-    "ivf_probe": f"WITH {CENTROIDS} SELECT query_id, part_id, probe FROM probes",
-    "ivf_flat_top10": f"WITH {FLAT} SELECT query_id, vec_id, _distance, rank FROM nearest",
-    "pq_encode": f"WITH {CODES} SELECT vec_id, part_id, m, code FROM codes",
-    "ivfpq_top10": f"WITH {QUANTISED} SELECT query_id, vec_id, _distance, rank FROM nearest",
-    "ann_recall_at_10": f"""WITH {CENTROIDS}, {_nearest("probes JOIN assigned USING (part_id)", "1 - list_dot_product(q, u)")},
+    "ivf_plain_assign": f"WITH {CENTROIDS} SELECT vec_id, part_id FROM assigned",
+    "ivf_plain_probe": f"WITH {CENTROIDS} SELECT query_id, part_id, probe FROM probes",
+    "ivf_plain_flat_top10": f"WITH {FLAT} SELECT query_id, vec_id, _distance, rank FROM nearest",
+    "pq_plain_encode": f"WITH {CODES} SELECT vec_id, part_id, m, code FROM codes",
+    "ivfpq_plain_top10": f"WITH {QUANTISED} SELECT query_id, vec_id, _distance, rank FROM nearest",
+    "ann_plain_recall_at_10": f"""WITH {CENTROIDS}, {_nearest("probes JOIN assigned USING (part_id)", "1 - list_dot_product(q, u)")},
 exact_near AS (SELECT query_id, vec_id, round(1 - list_dot_product(q, u), 6) + 0.0 AS _distance FROM asking, units),
 exact AS (SELECT query_id, vec_id FROM exact_near
   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY _distance, vec_id) <= {K})

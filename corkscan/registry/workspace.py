@@ -24,7 +24,6 @@ from corkscan.storage import materialise, new_path
 DIM = 64  # size of the vectors in the table ``embeddings``
 BUCKETS = 8
 PARTITIONS = 16
-TRAINING_STEPS = 2  # so few that the same steps can be written out in SQL
 
 _workspaces: dict[tuple[str, str], "Workspace"] = {}
 
@@ -183,14 +182,26 @@ class Workspace:
 
     @functools.cached_property
     def centroids(self):
-        return partitioned.train_centroids(self.vectors(), PARTITIONS, TRAINING_STEPS)
+        return partitioned.train_centroids(self.vectors(), PARTITIONS)
 
     def assigned(self) -> DataFrame:
         return partitioned.assign_partitions(self.vectors(), self.centroids)
 
     @functools.cached_property
     def model(self) -> quantised.Quantiser:
-        return quantised.train_words(self.assigned(), self.centroids, steps=TRAINING_STEPS)
+        return quantised.train_words(self.assigned(), self.centroids)
+
+    @functools.cached_property
+    def plain_centroids(self):
+        """The vectors of the lowest ids: centroids that SQL can tell as well, not trained."""
+        return partitioned.lowest_id_centroids(self.vectors(), PARTITIONS)
+
+    def plainly_assigned(self) -> DataFrame:
+        return partitioned.assign_partitions(self.vectors(), self.plain_centroids)
+
+    @functools.cached_property
+    def plain_model(self) -> quantised.Quantiser:
+        return quantised.lowest_id_words(self.plainly_assigned(), self.plain_centroids)
 
     # --- query log -----------------------------------------------------------
 

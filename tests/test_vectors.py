@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -122,7 +124,7 @@ def test_recall_grows_with_probes(index, asked, exact):
     flat = [recall(partitioned.flat_top_k(index.vectors, index.model.centroids, asked, nprobes=n), exact) for n in (1, 4, 10)]
     coded = [recall(quantised.quantised_top_k(index.codes, index.model, asked, nprobes=n), exact) for n in (1, 4, 10)]
     assert flat == sorted(flat) and coded == sorted(coded)
-    assert flat[-1] >= 0.8 and coded[-1] >= 0.65
+    assert flat[-1] >= 0.9 and coded[-1] >= 0.65
 
 
 def test_codes_equal_nearest_words(index):
@@ -191,6 +193,114 @@ def test_training_looks_at_every_row(spark):
     assert len(groups) == len(others) == 1 and groups != others
 
 
+def plain_training(points, centres, steps, unit):
+    """Means of what is nearest, empty ones moved to the farthest point of the widest group, in plain numpy."""
+    for _ in range(steps):
+        apart = np.round(((points[:, None] - centres) ** 2).sum(-1), 10)
+        near, moved = apart.argmin(1), centres.copy()
+        away = apart[np.arange(len(points)), near]
+        wide = []
+        for group in range(len(centres)):
+            rows = np.flatnonzero(near == group)
+            if len(rows):
+                moved[group] = np.round(points[rows].mean(0), 9)
+                far = max(rows, key=lambda row: (away[row], points[row].tolist()))
+                if away[far] > 1e-9:
+                    wide.append((-round(away[rows].sum(), 9), group, points[far]))
+        if unit:
+            moved /= np.linalg.norm(moved, axis=1, keepdims=True)
+        empty = [group for group in range(len(centres)) if not (near == group).any()]
+        for group, (_, _, far) in zip(empty, sorted(wide, key=lambda w: w[:2])):
+            moved[group] = far if unit else np.round(far, 9)
+        centres = moved
+    return centres
+
+
+@pytest.mark.parametrize("start", ["seeded", "copies"])
+def test_training_equals_plain_numpy(spark, start):
+    rng = np.random.default_rng(4)
+    points = np.concatenate([rng.normal(size=(200, 8)), np.repeat(rng.normal(size=(1, 8)), 100, axis=0)])
+    rows = [(i, [float(x) for x in np.float32(p)]) for i, p in enumerate(points)]
+    frame = spark.createDataFrame([*rows, (900, None), (901, [0.0] * 8)], "id BIGINT, vector ARRAY<FLOAT>").repartition(5)
+    units = np.array([v for _, v in rows])
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    centres = partitioned.seeded_centroids(frame, 6) if start == "seeded" else units[[250] * 4 + [0, 1]]
+    found = partitioned.train_centroids(frame, 6, steps=20, start=centres)
+    assert np.allclose(found, plain_training(units, centres, 20, True), atol=1e-7)
+    assigned = partitioned.assign_partitions(frame, found)
+    parts = np.argmax(np.round(units @ found.T, 12), axis=1)
+    assert {r.id: r.part_id for r in assigned.collect()} == dict(enumerate(parts.tolist()))
+    assert len(set(parts.tolist())) == 6
+
+    model = quantised.seeded_words(assigned, found, 4, 16) if start == "seeded" else quantised.lowest_id_words(
+        assigned.where("id >= 195"), found, 4, 16)
+    trained = quantised.train_words(assigned, found, 4, 16, steps=8, start=model)
+    rest = (units - found[parts]).reshape(len(units), 2, 4)
+    for m in range(2):
+        assert np.allclose(trained.words[m], plain_training(rest[:, m], model.words[m], 8, False), atol=1e-6)
+
+
+def test_seeds_are_different_and_repeatable(spark, vectors):
+    seeds = partitioned.seeded_centroids(vectors, 16)
+    assert np.array_equal(seeds, partitioned.seeded_centroids(vectors.repartition(3), 16))
+    assert len(np.unique(np.round(seeds, 6), axis=0)) == 16
+    words = quantised.seeded_words(partitioned.assign_partitions(vectors, seeds), seeds, 32, 20).words
+    assert words.shape == (2, 20, 32) and all(len(np.unique(w, axis=0)) == 20 for w in words)
+
+
+def test_lowest_ids_that_are_copies(spark, vectors, asked, exact):
+    """All partitions are used, and found in."""
+    one = vectors.where("id = 7").first().vector
+    low = spark.createDataFrame([(-n, one) for n in range(1, 400)], "id BIGINT, vector ARRAY<FLOAT>")
+    both = vectors.unionByName(low)
+    centroids = partitioned.train_centroids(both, 16)
+    assigned = materialise(partitioned.assign_partitions(both, centroids), "assigned")
+    assert assigned.select("part_id").distinct().count() == 16
+    found = partitioned.flat_top_k(assigned, centroids, asked)
+    assert recall(found, nearest.exact_top_k(both, asked)) >= 0.9
+
+
+def test_fewer_vectors_than_partitions(spark):
+    frame = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 2.0]), (4, None)], "id BIGINT, vector ARRAY<FLOAT>")
+    centroids = partitioned.train_centroids(frame, 16)
+    assert sorted(centroids.tolist()) == [[0.0, 1.0], [1.0, 0.0]]
+    assert len(partitioned.train_centroids(frame.limit(0), 16)) == 0
+
+
+def test_append_to_an_index(spark, vectors):
+    root, later = new_path(spark, "appended"), F.col("id") % 3 == 0
+    first = index_plan.build_vector_index(vectors.where(~later), root, partitions=4, words=16, iterations=3)
+    files = {f: f.stat().st_mtime_ns for f in Path(root).rglob("*.parquet")}
+    second = index_plan.append_vector_index(first, vectors.where(later & (F.col("id") % 2 == 0)))
+    third = index_plan.append_vector_index(second, vectors.where(later & (F.col("id") % 2 == 1)).union(
+        spark.createDataFrame([(-1, None), (-2, [0.0] * 64)], "id BIGINT, vector ARRAY<FLOAT>")))
+    assert all(f.stat().st_mtime_ns == at for f, at in files.items())
+    assigned = partitioned.assign_partitions(vectors, first.model.centroids)
+    at_once = sorted((r.id, r.part_id, r.codes) for r in quantised.encode(assigned, first.model).collect())
+    assert sorted((r.id, r.part_id, r.codes) for r in third.codes.collect()) == at_once
+    assert {(r.id, r.part_id) for r in third.vectors.collect()} == {(i, p) for i, p, _ in at_once}
+    opened = index_plan.open_vector_index(spark, root)
+    assert opened.version == 2 and opened.codes.count() == third.codes.count() == vectors.count()
+    assert index_plan.open_vector_index(spark, root, 0).codes.count() == first.codes.count()
+    with pytest.raises(ValueError, match="newer version"):
+        index_plan.append_vector_index(first, vectors.limit(1))
+    with pytest.raises(ValueError, match="vectors of size 1"):
+        index_plan.append_vector_index(third, spark.createDataFrame([(1, [1.0])], "id BIGINT, vector ARRAY<FLOAT>"))
+    asked = vectors.where("id = 5").withColumnRenamed("id", "text_id")
+    plan = partitioned.only_probed(opened.codes, partitioned.probing_block(asked.select("text_id", "vector").toArrow(), first.model.centroids, 1))
+    assert plan._jdf.queryExecution().executedPlan().toString().count("PartitionFilters: [isnotnull(part_id") == 3
+    drift = opened.drift().orderBy("batch").collect()
+    assert [r.n for r in drift] == [first.codes.count(), second.codes.count() - first.codes.count(), 500 - second.codes.count()]
+    assert drift[0].drift == 1.0 and 0.8 < drift[1].drift < 2
+    far = spark.createDataFrame([(1000 + i, [float(x) for x in np.eye(64)[i]]) for i in range(64)], "id BIGINT, vector ARRAY<FLOAT>")
+    drifted = index_plan.append_vector_index(opened, far)
+    assert drifted.drift().where("batch = 3").first().drift > 1.2
+    rebuilt = index_plan.build_vector_index(far, root, partitions=2, words=4, iterations=1, replace=True)
+    assert (rebuilt.version, rebuilt.codes.count()) == (4, 64)
+    added = index_plan.append_vector_index(rebuilt, vectors)
+    assert added.codes.count() == 564 and added.batches[0] == "version=4"
+
+
 def test_sub_vectors_must_fit():
     assert quantised.sub_vector_size(256, 64) == 4
     with pytest.raises(ValueError, match="cannot be cut"):
