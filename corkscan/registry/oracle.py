@@ -258,6 +258,9 @@ SELECT CASE WHEN NOT broken THEN id END AS id, CASE WHEN NOT broken THEN points
   CASE WHEN NOT broken THEN length(description)::INTEGER END AS description_chars FROM raw""",
     "json_array_scan": """
 SELECT CASE WHEN p_partkey % 10 = 3 THEN p_partkey + 1000000 END AS id, p_name AS name, p_retailprice AS price FROM part""",
+    "json_array_ranges": """
+SELECT CASE WHEN p_partkey % 10 = 3 THEN p_partkey + 1000000 END AS id, p_name AS name, '[",{\\"' || p_brand || '\\"],' AS odd,
+  p_size::BIGINT AS size FROM part""",
     "assign_dense_id": """
 SELECT CASE WHEN p_partkey % 10 = 3 THEN p_partkey + 1000000 ELSE position END AS id, position, name
 FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS position, p_name AS name FROM part)""",

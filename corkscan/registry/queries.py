@@ -20,7 +20,7 @@ from corkscan.plans import index as index_plan, ingest
 from corkscan.plans import search
 from corkscan.registry.workspace import BUCKETS, DIM, Workspace, in_key_order, workspace
 from corkscan.schemas import ANALYZED_FIELDS, RECORD_FIELDS
-from corkscan.sources import lines, tables
+from corkscan.sources import arrays, lines, tables
 from corkscan.storage import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +80,29 @@ def json_array_scan(w: Workspace) -> DataFrame:
         F.try_variant_get("price", "$", "double").alias("price"))
 
 
+@query
+def json_array_ranges(w: Workspace) -> DataFrame:
+    """All parts as one array in one file, read by several tasks."""
+    path = new_path(w.spark, "one-array")
+    fields = F.struct(
+        F.when(F.col("p_partkey") % 10 == 3, F.col("p_partkey") + 1_000_000).alias("id"), F.col("p_name").alias("name"),
+        F.concat(F.lit('[",{\\"'), "p_brand", F.lit('\\'), F.lit('"],')).alias("odd"), F.array(F.lit(1), F.col("p_size")).alias("sizes"))
+    keys = w.table("part").agg(F.min("p_partkey").alias("low"), F.max("p_partkey").alias("high")).first()
+    key = F.col("p_partkey")
+    text = F.concat(F.when(key == keys.low, "[").otherwise(""), F.to_json(fields), F.when(key == keys.high, "]").otherwise(","))
+    # One file, as its writer would have made it: in order, row by row.
+    w.table("part").select("p_partkey", text.alias("value")).coalesce(1).sortWithinPartitions("p_partkey").select("value").write.text(path)
+    before = w.spark.conf.get("spark.sql.files.maxPartitionBytes")
+    w.spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        rows = arrays.read_large_json_array(w.spark, path, ["id", "name", "odd", "sizes"])
+    finally:
+        w.spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    return rows.select(
+        F.try_variant_get("id", "$", "bigint").alias("id"), F.try_variant_get("name", "$", "string").alias("name"),
+        F.try_variant_get("odd", "$", "string").alias("odd"), F.try_variant_get("sizes", "$[1]", "bigint").alias("size"))
+
+
 @query
 def assign_dense_id(w: Workspace) -> DataFrame:
     rows = lines.read_json_array(w.spark, _write_part_arrays(w), ["id", "name", "price"])

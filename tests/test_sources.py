@@ -1,5 +1,6 @@
 import gzip
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from corkscan.functions.encoders import HashingEncoder
 from corkscan.operators import validation
 from corkscan.plans import ingest
-from corkscan.sources import lines, tables, versions
+from corkscan.sources import arrays, lines, tables, versions
 from tests.test_validation import line
 
 
@@ -59,6 +60,53 @@ def test_dense_ids(spark, tmp_path):
     assert [r.missing for r in missing] == [False, False, False, False, True]
 
 
+def random_json(rng, depth=0):
+    kind = rng.randrange(7 if depth < 3 else 5)
+    if kind < 3:
+        return "".join(rng.choice(['"', "\\", ",", "[", "]", "{", "}", "é", "日", "\n", "a", " "]) for _ in range(rng.randrange(12)))
+    if kind < 5:
+        return rng.choice([None, True, 1, -2.5, 10**12])
+    if kind == 5:
+        return [random_json(rng, depth + 1) for _ in range(rng.randrange(4))]
+    return {rng.choice(["x", "y,", '"]']): random_json(rng, depth + 1) for _ in range(rng.randrange(3))}
+
+
+@pytest.mark.parametrize("size", ["23b", "300b", "128m"])
+@pytest.mark.parametrize("indent", [None, 2])
+def test_arrays_in_ranges_equal_the_plain_reader(spark, tmp_path, size, indent):
+    rng = random.Random(9)
+    files = [[{"id": n, "x": random_json(rng)} for n in range(count)] for count in (9, 0, 1, 5)]
+    for n, rows in enumerate(files):
+        text = json.dumps(rows, indent=indent, ensure_ascii=n % 2 == 0)
+        (tmp_path / f"{n}.json").write_text(rng.choice(["", " \n", "\ufeff"] if indent else [""]) + text + rng.choice(["", "\n \n"]))
+    (tmp_path / "empty.json").write_text("")
+    expected = sorted(json.dumps(row, sort_keys=True) for rows in files for row in rows)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        found = arrays.array_elements(spark, str(tmp_path)).collect()
+        rows = arrays.read_large_json_array(spark, str(tmp_path), ["id", "x"]).select(
+            F.try_variant_get("id", "$", "int").alias("id"), F.to_json("x").alias("x")).collect()
+        splits = spark.read.option("lineSep", ",").text(str(tmp_path)).rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(json.dumps(json.loads(r.element), sort_keys=True) for r in found) == expected
+    plain = lines.read_json_array(spark, str(tmp_path), ["id", "x"]).where("id IS NOT NULL").select(
+        F.try_variant_get("id", "$", "int").alias("id"), F.to_json("x").alias("x")).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, plain))
+    assert splits > 20 if size == "23b" else splits >= 1
+    in_order = [json.loads(r.element)["id"] for r in sorted(found, key=lambda r: (r.file, r.start, r.at))]
+    assert [n for n in in_order if n == 0] == [0] * 3 and len({(r.file, r.start, r.at) for r in found}) == len(found)
+
+
+def test_arrays_of_other_things(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[1, "a,b", [2, 3], null]')
+    assert sorted(r.element.strip() for r in arrays.array_elements(spark, str(tmp_path)).collect()) == ['"a,b"', "1", "[2, 3]", "null"]
+    (tmp_path / "b.json").write_text('{"x": 1}')
+    with pytest.raises(Exception, match="not a JSON array"):
+        arrays.array_elements(spark, str(tmp_path)).collect()
+
+
 def test_json_lines_keep_nulls(spark, folder):
     df = spark.createDataFrame([(1, None)], "id INT, x STRING")
     lines.write_json_lines(df, folder)
