@@ -198,7 +198,7 @@ def _leaks_sql(size: int = templates.WINDOW) -> str:
         checked AS (
             SELECT id, item, phase, stretch, sum(slots) AS slots, max(turned) AS turned, bool_and(same) AS same FROM turned GROUP BY ALL)
         SELECT id AS doc_id, item AS item_id, max(windows) AS windows, max(item_windows)::INTEGER AS item_windows,
-               max(coalesce(slots, 0))::BIGINT AS slots, bool_or(coalesce(same, true)) AS same_values
+               max(coalesce(slots, 0))::BIGINT AS slots, bool_or(coalesce(same, true)) AS same_values, true AS evidence
         FROM covered LEFT JOIN checked USING (id, item, phase, stretch) WHERE coalesce(turned, 1) <= 1 GROUP BY id, item"""
 
 

@@ -19,12 +19,18 @@ that one lost at an edge is too many, or with none, are also looked for as a who
 tokens as they are written, however short they are; those are reported as one window.
 Scripts without spaces between words are read character by character. Null and empty texts are in no result; rows with the same
 identifier count as one document.
+
+Both readings cost much more than a look for pairs of words. So texts are first
+searched for clues: pairs of words of so many windows of each item that a text without
+any of them cannot hold enough of the rest. Only texts with a clue are read in full;
+the result is the same.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corkscan.llm.bag_minhash import keep_ids
 from corkscan.llm.common import id_and_text
@@ -54,6 +60,8 @@ NAMED, LOWERED = 0, 1
 WHOLE = 2
 # Scripts that put no spaces between words.
 UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+# What clues are made of: no part of a word or number of either reading is in two of these.
+CLUE_TOKENS = rf"[{UNSPACED}]|[\p{{L}}&&[^{UNSPACED}]]+|\p{{N}}+"
 
 
 def values(text: Column) -> Column:
@@ -103,7 +111,7 @@ def _exploded(texts: DataFrame, size: int) -> DataFrame:
 
 
 def _wholes(texts: DataFrame, items: DataFrame, size: int) -> DataFrame:
-    """(id, item): items (item, values) all of whose values stand in a row in a text.
+    """(id, item, evidence): items (item, values) all of whose values stand in a row in a text.
 
     The first values of an item are looked for everywhere, the rest only where those stand.
     """
@@ -114,7 +122,8 @@ def _wholes(texts: DataFrame, items: DataFrame, size: int) -> DataFrame:
     runs = materialise(runs.select("item", "length", "k", "run", F.xxhash64(first).alias("head")), "whole-items")
     sizes = [row["k"] for row in runs.select("k").distinct().collect()]
     if not sizes:
-        return texts.select("id").limit(0).crossJoin(items.select("item").limit(0))
+        none = ", ".join(f"{name} {frame.schema[name].dataType.simpleString()}" for frame, name in ((texts, "id"), (items, "item")))
+        return texts.sparkSession.createDataFrame([], f"{none}, evidence boolean")
     heads = runs.select("k", "head").distinct()
     if heads.count() <= FEW_WINDOWS:
         heads = F.broadcast(heads)
@@ -131,17 +140,65 @@ def _wholes(texts: DataFrame, items: DataFrame, size: int) -> DataFrame:
     near = read(keep_ids(texts, "id", places.select(F.col("id").alias("wanted"))).dropDuplicates(["id", "text"]))
     run = lambda place: F.struct(
         place["length"].alias("length"), F.xxhash64(F.slice("hashes", place["at"] + 1, place["length"])).alias("run"))
-    found = near.join(places, "id").select("id", F.explode(F.array_distinct(F.transform("places", run))).alias("run")).select("id", "run.*")
-    return found.join(runs.select("item", "length", "run"), ["length", "run"]).select("id", "item").distinct()
+    found = near.join(places, "id").select("id", F.size("hashes").alias("said"), F.explode(F.array_distinct(F.transform("places", run))).alias("run"))
+    found = found.select("id", "said", "run.*").join(runs.select("item", "length", "run"), ["length", "run"])
+    enough = (F.col("length") >= size) | (F.col("length") == F.col("said"))
+    return found.groupBy("id", "item").agg(F.bool_or(enough).alias("evidence"))
+
+
+def _clue(tokens: str) -> Column:
+    """(pair, length, key): what a text must hold in order to hold all of ``tokens``: the longest two plain
+    words in a row, else the longest token, of numbers and names their first part; null if there are no tokens."""
+    plain = lambda token: ~token.isin(NAME, NUMBER, UNIT) & (~token.rlike(f"[{UNSPACED}]") | (F.length(token) == 1))
+    word = lambda token: plain(token) & token.rlike(r"^\p{L}")
+    rest = F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0)))
+    pairs = F.zip_with(F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0))), rest, lambda one, two: F.when(
+        word(one) & word(two), F.struct(F.lit(True).alias("pair"), (F.length(one) + F.length(two)).alias("length"), F.xxhash64(one, two).alias("key"))))
+    first = lambda token: F.regexp_extract(token, CLUE_TOKENS, 0)
+    singles = F.transform(F.filter(tokens, lambda token: ~token.isin(NAME, NUMBER, UNIT)), lambda token: F.struct(
+        F.lit(False).alias("pair"), F.length(first(token)).alias("length"), F.xxhash64(first(token)).alias("key")))
+    return F.coalesce(F.array_max(pairs), F.array_max(singles))
+
+
+def _may_leak(texts: DataFrame, starts: DataFrame, few: DataFrame, size: int, coverage: float) -> DataFrame:
+    """``texts`` without those that cannot hold an item.
+
+    Of the windows of an item so many are taken, those with the longest clues first, that
+    a text without any of them has too few of the rest; of an item that is looked for as
+    a whole, one clue. A text needs one clue at least to be read in full.
+    """
+    windows = starts.select("item", "reading", F.size("starts").alias("n"), F.explode("starts").alias("at"), "tokens").select(
+        "item", "reading", "n", "at", F.slice("tokens", F.col("at") + 1, F.lit(size)).alias("window"))
+    clues = windows.select("item", "reading", "n", "at", _clue("window").alias("clue"))
+    order = Window.partitionBy("item", "reading").orderBy(F.desc("clue.pair"), F.desc("clue.length"), "at")
+    needed = F.col("n") - F.ceil(coverage * F.col("n")) + 1
+    chosen = clues.withColumn("number", F.row_number().over(order)).where(F.col("number") <= needed).select("clue.*")
+    wholes = few.where(F.size("values") > 0).select(_clue("values").alias("clue")).select("clue.*")
+    clues = materialise(chosen.unionByName(wholes).select("pair", "key").distinct(), "clues")
+    keys = clues.select("key").distinct()
+    if keys.count() <= FEW_WINDOWS:
+        keys = F.broadcast(keys)
+    one = F.regexp_extract_all(F.lower("text"), F.lit(CLUE_TOKENS), 0)
+    cut = texts.select("id", one.alias("one")).select("id", "one", F.slice("one", F.lit(2), F.greatest(F.size("one") - 1, F.lit(0))).alias("two"))
+    both = cut.select("id", F.explode(F.arrays_zip("one", "two")).alias("both"))
+    pair, single = F.xxhash64("both.one", "both.two"), F.xxhash64("both.one")
+    if clues.where(~F.col("pair")).isEmpty():
+        seen = both.select("id", pair.alias("key"))
+    else:
+        seen = both.select("id", F.explode(F.array(pair, single)).alias("key"))
+    ids = seen.join(keys, "key", "left_semi").select(F.col("id").alias("wanted")).distinct()
+    return keep_ids(texts, "id", materialise(ids, "clues-seen")).select("id", "text")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW,
                coverage: float = COVERAGE) -> DataFrame:
-    """(id, item, windows, item_windows, slots, same_values): the items that each document holds.
+    """(id, item, windows, item_windows, slots, same_values, evidence): the items that each document holds.
 
     ``windows`` of the ``item_windows`` of an item were found in one stretch, with
     ``slots`` values compared, of which all were the item's own if ``same_values``.
+    An item of fewer than ``size`` tokens, such as one word, is in many documents by
+    chance: ``evidence`` is false for it, unless it is all that the document says.
     Documents without a leak are not in the result.
     """
     texts = id_and_text(docs, id_col, text_col).where("id IS NOT NULL")
@@ -160,8 +217,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     enough = known.where((F.col("reading") == LOWERED) & (F.col("item_windows") - 1 >= coverage * F.col("item_windows")))
     few = items.where(F.col("reading") == LOWERED).join(enough.select("item").distinct(), "item", "left_anti").select("item", "values")
-    wholes = _wholes(texts, few, size).select("id", "item", F.lit(WHOLE).alias("reading"), F.lit(1).cast("bigint").alias("windows"),
-                                              F.lit(1).alias("item_windows"), F.lit(0).cast("bigint").alias("slots"), F.lit(True).alias("same_values"))
+    texts = _may_leak(texts, starts, few, size, coverage)
+    wholes = _wholes(texts, few, size).select(
+        "id", "item", F.lit(WHOLE).alias("reading"), F.lit(1).cast("bigint").alias("windows"), F.lit(1).alias("item_windows"),
+        F.lit(0).cast("bigint").alias("slots"), F.lit(True).alias("same_values"), "evidence")
 
     different = known.select("reading", "window").distinct()
     if different.count() <= FEW_WINDOWS:
@@ -233,7 +292,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     judged = covered.join(checked, place, "left").where(F.coalesce("turned", F.lit(1)) <= 1)
     leaks = judged.groupBy("id", "item", "reading").agg(
         F.max("windows").alias("windows"), F.max("item_windows").alias("item_windows"),
-        F.max(F.coalesce("slots", F.lit(0))).alias("slots"), F.bool_or(F.coalesce("same", F.lit(True))).alias("same_values"))
-    told = ["windows", "item_windows", "slots", "same_values"]
+        F.max(F.coalesce("slots", F.lit(0))).alias("slots"), F.bool_or(F.coalesce("same", F.lit(True))).alias("same_values"),
+        F.lit(True).alias("evidence"))
+    told = ["windows", "item_windows", "slots", "same_values", "evidence"]
     first = leaks.unionByName(wholes).groupBy("id", "item").agg(F.min_by(F.struct(*told), "reading").alias("told"))
     return first.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "told.*")

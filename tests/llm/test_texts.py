@@ -1,5 +1,7 @@
 """Main text, chats and benchmark leaks."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from corkscan.llm import chat, html_text, templates
@@ -154,6 +156,33 @@ def test_items_without_windows_are_found_as_a_whole(spark):
     assert set(found) == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (5, 8), (6, 6)} and all(found.values())
 
 
+def test_short_items_are_no_evidence_among_other_words(spark):
+    items = [(1, "Yes"), (2, "42"), (3, "who wrote faust")]
+    docs = [(1, "Yes, there were 42 of them"), (2, "42."), (3, "Who wrote Faust?"), (4, "tell me who wrote Faust or else"), (5, "no")]
+    docs, items = spark.createDataFrame(docs, "doc_id BIGINT, text STRING"), spark.createDataFrame(items, "item_id BIGINT, text STRING")
+    found = {(r.doc_id, r.item_id): r.evidence for r in templates.find_leaks(docs, items).collect()}
+    assert found == {(1, 1): False, (1, 2): False, (2, 2): True, (3, 3): True, (4, 3): False}
+
+
+def test_texts_without_a_clue_hold_nothing(spark, monkeypatch):
+    """Random texts and damaged items: the same is found with every text read in full."""
+    rng = random.Random(12)
+    words = ["apple", "Bert", "tree", "of", "12", "3.5", "kg", "Anna", "river", "the", "Tokyo東京", "北", "京", "walks", "Mary Ann", "x"]
+    items = [(n, " ".join(rng.choices(words, k=rng.choice([1, 3, 6, 12, 40])))) for n in range(60)]
+    docs = []
+    for n in range(300):
+        text = rng.choices(words, k=rng.randrange(30))
+        part = rng.choice(items)[1].split()
+        for _ in range(rng.choice([0, 1, 1, 2, 5])):
+            part[rng.randrange(len(part))] = rng.choice(words)
+        at = rng.randrange(len(text) + 1)
+        docs.append((n, " ".join([*text[:at], *part, *text[at:]]).replace("x ", rng.choice(["x. ", "x "]))))
+    docs, items = spark.createDataFrame(docs, "doc_id BIGINT, text STRING"), spark.createDataFrame(items, "item_id BIGINT, text STRING")
+    found = sorted(map(tuple, templates.find_leaks(docs, items).collect()))
+    monkeypatch.setattr(templates, "_may_leak", lambda texts, *_: texts)
+    assert found == sorted(map(tuple, templates.find_leaks(docs, items).collect())) and len(found) > 100
+
+
 def test_articles_inside_a_layout_with_side_words_are_content(spark):
     inside = "<p>crumbs</p><article><h1>Head</h1><p>body</p><div class='share'>no</div></article><p>more</p>"
     wraps = ["<div class='has-sidebar'>{}</div>", "<div class='content-with-sidebar'><div>{}</div></div>", "<section id='search-results'>{}</section>",
