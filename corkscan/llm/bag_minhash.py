@@ -35,10 +35,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corkscan.llm.common import bounded_batches, id_and_text, steps
+from corkscan.llm.common import bounded_batches, steps, text_or_empty
 from corkscan.llm.components import components
 from corkscan.storage import materialise
 
@@ -152,6 +152,10 @@ def band_keys(signature: np.ndarray, rows: int, bands: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _digest(bag: np.ndarray) -> bytes:
+    return hashlib.blake2b(bag, digest_size=16).digest()
+
+
 def _sign(rows: int, bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, most=TEXT_BYTES):
@@ -159,8 +163,8 @@ def _sign(rows: int, bands: int):
             keys = band_keys(signatures(bags, rows * bands), rows, bands)
             offsets = np.arange(0, keys.size + 1, bands, dtype=np.int32)
             yield pa.RecordBatch.from_pydict({
-                "id": batch["id"],
-                "bag": pa.array([hashlib.blake2b(bag, digest_size=16).digest() if len(bag) else None for bag in bags], pa.binary()),
+                "id": batch["id"], "text_sum": batch["text_sum"],
+                "bag": pa.array([_digest(bag) if len(bag) else None for bag in bags], pa.binary()),
                 "bands": pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))})
 
     return run
@@ -168,8 +172,10 @@ def _sign(rows: int, bands: int):
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in steps(batches, most=TEXT_BYTES):
-        sets = [as_set(shingles(text)).tobytes() for text in batch["text"].to_pylist()]
-        yield pa.RecordBatch.from_pydict({"id": batch["id"], "bag": pa.array(sets, pa.binary())})
+        bags = [shingles(text) for text in batch["text"].to_pylist()]
+        yield pa.RecordBatch.from_pydict({
+            "rep": pa.array([_digest(bag) if len(bag) else None for bag in bags], pa.binary()),
+            "bag": pa.array([as_set(bag).tobytes() for bag in bags], pa.binary())})
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,11 +234,16 @@ def _link_blocks(least: float):
 
 
 def keep_ids(rows: DataFrame, column: str, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """``rows`` whose ``column`` is (or with ``left_anti`` is not) among ``ids``;
+    """``rows`` whose ``column`` is (or with ``left_anti`` is not) among ``ids``, null like any other;
     few identifiers are broadcast, after they have been counted."""
     if ids.count() <= FEW_IDS:
         ids = F.broadcast(ids)
-    return rows.join(ids, rows[column] == ids[ids.columns[0]], how)
+    return rows.join(ids, rows[column].eqNullSafe(ids[ids.columns[0]]), how)
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """What tells a row of ``docs`` from others, also where identifiers are null or repeated: the identifier and a hash of the text."""
+    return F.struct(F.col(id_col).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("text_sum"))
 
 
 def _verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
@@ -245,11 +256,29 @@ def _verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
                     rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """(id, class_id): one row for each identifier, with the smallest one of its class."""
-    texts = bounded_batches(id_and_text(docs, id_col, text_col).where(F.col("id").isNotNull()))
+    """(id, class_id): every identifier with the smallest one of its class.
+
+    One row for each identifier; one that is repeated with texts of several classes
+    has a row for each. Null identifiers count like others, but are the smallest of a
+    class only if it has no other.
+    """
+    return near_duplicate_rows(docs, id_col, text_col, similarity, rows, bands).select(
+        F.col("key.id").alias(id_col), "class_id").distinct()
+
+
+def near_duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
+                        rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+    """(key, class_id, kept): one row for each row of ``docs``, told by its ``row_key``; of each class
+    the smallest key is kept, null identifiers last, and of equal rows all are."""
+    texts = bounded_batches(docs.select(row_key(id_col, text_col).alias("key"), text_or_empty(text_col).alias("text"))).select(
+        "key.id", "key.text_sum", "text")
     id_type = texts.schema["id"].dataType.simpleString()
-    signed = materialise(texts.mapInArrow(_sign(rows, bands), f"id {id_type}, bag binary, bands array<bigint>"), "signatures")
-    first = signed.where("bag IS NOT NULL").groupBy("bag").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
+    # From here on a text is told by the digest of its bag of shingles.
+    signed = materialise(texts.mapInArrow(
+        _sign(rows, bands), f"id {id_type}, text_sum bigint, bag binary, bands array<bigint>"), "signatures")
+    place = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("text_sum").alias("text_sum"))
+    first = signed.where("bag IS NOT NULL").groupBy(F.col("bag").alias("rep")).agg(
+        F.min(place).alias("place"), F.first("bands").alias("bands"))
     first = materialise(first, "bags")
 
     # Buckets of two bags and more.
@@ -260,8 +289,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.count("*").alias("n"), F.min("rep").alias("least"), F.min(F.struct(order, "rep")).alias("first")).where("n > 1")
     leader = F.when(F.col("n") <= SMALL_BUCKET, F.col("least")).otherwise(F.col("first.rep"))
     members = materialise(entries.join(buckets, "key").select("key", "rep", "n", leader.alias("leader")), "members")
-    wanted = members.select(F.col("rep").alias("wanted")).distinct()
-    bags = materialise(keep_ids(texts, "id", wanted).dropDuplicates(["id"]).mapInArrow(_bags, f"id {id_type}, bag binary"), "bag-sets")
+    wanted = materialise(members.select("rep").distinct().join(first.select("rep", "place"), "rep").select("rep", "place.id"), "wanted")
+    sets = keep_ids(texts, "id", wanted.select(F.col("id").alias("wanted")).distinct()).select("text").mapInArrow(_bags, "rep binary, bag binary")
+    bags = materialise(keep_ids(sets, "rep", wanted.select(F.col("rep").alias("wanted"))).dropDuplicates(["rep"]).select(
+        F.col("rep").alias("id"), "bag"), "bag-sets")
 
     star = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     found = materialise(_verified(star, bags).where(F.col("similarity") >= similarity).select("a", "b"), "links")
@@ -293,12 +324,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     right = large.select(
         "key", "rep", "class", F.lit(False).alias("left"), block("n", BLOCK_OTHER).alias("q"), every("outsiders", BLOCK_ONE).alias("p"))
     blocks = left.unionByName(right).join(bags.withColumnRenamed("id", "rep"), "rep").withColumnRenamed("rep", "id")
-    in_blocks = blocks.groupBy("key", "p", "q").applyInArrow(_link_blocks(similarity), f"a {id_type}, b {id_type}")
+    in_blocks = blocks.groupBy("key", "p", "q").applyInArrow(_link_blocks(similarity), "a binary, b binary")
     more = materialise(more.unionByName(in_blocks), "more-links")
     if not more.isEmpty():
         classes = components(found.unionByName(more))
 
-    of_bag = first.select("bag", "rep").join(classes, F.col("rep") == F.col("node"), "left").select(
-        "bag", F.coalesce("label", "rep").alias("class_id"))
-    result = signed.select("id", "bag").join(of_bag, "bag", "left")
-    return result.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id")).distinct()
+    labelled = materialise(first.select("rep", "place").join(classes, F.col("rep") == F.col("node"), "left").select(
+        "rep", "place", F.coalesce("label", "rep").alias("label")), "labelled")
+    leading = labelled.groupBy("label").agg(F.min("place").alias("leading"), F.count("*").alias("n")).where("n > 1").drop("n")
+    of_bag = labelled.join(leading, "label", "left").select("rep", F.coalesce("leading", "place").alias("leading"))
+    result = signed.select("id", "text_sum", "bag").join(of_bag, F.col("bag") == F.col("rep"), "left")
+    kept = F.col("leading").isNull() | (place == F.col("leading"))
+    return result.select(F.struct("id", "text_sum").alias("key"), F.when(F.col("leading").isNull(), F.col("id")).otherwise(
+        F.col("leading.id")).alias("class_id"), kept.alias("kept"))

@@ -32,7 +32,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from corkscan.llm.common import bounded_batches, schema_of, steps, text_or_empty
+from corkscan.llm.common import bounded_batches, free_name, schema_of, steps, text_or_empty
 
 # A vocabulary file may be so large, as it is broadcast.
 MOST_FILE_BYTES = 32 << 20
@@ -313,13 +313,13 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path:
     With ``packed`` they are BINARY: little-endian unsigned 32-bit integers. With
     ``decoded_col``, what the tokens decode to is given in the same pass.
     """
-    file = _broadcast(docs, path)
+    text, file = free_name(docs, "_text"), _broadcast(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(file.value)
         token_of = _tokens_of(file.value) if decoded_col else {}
-        for batch in steps(batches, "_text", TEXT_BYTES):
-            tokens, counts = vocabulary.encode(batch["_text"].to_pylist())
+        for batch in steps(batches, text, TEXT_BYTES):
+            tokens, counts = vocabulary.encode(batch[text].to_pylist())
             ends, tokens = np.cumsum(counts), tokens.astype("<i4")
             offsets = np.append(0, ends)
             if packed:
@@ -327,7 +327,7 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path:
                 ids = pa.array([flat[a:b] for a, b in zip(offsets, offsets[1:])], pa.binary())
             else:
                 ids = pa.ListArray.from_arrays(offsets.astype(np.int32), pa.array(tokens))
-            columns = {name: batch[name] for name in batch.schema.names if name != "_text"} | {ids_col: ids}
+            columns = {name: batch[name] for name in batch.schema.names if name != text} | {ids_col: ids}
             if decoded_col:
                 columns[decoded_col] = _decoded(tokens, ends, token_of)
             yield pa.RecordBatch.from_pydict(columns)
@@ -335,7 +335,7 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path:
     new = [(ids_col, "binary" if packed else "array<int>"), *([(decoded_col, "string")] if decoded_col else [])]
     kept = bounded_batches(docs.drop(*(name for name, _ in new)))
     schema = ", ".join([schema_of(kept), *(f"`{name}` {kind}" for name, kind in new)])
-    return kept.withColumn("_text", text_or_empty(text_col)).mapInArrow(run, schema)
+    return kept.withColumn(text, text_or_empty(text_col)).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", out_col: str = "decoded", path: str | None = None) -> DataFrame:

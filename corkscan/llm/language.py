@@ -22,11 +22,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corkscan.llm.bag_minhash import keep_ids
-from corkscan.llm.common import bounded_batches, schema_of, steps, text_or_empty
+from corkscan.llm.common import bounded_batches, free_name, schema_of, steps, text_or_empty
 
 UNKNOWN = "und"
 SIZES = (3, 4)
@@ -35,6 +35,8 @@ SAMPLE_ROWS = 1_500
 # N-grams of each language in the filters.
 PROFILE = 4_000
 SLOTS, PROBES = 1 << 16, 3
+# A language may have a third of all rows: its rows are ranked in so many parts first.
+SALTS = 64
 MOST_LANGUAGES = 1_024
 # The texts that a task reads at once, in bytes.
 TEXT_BYTES = 1 << 20
@@ -131,16 +133,22 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"lang": [str(language)] * len(grams), "gram": grams.view(np.int64), "n": counts})
 
 
+def _first(rows: DataFrame, order: list[Column], spread: Column, count: int) -> DataFrame:
+    """The first ``count`` rows of each ``lang``: first in each of SALTS parts, then over these."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
+    salted = salted.withColumn("place", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("place") <= count)
+    placed = salted.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
+    return placed.where(F.col("place") <= count).drop("salt")
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Filters:
     """The filters of the languages of labelled rows; rows without a language tell nothing."""
     texts = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), text_or_empty(text_col).alias("text"))
     texts = texts.where("lang IS NOT NULL AND id IS NOT NULL")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = texts.select("id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE_ROWS)
+    chosen = _first(texts.select("id", "lang"), [F.xxhash64("id"), F.col("id")], F.xxhash64("id"), SAMPLE_ROWS)
     part = keep_ids(texts, "id", chosen.select(F.col("id").alias("chosen")).distinct())
     counted = part.mapInArrow(_counted, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    first = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    profiles = counted.withColumn("place", F.row_number().over(first)).where(F.col("place") <= PROFILE)
+    profiles = _first(counted, [F.desc("n"), F.col("gram")], F.col("gram"), PROFILE)
     if chosen.select("lang").distinct().count() > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     by_language: dict[str, list[int]] = {}
@@ -151,13 +159,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 def predict(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score of each whole text."""
+    text = free_name(docs, "_text")
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, "_text", TEXT_BYTES):
-            languages, scores = shared.value.predict(batch["_text"].to_pylist())
-            rest = {name: batch[name] for name in batch.schema.names if name != "_text"}
+        for batch in steps(batches, text, TEXT_BYTES):
+            languages, scores = shared.value.predict(batch[text].to_pylist())
+            rest = {name: batch[name] for name in batch.schema.names if name != text}
             yield pa.RecordBatch.from_pydict(rest | {"lang_pred": pa.array(languages, pa.string()), "score": pa.array(scores, pa.float64())})
 
     kept = bounded_batches(docs.drop("lang_pred", "score"))
-    return kept.withColumn("_text", text_or_empty(text_col)).mapInArrow(run, f"{schema_of(kept)}, lang_pred string, score double")
+    return kept.withColumn(text, text_or_empty(text_col)).mapInArrow(run, f"{schema_of(kept)}, lang_pred string, score double")

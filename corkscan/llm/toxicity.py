@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corkscan.llm.common import bounded_batches, schema_of, steps, text_or_empty
+from corkscan.llm.common import bounded_batches, free_name, schema_of, steps, text_or_empty
 
 # The sample that is learned from: rows of each label, and characters in all.
 SAMPLE_ROWS = 2_000
@@ -325,7 +325,9 @@ def sample(texts: DataFrame, told: DataFrame, rows: int = SAMPLE_ROWS, chars: in
     if not chosen:
         return []
     ids = texts.sparkSession.createDataFrame(sorted(set(chosen)), told.schema)  # at most 2 x rows
-    found = texts.join(F.broadcast(ids), "id").select("id", "text", "lang", "label").collect()
+    # Of an identifier that is repeated, the smallest text: a row for each that was chosen.
+    found = texts.join(F.broadcast(ids), "id").groupBy("id", "label").agg(F.min(F.struct("text", "lang")).alias("told"))
+    found = found.select("id", "told.*", "label").collect()
     return sorted(found, key=lambda row: (row["label"], row["id"], row["text"]))
 
 
@@ -342,13 +344,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with the score of each whole text, 0 to 1."""
+    text = free_name(docs, "_text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, "_text", TEXT_BYTES):
-            found = shared.value.scores(batch["_text"].to_pylist())
-            rest = {name: batch[name] for name in batch.schema.names if name != "_text"}
+        for batch in steps(batches, text, TEXT_BYTES):
+            found = shared.value.scores(batch[text].to_pylist())
+            rest = {name: batch[name] for name in batch.schema.names if name != text}
             yield pa.RecordBatch.from_pydict(rest | {score_col: pa.array(found, pa.float64())})
 
     kept = bounded_batches(docs.drop(score_col))
-    return kept.withColumn("_text", text_or_empty(text_col)).mapInArrow(run, f"{schema_of(kept)}, `{score_col}` double")
+    return kept.withColumn(text, text_or_empty(text_col)).mapInArrow(run, f"{schema_of(kept)}, `{score_col}` double")

@@ -21,6 +21,8 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corkscan.llm.common import free_name
+
 ALLOW, BLOCK = "allow", "block"
 PREFIX_DIGITS = 8
 # So many rules may be broadcast; more are joined by shuffle.
@@ -61,20 +63,23 @@ def judge(urls: DataFrame, rules: DataFrame, url_col: str = "url", default: str
         raise ValueError("the paths of the rules have too many different lengths")
     rule = F.concat("host", "path")
     known = told.select(
-        F.left(F.sha2(rule, 256), F.lit(PREFIX_DIGITS)).alias("_prefix"), F.sha2(rule, 256).alias("_rule_sum"),
+        F.left(F.sha2(rule, 256), F.lit(PREFIX_DIGITS)).alias("prefix"), F.sha2(rule, 256).alias("rule_sum"),
         F.struct(F.length(rule).alias("length"), F.length("host").alias("host_length"), rule.alias("rule"),
-                 F.col("verdict").alias("verdict")).alias("_found"))
+                 F.col("verdict").alias("verdict")).alias("found"))
     if known.count() <= FEW_RULES:
         known = F.broadcast(known)
 
     new = ["host", "path", "rule", "verdict"]
     kept = [name for name in urls.columns if name not in new]
-    taken = urls.select(*kept, host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    taken = taken.withColumn("_row", F.monotonically_increasing_id())
-    asked = taken.withColumn("_expression", F.explode_outer(expressions(F.col("host"), F.col("path"), sorted(lengths) or [0])))
-    asked = asked.withColumn("_sum", F.sha2("_expression", 256)).withColumn("_key", F.left("_sum", F.lit(PREFIX_DIGITS)))
-    met = asked.join(known, (F.col("_key") == F.col("_prefix")) & (F.col("_sum") == F.col("_rule_sum")), "left")
+    # The caller's columns travel in one struct, so that no name of theirs meets one of ours.
+    taken = urls.select(F.struct(*(F.col(f"`{name}`") for name in kept), F.lit(0).alias(free_name(urls, "_"))).alias("caller"), host_of(F.col(url_col)).alias("host"),
+                        path_of(F.col(url_col)).alias("path"), F.monotonically_increasing_id().alias("row"))
+    asked = taken.withColumn("expression", F.explode_outer(expressions(F.col("host"), F.col("path"), sorted(lengths) or [0])))
+    asked = asked.withColumn("sum", F.sha2("expression", 256)).withColumn("key", F.left("sum", F.lit(PREFIX_DIGITS)))
+    met = asked.join(known, F.col("key") == F.col("prefix"), "left")
+    # The short prefix only finds rules; the full digest confirms them.
+    met = met.withColumn("found", F.when(F.col("sum") == F.col("rule_sum"), F.col("found")))
     # Rows of one URL are together still, so that they become one before the shuffle.
-    best = met.groupBy("_row").agg(*(F.first(name).alias(name) for name in [*kept, "host", "path"]), F.max("_found").alias("_found"))
-    return best.select(*kept, "host", "path", F.col("_found.rule").alias("rule"),
-                       F.coalesce("_found.verdict", F.lit(default)).alias("verdict"))
+    best = met.groupBy("row").agg(*(F.first(name).alias(name) for name in ["caller", "host", "path"]), F.max("found").alias("found"))
+    return best.select(*(F.col(f"caller.`{name}`").alias(name) for name in kept), "host", "path", F.col("found.rule").alias("rule"),
+                       F.coalesce("found.verdict", F.lit(default)).alias("verdict"))

@@ -110,3 +110,23 @@ def test_components_equal_union_find(spark):
     found = components(spark.createDataFrame(links, "a BIGINT, b BIGINT"))
     assert {r.node: r.label for r in found.collect()} == expected
     assert components(spark.createDataFrame([], "a BIGINT, b BIGINT")).count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    """An identifier is only a name: links of every text count, whatever it is called."""
+    rng = random.Random(1)
+    text = lambda seed: " ".join(random.Random(seed).choices([f"w{n}" for n in range(500)], k=80))
+    near = lambda seed: text(seed) + f" end{rng.randrange(9)}"
+    rows = [(5, text(1)), (5, text(2)), (7, near(2)), (1, near(1)), (None, near(1)), (None, text(3)), (None, near(3)), (9, text(4)), (None, "short")]
+    docs = spark.createDataFrame([(i, t, 1, "k") for i, t in rows], "doc_id BIGINT, text STRING, bag INT, key STRING").repartition(4)
+    found = sorted(((r.doc_id, r.class_id) for r in B.near_duplicates(docs).collect()), key=str)
+    assert found == sorted([(5, 1), (5, 5), (7, 5), (1, 1), (None, 1), (None, None), (9, 9)], key=str)
+    kept = {(r.key.id, r.key.text_sum) for r in B.near_duplicate_rows(docs).where("kept").collect()}
+    assert len(kept) == 5 and {i for i, _ in kept} == {1, 5, 9, None}
+
+
+def test_repeated_rows_are_kept_together_and_empty_tables(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (1, "a b c d e f g"), (2, None), (2, "")], "doc_id BIGINT, text STRING")
+    assert sorted(map(tuple, B.near_duplicates(docs).collect())) == [(1, 1), (2, 2)]
+    assert B.near_duplicate_rows(docs).where("kept").count() == 4
+    assert B.near_duplicate_rows(docs.limit(0)).count() == 0

@@ -152,3 +152,19 @@ def test_urls_with_large_or_no_rules(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "FEW_RULES", 0)
     assert {(r.page_id, r.verdict) for r in url_filter.judge(urls, rules).collect()} == {(1, "block"), (2, "allow")}
     assert url_filter.judge(urls.limit(0), rules).count() == 0
+
+
+def test_columns_with_the_names_of_helpers(spark):
+    from corkscan.llm import bpe, language, toxicity, url_filter
+
+    docs = spark.createDataFrame([(1, "hello there", "x", "y")], "doc_id BIGINT, text STRING, _text STRING, _TEXT_ STRING")
+    assert bpe.encode(docs).first()._text == "x"
+    assert language.predict(docs, language.Filters.of({})).first().lang_pred == "und"
+    assert toxicity.score(docs, toxicity.silent()).first()["_TEXT_"] == "y"
+    rules = spark.createDataFrame([("org", "/", "block")], "host STRING, path STRING, verdict STRING")
+    names = ["url", "_row", "row", "key", "found", "sum", "caller", "prefix", "expression", "_", "a.b"]
+    urls = spark.createDataFrame([("http://x.org/a", *range(10)), (None, *range(10))], ", ".join(
+        f"`{name}` {'STRING' if name == 'url' else 'INT'}" for name in names))
+    found = url_filter.judge(urls, rules)
+    assert found.columns == [*names, "host", "path", "rule", "verdict"]
+    assert sorted((r.verdict, r._row, r["a.b"]) for r in found.collect()) == [("allow", 0, 9), ("block", 0, 9)]

@@ -60,3 +60,19 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         found = stage(spark, docs, SMALL)
         assert found.count() == 0
+
+
+def test_stages_tell_rows_without_an_id_of_their_own_apart(spark):
+    """Null ids, and two texts under one id: each text is judged for itself."""
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").where("length(text) > 150").first().text
+    words = lambda seed: " ".join(f"w{(seed * 7919 + n * n * 31) % 997}" for n in range(90))
+    rows = [(1, words(1)), (1, f"so {item} it is"), (None, f"and {item}"), (None, words(2)), (2, words(2) + " end"), (None, words(3)), (None, words(3) + " more")]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").selectExpr(
+        "doc_id", "text", "'en' AS lang", "'s' AS source", "CAST(length(text) AS BIGINT) AS n_chars", "1 AS key")
+    stages = dict(corpus_pipeline.STAGES)
+    clean = stages["decontamination"](spark, docs, SMALL)
+    assert clean.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in clean.collect()) == sorted((i or 0, t) for i, t in rows if item not in t)
+    alone = [(r.doc_id, r.text) for r in stages["near dedup"](spark, docs, SMALL).collect()]
+    assert (2, words(2) + " end") in alone and (None, words(2)) not in alone and (1, words(1)) in alone
+    assert len([t for i, t in alone if t.startswith(words(3))]) == 1
