@@ -26,20 +26,25 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where("kept").select("row.*")
 
 
+def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """``docs`` but for the rows with these keys: rows that share an identifier, or have none, are told apart by their texts."""
+    rows = docs.select(bag_minhash.row_key("doc_id", "text").alias("key"), F.struct(*docs.columns).alias("row"))
+    return bag_minhash.keep_ids(rows, "key", keys.select(F.col("key").alias("gone")), "left_anti").select("row.*")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates, the document with the smallest doc_id stays."""
+    """Of each class of near-duplicates, the document with the smallest doc_id stays; one without an identifier only if all are."""
     ship(spark)
-    classes = bag_minhash.near_duplicates(docs)
-    others = classes.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("_other"))
-    return bag_minhash.keep_ids(docs, "doc_id", materialise(others, "near-copies"), "left_anti")
+    others = bag_minhash.near_duplicate_rows(docs).where("NOT kept").select("key").distinct()
+    return _without(docs, materialise(others, "near-copies"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go; those that hold one of a few words among others stay."""
     ship(spark)
-    leaks = templates.find_leaks(docs, table(spark, sf_dir, "benchmark"))
-    leaking = leaks.where("evidence").select(F.col("doc_id").alias("_leaking")).distinct()
-    return bag_minhash.keep_ids(docs, "doc_id", materialise(leaking, "leaking"), "left_anti")
+    told = docs.select(bag_minhash.row_key("doc_id", "text").alias("key"), "text")
+    leaks = templates.find_leaks(told, table(spark, sf_dir, "benchmark"), id_col="key")
+    return _without(docs, materialise(leaks.where("evidence").select("key").distinct(), "leaking"))
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
