@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,6 +35,13 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
 
 
+def give_back_memory() -> None:
+    """Hand memory that Python has freed, as after training, back to the system; nothing where the C library cannot."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or one like it that no column of ``df`` has."""
     taken = {column.lower() for column in df.columns}

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corkscan.llm.common import bounded_batches, free_name, schema_of, steps, text_or_empty
+from corkscan.llm.common import bounded_batches, free_name, give_back_memory, schema_of, steps, text_or_empty
 
 # The sample that is learned from: rows of each label, and characters in all.
 SAMPLE_ROWS = 2_000
@@ -339,7 +339,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = sample(texts, told)
     if len({row["label"] for row in rows}) < 2:
         return silent()
-    return train([row["text"] for row in rows], np.array([row["label"] for row in rows], dtype=np.int64), [row["lang"] for row in rows])
+    model = train([row["text"] for row in rows], np.array([row["label"] for row in rows], dtype=np.int64), [row["lang"] for row in rows])
+    del rows
+    give_back_memory()
+    return model
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
