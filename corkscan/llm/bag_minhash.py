@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corkscan.llm.common import bounded_batches, steps, text_or_empty
+from corkscan.llm.common import bounded_batches, give_back_memory, steps, text_or_empty
 from corkscan.llm.components import components
 from corkscan.storage import materialise
 
@@ -166,6 +166,7 @@ def _sign(rows: int, bands: int):
                 "id": batch["id"], "text_sum": batch["text_sum"],
                 "bag": pa.array([_digest(bag) if len(bag) else None for bag in bags], pa.binary()),
                 "bands": pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))})
+        give_back_memory()
 
     return run
 
@@ -176,6 +177,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({
             "rep": pa.array([_digest(bag) if len(bag) else None for bag in bags], pa.binary()),
             "bag": pa.array([as_set(bag).tobytes() for bag in bags], pa.binary())})
+    give_back_memory()
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,7 +32,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from corkscan.llm.common import bounded_batches, free_name, schema_of, steps, text_or_empty
+from corkscan.llm.common import bounded_batches, free_name, give_back_memory, schema_of, steps, text_or_empty
 
 # A vocabulary file may be so large, as it is broadcast.
 MOST_FILE_BYTES = 32 << 20
@@ -331,6 +331,7 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path:
             if decoded_col:
                 columns[decoded_col] = _decoded(tokens, ends, token_of)
             yield pa.RecordBatch.from_pydict(columns)
+        give_back_memory()
 
     new = [(ids_col, "binary" if packed else "array<int>"), *([(decoded_col, "string")] if decoded_col else [])]
     kept = bounded_batches(docs.drop(*(name for name, _ in new)))

@@ -355,6 +355,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
             found = shared.value.scores(batch[text].to_pylist())
             rest = {name: batch[name] for name in batch.schema.names if name != text}
             yield pa.RecordBatch.from_pydict(rest | {score_col: pa.array(found, pa.float64())})
+        give_back_memory()
 
     kept = bounded_batches(docs.drop(score_col))
     return kept.withColumn(text, text_or_empty(text_col)).mapInArrow(run, f"{schema_of(kept)}, `{score_col}` double")
