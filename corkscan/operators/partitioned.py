@@ -16,9 +16,10 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from corkscan.functions.matrices import list_array, matrix, unit_rows
+from corkscan.functions.matrices import PLACES, list_array, matrix, unit_rows
 from corkscan.operators import seeding
-from corkscan.operators.nearest import FOUND_SCHEMA, QueryBlock, as_block, scan_vectors, search_blocks
+from corkscan.operators.nearest import FOUND_SCHEMA, QueryBlock, as_block, nearest_found, scan_vectors, search_blocks
+from corkscan.storage import materialise
 
 # Settings of the partitioned index and of its search.
 NUM_PARTITIONS = 16
@@ -28,6 +29,8 @@ NUM_PROBES = 10
 # after each, so that the order of addition does not show.
 TRAINING_STEPS = 20
 MEAN_PLACES = 9
+# What rounding may take from an angle near 0, where the arc cosine is steep.
+ANGLE_SLACK = 1e-7
 # Cosines held at a time when rows are compared with many centroids.
 TILE_CELLS = 1 << 22
 
@@ -244,6 +247,65 @@ def flat_top_k(assigned: DataFrame, centroids: np.ndarray, queries: DataFrame,
     return search_blocks(queries, search, k)
 
 
+def partition_radii(assigned: DataFrame, centroids: np.ndarray) -> np.ndarray:
+    """The largest angle between each centroid and the vectors of its partition (id, vector, part_id).
+
+    A partition without vectors has a radius below zero: nothing has to be looked for in it.
+    """
+    directions = unit_rows(centroids)
+
+    def narrowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = np.full(len(directions), np.inf)
+        for batch in batches:
+            part = batch["part_id"].to_numpy(zero_copy_only=False)
+            cosines = np.einsum("ij,ij->i", unit_rows(matrix(batch["vector"])), directions[part]) if len(part) else np.empty(0)
+            # A centroid without a direction bounds nothing.
+            np.minimum.at(least, part, np.nan_to_num(cosines, nan=-1.0))
+        seen = np.flatnonzero(np.isfinite(least))
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(least[seen])], ["part_id", "least"])
+
+    radii = np.full(len(centroids), -1.0)
+    rows = assigned.select("vector", F.col("part_id").cast("int").alias("part_id")).where("vector IS NOT NULL")
+    for row in rows.mapInArrow(narrowest, "part_id INT, least DOUBLE").groupBy("part_id").agg(F.min("least").alias("least")).collect():
+        radii[row["part_id"]] = np.arccos(np.clip(row["least"], -1.0, 1.0))
+    return radii
+
+
+def nearest_possible(units: np.ndarray, centroids: np.ndarray, radii: np.ndarray) -> np.ndarray:
+    """Queries x partitions: no vector of a partition is nearer to a query than this, by the triangle inequality of angles."""
+    angles = np.arccos(np.clip(units @ unit_rows(centroids).T, -1.0, 1.0))
+    bounds = 1.0 - np.cos(np.clip(angles - radii - ANGLE_SLACK, 0.0, np.pi))
+    return np.where(radii < 0, np.inf, np.nan_to_num(bounds, nan=0.0))
+
+
+def pruned_top_k(assigned: DataFrame, centroids: np.ndarray, radii: np.ndarray, queries: DataFrame, k: int = 10, first: int = 1) -> DataFrame:
+    """As ``exact_top_k``, rows and all, but partitions that cannot hold one of the k nearest are not read.
+
+    The ``first`` nearest partitions of each query set a distance; of the others only
+    those are searched whose radius lets them reach it.
+    """
+    rows = assigned.select(F.col("id").cast("bigint").alias("id"), "vector", F.col("part_id").cast("int").alias("part_id"))
+
+    def search(asked: pa.Table) -> DataFrame:
+        block = probing_block(asked, centroids, first)
+        near = materialise(nearest_found(only_probed(rows, block).mapInArrow(scan_vectors(block, k), FOUND_SCHEMA), k), "first-probes")
+        rest = remaining_block(block, near, centroids, radii, k)
+        far = only_probed(rows, rest).mapInArrow(scan_vectors(rest, k), FOUND_SCHEMA)
+        return near.select("text_id", "id", "_distance").unionByName(far)
+
+    return search_blocks(queries, search, k)
+
+
+def remaining_block(block: QueryBlock, near: DataFrame, centroids: np.ndarray, radii: np.ndarray, k: int) -> QueryBlock:
+    """The same queries with the partitions that may still hold one of their k nearest; ``near`` holds what was found so far."""
+    last = near.where(F.col("rank") == k).select("text_id", "_distance").collect()  # one row for each query of the block
+    reached = {row["text_id"]: row["_distance"] for row in last}
+    limits = np.array([reached.get(int(text), np.inf) for text in block.ids]).reshape(-1, 1)
+    # Distances are rounded, and equal ones go to the lower id: half a place more can still win.
+    open_ = nearest_possible(block.units, centroids, radii) <= limits + 10.0**-PLACES
+    return QueryBlock(block.ids, block.units, open_ & ~block.probes & (radii >= 0))
+
+
 def recall(found: DataFrame, exact: DataFrame, k: int = 10) -> DataFrame:
     """(text_id, recall): the share of each query's exact top k that was found."""
     both = exact.select("text_id", "id").join(

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from corkscan.registry.fixed import DOCUMENT_LINES, KEYWORD_LINES
 from corkscan.registry.workspace import DIM, PARTITIONS
-from corkscan.schemas import ANALYZED_FIELDS
+from corkscan.schemas import ANALYZED_FIELDS, KEYWORD_FIELDS
 
 WORD = r"[\p{L}\p{M}\p{N}_]+"
 SPACE = r"[\s\p{Z}\x{85}\x{0B}]+"
@@ -267,6 +267,13 @@ FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS position, p_na
     "jsonl_roundtrip": """
 SELECT c_custkey, c_name, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS c_acctbal, true AS balance_written FROM customer""",
     "query_terms": f"WITH {QUERY_LINES} SELECT query_id, query FROM terms",
+    "limit_rows_early": """
+SELECT position, CASE WHEN p_partkey % 47 <> 0 THEN p_partkey + 1 END AS id
+FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS position FROM part)
+ORDER BY position LIMIT (SELECT count(*) // 10 FROM part)""",
+    "empty_input": "SELECT count(*) AS blank_lines, 'ValueError' AS error FROM documents",
+    "rebuilt_tables": f"""WITH {RECORDS}
+SELECT kind, id, points, title FROM records, (VALUES ('plain'), ('keyed')) AS kinds(kind) WHERE id % 10 = 0""",
     "limit_rows": """
 SELECT position, CASE WHEN p_partkey % 47 <> 0 THEN p_partkey + 1 END AS id
 FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS position FROM part)
@@ -325,6 +332,9 @@ FROM best JOIN records USING (id)""",
     "keyword_exact": f"""WITH {RECORDS}
 SELECT id, variety, title FROM records
 WHERE variety IN (SELECT DISTINCT p_type FROM part ORDER BY p_type LIMIT 2)""",
+    "keyword_exact_fields": f"WITH {RECORDS} " + " UNION ALL ".join(
+        f"SELECT '{name}' AS field, {name} AS value, id FROM records "
+        f"WHERE {name} IN (SELECT min({name}) FROM records UNION ALL SELECT max({name}) FROM records)" for name in KEYWORD_FIELDS),
     # text
     "format_document_text": f"SELECT doc_id, 'search_document: ' || lower({_strip('text')}) AS formatted FROM documents",
     "format_query_text": f"SELECT item_id AS query_id, 'search_query: ' || lower({_strip('text')}) AS formatted FROM benchmark",
@@ -333,6 +343,7 @@ WHERE variety IN (SELECT DISTINCT p_type FROM part ORDER BY p_type LIMIT 2)""",
     # embedding
     "embed_documents": f"""WITH {_embedded('SELECT doc_id AS key, text AS body FROM documents', 'docs', 'search_document: ')}
 SELECT key AS doc_id, slot::INTEGER AS slot, round(value::DOUBLE, 6) AS value FROM docs""",
+    "encoder_shape": f"SELECT count(*) AS texts, {DIM} AS wanted, {DIM // 2} AS got FROM documents",
     "embed_queries": f"""WITH asked AS ({_values(DOCUMENT_LINES, 1_000_000)} UNION ALL SELECT item_id, text FROM benchmark),
 distinct_texts AS (SELECT min(query_id) AS key, query AS body FROM asked GROUP BY query),
 {_embedded('SELECT key, body FROM distinct_texts', 'texts', 'search_query: ')}
@@ -348,6 +359,9 @@ SELECT field, term, doc_id, tf, doc_len FROM posts JOIN lens USING (field, doc_i
     "corpus_stats": f"WITH {DOCUMENTS} SELECT field, n, total_len, round(avgdl, 6) AS avgdl FROM sizes",
     "postings_append": f"""WITH {DOCUMENTS}
 SELECT field, term, doc_id, tf, doc_len, df FROM posts JOIN lens USING (field, doc_id) JOIN freqs USING (field, term)""",
+    "postings_replaced": f"""WITH {DOCUMENTS}
+SELECT field, term, count(*) AS df, 0 AS version FROM posts GROUP BY ALL
+UNION ALL SELECT field, term, count(*) AS df, 1 AS version FROM posts WHERE doc_id % 2 = 0 GROUP BY ALL""",
     "postings_upsert": f"""WITH {CHANGED_DOCUMENTS}
 SELECT field, term, doc_id, tf, doc_len, df FROM posts JOIN lens USING (field, doc_id) JOIN freqs USING (field, term)""",
     "bm25_after_upsert": f"""WITH {CHANGED_DOCUMENTS}, {_ranked('SELECT item_id AS query_id, text AS query FROM benchmark')}
@@ -372,6 +386,10 @@ SELECT query_id, doc_id, _score, rank FROM best""",
     "match_top10": f"WITH {BEST_DOCUMENTS} SELECT query_id, rank, doc_id FROM best",
     "match_candidates": f"""WITH {BEST_DOCUMENTS}
 SELECT doc_id, lang, source FROM documents WHERE doc_id IN (SELECT doc_id FROM scores)""",
+    "match_bitmap_candidates": f"""WITH {BEST_DOCUMENTS}
+SELECT doc_id, lang, source FROM documents WHERE doc_id IN (SELECT doc_id FROM scores)""",
+    "match_bitmap_counts": f"""WITH {DOCUMENTS}, {_ranked('SELECT item_id AS query_id, text AS query FROM benchmark')}
+SELECT query_id, count(*) AS n FROM scores GROUP BY ALL""",
     "query_hit_flag": f"""WITH {BEST_DOCUMENTS}
 SELECT query_id, coalesce(n, 0) AS n, n IS NOT NULL AS hit
 FROM queries LEFT JOIN (SELECT query_id, count(*) AS n FROM best GROUP BY ALL) USING (query_id)""",
@@ -386,6 +404,7 @@ SELECT query_id, doc_id, _score, rank FROM best""",
     # vector search
     "exact_cosine_top10": f"WITH {EXACT} SELECT query_id, vec_id, _distance, rank FROM nearest",
     "exact_script_score_top10": f"WITH {EXACT} SELECT query_id, vec_id, round(2 - _distance, 6) AS _score, rank FROM nearest",
+    "exact_pruned_top10": f"WITH {EXACT} SELECT query_id, vec_id, _distance, rank FROM nearest",
     "document_vector_top10": f"""WITH
 {_embedded('SELECT doc_id AS key, text AS body FROM documents', 'docs', 'search_document: ')},
 {_embedded(f"SELECT query_id AS key, query AS body FROM ({_values(DOCUMENT_LINES)})", 'asked', 'search_query: ')},
@@ -440,6 +459,8 @@ SELECT turns.query_id, query FROM turns JOIN terms ON terms.query_id = place""",
     "latency_percentiles": f"WITH {LOG}\n" + " UNION ALL ".join(
         f"SELECT search, {p}::DOUBLE AS p, round(quantile_cont(latency_ms, {p / 100}), 6) AS latency_ms FROM log GROUP BY search"
         for p in (50, 95, 99)),
+    "latency_sketches": f"WITH {LOG}\n" + " UNION ALL ".join(
+        f"SELECT search, {p}::DOUBLE AS p, count(*) AS n, TRUE AS \"within\" FROM log WHERE latency_ms IS NOT NULL GROUP BY search" for p in (50, 95, 99)),
     "latency_percentiles_null": f"WITH {LOG}\n" + " UNION ALL ".join(
         f"SELECT nullif(search, 'error') AS search, {p}::DOUBLE AS p, round(quantile_cont(latency_ms, {p / 100}), 6) AS latency_ms "
         "FROM log GROUP BY search" for p in (50, 95, 99)),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.errors import PySparkException
@@ -13,13 +14,14 @@ from corkscan.functions.matrices import PLACES
 from corkscan.functions.text import document_text, query_text
 from corkscan.functions.vectors import truncate
 from corkscan.operators import (
-    embedding, keyword, metrics, nearest, partitioned, quantised, results, text_index, validation, workload,
+    bitmaps, embedding, exact_values, keyword, metrics, nearest, partitioned, quantised, results, sketches, text_index, validation,
+    workload,
 )
 from corkscan.operators.queries import distinct_texts
 from corkscan.plans import index as index_plan, ingest
 from corkscan.plans import search
 from corkscan.registry.workspace import BUCKETS, DIM, Workspace, in_key_order, workspace
-from corkscan.schemas import ANALYZED_FIELDS, RECORD_FIELDS
+from corkscan.schemas import ANALYZED_FIELDS, KEYWORD_FIELDS, RECORD_FIELDS
 from corkscan.sources import arrays, lines, tables
 from corkscan.storage import new_path
 
@@ -141,6 +143,26 @@ def query_terms(w: Workspace) -> DataFrame:
     return lines.read_query_lines(w.spark, _write_query_lines(w))
 
 
+@query
+def limit_rows_early(w: Workspace) -> DataFrame:
+    """The first tenth of the records; files behind it are not opened."""
+    first = lines.read_first_json_lines(w.spark, w.reviews_path, w.table("part").count() // 10)
+    return validation.unpack(validation.parse_records(first), "id").select("position", _raw("id").cast("bigint").alias("id"))
+
+
+@query
+def empty_input(w: Workspace) -> DataFrame:
+    """What is said about a file of blank lines only."""
+    path, blank = new_path(w.spark, "blank"), w.table("documents").select(F.lit(" ").alias("value"))
+    blank.write.text(path)
+    try:
+        ingest.checked_lines(w.spark, path)
+        error = None
+    except ValueError as raised:
+        error = type(raised).__name__
+    return w.spark.read.text(path).agg(F.count("*").alias("blank_lines")).withColumn("error", F.lit(error))
+
+
 @query
 def limit_rows(w: Workspace) -> DataFrame:
     rows = lines.read_json_lines(w.spark, w.reviews_path, with_position=True)
@@ -190,6 +212,22 @@ def keyed_load_twice(w: Workspace) -> DataFrame:
     return ingest.read_keyed(w.spark, path).select("_id", "points", "title")
 
 
+@query
+def rebuilt_tables(w: Workspace) -> DataFrame:
+    """Both kinds of table, loaded with all valid records and then built anew of every tenth."""
+    lines_path, encoder = new_path(w.spark, "rebuilt-lines"), HashingEncoder(8)
+    rows = w.review_lines().join(validation.accepted(w.checked()).select("id"), "id", "left_semi")
+    rows.select("value").write.text(f"{lines_path}/all")
+    rows.where(F.col("id") % 10 == 0).select("value").write.text(f"{lines_path}/some")
+    plain, keyed = new_path(w.spark, "rebuilt"), new_path(w.spark, "rebuilt-keyed")
+    for part in ("all", "some"):
+        ingest.load_records(w.spark, f"{lines_path}/{part}", plain, encoder, overwrite=part == "some", dim=8)
+        ingest.load_keyed(w.spark, f"{lines_path}/{part}", keyed, encoder, recreate=part == "some", dim=8, buckets=4)
+    found = ingest.read_records(w.spark, plain).select(F.lit("plain").alias("kind"), "id", "points", "title")
+    return found.unionByName(ingest.read_keyed(w.spark, keyed).select(
+        F.lit("keyed").alias("kind"), F.col("_id").cast("bigint").alias("id"), "points", "title"))
+
+
 @query
 def vector_dim_guard(w: Workspace) -> DataFrame:
     short = F.when(F.col("label") == 0, F.slice("embedding", 1, DIM // 2)).otherwise(F.col("embedding"))
@@ -316,6 +354,17 @@ def keyword_exact(w: Workspace) -> DataFrame:
     return results.keyword_equals(w.records(), "variety", varieties).select("id", "variety", "title")
 
 
+@query
+def keyword_exact_fields(w: Workspace) -> DataFrame:
+    """Records with the first or the last value of each of the eight fields."""
+    path = new_path(w.spark, "values")
+    exact_values.build_value_table(w.records(), path)
+    table = exact_values.read_value_table(w.spark, path)
+    ends = w.records().agg(*[end(name).alias(f"{name}_{end.__name__}") for name in KEYWORD_FIELDS for end in (F.min, F.max)]).first()
+    wanted = {(name, ends[f"{name}_{end}"]) for name in KEYWORD_FIELDS for end in ("min", "max")}
+    return exact_values.find_values(table, sorted((name, value) for name, value in wanted if value is not None))
+
+
 # --- text ----------------------------------------------------------------------
 
 
@@ -353,6 +402,20 @@ def embed_documents(w: Workspace) -> DataFrame:
     return _cells(w.document_vectors(), "id").where("value <> 0").withColumnRenamed("id", "doc_id")
 
 
+@query
+def encoder_shape(w: Workspace) -> DataFrame:
+    """The sizes named by the error of an encoder whose vectors are too short, and how many texts it was asked for."""
+    docs = w.table("documents").select(F.col("doc_id").alias("id"), "text")
+    try:
+        embedding.embed_documents(docs, "text", HashingEncoder(DIM // 2), DIM).write.format("noop").mode("overwrite").save()
+        found = None
+    except PySparkException as raised:
+        found = re.search(r"expected vectors of shape \(\d+, (\d+)\), got \(\d+, (\d+)\)", str(raised))
+    wanted, got = found.groups() if found else (None, None)
+    return docs.agg(F.count("*").alias("texts")).select(
+        "texts", F.lit(wanted).cast("int").alias("wanted"), F.lit(got).cast("int").alias("got"))
+
+
 @query
 def embed_queries(w: Workspace) -> DataFrame:
     asked = w.benchmark_queries().unionByName(w.document_queries().withColumn("query_id", F.col("query_id") + 1_000_000))
@@ -397,6 +460,17 @@ def postings_append(w: Workspace) -> DataFrame:
     return both.postings().join(both.term_doc_freq(), ["field", "term"])
 
 
+@query
+def postings_replaced(w: Workspace) -> DataFrame:
+    """An index of all documents, replaced by one of every second; the older version stays readable."""
+    docs, root = w.table("documents"), new_path(w.spark, "replaced")
+    text_index.build_text_index(docs, root, "doc_id", ["text"])
+    newer = text_index.build_text_index(docs.where(F.col("doc_id") % 2 == 0), root, "doc_id", ["text"], replace=True)
+    older = text_index.open_text_index(w.spark, root, newer.version - 1)
+    versions = [index.term_doc_freq().select("field", "term", "df", F.lit(index.version).alias("version")) for index in (older, newer)]
+    return versions[0].unionByName(versions[1])
+
+
 @query
 def postings_upsert(w: Workspace) -> DataFrame:
     """An index after deletes, changes and additions: as one built of what is left."""
@@ -476,6 +550,24 @@ def match_candidates(w: Workspace) -> DataFrame:
     return keyword.matching_documents(w.document_index, docs, "doc_id", w.document_queries())
 
 
+def _candidate_bitmaps(w: Workspace, queries: DataFrame) -> DataFrame:
+    path = new_path(w.spark, "bitmaps")
+    bitmaps.build_bitmaps(w.document_index, path)
+    return bitmaps.candidate_bitmaps(bitmaps.read_bitmaps(w.spark, path), queries)
+
+
+@query
+def match_bitmap_candidates(w: Workspace) -> DataFrame:
+    docs = w.table("documents").select("doc_id", "lang", "source")
+    return bitmaps.candidate_documents(_candidate_bitmaps(w, w.document_queries()), docs, "doc_id")
+
+
+@query
+def match_bitmap_counts(w: Workspace) -> DataFrame:
+    """How many documents hold a word of each benchmark text."""
+    return bitmaps.candidate_counts(_candidate_bitmaps(w, w.benchmark_queries()))
+
+
 @query
 def query_hit_flag(w: Workspace) -> DataFrame:
     return results.hit_flags(w.document_queries(), bm25_top10(w))
@@ -517,6 +609,14 @@ def exact_script_score_top10(w: Workspace) -> DataFrame:
     return _by_text(nearest.script_score(nearest.exact_top_k(w.vectors(), w.label_means())))
 
 
+@query
+def exact_pruned_top10(w: Workspace) -> DataFrame:
+    """The exact nearest vectors, without the partitions that cannot hold one."""
+    assigned = w.assigned()
+    radii = partitioned.partition_radii(assigned, w.centroids)
+    return _by_text(partitioned.pruned_top_k(assigned, w.centroids, radii, w.label_means()))
+
+
 @query
 def document_vector_top10(w: Workspace) -> DataFrame:
     found = search.nearest_exact(w.document_vectors(), w.document_queries(), HashingEncoder(DIM), dim=DIM)
@@ -700,6 +800,19 @@ def _figures(df: DataFrame, suffix: str = "") -> DataFrame:
     return df.withColumns({f"{name}{suffix}": _round(f"{name}{suffix}") for name in metrics.FIGURES})
 
 
+@query
+def latency_sketches(w: Workspace) -> DataFrame:
+    """Percentiles of sketches by day, stored in two batches: how many rows are behind each, and whether its rank is within the error."""
+    log, root = w.query_log().join(w.table("events").select(F.col("event_id").alias("query_id"), F.to_date("ts").alias("day")), "query_id"), new_path(
+        w.spark, "sketches")
+    for part in (0, 1):
+        rows = log.where(F.pmod("query_id", F.lit(2)) == part)
+        sketches.append_sketches(sketches.sketch_log(rows, ["search"], "latency_ms", F.col("day")), root)
+    found = sketches.merged_percentiles(sketches.read_sketches(w.spark, root), ["search"])
+    errors = sketches.rank_errors(log, ["search"], "latency_ms", found)
+    return errors.select("search", "p", "n", (F.col("error") <= sketches.RANK_ERROR).alias("within"))
+
+
 @query
 def latency_percentiles_null(w: Workspace) -> DataFrame:
     """Percentiles where one of the groups is null."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import urllib.parse
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -49,7 +51,7 @@ def first_rows(df: DataFrame, count: int) -> DataFrame:
     return df.where(F.col("position") <= count) if count > 0 else df
 
 
-def read_json_lines(spark: SparkSession, path: str, with_position: bool = False) -> DataFrame:
+def read_json_lines(spark: SparkSession, path: str | list[str], with_position: bool = False) -> DataFrame:
     """(raw[, position]): one JSON record per line, plain or compressed.
 
     A gzip file cannot be split: where there are fewer such files than cores,
@@ -65,6 +67,34 @@ def read_json_lines(spark: SparkSession, path: str, with_position: bool = False)
     return rows
 
 
+def read_first_json_lines(spark: SparkSession, path: str, count: int) -> DataFrame:
+    """(raw, position): the first ``count`` records, 0 or less meaning all; files after the last one needed are not opened.
+
+    Records are counted file by file in path order, in steps of twice as many files
+    as before, until there are enough. The driver holds the counts of one step.
+    """
+    if count <= 0:
+        return read_json_lines(spark, path, with_position=True)
+    files = sorted(spark.read.text(path).inputFiles())
+    taken, found, step = [], 0, 1
+    while found < count and len(taken) < len(files):
+        more = files[len(taken) : len(taken) + step]
+        lines = spark.read.text(_as_paths(more)).where(strip(F.col("value")) != "")
+        rows = {row["file"]: row["n"] for row in lines.groupBy(F.col("_metadata.file_path").alias("file")).agg(
+            F.count("*").alias("n")).collect()}
+        for file in more:
+            if found < count:
+                taken.append(file)
+                found += rows.get(file, 0)
+        step *= 2
+    return first_rows(read_json_lines(spark, _as_paths(taken) or path, with_position=True), count)
+
+
+def _as_paths(files: Sequence[str]) -> list[str]:
+    """Paths that name just these files, given as Spark lists them."""
+    return [re.sub(r"([*?{}\[\]\\])", r"\\\1", urllib.parse.unquote(file)) for file in files]
+
+
 def read_json_array(spark: SparkSession, path: str, fields: Sequence[str]) -> DataFrame:
     """The listed fields of the elements of files that each hold one JSON array.
 

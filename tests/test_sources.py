@@ -252,3 +252,23 @@ def test_records_by_id(spark, folder):
     stored = spark.read.parquet(folder)
     assert stored.count() == 20
     assert stored.where(tables.bucket_of(F.col("id"), 4) != F.col("id_bucket")).isEmpty()
+
+
+def test_a_row_cap_opens_no_later_file(spark, gzip_lines, tmp_path):
+    path = gzip_lines(["a", " ", "b"], ["", " "], ["c", "d"], ["e"])
+    every = [(r.position, r.raw) for r in lines.read_first_json_lines(spark, path, 0).orderBy("position").collect()]
+    assert every == list(enumerate("abcde", 1))
+    for count in range(1, 8):
+        rows = lines.read_first_json_lines(spark, path, count).orderBy("position").collect()
+        assert [(r.position, r.raw) for r in rows] == every[:count]
+    (tmp_path / "part-3.jsonl.gz").write_bytes(b"\x1f\x8bnot gzip at all")  # whoever opens it fails
+    assert [r.raw for r in lines.read_first_json_lines(spark, path, 2).orderBy("position").collect()] == ["a", "b"]
+    with pytest.raises(Exception):
+        lines.read_first_json_lines(spark, path, 5).collect()
+
+
+def test_a_row_cap_with_odd_names(spark, tmp_path):
+    for name, text in (("a [1] b%20.txt", "x\ny\n"), ("c {2}*.txt", "z\n")):
+        (tmp_path / name).write_text(text)
+    assert [r.raw for r in lines.read_first_json_lines(spark, str(tmp_path), 3).orderBy("position").collect()] == ["x", "y", "z"]
+    assert [r.raw for r in lines.read_first_json_lines(spark, str(tmp_path), 1).collect()] == ["x"]

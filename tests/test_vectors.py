@@ -320,3 +320,34 @@ def test_model_encoder_and_truncation(spark):
     bad = ModelEncoder("bad", lambda: lambda texts: np.zeros((len(texts) + 1, 2)))
     with pytest.raises(Exception, match="expected vectors of shape"):
         rows.select(vector_of(F.col("query"), bad, 2)).collect()
+
+
+@pytest.mark.parametrize("first", [1, 3, 16])
+def test_pruned_search_is_exact(index, asked, exact, first):
+    centroids = index.model.centroids
+    radii = partitioned.partition_radii(index.vectors, centroids)
+    assert listed(partitioned.pruned_top_k(index.vectors, centroids, radii, asked, first=first)) == listed(exact)
+
+
+def test_pruning_leaves_partitions_out(spark):
+    """On vectors in tight groups only the group of a query is read."""
+    rng = np.random.default_rng(3)
+    axes = np.eye(8)
+    points = np.concatenate([axes[n] + 0.02 * rng.standard_normal((60, 8)) for n in range(8)])
+    rows = [(n, v.astype(np.float32).tolist()) for n, v in enumerate(points)]
+    vectors = spark.createDataFrame([*rows, (900, None), (901, [0.0] * 8)], "id BIGINT, vector ARRAY<FLOAT>")
+    assigned = materialise(partitioned.assign_partitions(vectors, axes), "grouped")
+    radii = partitioned.partition_radii(assigned, np.concatenate([axes, -axes[:1]]))
+    assert (radii[:8] > 0).all() and radii[8] == -1
+    radii = radii[:8]
+    asked = vectors.where("id IN (3, 100, 470, 901)").withColumnRenamed("id", "text_id")
+    found = partitioned.pruned_top_k(assigned, axes, radii, asked, k=5)
+    assert listed(found) == listed(nearest.exact_top_k(vectors, asked, k=5))
+    block = partitioned.probing_block(asked.select("text_id", "vector").where("text_id < 900").toArrow(), axes, 1)
+    near = nearest.nearest_found(partitioned.only_probed(assigned, block).mapInArrow(
+        nearest.scan_vectors(block, 5), nearest.FOUND_SCHEMA), 5)
+    assert not partitioned.remaining_block(block, near, axes, radii, 5).probes.any()
+    # More than a group holds: all others stay open.
+    near = nearest.nearest_found(partitioned.only_probed(assigned, block).mapInArrow(
+        nearest.scan_vectors(block, 70), nearest.FOUND_SCHEMA), 70)
+    assert partitioned.remaining_block(block, near, axes, radii, 70).probes.sum() == 3 * 7
