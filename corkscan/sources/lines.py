@@ -80,16 +80,21 @@ def read_first_json_lines(spark: SparkSession, path: str, count: int) -> DataFra
     while found < count and len(taken) < len(files):
         more = files[len(taken) : len(taken) + step]
         lines = spark.read.text(_as_paths(more)).where(strip(F.col("value")) != "")
-        rows = {row["file"]: row["n"] for row in lines.groupBy(F.col("_metadata.file_path").alias("file")).agg(
+        rows = {_place(row["file"]): row["n"] for row in lines.groupBy(F.col("_metadata.file_path").alias("file")).agg(
             F.count("*").alias("n")).collect()}
         for file in more:
             if found < count:
                 taken.append(file)
-                found += rows.get(file, 0)
+                found += rows.get(_place(file), 0)
         step *= 2
     return first_rows(read_json_lines(spark, _as_paths(taken) or path, with_position=True), count)
 
 
+def _place(file: str) -> tuple[str, ...]:
+    """What a file is told by, however many slashes stand behind its scheme."""
+    return tuple(urllib.parse.urlsplit(file)[:3])
+
+
 def _as_paths(files: Sequence[str]) -> list[str]:
     """Paths that name just these files, given as Spark lists them."""
     return [re.sub(r"([*?{}\[\]\\])", r"\\\1", urllib.parse.unquote(file)) for file in files]
