@@ -51,8 +51,9 @@ SMALL_BUCKET = 32
 # In so many orders the first member of a large bucket is looked for: the buckets of a
 # large group then share their first members, and a text is linked with few of them.
 LEADER_ORDERS = 3
-# Members in a block of a large bucket.
+# Members in a block of a large bucket, and about as many bytes of bags; long texts make more blocks.
 BLOCK_ONE, BLOCK_OTHER = 256, 512
+BLOCK_BYTES = 16 << 20
 # So many identifiers may be broadcast; more are joined by shuffle.
 FEW_IDS = 500_000
 
@@ -294,7 +295,7 @@ def near_duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     wanted = materialise(members.select("rep").distinct().join(first.select("rep", "place"), "rep").select("rep", "place.id"), "wanted")
     sets = keep_ids(texts, "id", wanted.select(F.col("id").alias("wanted")).distinct()).select("text").mapInArrow(_bags, "rep binary, bag binary")
     bags = materialise(keep_ids(sets, "rep", wanted.select(F.col("rep").alias("wanted"))).dropDuplicates(["rep"]).select(
-        F.col("rep").alias("id"), "bag"), "bag-sets")
+        F.col("rep").alias("id"), "bag", F.octet_length("bag").cast("bigint").alias("bytes")), "bag-sets")
 
     star = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     found = materialise(_verified(star, bags).where(F.col("similarity") >= similarity).select("a", "b"), "links")
@@ -317,15 +318,17 @@ def near_duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = _verified(pairs, bags).where(F.col("similarity") >= similarity).select("a", "b")
 
-    large = placed.where(F.col("n") > SMALL_BUCKET).withColumn("outsiders", F.col("n") - F.col("most"))
-    parts = lambda count, block: F.ceil(F.col(count) / block).cast("int")
-    block = lambda count, block: F.pmod(F.xxhash64("rep"), parts(count, block)).cast("int")
-    every = lambda count, block: F.explode(F.sequence(F.lit(0), parts(count, block) - 1))
-    left = large.where("outside").select(
-        "key", "rep", "class", F.lit(True).alias("left"), block("outsiders", BLOCK_ONE).alias("p"), every("n", BLOCK_OTHER).alias("q"))
-    right = large.select(
-        "key", "rep", "class", F.lit(False).alias("left"), block("n", BLOCK_OTHER).alias("q"), every("outsiders", BLOCK_ONE).alias("p"))
-    blocks = left.unionByName(right).join(bags.withColumnRenamed("id", "rep"), "rep").withColumnRenamed("rep", "id")
+    large = placed.where(F.col("n") > SMALL_BUCKET)
+    weights = large.join(bags.select(F.col("id").alias("rep"), "bytes"), "rep").groupBy("key").agg(
+        F.sum("bytes").alias("bytes"), F.sum(F.when(F.col("outside"), F.col("bytes"))).alias("bytes_outside"))
+    parts = lambda count, most, size: F.greatest(F.ceil(count / most), F.ceil(F.col(size) / BLOCK_BYTES)).cast("int")
+    large = large.join(weights, "key").withColumns({
+        "ps": parts(F.col("n") - F.col("most"), BLOCK_ONE, "bytes_outside"), "qs": parts(F.col("n"), BLOCK_OTHER, "bytes")})
+    block = lambda count: F.pmod(F.xxhash64("rep"), F.col(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    left = large.where("outside").select("key", "rep", "class", F.lit(True).alias("left"), block("ps").alias("p"), every("qs").alias("q"))
+    right = large.select("key", "rep", "class", F.lit(False).alias("left"), block("qs").alias("q"), every("ps").alias("p"))
+    blocks = left.unionByName(right).join(bags.select(F.col("id").alias("rep"), "bag"), "rep").withColumnRenamed("rep", "id")
     in_blocks = blocks.groupBy("key", "p", "q").applyInArrow(_link_blocks(similarity), "a binary, b binary")
     more = materialise(more.unionByName(in_blocks), "more-links")
     if not more.isEmpty():

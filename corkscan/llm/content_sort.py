@@ -5,9 +5,9 @@ memory, and equal texts then stand next to each other. The splitters are cut
 from a bounded key: the first bytes, a digest of all bytes, and the identifier.
 The identifier is part of the order, so the copies of one text are dealt over as
 many partitions as their number asks for. Neighbours are compared in full. A
-group that reaches the edge of a partition may go on in the next one; there are
-at most two such keys in each partition, and their counts are put together in a
-small table.
+group that reaches the edge of a partition may go on in the next one, and a group
+of more than a few MB is handed on in parts, so that no task holds it whole; the
+counts of such groups are put together in a small table.
 
 Null texts count as empty. Null identifiers are smaller than all others. Of rows
 that are equal in text and identifier, one stays.
@@ -29,6 +29,10 @@ from corkscan.storage import materialise
 
 # Bytes at the start of a text that take part in the order of partitions.
 HEAD_BYTES = 16
+# What a task holds of one text's rows before it hands them on, in bytes.
+WAITING_BYTES = 4 << 20
+# So many keys that reach an edge may be broadcast; more are joined by shuffle.
+FEW_EDGES = 200_000
 
 
 def _with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,49 +58,57 @@ def _one_batch(parts: Sequence[pa.RecordBatch]) -> pa.RecordBatch:
     return parts[0] if len(parts) == 1 else pa.concat_batches(parts)
 
 
-def _groups(keep: str):
+def _groups(keep: str, waiting_bytes: int = WAITING_BYTES):
     """Sorted rows to rows with what is known of their group in this partition."""
 
-    def described(rows: pa.RecordBatch, new_key: np.ndarray, edge: np.ndarray) -> pa.RecordBatch:
+    def key(rows: pa.RecordBatch, at: int) -> tuple:
+        return rows["_head"][at], rows["_tag"][at]
+
+    def described(rows: pa.RecordBatch, new_key: np.ndarray, edge: np.ndarray, tail: pa.RecordBatch | None) -> pa.RecordBatch:
         starts = np.flatnonzero(new_key | _differs(rows["_norm"]))
         sizes = np.diff(np.append(starts, rows.num_rows))
         chosen = starts if keep == "smallest" else starts + sizes - 1
         ids = rows["_id"]
         stays = np.zeros(rows.num_rows, dtype=bool)
         stays[chosen] = True
+        if tail is not None and tail["_norm"][0] == rows["_norm"][0] and (
+                keep == "smallest" or tail["_id"][0].as_py() == ids[int(chosen[0])].as_py()):
+            stays[chosen[0]] = False  # handed on before, with the rows of ``tail``
         top = ids.take(pa.array(np.repeat(chosen, sizes)))
         columns = {n: rows[n] for n in rows.schema.names if n not in ("_norm", "_head", "_tag")}
         columns |= {"_top": top, "_size": np.repeat(sizes, sizes).astype(np.int64), "_stays": stays, "_edge": edge}
         return pa.RecordBatch.from_pydict(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, first = [], None
+        # ``tail``: the last row handed on, if its key may go on.
+        waiting, first, tail = None, None, None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            rows = _one_batch([*waiting, batch])
+            rows = batch if waiting is None else _one_batch([waiting, batch])
             new_key = _differs(rows["_head"]) | _differs(rows["_tag"])
             if first is None:
-                first = (rows["_head"][0], rows["_tag"][0])
-            cut = int(np.flatnonzero(new_key)[-1])
-            if cut:
-                done = rows.slice(0, cut)
-                edge = np.zeros(cut, dtype=bool)
-                if (done["_head"][0], done["_tag"][0]) == first:
-                    edge[: int(np.flatnonzero(new_key)[1]) if new_key[:cut].sum() > 1 else cut] = True
-                yield described(done, new_key[:cut], edge)
-            waiting = [rows.slice(cut)]
-        if waiting:
-            rows = _one_batch(waiting)
-            new_key = np.zeros(rows.num_rows, dtype=bool)
+                first = key(rows, 0)
+            begins = np.flatnonzero(new_key)
+            goes_on = key(rows, 0) == first or (tail is not None and key(tail, 0) == key(rows, 0))
+            full = rows.num_rows if len(begins) == 1 and rows.nbytes >= waiting_bytes else int(begins[-1])
+            if full:
+                edge = np.zeros(full, dtype=bool)
+                if goes_on or full == rows.num_rows:
+                    edge[: begins[1] if len(begins) > 1 else full] = True
+                yield described(rows.slice(0, full), new_key[:full], edge, tail)
+                tail = rows.take(pa.array([full - 1])) if full == rows.num_rows else None
+            waiting = rows.slice(full) if full < rows.num_rows else None
+        if waiting is not None:
+            new_key = np.zeros(waiting.num_rows, dtype=bool)
             new_key[0] = True
-            yield described(rows, new_key, np.ones(rows.num_rows, dtype=bool))
+            yield described(waiting, new_key, np.ones(waiting.num_rows, dtype=bool), tail)
 
     return run
 
 
 def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (),
-                keep: str = "smallest") -> DataFrame:
+                keep: str = "smallest", waiting_bytes: int = WAITING_BYTES) -> DataFrame:
     """(id, keep_id, group_size, kept, text_sha256[, row]): one row for each row of ``docs``.
 
     Texts are equal if they are the same bytes after A-Z are lower-cased.
@@ -114,7 +126,7 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     dealt = keyed.repartitionByRange("_head", "_tag", "_id").sortWithinPartitions("_head", "_tag", "_norm", "_id")
     id_type = source.schema["_id"].dataType.simpleString()
     found = dealt.mapInArrow(
-        _groups(keep), f"{base}, _sha string, _top {id_type}, _size bigint, _stays boolean, _edge boolean")
+        _groups(keep, waiting_bytes), f"{base}, _sha string, _top {id_type}, _size bigint, _stays boolean, _edge boolean")
     found = materialise(found, "content-sort")
 
     best = F.min("_top") if keep == "smallest" else F.max("_top")
@@ -122,8 +134,11 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     edges = found.where("_edge").groupBy(F.col("_sha").alias("_edge_sha")).agg(
         (F.when(nulls == 0, best) if keep == "smallest" else best).alias("_edge_top"),
         F.count("*").alias("_edge_size"))
-    # At most two keys for each partition of the sort.
-    joined = found.join(F.broadcast(edges), found["_sha"] == edges["_edge_sha"], "left")
+    # At most two keys for each partition of the sort, and one for each group of copies that is larger than ``waiting_bytes``.
+    edges = materialise(edges, "edges")
+    if edges.count() <= FEW_EDGES:
+        edges = F.broadcast(edges)
+    joined = found.join(edges, found["_sha"] == edges["_edge_sha"], "left")
     across = F.col("_edge_size").isNotNull()
     keep_id = F.when(across, F.col("_edge_top")).otherwise(F.col("_top"))
     return joined.select(

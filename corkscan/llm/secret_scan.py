@@ -1,7 +1,9 @@
 """Secrets in texts: candidates by shape, false positives removed by a random forest.
 
-A candidate is a run of at least ``SHORTEST`` characters that keys are made of, with
-a digit in it. What the forest sees of it: its length and kinds of characters, how
+A candidate is a key with a known prefix, a value of ``SHORTEST_VALUE`` characters or
+more that is assigned to the name of a credential, whatever it is made of, a run of
+``SHORTEST`` characters or more in quotes with a digit in it, or such a run of
+characters that keys are made of; where two overlap, the first of these counts. What the forest sees of it: its length and kinds of characters, how
 usual its character transitions are among the words of the corpus, how much of it
 is covered by the corpus's frequent words, the path of the document, and the words
 and signs next to it. Frequent words are counted over all documents. The forest is
@@ -17,6 +19,7 @@ each. Without labelled findings of both kinds every score is 0.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -31,6 +34,7 @@ from corkscan.llm.common import bounded_batches, steps, text_or_empty
 from corkscan.storage import materialise
 
 SHORTEST = 12
+SHORTEST_VALUE = 4
 # Frequent words of the corpus that count as its dictionary.
 DICTIONARY, WORD_LETTERS = 20_000, (3, 12)
 # Labelled findings of each kind that the forest is grown from.
@@ -51,12 +55,37 @@ PATH_PARTS = {"test", "tests", "example", "examples", "doc", "docs", "fixture",
 FEATURES = ["length", "lower", "upper", "digits", "others", "hex", "changes", "distinct", "usual", "covered", "path_length", "path_harmless",
             "path_depth", "assigned", "quoted", "credential", "harmless", "address", "spaced"]
 
-_CANDIDATE = re.compile(rf"(?<![A-Za-z0-9_+/.-])(?=[A-Za-z_+/.-]*[0-9])[A-Za-z0-9][A-Za-z0-9_+/.-]{{{SHORTEST - 1},}}={{0,2}}")
+_CANDIDATE = re.compile(rf"(?<![A-Za-z0-9_+/.-])(?=[A-Za-z_+/.-]*[0-9])[A-Za-z0-9+/][A-Za-z0-9_+/.-]{{{SHORTEST - 1},}}={{0,2}}")
+_ASSIGNED = re.compile(
+    rf"(?i:{'|'.join(sorted(CREDENTIALS, key=lambda name: (-len(name), name)))})[\"']?\s{{0,3}}[:=]\s{{0,3}}"
+    rf"(?:\"(?P<double>[^\"\s]{{{SHORTEST_VALUE},}})\"|'(?P<single>[^'\s]{{{SHORTEST_VALUE},}})'|(?P<bare>[^\s\"'<>,;&]{{{SHORTEST_VALUE},}}))")
+_QUOTED = re.compile(rf"([\"'])(?=[^\"'\s]*[0-9])(?P<value>[^\"'\s]{{{SHORTEST},}})\1")
+_KNOWN_KEY = re.compile(rf"(?<![A-Za-z0-9])(?:{KEY_PREFIXES})(?![A-Za-z0-9])")
 _LETTERS = re.compile(rf"[a-z]{{{WORD_LETTERS[0]},}}")
 _PREFIX = re.compile(rf"(?:{KEY_PREFIXES})$")
 _NEXT = 40  # characters to either side that neighbours are looked for in
 
 
+def spans(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the candidates of ``text``, in order; no two overlap."""
+    found = [(0, *m.span()) for m in _KNOWN_KEY.finditer(text)]
+    for m in _ASSIGNED.finditer(text):
+        start, end = m.span(m.lastgroup)
+        if m.lastgroup == "bare":  # the end of a sentence or bracket is no part of a value
+            end = start + len(m[m.lastgroup].rstrip(".!?:)]}"))
+        if end - start >= SHORTEST_VALUE:
+            found.append((1, start, end))
+    found += [(2, *m.span("value")) for m in _QUOTED.finditer(text)]
+    found += [(3, *m.span()) for m in _CANDIDATE.finditer(text)]
+    # The surer kinds first; what overlaps one that is kept goes.
+    kept: list[tuple[int, int]] = []
+    for _, start, end in sorted(found):
+        at = bisect.bisect(kept, (start, end))
+        if (at == 0 or kept[at - 1][1] <= start) and (at == len(kept) or end <= kept[at][0]):
+            kept.insert(at, (start, end))
+    return kept
+
+
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, n): the words of lower-case Latin letters of all texts."""
 
@@ -146,14 +175,14 @@ def _scan(corpus):
         for batch in steps(batches, most=TEXT_BYTES):
             rows = {name: [] for name in ("id", "start", "value", "before", "after", "features")}
             for n, text in enumerate(batch["text"].to_pylist()):
-                for found in _CANDIDATE.finditer(text):
-                    before, after = text[max(0, found.start() - _NEXT) : found.start()], text[found.end() : found.end() + _NEXT]
+                for start, end in spans(text):
+                    value, before, after = text[start:end], text[max(0, start - _NEXT) : start], text[end : end + _NEXT]
                     rows["id"].append(n)
-                    rows["start"].append(found.start())
-                    rows["value"].append(found.group())
+                    rows["start"].append(start)
+                    rows["value"].append(value)
                     rows["before"].append(before)
                     rows["after"].append(after)
-                    rows["features"].append([float(x) for x in features(found.group(), before, after, batch["path"][n].as_py(), corpus.value)])
+                    rows["features"].append([float(x) for x in features(value, before, after, batch["path"][n].as_py(), corpus.value)])
             ids = batch["id"].take(pa.array(rows.pop("id"), pa.int64()))
             yield pa.RecordBatch.from_pydict({
                 "id": ids, "start": pa.array(rows["start"], pa.int64()), "value": pa.array(rows["value"], pa.string()),

@@ -1,8 +1,12 @@
 """Exact duplicates against plain grouping."""
 
+import random
 from collections import defaultdict
 
-from corkscan.llm.content_sort import find_copies
+import pyarrow as pa
+import pytest
+
+from corkscan.llm.content_sort import _groups, find_copies
 
 AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -44,3 +48,48 @@ def test_repeated_rows_null_ids_and_clashing_columns(spark):
 
 def test_empty_table(spark):
     assert find_copies(spark.createDataFrame([], "doc_id BIGINT, text STRING")).count() == 0
+
+
+@pytest.mark.parametrize("keep", ["smallest", "largest"])
+def test_groups_are_handed_on_in_parts(keep):
+    """Rows of one partition cut into batches in any way, with groups that are larger than what may wait."""
+    rng = random.Random(9)
+    for _ in range(60):
+        texts = sorted(rng.choice(["a", "b", "b" * 30, "cc", "dd"]) for _ in range(40))
+        rows = [(text, n) for text in sorted(set(texts)) for n in sorted(rng.randrange(6) for _ in range(texts.count(text)))]
+        # Two texts may have one tag.
+        batches, at = [], 0
+        while at < len(rows):
+            part = rows[at : at + rng.randrange(1, 9)]
+            at += len(part)
+            batches.append(pa.RecordBatch.from_pydict({
+                "_id": pa.array([n for _, n in part], pa.int64()), "_norm": pa.array([t.encode() for t, _ in part], pa.binary()),
+                "_head": pa.array([t[:1].encode() for t, _ in part], pa.binary()), "_tag": pa.array([7] * len(part), pa.int64()),
+                "_sha": pa.array([t for t, _ in part])}))
+        out = [row for batch in _groups(keep, rng.choice([0, 60, 500, 10_000]))(iter(batches)) for row in batch.to_pylist()]
+        assert [(r["_sha"], r["_id"]) for r in out] == rows
+        pick = min if keep == "smallest" else max
+        for text in set(texts):
+            mine = [r for r in out if r["_sha"] == text]
+            open_ = [r for r in mine if r["_edge"]]
+            assert len(open_) in (0, len(mine))
+            best = pick(r["_id"] for r in mine)
+            assert sum(r["_stays"] and r["_id"] == best for r in mine) == 1
+            if not open_:
+                assert {(r["_top"], r["_size"]) for r in mine} == {(best, len(mine))}
+            else:
+                assert pick(r["_top"] for r in mine) == best
+
+
+def test_large_groups_in_parts_end_to_end(spark):
+    rows = [(n % 1500, "hot " * 20 if n % 4 else f"text {n % 50}") for n in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(5)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        for keep, pick in (("largest", max), ("smallest", min)):
+            found = find_copies(docs, keep=keep, waiting_bytes=1).collect()
+            assert {(r.doc_id, r.keep_id, r.group_size) for r in found} == expected(rows, pick)
+            assert sum(r.kept for r in found) == len({text for _, text in rows})
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
