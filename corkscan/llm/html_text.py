@@ -8,18 +8,22 @@ that are unique stay. What is left there but stands in an element that by its ki
 or class is a menu, a header, a footer, an advert, a form, comments and the like is
 dropped after that. An article or main inside an element that is dropped only for a
 word of its layout, such as ``has-sidebar``, is content again. Runs inside of an article stay even where other pages have them
-too: whole articles are copied, and a copy is no boilerplate.
+too: whole articles are copied, and a copy is no boilerplate. A run of more than
+``RUN`` tokens that repeats is made of runs of ``RUN`` that repeat, so the order of
+suffixes need not be known any further to know which tokens are covered.
 
-The pages of a large host are dealt over groups of about ``CHUNK`` pages, each with
-an array of its own. Runs that are on one page only within their group are then
+Pages of one host with equal html are one page to the array, whatever their URLs and
+identifiers are: copies of a page take nothing from each other.
+
+The pages of a large host are dealt over groups of about ``CHUNK`` pages or
+``CHUNK_BYTES`` of html, each with an array of its own. Runs that are on one page only within their group are then
 counted across the groups of the host by the hash of their first ``RUN`` tokens,
 which finds the same repeats as one array would. Only hashes of tokens are shuffled,
 not pages, which are read a second time for their text; what the arrays say is needed
 there only for pages with text that is neither in an article nor in a side element.
 
 Null and empty pages have an empty text; broken markup is read as far as it goes.
-Rows that repeat are read each, but are one page to the array. Pages without a host
-are a host of their own kind.
+Rows that repeat are read each. Pages without a host are a host of their own kind.
 """
 
 from __future__ import annotations
@@ -40,8 +44,9 @@ from corkscan.storage import materialise
 
 RUN = 6
 CHUNK = 256
-# The runs of so many pages may be broadcast; more are joined by shuffle.
-FEW_PAGES = 100_000
+CHUNK_BYTES = 32 << 20
+# The runs of so many pages, with so many places in all (4 bytes each), may be broadcast; more are joined by shuffle.
+FEW_PAGES, FEW_PLACES = 100_000, 2_000_000
 
 # Elements of HTML by what their text is.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -240,8 +245,10 @@ def boilerplate(pages: DataFrame) -> DataFrame:
     """(row, begun): for pages (row, host, html) with undecided blocks, the places of their
     tokens outside of articles at which a run begins that another page of the host has too."""
     streams = pages.mapInArrow(_streams, "row bigint, host string, tokens array<bigint>, undecided boolean")
-    sizes = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    large = materialise(sizes.where(F.col("pages") > CHUNK).select("host", F.ceil(F.col("pages") / CHUNK).alias("chunks")), "large-hosts")
+    streams = streams.groupBy("row").agg(*(F.first(name).alias(name) for name in ("host", "tokens", "undecided")))
+    sizes = pages.select("host", "row", F.octet_length("html").alias("bytes")).distinct().groupBy("host").agg(
+        F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("bytes") / CHUNK_BYTES)).alias("chunks"))
+    large = materialise(sizes.where("chunks > 1"), "large-hosts")
     streams = streams.join(large, "host", "left")
     chunk = F.pmod(F.xxhash64("row"), F.coalesce("chunks", F.lit(1))).cast("int")
     runs = streams.select("host", "row", "tokens", "undecided", chunk.alias("chunk")).groupBy("host", "chunk").applyInArrow(
@@ -260,10 +267,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """(id, url, text): the main text of each page, blocks joined by one space."""
     read = bounded_batches(pages).select(
         F.col(id_col).alias("page"), F.col(url_col).alias("url"), text_or_empty(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
-    # Copies of one page under one URL are one page to the array.
-    read = read.withColumn("row", F.xxhash64("page", "url", "html"))
+    read = read.withColumn("row", F.xxhash64("host", "html"))
     begun = materialise(boilerplate(read.select("row", "host", "html")), "boilerplate")
-    if begun.count() <= FEW_PAGES:
+    size = begun.agg(F.count("*").alias("pages"), F.coalesce(F.sum(F.size("begun")), F.lit(0)).alias("places")).first()
+    if size["pages"] <= FEW_PAGES and size["places"] <= FEW_PLACES:
         begun = F.broadcast(begun)
     page = ", ".join(f"{name} {read.schema[name].dataType.simpleString()}" for name in ("page", "url"))
     text = read.join(begun, "row", "left").select("page", "url", "html", "begun").mapInArrow(_main_text, f"{page}, text string")

@@ -42,6 +42,43 @@ def test_repeated_runs_of_a_host_go_and_unique_ones_stay(spark, monkeypatch):
     assert text_of(spark, rows) == found
 
 
+def test_copies_of_a_page_keep_their_text(spark):
+    page = "<div>a page of plain text without any article of more than six words</div>"
+    rows = [("http://a.org/x", page), ("http://a.org/x", page), ("http://a.org/y", page), ("http://a.org/z", page + "<p>and another end</p>")]
+    found = text_of(spark, rows[:3])
+    assert set(found.values()) == {"a page of plain text without any article of more than six words"}
+    assert list(text_of(spark, rows).values()) == ["", "", "", "and another end"]  # the last one is a page of its own
+
+
+def test_repeated_runs_equal_those_of_brute_force(spark, monkeypatch):
+    draw = random.Random(3)
+    hosts = {}
+    for n in range(40):
+        blocks = [[draw.choice("abc") for _ in range(draw.randint(1, 14))] for _ in range(draw.randint(0, 4))]
+        hosts.setdefault(f"h{n % 3}.org", []).append((n, blocks))
+    hosts["h0.org"].append((40, hosts["h0.org"][0][1]))  # a copy
+
+    expected = {}
+    for pages in hosts.values():
+        streams = {n: tuple(token for block in blocks for token in block) for n, blocks in pages}
+        layouts = {n: str(blocks) for n, blocks in pages}
+        runs = lambda stream: {stream[at : at + length] for length in range(html_text.RUN, 30) for at in range(len(stream) - length + 1)}
+        every = {n: runs(stream) for n, stream in streams.items()}
+        for n, blocks in pages:
+            others = set().union(*(every[m] for m in every if layouts[m] != layouts[n]))
+            stream, covered = streams[n], set()
+            for run in every[n] & others:
+                covered |= {at + k for at in range(len(stream) - len(run) + 1) if stream[at : at + len(run)] == run for k in range(len(run))}
+            expected[n] = " ".join(token for at, token in enumerate(stream) if at not in covered)
+
+    rows = sorted((n, host, "".join(f"<div>{' '.join(block)}</div>" for block in blocks)) for host, pages in hosts.items() for n, blocks in pages)
+    rows = [(f"http://{host}/{n}", page) for n, host, page in rows]
+    assert len(set(expected.values())) > 5 and text_of(spark, rows) == expected
+    monkeypatch.setattr(html_text, "CHUNK", 2)
+    monkeypatch.setattr(html_text, "FEW_PAGES", 0)
+    assert text_of(spark, rows) == expected
+
+
 def test_no_pages(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id BIGINT, url STRING, html STRING")).count() == 0
 
