@@ -137,7 +137,8 @@ class Corpus:
         self.transitions = np.log(seen / seen.sum(axis=1, keepdims=True))
 
     def usual(self, value: str) -> float:
-        codes = np.frombuffer(value.lower().encode("ascii"), dtype=np.uint8)
+        """The mean log-chance of the transitions of ``value``; characters beyond ASCII count as one that no word has."""
+        codes = np.frombuffer(value.lower().encode("ascii", "replace"), dtype=np.uint8)
         return float(self.transitions[codes[:-1], codes[1:]].mean()) if len(codes) > 1 else 0.0
 
     def covered(self, value: str) -> float:

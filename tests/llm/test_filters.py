@@ -143,9 +143,10 @@ def test_frequent_words(spark):
 def test_secrets_in_odd_texts(spark):
     schema = "doc_id BIGINT, text STRING, source STRING, secret STRING"
     docs = spark.createDataFrame([(1, None, None, "c"), (2, "", "", "c"), (3, "password=1fd4c5bbe68c75847e", None, "c"), (3, "password=1fd4c5bbe68c75847e", None, "c"),
-                                  (4, "a1" * 100_000, "x", "c")], schema)
+                                  (4, "a1" * 100_000, "x", "c"), (None, "password: пароль٣\U0001f511\u0130x", "x", "c")], schema)
     found = secret_scan.scan(docs, registry.remainder("id", 4) != 9).collect()
-    assert sorted((r.doc_id, r.start, r.score) for r in found) == [(3, 9, 0.0), (3, 9, 0.0), (4, 0, 0.0)]
+    assert sorted((r.doc_id or 0, r.start, r.score) for r in found) == [(0, 10, 0.0), (3, 9, 0.0), (3, 9, 0.0), (4, 0, 0.0)]
+    assert {r.value for r in found if r.doc_id is None} == {"пароль٣\U0001f511\u0130x"}
     assert secret_scan.scan(docs.limit(0), registry.remainder("id", 4) != 9).count() == 0
 
 
