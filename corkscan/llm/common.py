@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 # What Spark hands to a Python task at once, in bytes.
 BATCH_BYTES = 4 << 20
+# Rows that a Parquet reader holds at once; by default thousands, each with a whole text.
+READ_ROWS = 512
 # The texts that one step of a Python task holds at once, in bytes.
 STEP_BYTES = 8 << 20
 
@@ -22,6 +24,8 @@ def bounded_batches(df: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table; the session now reads Parquet ``READ_ROWS`` rows at a time, since texts are long."""
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
