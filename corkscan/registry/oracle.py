@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from corkscan.registry.fixed import DOCUMENT_LINES, KEYWORD_LINES
-from corkscan.registry.workspace import DIM, PARTITIONS
+from corkscan.registry.workspace import DIM, PARTITIONS, SQL_STEPS
 from corkscan.schemas import ANALYZED_FIELDS, KEYWORD_FIELDS
 
 WORD = r"[\p{L}\p{M}\p{N}_]+"
@@ -181,6 +181,37 @@ probes AS (
     row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(q, c), 12) DESC, part_id)::INTEGER AS probe
   FROM asking, centroids QUALIFY probe <= {PROBES})"""
 
+
+
+def _stepped(steps: int) -> str:
+    """``CENTROIDS``, moved to the means of what is nearest to them some times; one that
+    nothing is nearest to begins again at the farthest vector of the widest one."""
+    parts = [CENTROIDS, "centroids0 AS (SELECT part_id, c FROM centroids)"]
+    for n in range(1, steps + 1):
+        parts.append(f"""
+member{n} AS MATERIALIZED (
+  SELECT part_id, u, round(list_sum(list_transform(range(1, {DIM} + 1), lambda i: (u[i] - c[i]) ** 2)), 12) AS away
+  FROM units, centroids{n - 1} WHERE NOT isnan(u[1])
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(list_dot_product(u, c), 12) DESC, part_id) = 1),
+cells{n} AS (
+  SELECT part_id, pos, round(avg(x), 9) AS x
+  FROM (SELECT part_id, unnest(u) AS x, unnest(range(1, {DIM} + 1)) AS pos FROM member{n}) GROUP BY ALL),
+means{n} AS (SELECT part_id, list(x ORDER BY pos) AS v FROM cells{n} GROUP BY ALL),
+wide{n} AS (
+  SELECT row_number() OVER (ORDER BY round(sum(away), 9) DESC, part_id) AS place, first(u ORDER BY away DESC, u DESC) AS far
+  FROM member{n} GROUP BY part_id HAVING round(max(away), 9) > 0),
+empty{n} AS (
+  SELECT part_id, row_number() OVER (ORDER BY part_id) AS place FROM centroids{n - 1} ANTI JOIN means{n} USING (part_id)),
+centroids{n} AS MATERIALIZED (
+  SELECT part_id, CASE WHEN v IS NOT NULL THEN {_unit('v')} WHEN far IS NOT NULL THEN far ELSE c END AS c
+  FROM centroids{n - 1} LEFT JOIN means{n} USING (part_id) LEFT JOIN empty{n} USING (part_id) LEFT JOIN wide{n} USING (place))""")
+    parts.append(f"""
+stepped AS (
+  SELECT part_id, u FROM units, centroids{steps} WHERE NOT isnan(u[1])
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(list_dot_product(u, c), 12) DESC, part_id) = 1)""")
+    return ",".join(parts)
+
+
 CODES = CENTROIDS + f""",
 rests AS (
   SELECT vec_id, part_id, c, list_transform(range(1, {DIM} + 1), lambda i: u[i] - c[i]) AS r FROM assigned),
@@ -418,10 +449,10 @@ near AS (
   FROM asked_sizes a CROSS JOIN doc_sizes d LEFT JOIN dots ON dots.query_id = a.key AND dots.doc_id = d.key)
 SELECT query_id, doc_id, _distance,
   row_number() OVER (PARTITION BY query_id ORDER BY _distance, doc_id)::INTEGER AS rank FROM near QUALIFY rank <= {K}""",
-    "ivf_lloyd_step": f"""WITH {CENTROIDS}
+    "ivf_lloyd_step": f"""WITH {_stepped(SQL_STEPS)}
 SELECT part_id, n, slot::INTEGER AS slot, round(value, 6) + 0.0 AS value FROM (
   SELECT part_id, count(*) AS n, slot, avg(x) AS value
-  FROM (SELECT part_id, unnest(u) AS x, unnest(range(1, {DIM} + 1)) AS slot FROM assigned) GROUP BY part_id, slot)""",
+  FROM (SELECT part_id, unnest(u) AS x, unnest(range(1, {DIM} + 1)) AS slot FROM stepped) GROUP BY part_id, slot)""",
     "ivf_lloyd_spread": f"""WITH {CENTROIDS},
 away AS (SELECT part_id, list_sum(list_transform(range(1, {DIM} + 1), lambda i: (u[i] - c[i]) ** 2)) AS d FROM assigned)
 SELECT part_id, round(sum(d), 6) + 0.0 AS spread, round(max(d), 6) + 0.0 AS far_apart FROM away GROUP BY part_id""",

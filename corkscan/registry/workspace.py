@@ -24,6 +24,7 @@ from corkscan.storage import materialise, new_path
 DIM = 64  # size of the vectors in the table ``embeddings``
 BUCKETS = 8
 PARTITIONS = 16
+SQL_STEPS = 2
 
 _workspaces: dict[tuple[str, str], "Workspace"] = {}
 
@@ -199,6 +200,11 @@ class Workspace:
     def plainly_assigned(self) -> DataFrame:
         return partitioned.assign_partitions(self.vectors(), self.plain_centroids)
 
+    @functools.cached_property
+    def stepped_centroids(self):
+        """The vectors of the lowest ids after two steps of training: so few that they can be written out in SQL."""
+        return partitioned.train_centroids(self.vectors(), PARTITIONS, SQL_STEPS, start=self.plain_centroids)
+
     @functools.cached_property
     def plain_model(self) -> quantised.Quantiser:
         return quantised.lowest_id_words(self.plainly_assigned(), self.plain_centroids)

@@ -72,3 +72,11 @@ def test_vector_search_end_to_end(spark):
     everywhere = search.nearest_quantised(index, queries, encoder, nprobes=16)
     ids = {(r.query_id, r.id) for r in exact.collect()}
     assert len(ids & {(r.query_id, r.id) for r in everywhere.collect()}) >= 50
+
+
+def test_lloyd_step_begins_at_trained_centroids(spark, db):
+    """The step goes on from two steps of training: it moves vectors as they do not lie around the lowest ids."""
+    w = workspace(spark, SMALL)
+    sizes = lambda found: sorted((r.part_id, r.n) for r in found.select("part_id", "n").distinct().collect())
+    plain = w.plainly_assigned().groupBy("part_id").count().withColumnRenamed("count", "n")
+    assert sizes(QUERIES["ivf_lloyd_step"](spark, SMALL)) != sizes(plain)
