@@ -1,6 +1,6 @@
 """Full-text tables: postings, document lengths, document frequencies, sizes.
 
-The postings are bucketed by document and sorted by word. Bucketing by document
+The postings are bucketed by document; each file is sorted by word. Bucketing by document
 keeps a word that sits in a third of all documents spread over every bucket, and
 lets search add up the words of a document without a shuffle. Sorting by word
 lets the scan skip all Parquet pages but those of the words asked for.
@@ -19,15 +19,17 @@ import functools
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corkscan.functions.text import quoted, tokens
 from corkscan.sources.versions import read_if_there
 from corkscan.storage import materialise
 
-# Text in a bucket of postings, unless told otherwise.
-BUCKET_BYTES = 256 << 20
+# Text in a bucket of postings, unless told otherwise: a task sorts the postings of a bucket in memory.
+BUCKET_BYTES = 32 << 20
+# Files that a task writes at a time; rows dealt by document are one bucket in each task.
+OPEN_FILES = 16
 
 POSTINGS_SCHEMA = "field STRING, term STRING, doc_id BIGINT, tf BIGINT, doc_len BIGINT, batch INT"
 FREQ_SCHEMA = "field STRING, term STRING, df BIGINT, top_tf BIGINT, least_len BIGINT"
@@ -66,6 +68,27 @@ def postings(docs: DataFrame, id_column: str, fields: Sequence[str], joined: boo
     return counts.select("field", "term", "doc_id", "tf", "doc_len")
 
 
+def row_postings(docs: DataFrame, id_column: str, fields: Sequence[str], joined: bool = False) -> DataFrame:
+    """As ``postings``, of documents whose identifiers do not repeat: words are counted row by row.
+
+    The words of a row are put in order, and a word's count is the length of its run.
+    A task holds the words of one row, not a table of all it has seen.
+    """
+    rows = analyze_fields(docs, id_column, fields, joined).select("doc_id", "field", _once(F.sort_array("words"), "words"))
+    rows = rows.withColumn("n", F.size("words")).where("n > 0")
+    begins = lambda i: ~F.get("words", i).eqNullSafe(F.get("words", i - 1))
+    rows = rows.select("*", _once(F.filter(F.sequence(F.lit(0), F.col("n") - 1), begins), "first"))
+    after = F.concat(F.slice("first", F.lit(2), F.size("first")), F.array("n"))
+    runs = rows.select("doc_id", "field", "words", F.col("n").cast("bigint").alias("doc_len"), F.inline(F.arrays_zip("first", after.alias("after"))))
+    tf = (F.col("after") - F.col("first")).cast("bigint").alias("tf")
+    return runs.select("field", F.get("words", F.col("first")).alias("term"), "doc_id", tf, "doc_len")
+
+
+def _once(column: Column, name: str) -> Column:
+    """A column that is worked out once for each row, however often it is used."""
+    return F.inline(F.array(F.struct(column.alias(name))))
+
+
 def doc_lengths(docs: DataFrame, id_column: str, fields: Sequence[str], joined: bool = False) -> DataFrame:
     """(field, doc_id, doc_len) of the documents that have words: no shuffle."""
     return (
@@ -180,19 +203,29 @@ def _publish(spark: SparkSession, root: str, folder: str, table: str, buckets: i
 
 
 def _write_postings(rows: DataFrame, path: str, table: str, buckets: int, batch: int, mode: str) -> None:
-    _write_bucketed(rows.withColumn("batch", F.lit(batch)), path, table, buckets, ["field", "term"], mode)
+    _write_bucketed(rows.withColumn("batch", F.lit(batch)), path, table, buckets, ["term", "field"], mode)
 
 
 def _write_bucketed(rows: DataFrame, path: str, table: str, buckets: int, order: Sequence[str], mode: str) -> None:
-    """Write rows in buckets by document; rows of one bucket that lie in one task make one file."""
-    (
-        rows.write.mode(mode)
-        .bucketBy(buckets, "doc_id")
-        .sortBy(*order)
-        .option("path", path)
-        .format("parquet")
-        .saveAsTable(table)
-    )
+    """Write rows in buckets by document; rows of one bucket that lie in one task make one file.
+
+    Rows are sorted before they are written, by ``order`` alone: a sort of the writer's own
+    would compare bucket numbers first, which are the same for all rows of a task.
+    """
+    conf, name = rows.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(name)
+    conf.set(name, str(OPEN_FILES))
+    try:
+        (
+            rows.sortWithinPartitions(*order)
+            .write.mode(mode)
+            .bucketBy(buckets, "doc_id")
+            .option("path", path)
+            .format("parquet")
+            .saveAsTable(table)
+        )
+    finally:
+        conf.set(name, before)
 
 
 def build_text_index(docs: DataFrame, root: str, id_column: str, fields: Sequence[str], buckets: int | None = None,
@@ -252,8 +285,9 @@ def _buckets_for(docs: DataFrame, fields: Sequence[str]) -> int:
 
 
 def _spread_postings(docs: DataFrame, id_column: str, fields: Sequence[str], buckets: int, joined: bool) -> DataFrame:
+    """Postings of documents whose identifiers do not repeat, dealt by document."""
     texts = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), *fields)
-    return postings(texts.repartition(buckets, "doc_id"), "doc_id", fields, joined)
+    return row_postings(texts.repartition(buckets, "doc_id"), "doc_id", fields, joined)
 
 
 def _add_stats(*parts: DataFrame) -> DataFrame:
@@ -390,9 +424,9 @@ def open_text_index(spark: SparkSession, root: str, version: int | None = None,
     rows = stats.collect()  # one row per field
     buckets, folder, tombstones = rows[0].buckets, rows[0].folder, rows[0].tombstones or 0
     table = _new_table_name() if table is None else table
-    _declare(spark, table, f"{root}/{folder}", POSTINGS_SCHEMA, buckets, "field, term")
+    _declare(spark, table, f"{root}/{folder}", POSTINGS_SCHEMA, buckets)
     if tombstones:
-        _declare(spark, _gone(table), f"{root}/{folder}-gone", TOMBSTONES_SCHEMA, buckets, "doc_id")
+        _declare(spark, _gone(table), f"{root}/{folder}-gone", TOMBSTONES_SCHEMA, buckets)
     found = spark.table(table).where(F.col("batch") <= version)
     if tombstones:
         found = _without_gone(found, spark.table(_gone(table)), version)
@@ -403,10 +437,10 @@ def open_text_index(spark: SparkSession, root: str, version: int | None = None,
     )
 
 
-def _declare(spark: SparkSession, table: str, path: str, schema: str, buckets: int, order: str) -> None:
+def _declare(spark: SparkSession, table: str, path: str, schema: str, buckets: int) -> None:
     """Have the table in the session's catalog, with files as they are now."""
     if spark.catalog.tableExists(table):
         spark.catalog.refreshTable(table)
         return
-    spark.sql(f"CREATE TABLE {table} ({schema}) USING parquet CLUSTERED BY (doc_id) SORTED BY ({order}) INTO {buckets} BUCKETS "
+    spark.sql(f"CREATE TABLE {table} ({schema}) USING parquet CLUSTERED BY (doc_id) INTO {buckets} BUCKETS "
               f"LOCATION {quoted(path)}")

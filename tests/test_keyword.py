@@ -321,3 +321,11 @@ def test_candidates_and_flags(spark, docs, index):
     shown = results.first_hits(batch, found.join(docs, F.col("id") == F.col("doc_id")))
     assert {r.query_id: r.description for r in shown.collect()}[4] == "<no result>"
     assert {r.query_id: r.description for r in shown.collect()}[2] == "pear pear pear plum"
+
+
+def test_words_are_counted_row_by_row(spark):
+    rows = spark.createDataFrame([(1, "b a B", None), (2, "", "x"), (3, None, "é É é_1 a a a"), (None, "a", "a b")],
+                                 "id BIGINT, title STRING, description STRING")
+    plain, by_row = (count(rows, "id", ["title", "description"]) for count in (text_index.postings, text_index.row_postings))
+    assert by_row.columns == plain.columns and sorted(map(str, by_row.collect())) == sorted(map(str, plain.collect()))
+    assert "Aggregate" not in by_row._jdf.queryExecution().executedPlan().toString()
