@@ -28,6 +28,8 @@ PRUNE_PAIRS = 10_000_000
 # The first pass reads the rarest words of a text, until they have so many times k postings.
 FIRST_POSTINGS = 4
 # Rounded scores lie this close to exact ones, with room for sums in another order.
+# Texts of a batch that one number has bits for.
+BITS = 64
 SLACK = 2 * 10.0 ** -PLACES
 # The shuffled join cuts the postings of a hot word into pieces of so many rows.
 # The table of hot words is broadcast; it has two numbers for each of them, and at
@@ -223,6 +225,12 @@ def _pruned_scores(index: TextIndex, weights: pa.Table, bm25: Bm25, k: int) -> D
     found = _summed(_local_hits(index, pa.Table.from_pylist(finders, schema)), bm25)
     if not others:
         return _rounded(found)
+def _bits(place: str, count: int) -> list[Column]:
+    """Aggregates: which of the places 0 to ``count`` - 1 there are, ``BITS`` to a number."""
+    return [F.expr(f"coalesce(bit_or(if({place} DIV {BITS} = {n}, shiftleft(1L, {place} % {BITS}), 0L)), 0L)")
+            for n in range(-(-count // BITS))]
+
+
     limits = pa.table({
         "text_id": pa.array(list(rest), pa.int64()),
         "open": pa.array([sum(w["bound"] for w in words) for words in rest.values()], pa.float64()),
@@ -230,12 +238,11 @@ def _pruned_scores(index: TextIndex, weights: pa.Table, bm25: Bm25, k: int) -> D
     # As many rows as the batch has texts, and query words.
     found = found.join(F.broadcast(index.spark.createDataFrame(limits)), "text_id").where("score + open >= least")
     lookups = pa.Table.from_pylist([w for words in rest.values() for w in words], schema)
-    asked = found.select("doc_id", "text_id").join(F.broadcast(index.spark.createDataFrame(lookups)), "text_id")
-    # One row for each document, at most as long as the batch: joined on the document alone, it stays in its bucket.
-    asked = asked.groupBy("doc_id").agg(F.collect_list(F.struct("text_id", "field", "term", "weight", "avgdl")).alias("asks"))
-    same = lambda ask: (ask["field"] == F.col("field")) & (ask["term"] == F.col("term"))
+    # One row for each document, a bit for each text of the batch: joined on the document alone, it stays in its bucket.
+    asked = found.select("doc_id", "place").groupBy("doc_id").agg(F.array(*_bits("place", len(rest))).alias("asked"))
     rows = _rows_of(index, lookups).join(asked.hint("shuffle_hash"), "doc_id")
-    extra = _summed(rows.select("doc_id", "tf", "doc_len", F.inline(F.filter("asks", same))), bm25)
+    rows = rows.join(F.broadcast(index.spark.createDataFrame(lookups).join(F.broadcast(numbered), "text_id")), ["field", "term"])
+    extra = _summed(rows.where(f"getbit(asked[place DIV {BITS}], place % {BITS}) = 1"), bm25)
     both = found.select("doc_id", "text_id", "score").unionByName(extra)
     return _rounded(both.groupBy("doc_id", "text_id").agg(F.sum("score").alias("score")))
 
@@ -247,8 +254,10 @@ def keyword_top_k(index: TextIndex, queries: DataFrame, k: int = 10,
     ``queries`` holds ``query_id`` and ``query``. Any word may match; equal
     scores are in order of ``doc_id``. A small batch that makes more than
     ``prune_pairs`` pairs is answered with bounds on scores; the rows are the same.
+        "place": pa.array(range(len(rest)), pa.int32()),
     """
     batch, fields = read_batch(queries, index.joined), _checked_fields(index, fields)
+    numbered = index.spark.createDataFrame(limits.select(["text_id", "place"]))
     if batch.few is None:
         scores = _rounded(_summed(_hits(index, batch, fields, bm25), bm25))
     else:

@@ -329,3 +329,11 @@ def test_words_are_counted_row_by_row(spark):
     plain, by_row = (count(rows, "id", ["title", "description"]) for count in (text_index.postings, text_index.row_postings))
     assert by_row.columns == plain.columns and sorted(map(str, by_row.collect())) == sorted(map(str, plain.collect()))
     assert "Aggregate" not in by_row._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lookups_meet_documents_once(spark, uneven):
+    """Of a document, one row of bits is joined, not a list that each of its postings is compared with."""
+    index, asked = uneven
+    weights = keyword._local_weights(index, queries.read_batch(asked), ["title", "description"], keyword.Bm25())
+    plan = keyword._pruned_scores(index, weights, keyword.Bm25(), 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "bit_or" in plan and "collect_list" not in plan
