@@ -17,6 +17,7 @@ from corkscan.functions.text import quoted, tokens
 from corkscan.operators.queries import QueryBatch, per_query, read_batch
 from corkscan.operators.ranking import top_k
 from corkscan.operators.text_index import TextIndex
+from corkscan.storage import materialise
 
 # Parquet pages are skipped by one equality test per word, for up to so many,
 # in lists that Spark passes on whole.
@@ -27,9 +28,9 @@ FILTER_LIST = 10
 PRUNE_PAIRS = 10_000_000
 # The first pass reads the rarest words of a text, until they have so many times k postings.
 FIRST_POSTINGS = 4
-# Rounded scores lie this close to exact ones, with room for sums in another order.
 # Texts of a batch that one number has bits for.
 BITS = 64
+# Rounded scores lie this close to exact ones, with room for sums in another order.
 SLACK = 2 * 10.0 ** -PLACES
 # The shuffled join cuts the postings of a hot word into pieces of so many rows.
 # The table of hot words is broadcast; it has two numbers for each of them, and at
@@ -118,11 +119,32 @@ def _local_hits(index: TextIndex, weights: pa.Table) -> DataFrame:
     return _rows_of(index, weights).join(F.broadcast(index.spark.createDataFrame(weights)), ["field", "term"])
 
 
-def _hits(index: TextIndex, batch: QueryBatch, fields: Sequence[str], bm25: Bm25) -> DataFrame:
-    """Postings of the query words of any batch, each with the weight it has for a text."""
+def _known_terms(index: TextIndex, texts: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """As ``query_terms``, of the words that the index has."""
+    known = index.word_figures().where(F.col("field").isin(list(fields))).select("term").distinct()
+    return query_terms(texts, index.joined).join(known, "term", "left_semi")
+
+
+def _searches(terms: DataFrame) -> DataFrame:
+    """(text_id, search_id, terms): texts with the same words as often are one search, named after one of them."""
+    bags = materialise(terms.groupBy("text_id").agg(F.sort_array(F.collect_list(F.struct("term", "qtf"))).alias("terms")), "bags")
+    named = bags.groupBy("terms").agg(F.min("text_id").alias("search_id"))
+    return materialise(bags.join(named, "terms").select("text_id", "search_id", "terms"), "searches")
+
+
+def _best_of_many(index: TextIndex, batch: QueryBatch, fields: Sequence[str], bm25: Bm25, k: int) -> DataFrame:
+    """The best ``k`` documents of each text of any batch; words that the index lacks make no difference between texts."""
+    searches = _searches(_known_terms(index, batch.texts(), fields))
+    asked = searches.where("text_id = search_id").select("text_id", F.inline("terms"))
+    best = _best(_rounded(_summed(_hits(index, asked, fields, bm25), bm25)), k)
+    return searches.select("text_id", "search_id").join(best.withColumnRenamed("text_id", "search_id"), "search_id").drop("search_id")
+
+
+def _hits(index: TextIndex, terms: DataFrame, fields: Sequence[str], bm25: Bm25) -> DataFrame:
+    """Postings of the query words (text_id, term, qtf) of any batch, each with the weight it has for a text."""
     in_fields = F.col("field").isin(list(fields))
     freq, rows = index.word_figures().where(in_fields), index.postings().where(in_fields)
-    weights = _weights(index, query_terms(batch.texts(), index.joined), freq, fields, bm25)
+    weights = _weights(index, terms, freq, fields, bm25)
     hot = _hot_words(index, freq)
     pieces = F.coalesce("pieces", F.lit(1))
     named = F.xxhash64("field", "term") == F.col("word")
@@ -163,7 +185,7 @@ def match_scores(index: TextIndex, batch: QueryBatch, fields: Sequence[str] | No
     """
     fields = _checked_fields(index, fields)
     if batch.few is None:
-        hits = _hits(index, batch, fields, bm25)
+        hits = _hits(index, query_terms(batch.texts(), index.joined), fields, bm25)
     else:
         hits = _local_hits(index, _local_weights(index, batch, fields, bm25))
     return _rounded(_summed(hits, bm25))
@@ -203,6 +225,12 @@ def _cannot_do_alone(words: Sequence[dict], threshold: float) -> list[dict]:
     return taken
 
 
+def _bits(place: str, count: int) -> list[Column]:
+    """Aggregates: which of the places 0 to ``count`` - 1 there are, ``BITS`` to a number."""
+    return [F.expr(f"coalesce(bit_or(if({place} DIV {BITS} = {n}, shiftleft(1L, {place} % {BITS}), 0L)), 0L)")
+            for n in range(-(-count // BITS))]
+
+
 def _pruned_scores(index: TextIndex, weights: pa.Table, bm25: Bm25, k: int) -> DataFrame:
     """As ``match_scores``, of the documents that can be among the best ``k`` of a text.
 
@@ -225,16 +253,12 @@ def _pruned_scores(index: TextIndex, weights: pa.Table, bm25: Bm25, k: int) -> D
     found = _summed(_local_hits(index, pa.Table.from_pylist(finders, schema)), bm25)
     if not others:
         return _rounded(found)
-def _bits(place: str, count: int) -> list[Column]:
-    """Aggregates: which of the places 0 to ``count`` - 1 there are, ``BITS`` to a number."""
-    return [F.expr(f"coalesce(bit_or(if({place} DIV {BITS} = {n}, shiftleft(1L, {place} % {BITS}), 0L)), 0L)")
-            for n in range(-(-count // BITS))]
-
-
     limits = pa.table({
         "text_id": pa.array(list(rest), pa.int64()),
+        "place": pa.array(range(len(rest)), pa.int32()),
         "open": pa.array([sum(w["bound"] for w in words) for words in rest.values()], pa.float64()),
         "least": pa.array([reached.get(text, 0.0) - SLACK for text in rest], pa.float64())})
+    numbered = index.spark.createDataFrame(limits.select(["text_id", "place"]))
     # As many rows as the batch has texts, and query words.
     found = found.join(F.broadcast(index.spark.createDataFrame(limits)), "text_id").where("score + open >= least")
     lookups = pa.Table.from_pylist([w for words in rest.values() for w in words], schema)
@@ -254,18 +278,15 @@ def keyword_top_k(index: TextIndex, queries: DataFrame, k: int = 10,
     ``queries`` holds ``query_id`` and ``query``. Any word may match; equal
     scores are in order of ``doc_id``. A small batch that makes more than
     ``prune_pairs`` pairs is answered with bounds on scores; the rows are the same.
-        "place": pa.array(range(len(rest)), pa.int32()),
     """
     batch, fields = read_batch(queries, index.joined), _checked_fields(index, fields)
-    numbered = index.spark.createDataFrame(limits.select(["text_id", "place"]))
     if batch.few is None:
-        scores = _rounded(_summed(_hits(index, batch, fields, bm25), bm25))
+        return per_query(batch, _best_of_many(index, batch, fields, bm25, k), k)
+    weights = _local_weights(index, batch, fields, bm25)
+    if sum(weights["df"].to_pylist()) > prune_pairs:
+        scores = _pruned_scores(index, weights, bm25, k)
     else:
-        weights = _local_weights(index, batch, fields, bm25)
-        if sum(weights["df"].to_pylist()) > prune_pairs:
-            scores = _pruned_scores(index, weights, bm25, k)
-        else:
-            scores = _rounded(_summed(_local_hits(index, weights), bm25))
+        scores = _rounded(_summed(_local_hits(index, weights), bm25))
     return per_query(batch, _best(scores, k), k)
 
 

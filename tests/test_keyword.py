@@ -337,3 +337,15 @@ def test_lookups_meet_documents_once(spark, uneven):
     weights = keyword._local_weights(index, queries.read_batch(asked), ["title", "description"], keyword.Bm25())
     plan = keyword._pruned_scores(index, weights, keyword.Bm25(), 3)._jdf.queryExecution().optimizedPlan().toString()
     assert "bit_or" in plan and "collect_list" not in plan
+
+
+def test_texts_with_the_same_known_words_are_one_search(spark, index, monkeypatch):
+    asked = frame(spark, [(i, f"plum unknown{i}") for i in range(50)] + [(50, "plum plum"), (51, "nothing")])
+    expected = sorted(keyword.keyword_top_k(index, asked).collect())
+    monkeypatch.setattr(queries, "FEW_QUERIES", 2)
+    monkeypatch.setattr(queries, "FEW_TEXTS", 2)
+    batch = queries.read_batch(asked)
+    assert batch.few is None
+    found = keyword._searches(keyword._known_terms(index, batch.texts(), sorted(index.n)))
+    assert (found.count(), found.select("search_id").distinct().count()) == (51, 2)
+    assert sorted(keyword.keyword_top_k(index, asked).collect()) == expected
