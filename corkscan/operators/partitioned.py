@@ -115,7 +115,8 @@ def nearest_part(centroids: np.ndarray, vector: Column) -> Column:
         return pa.array(nearest_parts(units, centroids, 1)[:, 0].astype(np.int32), mask=np.isnan(units[:, 0]))
 
     assign.__annotations__ = {"vectors": pa.Array, "return": pa.Array}
-    return F.arrow_udf(assign, "int")(vector)
+    # Else a filter on the partition works it out a second time, in Python processes of its own.
+    return F.arrow_udf(assign, "int").asNondeterministic()(vector)
 
 
 def assign_partitions(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:

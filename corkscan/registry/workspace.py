@@ -187,7 +187,13 @@ class Workspace:
         return partitioned.train_centroids(self.vectors(), PARTITIONS)
 
     def assigned(self) -> DataFrame:
-        return partitioned.assign_partitions(self.vectors(), self.centroids)
+        """The vectors with their partitions, stored: training and searches read them many times,
+        and each Python step that follows another in one task is one more process."""
+        return self._assigned
+
+    @functools.cached_property
+    def _assigned(self) -> DataFrame:
+        return materialise(partitioned.assign_partitions(self.vectors(), self.centroids), "assigned")
 
     @functools.cached_property
     def model(self) -> quantised.Quantiser:
@@ -199,7 +205,11 @@ class Workspace:
         return partitioned.lowest_id_centroids(self.vectors(), PARTITIONS)
 
     def plainly_assigned(self) -> DataFrame:
-        return partitioned.assign_partitions(self.vectors(), self.plain_centroids)
+        return self._plainly_assigned
+
+    @functools.cached_property
+    def _plainly_assigned(self) -> DataFrame:
+        return materialise(partitioned.assign_partitions(self.vectors(), self.plain_centroids), "plainly-assigned")
 
     @functools.cached_property
     def stepped_centroids(self):

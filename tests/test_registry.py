@@ -80,3 +80,14 @@ def test_lloyd_step_begins_at_trained_centroids(spark, db):
     sizes = lambda found: sorted((r.part_id, r.n) for r in found.select("part_id", "n").distinct().collect())
     plain = w.plainly_assigned().groupBy("part_id").count().withColumnRenamed("count", "n")
     assert sizes(QUERIES["ivf_lloyd_step"](spark, SMALL)) != sizes(plain)
+
+
+def python_steps(frame):
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return plan.count("ArrowEvalPython") + plan.count("MapInArrow")
+
+
+@pytest.mark.parametrize("name", ["pq_recall_at_10", "pq_plain_recall_at_10"])
+def test_recall_of_codes_has_one_python_step_for_each_search(spark, name):
+    """The search on codes and the exact one; steps in a row would be processes side by side in every task."""
+    assert python_steps(QUERIES[name](spark, SMALL)) == 2

@@ -175,6 +175,13 @@ def test_plans(index, asked, exact, vectors):
     assert physical.count("Exchange hashpartitioning(text_id") == 1 and "WindowGroupLimit" in physical
 
 
+def test_partitions_are_worked_out_once(vectors):
+    """Filters on the partition, as searches have them, start no Python process of their own."""
+    assigned = partitioned.assign_partitions(vectors, np.eye(64)[:4]).where(F.col("part_id").isin([0, 2]))
+    assert assigned._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert {r.part_id for r in assigned.collect()} == {0, 2}
+
+
 def test_hashing_encoder(spark):
     rows = spark.createDataFrame([(1, "a b a"), (2, ""), (3, None)], "id INT, text STRING")
     made = {r.id: np.array(r.vector) for r in embedding.embed_documents(rows, "text", HashingEncoder(32), 32).collect()}
