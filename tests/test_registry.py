@@ -91,3 +91,9 @@ def python_steps(frame):
 def test_recall_of_codes_has_one_python_step_for_each_search(spark, name):
     """The search on codes and the exact one; steps in a row would be processes side by side in every task."""
     assert python_steps(QUERIES[name](spark, SMALL)) == 2
+
+
+@pytest.mark.parametrize("name", ["ann_recall_at_10", "ann_plain_recall_at_10"])
+def test_recall_of_partitions_has_one_python_step_for_each_search(spark, name):
+    """Rows that are assigned already are searched, next to the exact search."""
+    assert python_steps(QUERIES[name](spark, SMALL)) == 2
