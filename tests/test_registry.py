@@ -97,3 +97,8 @@ def test_recall_of_codes_has_one_python_step_for_each_search(spark, name):
 def test_recall_of_partitions_has_one_python_step_for_each_search(spark, name):
     """Rows that are assigned already are searched, next to the exact search."""
     assert python_steps(QUERIES[name](spark, SMALL)) == 2
+
+
+@pytest.mark.parametrize("name", ["ivfpq_top10", "ivfpq_plain_top10"])
+def test_search_of_codes_is_one_python_step(spark, name):
+    assert python_steps(QUERIES[name](spark, SMALL)) == 1
