@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -9,17 +11,36 @@ import pyarrow as pa
 # in their last bits with the order of addition.
 PLACES = 6
 
+# Numbers of vectors that a task works on at a time, whatever an Arrow batch holds.
+ROW_CELLS = 1 << 18
+
 
 def matrix(column: pa.Array, dtype=np.float64) -> np.ndarray:
     """A list column without nulls as a matrix, one row per list."""
     if len(column) == 0:
         return np.empty((0, 0), dtype)
+    row_size(column)
     values = column.flatten().to_numpy(zero_copy_only=False)
-    if len(values) % len(column) or (column.value_lengths().to_numpy(zero_copy_only=False) != len(values) // len(column)).any():
-        raise ValueError("vectors of different sizes in one column")
     return values.reshape(len(column), -1).astype(dtype, copy=False)
 
 
+def row_size(column: pa.Array) -> int:
+    """How many numbers each list of a column holds, which must be the same for all."""
+    size, rest = divmod(len(column.flatten()), len(column))
+    if rest or (column.value_lengths().to_numpy(zero_copy_only=False) != size).any():
+        raise ValueError("vectors of different sizes in one column")
+    return size
+
+
+def tiles(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of parts of a list column that hold about ``ROW_CELLS`` numbers each."""
+    if len(column) == 0:
+        return
+    rows = max(1, ROW_CELLS // max(1, row_size(column)))
+    for start in range(0, len(column), rows):
+        yield start, min(rows, len(column) - start)
+
+
 def list_array(rows: np.ndarray, value_type: pa.DataType) -> pa.ListArray:
     """A matrix as a list column, one list per row."""
     offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
@@ -43,11 +64,17 @@ def best_rows(distances: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     if n == 0:
         return np.full((0, width), -1)
     by_id = np.argsort(ids, kind="stable")
-    usable = np.isfinite(distances[by_id])
-    scaled = np.rint(np.where(usable, distances[by_id], 0.0) * 10.0**PLACES).astype(np.int64)
-    keys = scaled * n + np.arange(n)[:, None]
+    # In place where it can be: each step would hold another array of this size.
+    scaled = distances[by_id]
+    unusable = ~np.isfinite(scaled)
+    scaled[unusable] = 0.0
+    scaled *= 10.0**PLACES
+    keys = np.rint(scaled, out=scaled).astype(np.int64)
+    del scaled
+    keys *= n
+    keys += np.arange(n)[:, None]
     last = np.iinfo(np.int64).max
-    keys[~usable] = last
+    keys[unusable] = last
     k = min(k, n)
     chosen = np.argpartition(keys, k - 1, axis=0)[:k]
     found = by_id[chosen]

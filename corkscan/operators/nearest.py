@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corkscan.functions.matrices import PLACES, best_rows, matrix, unit_rows
+from corkscan.functions.matrices import PLACES, best_rows, matrix, tiles, unit_rows
 from corkscan.operators.ranking import top_k
 from corkscan.storage import new_path
 
@@ -25,7 +25,7 @@ from corkscan.storage import new_path
 # costs far less than the products.
 BLOCK_QUERIES = 4_096
 # Distances held at a time in one task.
-TILE_CELLS = 1 << 22
+TILE_CELLS = 1 << 20
 
 FOUND_SCHEMA = "text_id BIGINT, id BIGINT, _distance DOUBLE"
 NEAREST_SCHEMA = f"{FOUND_SCHEMA}, rank INT"
@@ -89,7 +89,9 @@ class Nearest:
         for start in range(0, len(ids), tile):
             rows = slice(start, start + tile)
             more = extra[rows, None] if isinstance(extra, np.ndarray) else extra
-            distances = 1.0 - units[rows] @ queries + more
+            distances = units[rows] @ queries
+            np.subtract(1.0, distances, out=distances)
+            distances += more
             at = best_rows(distances, ids[rows], self.k)
             near = np.where(at >= 0, np.take_along_axis(distances, np.maximum(at, 0), axis=0), np.inf)
             near = np.concatenate([self.distances[:, chosen], near])
@@ -116,10 +118,12 @@ def scan_vectors(block: QueryBlock, k: int) -> Callable[[Iterator[pa.RecordBatch
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nearest = Nearest(block, k)
         for batch in batches:
-            ids = batch["id"].to_numpy(zero_copy_only=False)
-            units = unit_rows(matrix(batch["vector"]))
-            for part, rows in by_part(batch, block):
-                nearest.see(ids[rows], units[rows], part)
+            for start, size in tiles(batch["vector"]):
+                tile = batch.slice(start, size)
+                ids = tile["id"].to_numpy(zero_copy_only=False)
+                units = unit_rows(matrix(tile["vector"]))
+                for part, rows in by_part(tile, block):
+                    nearest.see(ids[rows], units[rows], part)
         yield nearest.found()
 
     return scan

@@ -16,7 +16,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from corkscan.functions.matrices import PLACES, list_array, matrix, unit_rows
+from corkscan.functions.matrices import PLACES, list_array, matrix, tiles, unit_rows
 from corkscan.operators import seeding
 from corkscan.operators.nearest import FOUND_SCHEMA, QueryBlock, as_block, nearest_found, scan_vectors, search_blocks
 from corkscan.storage import materialise
@@ -32,7 +32,7 @@ MEAN_PLACES = 9
 # What rounding may take from an angle near 0, where the arc cosine is steep.
 ANGLE_SLACK = 1e-7
 # Cosines held at a time when rows are compared with many centroids.
-TILE_CELLS = 1 << 22
+TILE_CELLS = 1 << 19
 
 
 def train_centroids(vectors: DataFrame, partitions: int = NUM_PARTITIONS, steps: int = TRAINING_STEPS,
@@ -111,8 +111,12 @@ def nearest_part(centroids: np.ndarray, vector: Column) -> Column:
     def assign(vectors: pa.Array) -> pa.Array:
         if len(vectors) == 0:
             return pa.array([], pa.int32())
-        units = unit_rows(matrix(vectors))
-        return pa.array(nearest_parts(units, centroids, 1)[:, 0].astype(np.int32), mask=np.isnan(units[:, 0]))
+        parts, missing = np.empty(len(vectors), np.int32), np.empty(len(vectors), bool)
+        for start, size in tiles(vectors):
+            rows = slice(start, start + size)
+            units = unit_rows(matrix(vectors.slice(start, size)))
+            parts[rows], missing[rows] = nearest_parts(units, centroids, 1)[:, 0], np.isnan(units[:, 0])
+        return pa.array(parts, mask=missing)
 
     assign.__annotations__ = {"vectors": pa.Array, "return": pa.Array}
     # Else a filter on the partition works it out a second time, in Python processes of its own.
@@ -137,8 +141,8 @@ def lloyd_step(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
         counts, sums = np.zeros(len(centroids), np.int64), np.zeros(centroids.shape)
         spread, apart, far = np.zeros(len(centroids)), np.full(len(centroids), -1.0), np.zeros(centroids.shape)
         for batch in batches:
-            if batch.num_rows:
-                units = unit_rows(matrix(batch["vector"]))
+            for start, size in tiles(batch["vector"]):
+                units = unit_rows(matrix(batch["vector"].slice(start, size)))
                 units = units[~np.isnan(units[:, 0])]
                 part = nearest_parts(units, centroids, 1)[:, 0]
                 counts += np.bincount(part, minlength=len(centroids))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corkscan.functions.matrices import list_array, matrix
+from corkscan.functions.matrices import list_array, matrix, tiles
 
 # Rounds of drawing after the first, and candidates of each round for each starting point.
 ROUNDS = 4
@@ -28,31 +28,41 @@ SEED = 42
 
 def race(rows: DataFrame, count: int, round_: int, points: Callable[[pa.RecordBatch], np.ndarray],
          weights: Callable[[pa.RecordBatch, np.ndarray], np.ndarray]) -> np.ndarray:
-    """``count`` of the ``points`` of ``rows`` (id, ...), drawn by hash in proportion to their ``weights``.
+    """``count`` of the ``points`` of ``rows`` (id, vector, ...), drawn by hash in proportion to their ``weights``.
 
-    Points with a weight of zero are not drawn.
+    Points with a weight of zero are not drawn. A task holds ``count`` points besides those it looks at.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            found = points(batch)
-            share = np.nan_to_num(weights(batch, found))
-            draws = (batch["draw"].to_numpy(zero_copy_only=False).astype(np.uint64) >> np.uint64(11)).astype(float)
-            with np.errstate(divide="ignore"):
-                keys = -np.log((draws + 0.5) / 2.0**53) / share
-            first = np.argsort(keys, kind="stable")[:count]
-            first = first[np.isfinite(keys[first])]
-            if len(first):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[first]), batch["draw"].take(pa.array(first)), list_array(found[first], pa.float64())], ["key", "draw", "point"])
+            for start, size in tiles(batch["vector"]):
+                rows = batch.slice(start, size)
+                found = points(rows)
+                share = np.nan_to_num(weights(rows, found))
+                draw = rows["draw"].to_numpy(zero_copy_only=False)
+                chances = (draw.astype(np.uint64) >> np.uint64(11)).astype(float)
+                with np.errstate(divide="ignore"):
+                    keys = -np.log((chances + 0.5) / 2.0**53) / share
+                first = np.argsort(keys, kind="stable")[:count]
+                first = first[np.isfinite(keys[first])]
+                best = _first([keys[first], draw[first], found[first]], best, count)
+        if best is not None and len(best[0]):
+            keys, draw, found = best
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(draw), list_array(found, pa.float64())], ["key", "draw", "point"])
 
     drawn = rows.withColumn("draw", F.xxhash64(F.lit(SEED), F.lit(round_), "id"))
     won = drawn.mapInArrow(run, "key DOUBLE, draw BIGINT, point ARRAY<DOUBLE>").orderBy("key", "draw").limit(count).toArrow()
     return matrix(won["point"].combine_chunks())
 
 
+def _first(found: list[np.ndarray], before: list[np.ndarray] | None, count: int) -> list[np.ndarray]:
+    """The ``count`` points (keys, draws, points) that win of those found and those before."""
+    both = found if before is None else [np.concatenate(pair) for pair in zip(before, found)]
+    first = np.lexsort((both[1], both[0]))[:count]
+    return [values[first] for values in both]
+
+
 def distances(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each point the nearest centre, the first of equal ones, and the squared distance from it."""
     apart = np.maximum(np.round(np.square(points).sum(1)[:, None] - 2 * points @ centres.T + np.square(centres).sum(1), 12), 0.0)

@@ -1,4 +1,7 @@
+import functools
+import tracemalloc
 from pathlib import Path
+from unittest.mock import MagicMock
 
 import numpy as np
 import pyarrow as pa
@@ -8,8 +11,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corkscan.functions.encoders import HashingEncoder, ModelEncoder, vector_of
-from corkscan.functions.matrices import best_rows, matrix
-from corkscan.operators import embedding, nearest, partitioned, quantised
+from corkscan.functions import matrices
+from corkscan.functions.matrices import best_rows, list_array, matrix, unit_rows
+from corkscan.operators import embedding, nearest, partitioned, quantised, seeding
 from corkscan.plans import index as index_plan
 from corkscan.storage import materialise, new_path
 from tests.conftest import SMALL
@@ -358,3 +362,103 @@ def test_pruning_leaves_partitions_out(spark):
     near = nearest.nearest_found(partitioned.only_probed(assigned, block).mapInArrow(
         nearest.scan_vectors(block, 70), nearest.FOUND_SCHEMA), 70)
     assert partitioned.remaining_block(block, near, axes, radii, 70).probes.sum() == 3 * 7
+
+
+class Handed(Exception):
+    """What a task would have been given."""
+
+
+def task_of(run):
+    """What ``run`` has each task do with its batches."""
+    rows = MagicMock()
+    rows.select.return_value = rows.where.return_value = rows.withColumn.return_value = rows
+
+    def hand(task, _):
+        raise Handed(task)
+
+    rows.mapInArrow.side_effect = hand
+    with pytest.raises(Handed) as handed:
+        run(rows)
+    return handed.value.args[0]
+
+
+def vector_batch(count, seed=0):
+    rng = np.random.default_rng(seed)
+    columns = [pa.array(rng.permutation(count)), list_array(rng.normal(size=(count, 64)), pa.float32()),
+               pa.array(rng.integers(0, 16, count).astype(np.int32)), pa.array(rng.integers(-2**63, 2**63, count))]
+    return pa.RecordBatch.from_arrays(columns, ["id", "vector", "part_id", "draw"])
+
+
+def some_units(count, seed=1):
+    return unit_rows(np.random.default_rng(seed).normal(size=(count, 64)))
+
+
+TASKS = {
+    "search": lambda: nearest.scan_vectors(nearest.QueryBlock(np.arange(10), some_units(10)), 10),
+    "search of partitions": lambda: nearest.scan_vectors(nearest.QueryBlock(np.arange(10), some_units(10), some_units(10)[:, :16] > 0), 10),
+    "step": lambda: task_of(lambda rows: partitioned.lloyd_step(rows, some_units(129))),
+    "draw": lambda: task_of(lambda rows: seeding.race(
+        rows, 32, 1, lambda batch: unit_rows(matrix(batch["vector"])), functools.partial(partitioned._apart, some_units(129)))),
+}
+
+
+@pytest.mark.parametrize("name", TASKS)
+def test_memory_of_a_task_does_not_grow_with_its_batches(spark, name):
+    def peak(count):
+        batch = vector_batch(count)
+        tracemalloc.start()
+        list(task(iter([batch])))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    task = TASKS[name]()
+    peak(100)
+    assert peak(40_960) < 1.5 * peak(4_096)
+
+
+def test_memory_of_a_search_does_not_grow_with_its_queries(spark):
+    """A full block of queries holds little more than its distances at a time, not many copies of them."""
+    task = nearest.scan_vectors(nearest.QueryBlock(np.arange(4_096), some_units(4_096)), 10)
+    batch = vector_batch(1_024)
+    tracemalloc.start()
+    list(task(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60e6
+
+
+@pytest.mark.parametrize("name", TASKS)
+def test_small_tiles_give_the_same(spark, name, monkeypatch):
+    batches = [vector_batch(300), vector_batch(0), vector_batch(50, 2)]
+
+    def result():
+        found = pa.Table.from_batches(list(TASKS[name]()(iter(batches)))).to_pydict()
+        return {column: np.array(values) for column, values in found.items()}
+
+    whole = result()
+    monkeypatch.setattr(matrices, "ROW_CELLS", 64 * 7)
+    small = result()
+    assert whole.keys() == small.keys() and len(next(iter(whole.values())))
+    for column, values in whole.items():
+        assert values.shape == small[column].shape and np.allclose(values.astype(float), small[column].astype(float), atol=1e-9)
+
+
+def test_draw_equals_the_order_of_all_rows(spark):
+    """Of all batches of a task the rows with the smallest keys win, and rows without a weight are never drawn."""
+    batches = [vector_batch(5_000), vector_batch(300, 2)]
+    weights = lambda batch, _: (batch["id"].to_numpy() % 3).astype(float)
+    task = task_of(lambda rows: seeding.race(rows, 20, 1, lambda batch: matrix(batch["vector"]), weights))
+    found = pa.Table.from_batches(list(task(iter(batches)))).to_pydict()
+    every = [(-np.log(((d % 2**64 >> 11) + 0.5) / 2**53) / (i % 3), d) for b in batches for i, d in zip(b["id"].to_pylist(), b["draw"].to_pylist()) if i % 3]
+    assert found["draw"] == [d for _, d in sorted(every)[:20]]
+
+
+def test_partitions_of_more_rows_than_a_tile(spark):
+    units, centroids = some_units(9_000), some_units(16, 3)
+    rows = [(i, None if i == 5_000 else [0.0] * 64 if i % 1_000 == 7 else x.tolist()) for i, x in enumerate(units)]
+    vectors = spark.createDataFrame(rows, "id BIGINT, vector ARRAY<DOUBLE>").coalesce(1)
+    expected = {i: int(np.argmax(units[i] @ centroids.T)) for i, x in rows if x and any(x)}
+    assert {r.id: r.part_id for r in partitioned.assign_partitions(vectors, centroids).collect()} == expected
+    sizes = {r.part_id: r.n for r in partitioned.lloyd_step(vectors, centroids).collect()}
+    assert sizes == {part: list(expected.values()).count(part) for part in set(expected.values())}
