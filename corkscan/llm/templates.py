@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corkscan.llm.bag_minhash import keep_ids
-from corkscan.llm.common import id_and_text
+from corkscan.llm.common import by_rows, id_and_text
 from corkscan.storage import materialise
 
 WINDOW = 5
@@ -140,7 +140,7 @@ def _wholes(texts: DataFrame, items: DataFrame, size: int) -> DataFrame:
     near = read(keep_ids(texts, "id", places.select(F.col("id").alias("wanted"))).dropDuplicates(["id", "text"]))
     run = lambda place: F.struct(
         place["length"].alias("length"), F.xxhash64(F.slice("hashes", place["at"] + 1, place["length"])).alias("run"))
-    found = near.join(places, "id").select("id", F.size("hashes").alias("said"), F.explode(F.array_distinct(F.transform("places", run))).alias("run"))
+    found = near.join(by_rows(places), "id").select("id", F.size("hashes").alias("said"), F.explode(F.array_distinct(F.transform("places", run))).alias("run"))
     found = found.select("id", "said", "run.*").join(runs.select("item", "length", "run"), ["length", "run"])
     enough = (F.col("length") >= size) | (F.col("length") == F.col("said"))
     return found.groupBy("id", "item").agg(F.bool_or(enough).alias("evidence"))
@@ -214,6 +214,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     known = materialise(known.select(
         "item", "reading", "length", "item_windows", "item_at",
         F.xxhash64(*(F.get("hashes", F.col("item_at") + n) for n in range(size))).alias("window")), "benchmark-windows")
+    places_of = by_rows(known)
 
     enough = known.where((F.col("reading") == LOWERED) & (F.col("item_windows") - 1 >= coverage * F.col("item_windows")))
     few = items.where(F.col("reading") == LOWERED).join(enough.select("item").distinct(), "item", "left_anti").select("item", "values")
@@ -226,7 +227,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     if different.count() <= FEW_WINDOWS:
         different = F.broadcast(different)
     seen = _exploded(texts, size).join(different, ["reading", "window"], "left_semi")
-    found = seen.join(known, ["reading", "window"])
+    found = seen.join(places_of, ["reading", "window"])
     # A stretch: places of an item in a document that differ by less than half of its
     # length, cut at two phases so that none is halved in both.
     width = F.greatest(F.floor(F.col("length") / 2), F.lit(1))
@@ -245,10 +246,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     wanted = covered.select(F.col("id").alias("wanted")).distinct()
     near = keep_ids(texts, "id", wanted).dropDuplicates(["id"])
     near = materialise(_tokens(near).drop("kinds").withColumnsRenamed({"values": "doc_values", "tokens": "doc_tokens"}), "covered-texts")
+    near = near.hint("merge")
     hashes = F.transform("doc_tokens", lambda token: F.xxhash64(token))
-    at_doc = covered.join(near.select("id", "reading", hashes.alias("hashes")), ["id", "reading"])
+    at_doc = by_rows(covered).join(near.select("id", "reading", hashes.alias("hashes")), ["id", "reading"])
     windows = at_doc.select(*place, "item_windows", F.posexplode(_windows("hashes", size)).alias("at", "window")).join(
-        known.select("item", "reading", "window", "item_at", "length"), ["item", "reading", "window"])
+        places_of.select("item", "reading", "window", "item_at", "length"), ["item", "reading", "window"])
     width = F.greatest(F.floor(F.col("length") / 2), F.lit(1))
     shift = F.col("at") - F.col("item_at")
     where = F.floor((shift + F.col("phase") * F.floor(width / 2)) / width)
@@ -257,7 +259,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     anchors = windows.select(*place, F.col("shift").alias("anchor")).distinct()
     place = [*place, "anchor"]
     nearest = F.min(F.struct(F.abs(F.col("shift") - F.col("anchor")).alias("drift"), "shift")).alias("nearest")
-    aligned = windows.join(anchors, place[:-1]).groupBy(*place, "item_windows", "item_at").agg(nearest)
+    # Never broadcast: stored, these rows take less than a byte each.
+    aligned = windows.join(anchors.hint("merge"), place[:-1]).groupBy(*place, "item_windows", "item_at").agg(nearest)
     at = F.col("item_at") + F.col("nearest.shift")
     aligned = aligned.groupBy(*place, "item_windows", at.alias("at")).agg(F.min(F.struct("nearest.drift", "nearest.shift", "item_at")).alias("nearest"))
     aligned = materialise(aligned.select(*place, "item_windows", "nearest.*"), "aligned")

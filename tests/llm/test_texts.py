@@ -2,9 +2,10 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from corkscan.llm import chat, html_text, templates
+from corkscan.llm import chat, common, html_text, templates
 from corkscan.llm.registry import TRICKY_TEXT
 
 # --- main text ---------------------------------------------------------------
@@ -143,6 +144,24 @@ def test_items_are_found_with_other_values(spark, monkeypatch):
     assert leaks(spark, docs, items) == found
 
 
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_rows_that_grow_with_the_documents_are_broadcast_by_their_number(spark, monkeypatch, few):
+    """Stored, the windows that were found take less than a byte each: their files do not tell whether they fit the driver."""
+    plans, store = {}, templates.materialise
+
+    def stored(df, name):
+        plans[name] = df._jdf.queryExecution().sparkPlan().toString()
+        return store(df, name)
+
+    monkeypatch.setattr(templates, "materialise", stored)
+    monkeypatch.setattr(common, "FEW_ROWS", few, raising=False)
+    docs = [(n, f"{n} words before. {ITEM} and after.") for n in range(20)] + [(30, "no apples at all")]
+    found = leaks(spark, docs, [(10, ITEM), (11, "too short"), (12, "1 2 3 4 5 6 7 8 9")])
+    assert {doc for doc, item in found if item == 10} == set(range(20))
+    assert "BroadcastHashJoin" not in plans["aligned"] and "SortMergeJoin" in plans["aligned"]
+    assert ("BroadcastHashJoin" in plans["covered-windows"]) == (few > 0)
+
+
 def test_leaks_of_empty_tables(spark):
     assert leaks(spark, [], [(1, ITEM)]) == {} == leaks(spark, [(1, ITEM)], [])
 
