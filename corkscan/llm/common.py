@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 4 << 20
 # Rows that a Parquet reader holds at once; by default thousands, each with a whole text.
 READ_ROWS = 512
-# So many rows of a stored table may be broadcast to be joined; each counts about 100 bytes on the driver.
-FEW_ROWS = 100_000
 # The texts that one step of a Python task holds at once, in bytes.
 STEP_BYTES = 8 << 20
 
@@ -31,15 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def by_rows(df: DataFrame) -> DataFrame:
-    """``df``, to be joined by broadcast if it has few rows, and by shuffle otherwise.
-
-    Left to itself, Spark takes the size of a stored table for what it takes in memory;
-    where values repeat, that is hundreds of times as much, all of it on the driver.
-    """
-    return F.broadcast(df) if df.count() <= FEW_ROWS else df.hint("merge")
-
-
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corkscan.llm.bag_minhash import keep_ids
-from corkscan.llm.common import by_rows, id_and_text
-from corkscan.storage import materialise
+from corkscan.llm.common import id_and_text
+from corkscan.storage import by_rows, materialise
 
 WINDOW = 5
 COVERAGE = 0.8

@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corkscan.llm import chat, common, html_text, templates
+from corkscan import storage
+from corkscan.llm import chat, html_text, templates
 from corkscan.llm.registry import TRICKY_TEXT
 
 # --- main text ---------------------------------------------------------------
@@ -154,7 +155,7 @@ def test_rows_that_grow_with_the_documents_are_broadcast_by_their_number(spark,
         return store(df, name)
 
     monkeypatch.setattr(templates, "materialise", stored)
-    monkeypatch.setattr(common, "FEW_ROWS", few, raising=False)
+    monkeypatch.setattr(storage, "FEW_ROWS", few, raising=False)
     docs = [(n, f"{n} words before. {ITEM} and after.") for n in range(20)] + [(30, "no apples at all")]
     found = leaks(spark, docs, [(10, ITEM), (11, "too short"), (12, "1 2 3 4 5 6 7 8 9")])
     assert {doc for doc, item in found if item == 10} == set(range(20))

@@ -12,7 +12,7 @@ from corkscan.plans import index as index_plan
 from corkscan.plans import search
 from corkscan.registry.queries import TRAINED
 from corkscan.registry.workspace import BUCKETS, workspace
-from corkscan.operators import embedding, results
+from corkscan.operators import embedding, results, validation
 from corkscan.sources.tables import with_vector_size
 from corkscan.storage import materialise, new_path
 from tests.conftest import SMALL
@@ -102,3 +102,19 @@ def test_recall_of_partitions_has_one_python_step_for_each_search(spark, name):
 @pytest.mark.parametrize("name", ["ivfpq_top10", "ivfpq_plain_top10"])
 def test_search_of_codes_is_one_python_step(spark, name):
     assert python_steps(QUERIES[name](spark, SMALL)) == 1
+
+
+def test_valid_lines_are_those_of_the_ids_and_compressed(spark):
+    """Keys are joined with keys: the texts of the lines are shuffled once, for the join with documents."""
+    from corkscan.registry import queries as registered
+    from corkscan.registry.workspace import Workspace
+
+    w = Workspace(spark, SMALL)
+    path = registered._write_valid_lines(w, "test-lines")
+    valid = {r.id for r in w.valid_ids().collect()}
+    assert valid == {r.id for r in validation.accepted(w.checked()).collect()} == {r.id for r in w.valid_records().collect()}
+    lines = {r.id: r.value for r in w.review_lines().collect()}
+    for part, step in (("all", 1), ("some", 10)):
+        stored = spark.read.text(f"{path}/{part}")
+        assert sorted(r.value for r in stored.collect()) == sorted(lines[n] for n in valid if n % step == 0)
+        assert all(file.endswith(".gz") for file in stored.inputFiles())

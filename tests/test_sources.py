@@ -235,6 +235,34 @@ def test_keyed_loads_write_only_the_folders_they_touch(spark, gzip_lines, folder
     assert stored.count() == 40 and stored.where("title = 'new'").count() == 1
 
 
+@pytest.mark.parametrize("few", [0, 16])
+def test_keyed_loads_store_keys_aside_and_rows_once(spark, gzip_lines, folder, monkeypatch, few):
+    """Rows are long: only what tells which of them stay is stored beside the table itself."""
+    aside, store = [], ingest.materialise
+    monkeypatch.setattr(ingest, "materialise", lambda df, name: aside.append(set(df.columns)) or store(df, name))
+    monkeypatch.setattr(ingest, "FEW_BUCKETS", few)
+    first = [line(id=n, title="one") for n in range(9)] + [line(id=3, title="two"), line(id=5, title="two"), line(id=3, title="three")]
+    assert ingest.load_keyed(spark, gzip_lines(first), folder, ENCODER, dim=16, buckets=4).rows == 12
+    more = [line(id=7, title="four"), line(id=20, title="four"), line(id=7, title="five")]
+    assert ingest.load_keyed(spark, gzip_lines(more), folder, ENCODER, dim=16).rows == 3
+    expected = {str(n): "one" for n in range(9)} | {"3": "three", "5": "two", "7": "five", "20": "four"}
+    assert sorted((r._id, r.title) for r in ingest.read_keyed(spark, folder).collect()) == sorted(expected.items())
+    assert aside and all(columns <= {"_id", "position"} for columns in aside)
+    stored = spark.read.parquet(f"{folder}/version=1")
+    assert stored.where(tables.bucket_of(F.col("_id"), 4) != F.col("bucket")).isEmpty()
+
+
+def test_jobs_drop_their_shuffles(spark):
+    from corkscan.storage import DROP_SHUFFLES, shuffles_dropped
+
+    before = spark.conf.get(DROP_SHUFFLES, None)
+    with shuffles_dropped(spark):
+        assert spark.conf.get(DROP_SHUFFLES) == "true"
+        rows = spark.range(100).repartition(7).groupBy(F.col("id") % 5).count()
+        assert [rows.count(), len(rows.collect()), len(rows.collect())] == [5, 5, 5]
+    assert spark.conf.get(DROP_SHUFFLES, None) == before
+
+
 def test_load_keyed_stops_on_a_reject(spark, gzip_lines, folder):
     with pytest.raises(ValueError, match="nothing was written"):
         ingest.load_keyed(spark, gzip_lines([line(id=1), line(points="x")]), folder, ENCODER, dim=16)
