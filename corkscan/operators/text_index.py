@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from corkscan.functions.text import quoted, tokens
 from corkscan.sources.versions import read_if_there
-from corkscan.storage import materialise
+from corkscan.storage import by_rows, materialise
 
 # Text in a bucket of postings, unless told otherwise: a task sorts the postings of a bucket in memory.
 BUCKET_BYTES = 32 << 20
@@ -63,6 +63,22 @@ def term_counts(docs: DataFrame, id_column: str, fields: Sequence[str], joined:
     )
 
 
+def spread_term_counts(docs: DataFrame, id_column: str, fields: Sequence[str], joined: bool = False) -> DataFrame:
+    """As ``term_counts``, but shuffles the words of documents alone whose identifiers repeat.
+
+    Reads ``docs`` once more, to find these; their number decides how they are kept apart.
+    """
+    key = F.col(id_column).cast("bigint")
+    often = docs.groupBy(key.alias("_often")).agg(F.count("*").alias("_n")).where("_n > 1").select("_often")
+    often = materialise(often, "repeated-ids")
+    columns = ["doc_id", "field", "term", "tf", "doc_len"]
+    if often.isEmpty():
+        return row_postings(docs, id_column, fields, joined).select(columns)
+    among = lambda how: docs.join(by_rows(often), key.eqNullSafe(F.col("_often")), how)
+    return row_postings(among("left_anti"), id_column, fields, joined).select(columns).unionByName(
+        term_counts(among("left_semi"), id_column, fields, joined).select(columns))
+
+
 def postings(docs: DataFrame, id_column: str, fields: Sequence[str], joined: bool = False) -> DataFrame:
     counts = term_counts(docs, id_column, fields, joined)
     return counts.select("field", "term", "doc_id", "tf", "doc_len")

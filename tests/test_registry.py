@@ -118,3 +118,17 @@ def test_valid_lines_are_those_of_the_ids_and_compressed(spark):
         stored = spark.read.text(f"{path}/{part}")
         assert sorted(r.value for r in stored.collect()) == sorted(lines[n] for n in valid if n % step == 0)
         assert all(file.endswith(".gz") for file in stored.inputFiles())
+
+
+def test_words_of_documents_that_do_not_repeat_are_counted_where_they_lie(spark):
+    from corkscan.operators import text_index
+
+    rows = [(1, "a b a", "x"), (2, "", None), (3, None, "y y"), (None, "n n", "z")]
+    frame = lambda rows: spark.createDataFrame(rows, "id BIGINT, one STRING, two STRING")
+    for docs in (frame(rows), frame([*rows, (1, "a b a", "w"), (1, "b", "x"), (None, "n m", "q")])):
+        expected = sorted(map(tuple, text_index.term_counts(docs, "id", ["one", "two"]).collect()), key=str)
+        found = text_index.spread_term_counts(docs, "id", ["one", "two"])
+        assert found.columns == ["doc_id", "field", "term", "tf", "doc_len"]
+        assert sorted(((r.doc_id, r.field, r.term, r.doc_len, r.tf) for r in found.collect()), key=str) == expected
+    once = text_index.spread_term_counts(frame(rows), "id", ["one", "two"])
+    assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString()
