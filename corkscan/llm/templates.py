@@ -276,7 +276,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     offsets = aligned.withColumn("n", F.explode(F.sequence(-reach, size - 1 + reach)))
     outside = F.greatest(-F.col("n"), F.col("n") - (size - 1), F.lit(0)).alias("outside")
     slots = offsets.select(*place, (F.col("item_at") + F.col("n")).alias("item_at"), outside, "drift", "shift").join(
-        asked_slots, ["item", "reading", "item_at"]).where((F.col("outside") == 0) | (F.col("kind") == NAME))
+        by_rows(asked_slots), ["item", "reading", "item_at"]).where((F.col("outside") == 0) | (F.col("kind") == NAME))
     slots = slots.groupBy(*place, "item_at", "kind", "item_value").agg(F.min(F.struct("outside", "drift", "shift")).alias("nearest"))
     slots = slots.groupBy(*place).agg(F.collect_list(
         F.struct("kind", "item_value", (F.col("item_at") + F.col("nearest.shift")).alias("at"))).alias("slots"))

@@ -1,6 +1,7 @@
 """Main text, chats and benchmark leaks."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -157,8 +158,13 @@ def test_rows_that_grow_with_the_documents_are_broadcast_by_their_number(spark,
     monkeypatch.setattr(templates, "materialise", stored)
     monkeypatch.setattr(storage, "FEW_ROWS", few, raising=False)
     docs = [(n, f"{n} words before. {ITEM} and after.") for n in range(20)] + [(30, "no apples at all")]
-    found = leaks(spark, docs, [(10, ITEM), (11, "too short"), (12, "1 2 3 4 5 6 7 8 9")])
-    assert {doc for doc, item in found if item == 10} == set(range(20))
+    rows = spark.createDataFrame(docs, "doc_id BIGINT, text STRING")
+    items = spark.createDataFrame([(10, ITEM), (11, "too short"), (12, "1 2 3 4 5 6 7 8 9")], "item_id BIGINT, text STRING")
+    found = templates.find_leaks(rows, items)
+    assert {r.doc_id for r in found.collect() if r.item_id == 10} == set(range(20))
+    # Values are looked for around every window: of these two sides, the benchmark's is the one to be broadcast.
+    joined = re.search(r"(\w+)Join \[item#\d+L, reading#\d+, item_at.*", found._jdf.queryExecution().sparkPlan().toString())
+    assert joined[1] == ("BroadcastHash" if few else "SortMerge") and ("BuildRight" in joined[0]) == (few > 0)
     assert "BroadcastHashJoin" not in plans["aligned"] and "SortMergeJoin" in plans["aligned"]
     assert ("BroadcastHashJoin" in plans["covered-windows"]) == (few > 0)
 
