@@ -248,6 +248,9 @@ def test_keyed_loads_store_keys_aside_and_rows_once(spark, gzip_lines, folder, m
     expected = {str(n): "one" for n in range(9)} | {"3": "three", "5": "two", "7": "five", "20": "four"}
     assert sorted((r._id, r.title) for r in ingest.read_keyed(spark, folder).collect()) == sorted(expected.items())
     assert aside and all(columns <= {"_id", "position"} for columns in aside)
+    ingest.load_records(spark, gzip_lines(more), f"{folder}/plain", ENCODER, dim=16)
+    both = [*ingest.read_keyed(spark, folder).inputFiles(), *ingest.read_records(spark, f"{folder}/plain").inputFiles()]
+    assert both and all(".zstd." in file for file in both)
     stored = spark.read.parquet(f"{folder}/version=1")
     assert stored.where(tables.bucket_of(F.col("_id"), 4) != F.col("bucket")).isEmpty()
 
